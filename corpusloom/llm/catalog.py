@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality, sharding
+from . import bpe, quality, sharding
 
 MODULES = {
+    "op2_byte_bpe": bpe,
     "op6_sharding": sharding,
     "op10_quality_rules": quality,
 }
