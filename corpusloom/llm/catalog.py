@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, sharding
+from . import bpe, decontaminate, quality, sharding
 
 MODULES = {
     "op2_byte_bpe": bpe,
+    "op3_decontamination": decontaminate,
     "op6_sharding": sharding,
     "op10_quality_rules": quality,
 }
