@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, quality, sharding
+from . import bpe, decontaminate, quality, secrets, sharding
 
 MODULES = {
     "op2_byte_bpe": bpe,
     "op3_decontamination": decontaminate,
+    "op4_secret_scans": secrets,
     "op6_sharding": sharding,
     "op10_quality_rules": quality,
 }
