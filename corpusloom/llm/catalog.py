@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, quality, secrets, sharding
+from . import bpe, decontaminate, quality, secrets, sharding, simhash
 
 MODULES = {
+    "op1_simhash_near_dedup": simhash,
     "op2_byte_bpe": bpe,
     "op3_decontamination": decontaminate,
     "op4_secret_scans": secrets,
