@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, quality, secrets, sharding, simhash
+from . import bpe, decontaminate, quality, secrets, sharding, simhash, toxicity
 
 MODULES = {
     "op1_simhash_near_dedup": simhash,
     "op2_byte_bpe": bpe,
     "op3_decontamination": decontaminate,
     "op4_secret_scans": secrets,
+    "op5_toxicity": toxicity,
     "op6_sharding": sharding,
     "op10_quality_rules": quality,
 }
