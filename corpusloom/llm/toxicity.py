@@ -18,13 +18,16 @@ from .common import prepare, read
 ROWS_PER_GRADE = 4000
 #: A word must be in so many fitted texts.
 LEAST_TEXTS = 3
+#: Bytes of a longer word's start that count as a feature of their own.
+STEM = 4
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
 def features(text: str | None) -> set[bytes]:
-    """The distinct words of a text, A-Z in lower case."""
-    return set((text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split())
+    """The distinct words of a text, A-Z in lower case, and their starts of STEM bytes, marked by a star."""
+    words = set((text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split())
+    return words | {w[:STEM] + b"*" for w in words if len(w) > STEM}
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -64,7 +67,7 @@ def _loss_gradient(z: np.ndarray, steps: np.ndarray, grades: np.ndarray) -> tupl
     return (d_high - d_low) / n, np.concatenate([tail[:1], tail[1:] * np.exp(steps[1:])])
 
 
-def fit(texts: list[set[bytes]], grades: np.ndarray, n_grades: int, l1: float = 2e-3, rounds: int = 300) -> Model:
+def fit(texts: list[set[bytes]], grades: np.ndarray, n_grades: int, l1: float = 1e-3, rounds: int = 300) -> Model:
     """Select words with an L1 penalty, then fit the selected ones anew with a slight L2 penalty, so weights aren't shrunk."""
     seen: dict[bytes, int] = {}
     for words in texts:
@@ -76,7 +79,7 @@ def fit(texts: list[set[bytes]], grades: np.ndarray, n_grades: int, l1: float =
     cuts = np.log(share / (1 - share))
     steps[0], steps[1:] = cuts[0], np.log(np.maximum(np.diff(cuts), 1e-2))
     weights = np.zeros(0)
-    for penalty, ridge in ((l1, 0.0), (0.0, 1e-3)):
+    for penalty, ridge in ((l1, 0.0), (0.0, 1e-4)):
         number = {w: i for i, w in enumerate(vocabulary)}
         found = [[number[w] for w in words if w in number] for words in texts]
         rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
