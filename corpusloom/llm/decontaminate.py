@@ -108,6 +108,28 @@ def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_co
     return rows.mapInArrow(run, schema)
 
 
+def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of documents without any window of the benchmark, with their columns as they were.
+
+    With a benchmark over broadcast_bytes, documents are read twice and must give their rows in the same order, as files and checkpoints do.
+    """
+    spark = prepare(documents.sparkSession)
+    items = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[item_text_col].alias("text")).where("text is not null")
+    if items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0] > broadcast_bytes:
+        whole = documents.select(F.monotonically_increasing_id().alias("__row"), F.struct(*[documents[c] for c in documents.columns]).alias("__kept"), documents[text_col].alias("__text"))
+        found = scan(whole, benchmark, window, "__row", "__text", item_col, item_text_col, broadcast_bytes)
+        hit = found.where("contaminated").select(F.col("doc_id").alias("__row"))
+        return whole.join(hit, "__row", "left_anti").select("__kept.*")
+    shared = spark.sparkContext.broadcast(Windows([tuple(r) for r in items.collect()], window))
+
+    @F.pandas_udf("boolean")
+    def free(texts: pd.Series) -> pd.Series:
+        held = shared.value
+        return texts.map(lambda t: not held.scan(t)[1].any())
+
+    return documents.where(free(documents[text_col]))
+
+
 def _joined(rows: DataFrame, items: DataFrame, window: int, schema: str, to: pa.Schema) -> DataFrame:
     """scan() for a benchmark of any size: an equi-join on the windows' words.
 

@@ -318,7 +318,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "
     out.write.format("warc").mode("append").save(path)
 
 
-def _remove(path: str) -> None:
+def remove(path: str) -> None:
     system, top = files(path)
     if system.get_file_info(top).type == pafs.FileType.Directory:
         system.delete_dir(top)
@@ -326,7 +326,7 @@ def _remove(path: str) -> None:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    atexit.register(_remove, path)
+    atexit.register(remove, path)
     write(read_table(spark, sf_dir, "pages"), path)
     records = read(spark, path, payload=False, verify=True)
     number = lambda c: F.nullif(F.col(c), F.lit("")).cast("long").alias("page_id" if c == "record_id" else c)
