@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, quality, secrets, sharding, simhash, toxicity, warc
+from . import bpe, decontaminate, quality, secrets, sharding, simhash, suffix, toxicity, warc
 
 MODULES = {
     "op1_simhash_near_dedup": simhash,
@@ -11,6 +11,7 @@ MODULES = {
     "op4_secret_scans": secrets,
     "op5_toxicity": toxicity,
     "op6_sharding": sharding,
+    "op7_suffix_array_dedup": suffix,
     "op8_warc": warc,
     "op10_quality_rules": quality,
 }
