@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, quality, secrets, sharding, simhash, suffix, toxicity, warc
+from . import bpe, decontaminate, passages, quality, secrets, sharding, simhash, suffix, toxicity, warc
 
 MODULES = {
     "op1_simhash_near_dedup": simhash,
@@ -13,6 +13,7 @@ MODULES = {
     "op6_sharding": sharding,
     "op7_suffix_array_dedup": suffix,
     "op8_warc": warc,
+    "op9_substring_dedup": passages,
     "op10_quality_rules": quality,
 }
 
