@@ -4,6 +4,7 @@ P(grade <= k) = s(t_k - w.x) with ascending thresholds t_k and one weight vector
 of a text. The expected severity is the sum over k of P(grade > k).
 """
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,10 +25,10 @@ STEM = 4
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
-def features(text: str | None) -> set[bytes]:
-    """The distinct words of a text, A-Z in lower case, and their starts of STEM bytes, marked by a star."""
+def features(text: str | None) -> set[int]:
+    """CRC-32 of each distinct word of a text, A-Z in lower case, and of its start of STEM bytes, marked by a star."""
     words = set((text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split())
-    return words | {w[:STEM] + b"*" for w in words if len(w) > STEM}
+    return set(map(zlib.crc32, words | {w[:STEM] + b"*" for w in words if len(w) > STEM}))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -36,7 +37,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    weights: dict[bytes, float]
+    weights: dict[int, float]
     thresholds: list[float]
 
     def score(self, text: str | None) -> float:
@@ -67,23 +68,23 @@ def _loss_gradient(z: np.ndarray, steps: np.ndarray, grades: np.ndarray) -> tupl
     return (d_high - d_low) / n, np.concatenate([tail[:1], tail[1:] * np.exp(steps[1:])])
 
 
-def fit(texts: list[set[bytes]], grades: np.ndarray, n_grades: int, l1: float = 1e-3, rounds: int = 300) -> Model:
-    """Select words with an L1 penalty, then fit the selected ones anew with a slight L2 penalty, so weights aren't shrunk."""
-    seen: dict[bytes, int] = {}
-    for words in texts:
-        for w in words:
-            seen[w] = seen.get(w, 0) + 1
-    vocabulary = sorted(w for w, n in seen.items() if n >= LEAST_TEXTS)
+def fit(texts: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: float = 1e-3, rounds: int = 300) -> Model:
+    """Select features with an L1 penalty, then fit the selected ones anew with a slight L2 penalty, so weights aren't shrunk.
+
+    texts: the distinct features of each text.
+    """
+    every = np.concatenate([*texts, np.zeros(0, np.uint32)]).astype(np.uint32)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    vocabulary, seen = np.unique(every, return_counts=True)
+    vocabulary = vocabulary[seen >= LEAST_TEXTS]
     steps = np.zeros(n_grades - 1)
     share = np.clip(np.cumsum(np.bincount(grades, minlength=n_grades)[:-1] + 1.0) / (len(grades) + n_grades), 1e-6, 1 - 1e-6)
     cuts = np.log(share / (1 - share))
     steps[0], steps[1:] = cuts[0], np.log(np.maximum(np.diff(cuts), 1e-2))
     weights = np.zeros(0)
     for penalty, ridge in ((l1, 0.0), (0.0, 1e-4)):
-        number = {w: i for i, w in enumerate(vocabulary)}
-        found = [[number[w] for w in words if w in number] for words in texts]
-        rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
-        cols = np.fromiter((i for f in found for i in f), np.int64, len(rows))
+        held = np.isin(every, vocabulary)
+        rows, cols = owner[held], np.searchsorted(vocabulary, every[held])
         n, m = len(texts), len(vocabulary)
         weights, probe = np.zeros(m), np.ones(m)
         for _ in range(10):  # the largest eigenvalue, for the step
@@ -100,15 +101,15 @@ def fit(texts: list[set[bytes]], grades: np.ndarray, n_grades: int, l1: float =
             faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
             ahead = new + (pace - 1) / faster * (new - weights)
             weights, pace = new, faster
-        vocabulary = [w for w, x in zip(vocabulary, weights) if x] if penalty else vocabulary
+        vocabulary = vocabulary[weights != 0] if penalty else vocabulary
     thresholds = np.cumsum(np.concatenate([steps[:1], np.exp(steps[1:])]))
-    return Model(dict(zip(vocabulary, weights.tolist())), thresholds.tolist())
+    return Model(dict(zip(vocabulary.tolist(), weights.tolist())), thresholds.tolist())
 
 
 def train(documents: DataFrame, labels: DataFrame, n_grades: int = 2, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "toxic", rows_per_grade: int = ROWS_PER_GRADE) -> Model:
     """A model of the labelled texts: of each grade, the rows_per_grade rows whose hashed ids come first.
 
-    So the driver holds the words of at most n_grades * rows_per_grade texts. Rows with a null id, text or grade, or a
+    So the driver holds the features of at most n_grades * rows_per_grade texts. Rows with a null id, text or grade, or a
     grade outside 0 .. n_grades - 1, aren't fitted; of repeated ids any label row counts. Without rows the model is empty.
     """
     prepare(documents.sparkSession)
@@ -119,14 +120,14 @@ def train(documents: DataFrame, labels: DataFrame, n_grades: int = 2, id_col: st
         picked = some if picked is None else picked.unionByName(some)
     texts = documents.select(documents[id_col].alias("__id"), documents[text_col].alias("__text")).where("__text is not null")
 
-    @F.pandas_udf("array<binary>")
-    def words(column):
-        return column.map(lambda t: sorted(features(t)))
+    @F.pandas_udf("binary")
+    def packed(column):
+        return column.map(lambda t: np.array(sorted(features(t)), np.uint32).tobytes())
 
-    sample = texts.join(F.broadcast(picked), "__id").select(words("__text").alias("w"), "__grade").collect()
+    sample = texts.join(F.broadcast(picked), "__id").select("__grade", packed("__text").alias("__features")).collect()
     if not sample:
         return Model({}, [0.0] * (n_grades - 1))
-    return fit([set(map(bytes, r[0])) for r in sample], np.array([r[1] for r in sample]), n_grades)
+    return fit([np.frombuffer(r[1], np.uint32) for r in sample], np.array([r[0] for r in sample]), n_grades)
 
 
 def predict(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
