@@ -180,7 +180,12 @@ class Runs:
             new = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (row[1:] != row[:-1])]))
             found.append((value[new], row[new], place[new] + k, np.diff(np.concatenate([new, [len(place)]]))))
         columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, t) for t in (np.uint64, np.int32, np.int64, np.int64)]
-        self.value, self.row, self.start, self.count = columns
+        # A run that goes on over a stretch's end is one run: its pieces must not depend on the order of the texts
+        value, row, start, count = columns
+        ends = start + count
+        new = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (row[1:] != row[:-1]) | (start[1:] != ends[:-1])])) if len(value) else np.zeros(0, np.int64)
+        self.value, self.row, self.start = value[new], row[new], start[new]
+        self.count = np.add.reduceat(count, new) if len(new) else count
         order = np.argsort(self.value, kind="stable")
         ranked = self.value[order]
         edge = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, bool)
