@@ -34,7 +34,9 @@ GROUP_BYTES, HOT_GROUPS = 4 << 20, 64
 #: Minimizers per bucket, on average.
 BUCKET = 1 << 20
 #: Bytes of text that are hashed at once, and symbols of one transform.
-_STRETCH, _TEXT = 1 << 17, 1 << 20
+_STRETCH, _TEXT = 1 << 17, 1 << 18
+#: Rows up to which an interval is expanded row by row.
+_NARROW = 16
 NO_ID = np.iinfo(np.int64).max
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -51,7 +53,7 @@ def transform(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     for k in range(done):
         key = key << bits | np.roll(symbols, -k)
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranked = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]]))
@@ -70,36 +72,54 @@ def prefixes(last: np.ndarray, sigma: int, depth: int) -> np.ndarray:
     """
     n = len(last)
     blocks = n // 64 + 1
-    bits = np.zeros((blocks, sigma), np.uint64)
     place = np.arange(n)
-    np.bitwise_or.at(bits, (place >> 6, last), np.uint64(1) << (place & 63).astype(np.uint64))
+    cell, bit = (place >> 6) * sigma + last, place & 63
+    halves = [np.bincount(cell, np.where(bit >> 5 == k, 2.0 ** (bit & 31), 0.0), blocks * sigma).astype(np.uint64) for k in (0, 1)]
+    bits = (halves[0] | halves[1] << np.uint64(32)).reshape(blocks, sigma)
     before = np.zeros((blocks, sigma), np.int64)
     np.cumsum(np.bitwise_count(bits[:-1]), axis=0, dtype=np.int64, out=before[1:])
-    first = np.concatenate([[0], np.cumsum(np.bincount(last, minlength=sigma))[:-1]])
-    before += first
+    sizes = np.bincount(last, minlength=sigma)
+    before += np.cumsum(sizes) - sizes
+    back = np.empty(n, np.int64)  # of a row: the row that begins with its symbol before
+    back[np.argsort(last, kind="stable")] = place
 
     def step(rows: np.ndarray) -> np.ndarray:
         """For each row and symbol: where the rows before it that follow the symbol end, in order."""
         b = rows >> 6
         return before[b] + np.bitwise_count(bits[b] & ((np.uint64(1) << (rows & 63).astype(np.uint64)) - np.uint64(1))[:, None])
 
+    def wide(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = step(low), step(high)
+        there = b > a
+        return a[there], b[there]
+
+    def narrow(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same by rows: those of an interval with one symbol before them have neighbouring rows."""
+        rows = _ranges(low, high - low)
+        owner, to = np.repeat(np.arange(len(low)), high - low), back[rows]
+        order = np.argsort(owner * n + to)
+        owner, to, symbol = owner[order], to[order], last[rows[order]]
+        edge = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (symbol[1:] != symbol[:-1])]))
+        return to[edge], to[np.concatenate([edge[1:], [len(to)]]) - 1] + 1
+
+    def single(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return back[low], back[low] + 1
+
     known = np.zeros(n + 1, bool)
     known[[0, n]] = True
     low, high = np.array([0]), np.array([n])
     for _ in range(depth):
-        lows, highs = [], []
-        for k in range(0, len(low), 8192):
-            a, b = step(low[k : k + 8192]), step(high[k : k + 8192])
-            new = (b > a) & ~known[b]
-            a, b = a[new], b[new]
-            known[b] = True
-            lows.append(a)
-            highs.append(b)
-        if not lows:
-            break
-        low, high = np.concatenate(lows), np.concatenate(highs)
+        width, found = high - low, []
+        for kind, at in ((single, width == 1), (narrow, (width > 1) & (width <= _NARROW)), (wide, width > _NARROW)):
+            some = np.flatnonzero(at)
+            for k in range(0, len(some), 4096 if kind is wide else max(1, len(some))):
+                a, b = kind(low[some[k : k + 4096]], high[some[k : k + 4096]]) if kind is wide else kind(low[some], high[some])
+                new = ~known[b]
+                found.append((a[new], b[new]))
+        low, high = (np.concatenate(x) for x in zip(*found))
         if not len(low):
             break
+        known[high] = True
     return known[:n]
 
 
