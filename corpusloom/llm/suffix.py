@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import prepare, read
 
 LENGTH, GRAM = 50, 24
-GROUP_BYTES, HOT_GROUPS = 4 << 20, 64
+GROUP_BYTES, HOT_GROUPS = 4 << 20, 1024
 #: Minimizers per bucket, on average.
 BUCKET = 1 << 20
 #: Bytes of text that are hashed at once, and symbols of one transform.
