@@ -37,7 +37,7 @@ RULES = (
 
 
 def measures(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns keep of df (all, if None) under their names, and a struct __q of counts and ratios.
+    """A struct __row of the columns keep of df (all, if None), and a struct __q of counts and ratios.
 
     Null text counts as empty: no words, and every ratio null. All of a text is measured, however long.
     """
@@ -85,7 +85,7 @@ def measures(df: DataFrame, text_col: str = "text", keep: list[str] | None = Non
     base = base.withColumn("n_repeat_words", words)
     ratio = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0)).cast("double")
     return base.select(
-        "__row.*",
+        "__row",
         F.struct(
             "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_lines",
             ratio("n_repeat_words", "n_words").alias("repeat_word_ratio"),
@@ -117,13 +117,12 @@ def verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     """
     out = measures(df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")), "text", ["doc_id"])
     failed = (F.col("__q.n_words") < 50) | (100 * F.col("__q.n_repeat_words") > 50 * F.col("__q.n_words"))
-    return out.select("doc_id", "__q.*", failed.alias("base_failed"), (~failed & compiled(rules)).alias("kept"))
+    return out.select("__row.doc_id", "__q.*", failed.alias("base_failed"), (~failed & compiled(rules)).alias("kept"))
 
 
 def keep(df: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
     """The rows of df that pass all rules, with the columns of df as they were."""
-    out = measures(df, text_col)
-    return out.where(compiled(rules)).drop("__q")
+    return measures(df, text_col).where(compiled(rules)).select("__row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
