@@ -30,10 +30,14 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, f) -> Column:
+    """f of value, which is computed once even where f uses it in a lambda: Spark would put its expression there."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def lines(c: Column | str) -> Column:
     """Lines without their ends; a final end adds no empty line, and an empty text has no line."""
-    parts = F.split(col(c), LINE_ENDS, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(col(c), LINE_ENDS, -1), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
 
 
 def tokens(c: Column | str) -> Column:
@@ -86,8 +90,9 @@ def first_present(columns: list[str], available: list[str], default: str = "") -
 def shingles(c: Column | str, size: int = 5) -> Column:
     """Distinct runs of size tokens; short texts are padded by underscores."""
     words = tokens(c)
-    padded = F.concat(words, F.array_repeat(F.lit("_"), F.greatest(F.lit(0), size - F.size(words))))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(padded) - size + 1), lambda i: F.array_join(F.slice(padded, i, size), " ")))
+    padded = lambda w: F.concat(w, F.array_repeat(F.lit("_"), F.greatest(F.lit(0), size - F.size(w))))
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, size), " "))
+    return F.array_distinct(let(let(words, padded), runs))
 
 
 def trimmed(c: Column | str, n: Column | int, mark: str = TRIMMED) -> Column:
@@ -171,5 +176,8 @@ def without_overlap(before: Column | str, after: Column | str) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    count = F.size(words) - n + 1
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), "\x01"))).otherwise(F.array().cast("array<string>"))
+    def runs(w):
+        count = F.size(w) - n + 1
+        return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), "\x01"))).otherwise(F.array().cast("array<string>"))
+
+    return let(words, runs)

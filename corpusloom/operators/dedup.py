@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import checkpointed
 from .rank import first_of
 
 
@@ -31,9 +32,8 @@ def signatures(df: DataFrame, text: str = "input", n: int = 32, order: str = "or
 
     Hashes never leave the row: no shingle is shuffled.
     """
-    base = df.select(F.col(order).alias("ord"), X.shingles(text).alias("s"))
-    sig = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array_min(F.transform("s", lambda s: F.md5(F.concat(i.cast("string"), s)))))
-    return base.select("ord", sig.alias("sig"))
+    least = lambda s: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array_min(F.transform(s, lambda x: F.md5(F.concat(i.cast("string"), x)))))
+    return df.select(F.col(order).alias("ord"), X.let(X.shingles(text), least).alias("sig"))
 
 
 def similarity(a, b):
@@ -70,23 +70,20 @@ def greedy(sigs: DataFrame, n: int = 32, threshold: float = 0.95, rounds: int =
     Undecided rows without an earlier neighbour that is undecided or kept are kept, and rows with an earlier kept
     neighbour go, until none is undecided. Of a class only its first row can be kept.
     """
-    spark = sigs.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    sigs = sigs.checkpoint()
-    links = pairs(sigs, n, threshold).select("a", "b").checkpoint()
+    sigs = checkpointed(sigs)
+    links = checkpointed(pairs(sigs, n, threshold).select("a", "b"))
     todo = classes(sigs).select("ord")
-    kept = todo.join(links.select(F.col("b").alias("ord")), "ord", "left_anti").checkpoint()
-    todo = todo.join(kept, "ord", "left_anti").checkpoint()
+    kept = checkpointed(todo.join(links.select(F.col("b").alias("ord")), "ord", "left_anti"))
+    todo = checkpointed(todo.join(kept, "ord", "left_anti"))
     for _ in range(rounds):
         if todo.isEmpty():
             return kept
         gone = links.join(kept.select(F.col("ord").alias("a")), "a", "left_semi").select(F.col("b").alias("ord"))
-        todo = todo.join(gone, "ord", "left_anti").checkpoint()
+        todo = checkpointed(todo.join(gone, "ord", "left_anti"))
         waiting = links.join(todo.select(F.col("ord").alias("a")), "a", "left_semi").select(F.col("b").alias("ord"))
-        new = todo.join(waiting, "ord", "left_anti").checkpoint()
-        kept = kept.unionByName(new).checkpoint()
-        todo = todo.join(new, "ord", "left_anti").checkpoint()
+        new = checkpointed(todo.join(waiting, "ord", "left_anti"))
+        kept = checkpointed(kept.unionByName(new))
+        todo = checkpointed(todo.join(new, "ord", "left_anti"))
     raise RuntimeError("greedy resolution did not settle")
 
 

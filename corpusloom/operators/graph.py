@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import code as C
+from ..session import checkpointed
 
 # Fixed values
 CANDIDATE_ENDS = ["", ".py", ".js", ".jsx", ".ts", ".tsx", ".java", ".cs", ".cpp", ".hpp", ".h", ".rs", "/index.js", "/index.ts", "/mod.rs"]
@@ -52,13 +53,13 @@ def symbol_edges(files: DataFrame) -> DataFrame:
     A base or a called name links to the file that defines it: of several for a base the smallest path, for a call
     only a single one.
     """
-    held = files.select("path", C.structure_of("content", "language").alias("s"), C.called_functions("content", "language").alias("calls"))
+    held = checkpointed(files.select("path", C.structure_of("content", "language").alias("s"), C.called_functions("content", "language").alias("calls")))
     classes = held.select("path", F.explode("s.classes").alias("c")).select("path", "c.name", "c.bases")
     functions = held.select("path", F.explode("s.functions").alias("name"))
     homes = classes.groupBy("name").agg(F.min("path").alias("home"))
     bases = classes.select("path", "name", F.explode("bases").alias("base"))
     inherits = bases.select(F.col("name").alias("src"), F.col("base").alias("dst"), F.lit("CLASS_INHERITS_CLASS").alias("relation"))
-    depends = bases.join(homes, bases.base == homes.name).where("path <> home").select(F.col("path").alias("src"), F.col("home").alias("dst"), F.lit("FILE_EXTENDS_FILE").alias("relation"))
+    depends = bases.select("path", "base").join(homes.withColumnRenamed("name", "base"), "base").where("path <> home").select(F.col("path").alias("src"), F.col("home").alias("dst"), F.lit("FILE_EXTENDS_FILE").alias("relation"))
     single = functions.groupBy("name").agg(F.count_distinct("path").alias("n"), F.min("path").alias("home")).where("n = 1")
     calls = held.select("path", F.explode("calls").alias("name")).join(single, "name").where("path <> home")
     calls = calls.select(F.col("path").alias("src"), F.col("home").alias("dst"), F.lit("FILE_CALLS_FILE").alias("relation"))
@@ -81,7 +82,7 @@ def test_edges(files: DataFrame, imports: DataFrame) -> DataFrame:
 
 def build(files: DataFrame) -> DataFrame:
     """All edges of files (path, language, content)."""
-    imports = resolve(files)
+    imports = checkpointed(resolve(files))
     return imports.unionByName(symbol_edges(files)).unionByName(test_edges(files, imports)).distinct()
 
 

@@ -18,7 +18,8 @@ from ..functions.text import col
 def overlaps(df: DataFrame, key: str, candidate: str, reference: str, longest: int = 4) -> DataFrame:
     """(key, n, overlap, total, candidate_len, reference_len): clipped n-gram overlaps, by joins on n-grams."""
     held = df.select(key, X.eval_tokens(F.coalesce(candidate, F.lit(""))).alias("c"), X.eval_tokens(F.coalesce(reference, F.lit(""))).alias("r"))
-    grams = lambda words: F.explode(F.flatten(F.array(*[F.transform(X.ngrams(F.col(words), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("g"))) for n in range(1, longest + 1)])))
+    sized = lambda words, n: F.transform(X.ngrams(F.col(words), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+    grams = lambda words: F.explode(F.flatten(F.array(*[sized(words, n) for n in range(1, longest + 1)])))
     counts = held.select(key, grams("c").alias("x"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(held.select(key, grams("r").alias("x"), F.lit(0).alias("a"), F.lit(1).alias("b")))
     counts = counts.groupBy(key, "x.n", "x.g").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     sums = counts.groupBy(key, "n").agg(F.sum(F.least("a", "b")).alias("overlap"), F.sum("a").alias("total"))
@@ -30,10 +31,10 @@ def bleu(df: DataFrame, key: str, candidate: str, reference: str, longest: int =
     parts = overlaps(df, key, candidate, reference, longest)
     ok = F.col("total") > 0
     log = F.when(ok, F.log((F.col("overlap") + smoothing) / (F.col("total") + smoothing)))
-    sums = parts.groupBy(key).agg(F.sum(log).alias("s"), F.count_if(ok).alias("k"), F.max("candidate_len").alias("c"), F.max("reference_len").alias("r"))
-    penalty = F.when(F.col("c") > F.col("r"), 1.0).otherwise(F.exp(1.0 - F.try_divide(F.col("r").cast("double"), F.col("c"))))
-    good = (F.col("k") == longest) & (F.col("c") > 0) & (F.col("r") > 0)
-    return sums.select(key, F.when(good, penalty * F.exp(F.col("s") / longest)).otherwise(0.0).alias("bleu"))
+    sums = parts.groupBy(key).agg(F.sum(log).alias("__s"), F.count_if(ok).alias("__m"), F.max("candidate_len").alias("__c"), F.max("reference_len").alias("__r"))
+    penalty = F.when(F.col("__c") > F.col("__r"), 1.0).otherwise(F.exp(1.0 - F.try_divide(F.col("__r").cast("double"), F.col("__c"))))
+    good = (F.col("__m") == longest) & (F.col("__c") > 0) & (F.col("__r") > 0)
+    return sums.select(key, F.when(good, penalty * F.exp(F.col("__s") / longest)).otherwise(0.0).alias("bleu"))
 
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")

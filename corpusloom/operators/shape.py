@@ -67,19 +67,17 @@ def split_groups(df: DataFrame, repo: str, group: list[str], key: str = "id", tr
     a, b = _sizes(F.col("__n"), train, val)
     placed = joined.select(*group, "__repo", "__n", _named(F.col("__rank"), a, b).alias("__split"))
     # Three repos or more always fill all splits, so the fallback is for fewer.
-    marked = df.join(placed, df[repo].eqNullSafe(placed["__repo"]) & _same(df, placed, group), "left").select(*[df[c] for c in df.columns], "__n", "__split")
+    names = {c: f"__{c}" for c in group}
+    placed = placed.withColumnsRenamed(names)
+    same = df[repo].eqNullSafe(placed["__repo"])
+    for c, other in names.items():
+        same &= df[c].eqNullSafe(placed[other])
+    marked = df.join(placed, same, "left").drop("__repo", *names.values())
     many = marked.where("__n >= 3").select(*df.columns, F.col("__split").alias("split"))
     few = split_rows(marked.where("__n < 3").select(*df.columns), group, key, train, val)
     return many.unionByName(few)
 
 
-def _same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
-    out = F.lit(True)
-    for c in columns:
-        out &= a[c].eqNullSafe(b[c])
-    return out
-
-
 def split_global(df: DataFrame, repo: str, train: float = 0.85, val: float = 0.07) -> DataFrame:
     """df with split: repos cut at floor(train * n) and floor((train + val) * n), with no least size."""
     repos = df.select(F.col(repo).alias("__repo")).distinct()

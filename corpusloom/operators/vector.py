@@ -20,8 +20,8 @@ def hash_embedding(text: Column | str, dim: int = 768) -> Column:
     place = lambda h: F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
     sign = lambda h: F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
     entries = F.transform(hashed, lambda h: F.struct(place(h).alias("i"), sign(h).alias("v")))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(entries, lambda e: e["i"] == i), F.lit(0.0), lambda a, e: a + e["v"]))
-    return normalized(dense)
+    sums = lambda es: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(es, lambda e: e["i"] == i), F.lit(0.0), lambda a, e: a + e["v"]))
+    return X.let(X.let(entries, sums), normalized)
 
 
 def sparse_embedding(df: DataFrame, key: str, text: str, dim: int = 768) -> DataFrame:
@@ -43,8 +43,7 @@ def norm(v: Column) -> Column:
 
 
 def normalized(v: Column) -> Column:
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+    return X.let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:

@@ -104,14 +104,17 @@ def skip_reason(path: Column | str, length: Column | str, content: Column | str)
 
 
 def tree(spark: SparkSession, root: str, max_files: int | None = None) -> DataFrame:
-    """Files below root, outside of excluded folders: path (relative), length, sha256, language, skip, content (text, where not skipped)."""
+    """Files below root, outside of excluded folders: path (relative), length, sha256, language, skip, content (text, where not skipped).
+
+    Spark lists no files whose names begin with a dot or an underscore, so hidden secrets are never read.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = F.lit(root.rstrip("/").removeprefix("file://").removeprefix("file:"))
     whole = F.regexp_replace("path", "^[a-z]+:(//)?(?=/)", "")
     rel = F.regexp_replace(F.substr(whole, F.length(base) + 1), "^/+", "")
     held = files.select(rel.alias("path"), "length", "content").where(~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(d) for d in EXCLUDED_DIRS])))
     out = held.withColumn("skip", skip_reason("path", "length", "content"))
-    text = F.when(F.col("skip").isNull(), F.decode("content", F.lit("UTF-8")))
+    text = F.when(F.col("skip").isNull(), F.decode("content", "UTF-8"))
     out = out.select("path", "length", F.sha2("content", 256).alias("sha256"), "skip", text.alias("text"))
     out = out.withColumn("language", F.when(F.col("skip").isNull(), C.language("path", "text"))).withColumnRenamed("text", "content")
     return out.orderBy("path").limit(max_files) if max_files else out

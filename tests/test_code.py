@@ -1,0 +1,127 @@
+import pytest
+from pyspark.sql import functions as F
+
+from corpusloom.functions import code as C
+from corpusloom.operators import budget, chunk, conversation, graph, output, retrieve
+from corpusloom.plans.code import SOURCES
+
+
+@pytest.fixture(scope="module")
+def files(spark):
+    held = spark.createDataFrame(list(SOURCES.items()), "path string, content string")
+    return held.select("path", C.language("path", "content").alias("language"), "content").cache()
+
+
+@pytest.mark.parametrize("n", [0, 1, 120, 121, 228, 229, 500])
+def test_line_windows(spark, n):
+    text = "\n".join(f"l{i}" for i in range(n))
+    got = chunk.line_windows(spark.createDataFrame([(1, text)], "id long, content string")).orderBy("start_line").collect()
+    want, s = [], 0
+    while n:
+        want.append((s + 1, min(s + 120, n)))
+        if s + 120 >= n:
+            break
+        s += 108
+    assert [(r["start_line"], r["end_line"]) for r in got] == want
+
+
+def test_python_chunks():
+    code = "import os\n\ndef hello():\n    print(os.getcwd())\n\nclass A:\n" + "\n".join(f"    def m{i}(self):\n        pass" for i in range(4))
+    got = chunk.python_chunks(code, 5, 1)
+    assert [(c["chunk_type"], c["symbol"], c["scope"]) for c in got if c["symbol"] != "A"] == [("function", "hello", None)] + [("function", f"m{i}", "A") for i in range(4)]
+    assert {c["chunk_type"] for c in got if c["symbol"] == "A"} == {"class_window"}
+    assert chunk.python_chunks("def f(:") == []
+
+
+def test_brace_chunks():
+    code = 'class A {\n  // }\n  s = "}";\n}\nfunction b() {\n  return 1;\n}\n'
+    got = chunk.brace_chunks(code, "javascript")
+    assert [(c["symbol"], c["start_line"], c["end_line"]) for c in got] == [("A", 1, 4), ("b", 5, 7)]
+
+
+def test_structure_and_routes():
+    got = C.structure("class A(Base, pkg.Other[int]):\n    def login(self): pass\ndef helper(): pass", "python")
+    assert got == {"classes": [{"name": "A", "bases": ["Base", "Other"]}], "functions": ["helper", "login"]}
+    got = C.structure("class A extends B implements C, d.E<F> {}\nimpl Draw for Point {}\nfn go() {}", "rust")
+    assert {"name": "A", "bases": ["B", "C", "E"]} in got["classes"] and {"name": "Point", "bases": ["Draw"]} in got["classes"] and got["functions"] == ["go"]
+    assert C.python_routes('@app.get("/users")\n@x\nasync def list_users():\n    pass') == [{"method": "GET", "path": "/users", "handler": "list_users"}]
+    assert C.python_calls("print(os.getcwd())\nprint(1)") == ["print", "getcwd"]
+
+
+def test_graph(files):
+    edges = {tuple(r) for r in graph.build(files).collect()}
+    for e in [
+        ("app/main.py", "app/service.py", "FILE_IMPORTS_FILE"), ("web/index.js", "web/lib/x.js", "FILE_IMPORTS_FILE"), ("App", "Service", "CLASS_INHERITS_CLASS"),
+        ("app/main.py", "app/util.py", "FILE_CALLS_FILE"), ("tests/test_util.py", "app/util.py", "TEST_COVERS_FILE"), ("helper", "app/util.py", "FUNCTION_BELONGS_TO_FILE"),
+    ]:
+        assert e in edges
+    held = {r["path"]: r for r in graph.signals(files, graph.build(files)).collect()}
+    assert held["app/util.py"]["imported_by_count"] == 2 and held["app/main.py"]["is_entry_point"] and held["app/api.py"]["frameworks"] == ["FastAPI"]
+
+
+def test_entities(spark):
+    def found(text):
+        return [tuple(e) for e in spark.range(1).select(retrieve.entities(F.lit(text))).first()[0]]
+
+    assert found("Compare src/a.py with AgentRouter, run() and src/agent/ now") == [("file", "src/a.py"), ("folder", "src/agent"), ("symbol", "run"), ("symbol", "AgentRouter")]
+    assert found("What is the difference between these two?") == []
+
+
+def test_strict_file_match(spark):
+    df = spark.createDataFrame([("agents/a2a_server.py", "a2a_client.py"), ("agents/a2a_client.py", "a2a_client.py"), ("x/agents/a2a_client.py", "agents/a2a_client.py"), ("myagents/a2a_client.py", "agents/a2a_client.py")], "p string, n string")
+    got = df.select(retrieve.entity_matches("p", F.lit(""), F.lit(""), F.lit(""), F.lit("file"), "n")).collect()
+    assert [r[0] for r in got] == [False, True, True, False]
+
+
+def test_query_terms_agree(spark):
+    for q in ["Fix the user_profile/Loader-test in AgentRouter", "", "a b"]:
+        assert spark.range(1).select(retrieve.terms(F.lit(q))).first()[0] == retrieve.query_terms(q)
+    assert retrieve.file_fragments(["FlightAgent"]) == ["flight", "flight_agent"]
+
+
+def test_budgets_differ(spark):
+    rows = spark.createDataFrame([("s", i, n) for i, n in enumerate([60, 50, 40, 1])], "g string, o long, n long")
+    assert sorted(r["o"] for r in budget.skip_if_not_fit(rows, ["g"], "o", "n", 100).collect()) == [0, 2]
+    m = spark.createDataFrame([("s", 1, "user", "x" * 60), ("s", 2, "user", "  "), ("s", 3, "bot", "y" * 60), ("s", 4, "bot", "z")], "conv string, turn long, role string, text string")
+    got = conversation.history(m, ["conv"], "turn", 8, 100, 1200).first()["history"]
+    assert got == "user: " + "x" * 60 + "\n\n" + "bot: " + "y" * 34 + "\n...[trimmed]"
+
+
+def test_conversation(spark):
+    t = spark.createDataFrame([("p", 1, ["planner.py"], None), ("p", 2, ["agent.py"], "utils.py")], "project string, turn_no long, files_referenced array<string>, active_file string")
+    files = conversation.recent_files(t, ["project"]).first()["files"]
+    assert files == ["agent.py", "utils.py", "planner.py"]
+
+    def resolved(q, f):
+        return spark.range(1).select(conversation.resolve(F.lit(q), F.array(*[F.lit(x) for x in f]))).first()[0]
+
+    assert resolved("explain the previous file", files) == ["agent.py"]
+    assert resolved("compare both", files) == ["agent.py", "utils.py"]
+    assert resolved("the first file", files) == ["utils.py"]
+    assert resolved("hello", files) == []
+
+
+def test_outputs():
+    assert output.split_output("Hi\n```python\nx = 1\n```", "python") == ("x = 1", "Hi")
+    assert output.split_output("Here you are\npublic class A {}\nExplanation:\nwhy", "java") == ("public class A {}", "why")
+    assert output.split_output("x = 1\ny = (", "python")[0] == "x = 1"
+    assert output.split_output(None, "python") == ("", "")
+
+
+def test_edits_and_diff(spark):
+    text = '<workspace_edits><edit file="a.py"><reason>r</reason><code>x</code></edit><edit file="b.py"><reason>s</reason><code>y'
+    got = spark.createDataFrame([(text,)], "t string").select(C.workspace_edits("t")).first()[0]
+    assert [tuple(e) for e in got] == [("a.py", "r", "x"), ("b.py", "s", "y")]
+    d = spark.createDataFrame([("a\nb", "a\nc", "f")], "a string, b string, n string").select(output.unified_diff("a", "b", "n")).first()[0]
+    assert "-b" in d and "+c" in d
+
+
+def test_location_dedup_takes_nulls_as_one(spark):
+    h = spark.createDataFrame([(1, None, None, None, 0.9), (2, None, None, None, 0.8), (3, "a", 1, 2, 0.7)], "id long, file_path string, start_line int, end_line int, score double")
+    assert [r["id"] for r in retrieve.by_location(h, 5, [F.desc("score"), F.asc("id")]).collect()] == [1, 3]
+
+
+def test_importance_ranks_first(spark):
+    h = spark.createDataFrame([(1, 0.5, "py", 0.0, False, 0), (2, 0.5, "py", 2.0, False, 4)], "ord long, score double, language string, importance_score double, is_entry_point boolean, imported_by_count int")
+    h = h.withColumns({"file_path": F.lit("a"), "folder": F.lit("f"), "dependency_neighbors": F.array().cast("array<string>"), "source": F.lit("project_code")})
+    assert [r["ord"] for r in retrieve.rerank(h, F.lit(0.0)).collect()] == [2, 1]
