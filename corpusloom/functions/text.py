@@ -128,7 +128,7 @@ def human_bytes(c: Column | str) -> Column:
     size = col(c).cast("double")
     out = F.lit(None).cast("string")
     for k, unit in reversed(list(enumerate(["B", "KB", "MB", "GB", "TB"]))):
-        value = F.format_string("%.2f " + unit, size / 1024.0**k)
+        value = F.format_string("%.2f " + unit, F.bround(size / 1024.0**k, 2))
         out = value if unit == "TB" else F.when(size < 1024.0 ** (k + 1), value).otherwise(out)
     return out
 

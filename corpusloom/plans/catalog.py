@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dedup, filters
 from ..session import records
-from . import code, corpus, retrieval  # noqa: F401
+from . import code, corpus, extras, retrieval  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

@@ -233,7 +233,7 @@ def stream_history(spark, sf):
     return streams.latest(streams.history(streams.source(spark, f"{sf}/events.parquet")), f"{tmp}/c", f"{tmp}/o", "user_id", "n")
 
 
-@query("stream_ingest", "SELECT 300 AS n")
+@query("stream_ingest", "SELECT least(300, count(*)) AS n FROM documents WHERE lang = 'en'")
 def stream_ingest(spark, sf):
     tmp = scratch(spark, "stream")
     n = streams.ingested(streams.source(spark, f"{sf}/documents.parquet"), f"{tmp}/c", f"{tmp}/o", lambda df: df.where("lang = 'en'"), 300)

@@ -139,3 +139,39 @@ def manifest_facts(files: DataFrame) -> DataFrame:
     title = F.when(name == "package.json", F.get_json_object("content", "$.name")).when(name == "pyproject.toml", C.toml_value("content", "project.name")).when(name == "cargo.toml", C.toml_value("content", "package.name"))
     known = name.isin("package.json", "pyproject.toml", "cargo.toml", "requirements.txt", "pom.xml", "cmakelists.txt", "dockerfile") | name.rlike(r"\.(gradle|csproj)$")
     return files.where(known).select("path", title.alias("name"), found.alias("frameworks"))
+
+
+VECTOR = T.StructType([T.StructField("id", T.StringType()), T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("payload", T.MapType(T.StringType(), T.StringType()))])
+
+
+def vectors(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines of id, vector and payload; of an id that comes again the last line counts, by file and place."""
+    rows = spark.read.schema(VECTOR).json(path).withColumn("__at", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()))
+    return rows.groupBy("id").agg(F.max_by(F.struct("vector", "payload"), "__at").alias("r")).select("id", "r.*")
+
+
+def scroll(points: DataFrame, where: dict[str, str], limit: int, after=None, key: str = "id") -> DataFrame:
+    """A page of points whose columns equal where, in order of key, behind the key after."""
+    held = points if after is None else points.where(F.col(key) > after)
+    for name, value in where.items():
+        held = held.where(F.col(name).cast("string").eqNullSafe(F.lit(value)))
+    return held.orderBy(key).limit(limit)
+
+
+def resolved_ids(tried: DataFrame) -> DataFrame:
+    """(name, id, errors) of candidates (name, id, pos, ok, error): the first that is ok, and the errors of the others in order."""
+    errors = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("ok"), F.struct("pos", "error")))), lambda x: x["error"]), "; ")
+    first = F.min_by(F.when(F.col("ok"), F.col("id")), F.when(F.col("ok"), F.col("pos")))
+    return tried.groupBy("name").agg(first.alias("id"), errors.alias("errors"))
+
+
+def probe(df: DataFrame, n: int = 5) -> tuple[int, list[str], DataFrame]:
+    """(rows, columns, the first n rows) of a raw table; rows are counted from footers where the format has them."""
+    return df.count(), df.columns, df.limit(n)
+
+
+def statuses(wanted: DataFrame, found: DataFrame, least: int) -> DataFrame:
+    """(name, status, n) of wanted (name) against found (name, n): missing, empty, small or ok."""
+    held = wanted.join(found, "name", "left")
+    n = F.coalesce("n", F.lit(0))
+    return held.select("name", F.when(F.col("n").isNull(), "missing").when(n == 0, "empty").when(n < least, "small").otherwise("ok").alias("status"), n.alias("n"))

@@ -87,3 +87,15 @@ def test_reindex(spark):
     chunks = lambda f: chunk.line_windows(f.select("path", "content")).select("path", "chunk")
     got, now = streams.reindexed(files, state, index, chunks)
     assert sorted(tuple(r) for r in got.collect()) == [("a", "old"), ("b", "y\nz"), ("d", "w")] and now.count() == 3
+
+
+def test_vectors_and_labels(spark, tmp_path):
+    from corpusloom.operators import training
+
+    (tmp_path / "v.jsonl").write_text('{"id": "a", "vector": [1.0], "payload": {"k": "1"}}\n{"id": "b", "vector": [2.0]}\n{"id": "a", "vector": [3.0]}\n')
+    got = {r["id"]: r["vector"] for r in readers.vectors(spark, str(tmp_path / "v.jsonl")).collect()}
+    assert got == {"a": [3.0], "b": [2.0]}
+    df = spark.createDataFrame([("ab", "c"), ("abcdef", "g"), (None, None)], "p string, a string")
+    rows = training.labelled(df, "p", "a", 5).collect()
+    assert [r["labels"] for r in rows] == [[-100, -100, 100, -100, -100], [-100] * 5, [-100] * 5]
+    assert [r["attention_mask"] for r in rows] == [[1, 1, 1, 0, 0], [1] * 5, [0] * 5] and rows[0]["input_ids"] == [98, 99, 100, 0, 0]
