@@ -121,8 +121,13 @@ def verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
 
 
 def keep(df: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
-    """The rows of df that pass all rules, with the columns of df as they were."""
-    return measures(df, text_col).where(compiled(rules)).select("__row.*")
+    """The rows of df that pass all rules, with the columns of df as they were.
+
+    A running number, which the filter names, keeps the optimizer from putting the measures' expressions into the
+    filter, once for each rule that uses them.
+    """
+    held = measures(df, text_col).withColumn("__nth", F.monotonically_increasing_id())
+    return held.where(compiled(rules) & (F.col("__nth") >= 0)).select("__row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
