@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import checkpointed
+from ..session import checkpointed, spread
 from .rank import first_of
 
 
@@ -33,7 +33,8 @@ def signatures(df: DataFrame, text: str = "input", n: int = 32, order: str = "or
     Hashes never leave the row: no shingle is shuffled.
     """
     least = lambda s: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array_min(F.transform(s, lambda x: F.md5(F.concat(i.cast("string"), x)))))
-    return df.select(F.col(order).alias("ord"), X.let(X.shingles(text), least).alias("sig"))
+    held = spread(df.select(F.col(order).alias("ord"), F.col(text).alias("text")))
+    return held.select("ord", X.let(X.shingles("text"), least).alias("sig"))
 
 
 def similarity(a, b):
