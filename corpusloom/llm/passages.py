@@ -8,13 +8,13 @@ Jaccard similarity of s agree in each function's min-hash with probability s (al
 function meet by their hash, and the intervals around their tokens are compared.
 
 1. Rows are dealt into groups; groups send the set of their windows' hashes, and learn which another row has.
-2. Windows of those hashes are compared with leaders of their hash within the group: a window that is near none
-   becomes a leader. Leaders with their contexts go to a bucket by hash, and are compared there in the same way.
+2. Windows of those hashes with equal contexts are one within the group. Distinct contexts go to a bucket by hash, and
+   are compared there.
 3. Links make the classes, spans the passages.
 
 Windows of a hash that HOT_GROUPS groups or more have (a phrase in every third text) meet by the SIDE tokens up to
-their own and those from their own on instead, which an equal passage shares on one side at least; and leaders meet
-in parts first, so that no task gets more than leaders of some groups.
+their own and those from their own on instead, which an equal passage shares on one side at least; and equal contexts are
+made one in parts first.
 """
 
 from collections.abc import Iterator
@@ -31,7 +31,7 @@ from .suffix import _bucket, _by_bucket, _pack, _smallest, _unpack
 SHINGLE, WORDS, SIMILARITY = 5, 50, 0.8
 FUNCTIONS = 4
 GROUP_BYTES, HOT_GROUPS = 4 << 20, 1024
-#: Hashes per bucket, on average, and parts in which the groups' leaders of a hot hash meet first.
+#: Hashes per bucket, on average, and parts in which the groups' contexts of a hot hash are made one first.
 BUCKET, PARTS = 1 << 18, 64
 #: Tokens by which a passage may be shifted against another within a window.
 SHIFT = 2
@@ -43,6 +43,8 @@ SHARED = 12
 SPAN = 2 * WIDTH - 1
 #: Equal tokens of WIDTH that a similarity of SIMILARITY takes: s = e / (2 * WIDTH - e).
 EQUAL = int(np.ceil(2 * WIDTH * SIMILARITY / (1 + SIMILARITY) - 1e-9))
+#: Distinct contexts of a class that are compared pair by pair.
+PAIRS = 32
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -149,8 +151,8 @@ def _folded(part: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def near(one: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """For each pair of contexts: the places (of WIDTH starts) where WIDTH tokens of other have EQUAL or more equal ones in one."""
+def _matched(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """For each pair of contexts and each of WIDTH starts: how many of WIDTH tokens of other are in one, at most SHIFT places off."""
     there = other != 0
     same = (one == other) & there
     for s in range(1, SHIFT + 1):
@@ -158,7 +160,12 @@ def near(one: np.ndarray, other: np.ndarray) -> np.ndarray:
         same[:, :-s] |= (other[:, :-s] == one[:, s:]) & there[:, :-s]
     sums = np.zeros((len(same), SPAN + 1), np.int8)
     np.cumsum(same, axis=1, dtype=np.int8, out=sums[:, 1:])
-    return sums[:, WIDTH:] - sums[:, :-WIDTH] >= EQUAL
+    return sums[:, WIDTH:] - sums[:, :-WIDTH]
+
+
+def near(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """For each pair of contexts: the places (of WIDTH starts) where WIDTH tokens of other have EQUAL or more equal ones in one."""
+    return _matched(one, other) >= EQUAL
 
 
 def _united(spans: np.ndarray) -> np.ndarray:
@@ -175,60 +182,149 @@ def _united(spans: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def _run(equal: np.ndarray) -> np.ndarray:
-    """How many columns from the left on are true, in each row."""
-    return np.where(equal.all(1), equal.shape[1], equal.argmin(1))
-
+def _linked(a: np.ndarray, b: np.ndarray, rows: np.ndarray, places: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which pairs of windows a, b are near, the links of their rows, the spans): a row isn't linked with itself."""
+    hits = near(contexts[a], contexts[b])
+    met = hits.any(1)
+    apart = met & (rows[a] != rows[b])
+    a, b, hits = a[apart], b[apart], hits[apart]
+    low, high = hits.argmax(1) + 1 - WIDTH, WIDTH - 1 - hits[:, ::-1].argmax(1)
+    spans = [np.stack([rows[x], np.maximum(places[x] + low, 0), places[x] + high], 1) for x in (a, b)]
+    return met, np.stack([rows[a], rows[b]], 1), np.concatenate(spans)
 
-def meet(keys: np.ndarray, rows: np.ndarray, places: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(links, spans, leaders) of windows that meet by key: pairs of rows, (row, first token, last token), and windows by number.
 
-    Windows with a key and a string of SHARED tokens are a class, and each is compared with the class's first one. If
-    it is near that one it is done. The others of the class go on in smaller classes: of those that part from the first
-    at the same place, on the left or on the right, with the same token. If two of them were equal over WIDTH tokens and
-    parted from the first at different places on both sides, one of them would share as many with the first; so equal
-    passages stay together, and a phrase that many texts go on from differently falls apart at once.
-    """
+def fold(keys: np.ndarray, rows: np.ndarray, places: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(links, spans, kept): windows with one key and equal contexts are linked with the first of them, which is kept for all."""
     order = np.lexsort((places, rows, keys))
-    cls = np.concatenate([_folded(contexts[order, a : a + SHARED], keys[order]) for a in _SHARED_AT])
-    who = np.tile(np.arange(len(order)), len(_SHARED_AT))
-    cls, who = cls[cls != 0], who[cls != 0]
-    done = np.zeros(len(order), bool)
+    whole = keys[order].copy()
+    with np.errstate(over="ignore"):
+        for k in range(SPAN):
+            whole = whole * _MUL + contexts[order, k]
+    least, of = np.unique(_mixed(whole), return_index=True, return_inverse=True)[1:]
+    a, b = order[least[of]], order
+    apart = rows[a] != rows[b]
+    a, b = a[apart], b[apart]
     links, spans = [np.zeros((0, 2), np.int64)], [np.zeros((0, 3), np.int64)]
+    for k in range(0, len(a), 16384):
+        _, some, held = _linked(a[k : k + 16384], b[k : k + 16384], rows, places, contexts)
+        links.append(some)
+        spans.append(held)
+    return np.unique(np.sort(np.concatenate(links), axis=1), axis=0), _united(np.concatenate(spans)), order[np.sort(least)]
+
+
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Make label, the least member of each one's component, that of a graph with edges a, b too."""
+    while len(a) and (label[a] != label[b]).any():
+        x, y = label[a], label[b]
+        least = np.minimum(x, y)
+        np.minimum.at(label, x, least)
+        np.minimum.at(label, y, least)
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+def _classes(cls: np.ndarray, who: np.ndarray, label: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(members by class, sizes, seen) of the classes that are not in one component yet and whose set of members is new."""
+    turn = np.lexsort((who, cls))
+    cls, who = cls[turn], who[turn]
+    new = np.concatenate([[True], (cls[1:] != cls[:-1]) | (who[1:] != who[:-1])])[: len(who)]
+    cls, who = cls[new], who[new]
+    at = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]])[: len(cls)])
+    if not len(at):
+        return who, at, seen
+    sizes = np.diff(np.append(at, len(who)))
+    with np.errstate(over="ignore"):
+        sets = np.add.reduceat(_mixed((who.astype(np.uint64) + np.uint64(1)) * _MUL), at)
+    take = np.zeros(len(at), bool)
+    take[np.unique(sets, return_index=True)[1]] = True
+    take &= np.minimum.reduceat(label[who], at) != np.maximum.reduceat(label[who], at)
+    take &= ~np.isin(sets, seen)
+    return who[np.repeat(take, sizes)], sizes[take], np.concatenate([seen, sets[take]])
+
+
+def _split(who: np.ndarray, first: np.ndarray, number: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class, member) for each token in which a member differs from its class's first: see meet."""
+    out_cls, out_who = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    slices = np.uint64(len(who) // 32768 + 1)
+    for s in range(int(slices)):
+        cls, members = [], []
+        for k in range(0, len(who), 8192):
+            some = who[k : k + 8192]
+            one, other = contexts[first[k : k + 8192]], contexts[some]
+            apart = (one != other) & (other != 0)
+            close = WIDTH - _matched(one, other).max(1) < 20
+            wide = other.astype(np.uint64)
+            with np.errstate(over="ignore"):
+                base = (number[k : k + 8192].astype(np.uint64) + np.uint64(1))[:, None] * _MUL
+                double = _mixed(base + (wide[:, :-1] << np.uint64(16) | wide[:, 1:] | np.uint64(1 << 32)))
+                single = _mixed(base + wide)
+            for made, use in ((double, apart[:, :-1] & (other[:, 1:] != 0)), (single, apart & close[:, None])):
+                use &= made % slices == np.uint64(s)
+                cls.append(made[use])
+                members.append(some[np.nonzero(use)[0]])
+        cls, members = np.concatenate(cls), np.concatenate(members)
+        turn = np.argsort(cls, kind="stable")
+        cls, members = cls[turn], members[turn]
+        again = cls[1:] == cls[:-1]
+        held = np.concatenate([again, [False]]) | np.concatenate([[False], again]) if len(cls) else np.zeros(0, bool)
+        out_cls.append(cls[held])
+        out_who.append(members[held])
+    return np.concatenate(out_cls), np.concatenate(out_who)
+
+
+def meet(keys: np.ndarray, rows: np.ndarray, places: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(links, spans) of windows that meet by key: pairs of rows that join all near ones, and (row, first token, last token).
+
+    Equal contexts are one first. Distinct ones with a key and a string of SHARED tokens are a class; classes of up to
+    PAIRS are compared pair by pair, leaving out pairs that links join already. Of a larger class all are compared with
+    its first one, f, and go on in smaller classes, of those that share a token in which both differ from f: if y isn't
+    near f, y has WIDTH - EQUAL + 1 tokens or more that f doesn't have there in each range of WIDTH, and x, near y, lacks
+    WIDTH - EQUAL of a range's at most. So no near pair parts, but for those that f joins already. As one token says
+    little, all share pairs of neighbouring tokens; if y has 12 such tokens or more in the range, x and y share such a
+    pair, as each token that x lacks breaks one pair; if it has fewer, both are close to f, and they share single ones.
+    """
+    links, spans, kept = fold(keys, rows, places, contexts)
+    links, spans = [links], [spans]
+    keys, rows, places, contexts = keys[kept], rows[kept], places[kept], contexts[kept]
+    label, seen = np.arange(len(kept)), np.zeros(0, np.uint64)
+
+    def compare(a: np.ndarray, b: np.ndarray) -> None:
+        for k in range(0, len(a), 16384):
+            x, y = a[k : k + 16384], b[k : k + 16384]
+            new = label[x] != label[y]
+            x, y = x[new], y[new]
+            met, some, held = _linked(x, y, rows, places, contexts)
+            links.append(some)
+            spans.append(held)
+            _joined(label, x[met], y[met])
+
+    cls = np.concatenate([_folded(contexts[:, a : a + SHARED], keys) for a in _SHARED_AT])
+    who = np.tile(np.arange(len(kept)), len(_SHARED_AT))
+    cls, who = cls[cls != 0], who[cls != 0]
     while len(who):
-        turn = np.lexsort((who, cls))
-        cls, who = cls[turn], who[turn]
-        edge = np.concatenate([[True], cls[1:] != cls[:-1]])
-        at = np.flatnonzero(edge)
-        first = np.repeat(who[at], np.diff(np.concatenate([at, [len(who)]])))
-        rest = ~edge & (first != who)
-        cls, who, first = cls[rest], who[rest], first[rest]
-        next_cls, next_who = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for k in range(0, len(who), 16384):
-            a, b, c = first[k : k + 16384], who[k : k + 16384], cls[k : k + 16384]
-            one, other = contexts[order[a]], contexts[order[b]]
-            hits = near(one, other)
-            met = hits.any(1)
-            done[b[met]] = True
-            equal = (one == other) & (other != 0)
-            for side, run in ((1, _run(equal[:, WIDTH - 2 :: -1])), (2, _run(equal[:, WIDTH:]))):
-                out = (run < WIDTH - 1) & ~met
-                token = other[np.flatnonzero(out), (WIDTH - 2 - run if side == 1 else WIDTH + run)[out]]
-                with np.errstate(over="ignore"):
-                    mark = _mixed(c[out] * _MUL + (run[out] * 4 + side).astype(np.uint64) * np.uint64(65537) + token)
-                next_cls.append(mark[token != 0])
-                next_who.append(b[out][token != 0])
-            apart = met & (rows[order[a]] != rows[order[b]])
-            a, b, hits = a[apart], b[apart], hits[apart]
-            low, high = hits.argmax(1) + 1 - WIDTH, WIDTH - 1 - hits[:, ::-1].argmax(1)
-            links.append(np.stack([rows[order[a]], rows[order[b]]], 1))
-            for x in (a, b):
-                c = places[order[x]]
-                spans.append(np.stack([rows[order[x]], np.maximum(c + low, 0), c + high], 1))
-        cls, who = np.concatenate(next_cls), np.concatenate(next_who)
-        cls, who = cls[~done[who]], who[~done[who]]
+        who, sizes, seen = _classes(cls, who, label, seen)
+        at = np.cumsum(sizes) - sizes
+        first = np.repeat(who[at], sizes)
+        compare(first, who)
+        number, size = np.repeat(np.arange(len(sizes)), sizes), np.repeat(sizes, sizes)
+        small = np.flatnonzero(size <= PAIRS)
+        for step in range(1, PAIRS):
+            ahead = small[small + step < len(who)]
+            ahead = ahead[number[ahead] == number[ahead + step]]
+            if not len(ahead):
+                break
+            compare(who[ahead], who[ahead + step])
+        cls, next_who = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        large = np.flatnonzero(sizes > PAIRS)
+        batch = np.cumsum(sizes[large]) // 32768
+        for b in np.unique(batch):
+            held = np.isin(number, large[batch == b]) & (first != who)
+            some = _split(who[held], first[held], number[held], contexts)
+            cls.append(some[0])
+            next_who.append(some[1])
+        cls, who = np.concatenate(cls), np.concatenate(next_who)
     links = np.concatenate(links)
-    return np.unique(np.sort(links, axis=1), axis=0), _united(np.concatenate(spans)), order[~done]
+    return np.unique(np.sort(links, axis=1), axis=0), _united(np.concatenate(spans))
 
 
 _FIELDS = [("kind", pa.string()), ("p", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("data", pa.binary())]
@@ -324,7 +420,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_by
         keys = np.concatenate([keys[plain], *(s[1] for s in sides)])
         wide = np.concatenate([np.zeros(len(plain), bool), np.ones(len(pick) - len(plain), bool)])
         rows, places, contexts = ids[found.row[at[pick]]], found.c[at[pick]] - found.begins[found.row[at[pick]]], contexts[pick]
-        *results, lead = meet(keys, rows, places, contexts)
+        *results, lead = fold(keys, rows, places, contexts)
         made += _results(*results, g)
         for kind, some in (("once", lead[~wide[lead]]), ("part", lead[wide[lead]])):
             deal = _bucket(keys[some], buckets)
@@ -348,9 +444,11 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_by
                 if not some:
                     continue
                 keys, rows, places, contexts = (np.concatenate(c) for c in zip(*some))
-                *results, lead = meet(keys, rows, places, contexts)
-                made += _results(*results, p)
-                if kind == "part" and not last:
+                if kind == "once" or last:
+                    made += _results(*meet(keys, rows, places, contexts), p)
+                else:
+                    *results, lead = fold(keys, rows, places, contexts)
+                    made += _results(*results, p)
                     made += [_members(keys[lead[at]], rows[lead[at]], places[lead[at]], contexts[lead[at]], q, "part") for q, at in _by_bucket(_bucket(keys[lead], buckets))]
             return pa.concat_tables([passed, _table(made)])
 

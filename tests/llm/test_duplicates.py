@@ -185,3 +185,49 @@ def test_near_needs_enough_equal_tokens():
             assert passages.near(one, other).any() == want
     shifted = np.roll(one, 1, axis=1)
     assert passages.near(one, shifted).any()
+
+
+def test_edited_copies_meet_through_equal_ones():
+    """The lowest row and the highest have an edit each and aren't near each other, but both are near the copies between."""
+    r = np.random.default_rng(4)
+    contexts = np.zeros((4, passages.SPAN), np.uint16)
+    contexts[:, 22:68] = r.integers(1, 1 << 15, 46) | 1
+    contexts[0, 24:29] += 2
+    contexts[3, 60:65] += 2
+    links, spans = passages.meet(np.full(4, 8, np.uint64), np.arange(4), np.full(4, 60), contexts)[:2]
+    linked = {tuple(x) for x in links.tolist()}
+    assert len(set(united(4, lambda i, j: (j, i) in linked))) == 1 and set(spans[:, 0].tolist()) == {0, 1, 2, 3}
+
+
+@pytest.mark.parametrize("pairs", [32, 2])
+@pytest.mark.parametrize("seed", range(8))
+def test_meet_is_brute_force(monkeypatch, seed, pairs):
+    """Contexts with other edits in each, shifted tails and a line that others go on from: the classes of all near pairs that share a string."""
+    monkeypatch.setattr(passages, "PAIRS", pairs, raising=False)
+    r = np.random.default_rng(seed)
+    bases = [r.integers(1, 1 << 15, passages.SPAN) for _ in range(4)]
+    for b in bases[1:]:
+        b[30:60] = bases[0][30:60]
+    found = []
+    for k in range(150):
+        x = bases[k % 4].copy()
+        if k % 3:
+            at = int(r.integers(0, passages.SPAN - 5))
+            if k % 5 == 0:
+                x[at:] = np.roll(x[at:], 1)
+            x[at : at + 5] = r.integers(1, 1 << 15, len(x[at : at + 5]))
+        if k % 4 == 3:
+            x[: int(r.integers(0, 30))] = r.integers(1, 1 << 15)
+            x[60 + int(r.integers(0, 20)) :] = r.integers(1, 1 << 15)
+        found.append(x)
+    contexts = np.array(found).astype(np.uint16) | np.uint16(1)
+    contexts[:, passages.WIDTH - 1] = contexts[0, passages.WIDTH - 1]
+    n = len(contexts)
+    links, spans = passages.meet(np.full(n, 8, np.uint64), np.arange(n), np.zeros(n, np.int64), contexts)[:2]
+    meets = lambda i, j: any((contexts[i, a : a + passages.SHARED] == contexts[j, a : a + passages.SHARED]).all() for a in passages._SHARED_AT)
+    close = {(j, i) for i in range(n) for j in range(i) if meets(i, j) and passages.near(contexts[j : j + 1], contexts[i : i + 1]).any()}
+    assert {tuple(x) for x in links.tolist()} <= close
+    same = lambda roots: [roots.index(x) for x in roots]
+    linked = {tuple(sorted(x)) for x in links.tolist()}
+    assert same(united(n, lambda i, j: (j, i) in linked)) == same(united(n, lambda i, j: (j, i) in close))
+    assert set(spans[:, 0].tolist()) == {x for p in close for x in p}
