@@ -12,9 +12,9 @@ function meet by their hash, and the intervals around their tokens are compared.
    are compared there.
 3. Links make the classes, spans the passages.
 
-Windows of a hash that HOT_GROUPS groups or more have (a phrase in every third text) meet by the SIDE tokens up to
-their own and those from their own on instead, which an equal passage shares on one side at least; and equal contexts are
-made one in parts first.
+Windows of a hash that HOT_GROUPS groups or more have (a phrase in every third text) meet by the hash and each string of
+SHARED tokens, the classes in which others are compared, so both find the same pairs; and equal contexts are made one in
+parts first.
 """
 
 from collections.abc import Iterator
@@ -36,7 +36,6 @@ BUCKET, PARTS = 1 << 18, 64
 #: Tokens by which a passage may be shifted against another within a window.
 SHIFT = 2
 WIDTH = WORDS - SHINGLE + 1
-SIDE = WIDTH // 2
 #: Tokens around a window's own that near windows share on the left, on the right or about the middle: edits that leave
 #: a similarity of SIMILARITY leave a run of 20 tokens, and of a run that long, whatever the token's place in it, one of the three.
 SHARED = 12
@@ -410,11 +409,9 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_by
         at, contexts, keys = at[one], contexts[one], keys[one]
         hot = np.flatnonzero(kind[at] == 2)
         sides = []
-        with np.errstate(over="ignore"):
-            powers = np.array([pow(int(_MUL), k, 1 << 64) for k in range(SIDE)], np.uint64)
-            for part in (contexts[hot, WIDTH - SIDE : WIDTH], contexts[hot, WIDTH - 1 : WIDTH - 1 + SIDE]):
-                whole = (part != 0).all(1)
-                sides.append((hot[whole], _mixed((part[whole].astype(np.uint64) * powers).sum(1, dtype=np.uint64) + keys[hot[whole]])))
+        for a in _SHARED_AT:
+            strings = _folded(contexts[hot, a : a + SHARED], keys[hot])
+            sides.append((hot[strings != 0], strings[strings != 0]))
         plain = np.flatnonzero(kind[at] == 1)
         pick = np.concatenate([plain, *(s[0] for s in sides)])
         keys = np.concatenate([keys[plain], *(s[1] for s in sides)])

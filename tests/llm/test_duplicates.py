@@ -231,3 +231,17 @@ def test_meet_is_brute_force(monkeypatch, seed, pairs):
     linked = {tuple(sorted(x)) for x in links.tolist()}
     assert same(united(n, lambda i, j: (j, i) in linked)) == same(united(n, lambda i, j: (j, i) in close))
     assert set(spans[:, 0].tolist()) == {x for p in close for x in p}
+
+
+def test_hot_windows_find_the_same_pairs(spark):
+    """Passages of 50 words that differ in a word near the middle: what meets by hash meets by the strings of hot hashes too."""
+    r, rows = random.Random(21), []
+    for k in range(40):
+        base = sentence(r, 50).split()
+        for i in range(2):
+            words = base[:]
+            words[23 + k % 4] = f"edit{i}"
+            rows.append((2 * k + i, sentence(r, 12) + " " + " ".join(words) + " " + sentence(r, 12)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain, hot = ({x["doc_id"]: (x["class_id"], x["spans"]) for x in passages.near_passages(df, group_bytes=2000, hot_groups=n).collect()} for n in (1024, 2))
+    assert sum(c % 2 == 0 and c != i for i, (c, _) in plain.items()) >= 30 and hot == plain
