@@ -402,11 +402,6 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_by
         kind = flags[found.number]
         at = np.flatnonzero(kind)
         contexts, keys = found.contexts(at), found.key[at]
-        # A text that repeats itself has many windows with one hash and the same tokens about it: the first stands for all
-        about = _folded(contexts[:, WIDTH - SHARED : WIDTH - 1 + SHARED], keys)
-        about = np.where(about == 0, keys + np.arange(len(keys), dtype=np.uint64), about)
-        one = np.sort(np.unique(np.stack([about, found.row[at].astype(np.uint64)], 1), axis=0, return_index=True)[1])
-        at, contexts, keys = at[one], contexts[one], keys[one]
         hot = np.flatnonzero(kind[at] == 2)
         sides = []
         for a in _SHARED_AT:

@@ -245,3 +245,14 @@ def test_hot_windows_find_the_same_pairs(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     plain, hot = ({x["doc_id"]: (x["class_id"], x["spans"]) for x in passages.near_passages(df, group_bytes=2000, hot_groups=n).collect()} for n in (1024, 2))
     assert sum(c % 2 == 0 and c != i for i, (c, _) in plain.items()) >= 30 and hot == plain
+
+
+def test_quotes_before_a_passage_do_not_hide_it(spark):
+    """A text that quotes parts of 30 words of a passage of 50, then has it whole, and a text that has it whole."""
+    r, rows = random.Random(33), []
+    for k in range(100):
+        base = sentence(r, 50).split()
+        quotes = [" ".join(base[i : i + 30]) + " " + sentence(r, 5) for i in range(21)]
+        rows += [(2 * k, " ".join([*quotes, *base, sentence(r, 9)])), (2 * k + 1, " ".join([sentence(r, 9), *base, sentence(r, 9)]))]
+    got = {x["doc_id"]: x for x in passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i, x in got.items() if x["n_passages"] == 0 or x["class_id"] != i // 2 * 2] == []
