@@ -54,31 +54,32 @@ class Model:
         return above.sum(1), chances.argmax(1)
 
 
-def _loss_gradient(z: np.ndarray, steps: np.ndarray, grades: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _loss_gradient(z: np.ndarray, steps: np.ndarray, grades: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of the mean negative log-likelihood by score, and by (first threshold, log gaps)."""
     t = np.cumsum(np.concatenate([steps[:1], np.exp(steps[1:])]))
     ends = np.concatenate([[-np.inf], t, [np.inf]])
     high, low = _sigmoid(ends[grades + 1] - z), _sigmoid(ends[grades] - z)
     chance = np.maximum(high - low, 1e-12)
-    d_high, d_low = high * (1 - high) / chance, low * (1 - low) / chance
-    n = len(z)
+    d_high, d_low = counts * high * (1 - high) / chance, counts * low * (1 - low) / chance
+    n = counts.sum()
     by_end = np.bincount(grades + 1, -d_high, len(ends)) + np.bincount(grades, d_low, len(ends))
     by_t = by_end[1:-1] / n
     tail = np.cumsum(by_t[::-1])[::-1]
     return (d_high - d_low) / n, np.concatenate([tail[:1], tail[1:] * np.exp(steps[1:])])
 
 
-def fit(texts: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: float = 1e-3, rounds: int = 300) -> Model:
+def fit(texts: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: float = 1e-3, rounds: int = 300, counts: np.ndarray | None = None) -> Model:
     """Select features with an L1 penalty, then fit the selected ones anew with a slight L2 penalty, so weights aren't shrunk.
 
-    texts: the distinct features of each text.
+    texts: the distinct features of each text. counts: how many labelled texts each one stands for; one, if left out.
     """
+    counts = np.ones(len(texts)) if counts is None else counts * (len(texts) / counts.sum())
     every = np.concatenate([*texts, np.zeros(0, np.uint32)]).astype(np.uint32)
     owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     vocabulary, seen = np.unique(every, return_counts=True)
     vocabulary = vocabulary[seen >= LEAST_TEXTS]
     steps = np.zeros(n_grades - 1)
-    share = np.clip(np.cumsum(np.bincount(grades, minlength=n_grades)[:-1] + 1.0) / (len(grades) + n_grades), 1e-6, 1 - 1e-6)
+    share = np.clip(np.cumsum(np.bincount(grades, counts, minlength=n_grades)[:-1] + 1.0) / (len(grades) + n_grades), 1e-6, 1 - 1e-6)
     cuts = np.log(share / (1 - share))
     steps[0], steps[1:] = cuts[0], np.log(np.maximum(np.diff(cuts), 1e-2))
     weights = np.zeros(0)
@@ -88,13 +89,13 @@ def fit(texts: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: float =
         n, m = len(texts), len(vocabulary)
         weights, probe = np.zeros(m), np.ones(m)
         for _ in range(10):  # the largest eigenvalue, for the step
-            probe = np.bincount(cols, np.bincount(rows, probe[cols], n)[rows], m)
+            probe = np.bincount(cols, (counts * np.bincount(rows, probe[cols], n))[rows], m)
             size = np.linalg.norm(probe) or 1.0
             probe /= size
         step = 1 / (0.25 * size / n * 1.1 + ridge + 1e-9) if m else 1.0
         ahead, pace = weights, 1.0
         for _ in range(rounds):
-            by_z, by_steps = _loss_gradient(np.bincount(rows, ahead[cols], n), steps, grades)
+            by_z, by_steps = _loss_gradient(np.bincount(rows, ahead[cols], n), steps, grades, counts)
             new = ahead - step * (np.bincount(cols, by_z[rows], m) + ridge * ahead)
             new = np.sign(new) * np.maximum(np.abs(new) - step * penalty, 0)
             steps = steps - 0.5 * by_steps
@@ -109,11 +110,13 @@ def fit(texts: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: float =
 def train(documents: DataFrame, labels: DataFrame, n_grades: int = 2, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "toxic", rows_per_grade: int = ROWS_PER_GRADE) -> Model:
     """A model of the labelled texts: of each grade, the rows_per_grade rows whose hashed ids come first.
 
-    So the driver holds the features of at most n_grades * rows_per_grade texts. Rows with a null id, text or grade, or a
+    So the driver holds the features of at most n_grades * rows_per_grade texts; those of a grade with more rows count for all of them,
+    so shares of grades don't depend on the number of labels. Rows with a null id, text or grade, or a
     grade outside 0 .. n_grades - 1, aren't fitted; of repeated ids any label row counts. Without rows the model is empty.
     """
     prepare(documents.sparkSession)
     rows = labels.select(labels[id_col].alias("__id"), labels[grade_col].cast("int").alias("__grade")).where("__id is not null")
+    numbers = dict(rows.where(F.col("__grade").between(0, n_grades - 1)).groupBy("__grade").count().collect())
     picked = None
     for g in range(n_grades):
         some = rows.where(F.col("__grade") == g).orderBy(F.xxhash64("__id"), "__id").limit(rows_per_grade)
@@ -127,7 +130,9 @@ def train(documents: DataFrame, labels: DataFrame, n_grades: int = 2, id_col: st
     sample = texts.join(F.broadcast(picked), "__id").select("__grade", packed("__text").alias("__features")).collect()
     if not sample:
         return Model({}, [0.0] * (n_grades - 1))
-    return fit([np.frombuffer(r[1], np.uint32) for r in sample], np.array([r[0] for r in sample]), n_grades)
+    grades = np.array([r[0] for r in sample])
+    stands = np.array([max(numbers.get(g, 0) / rows_per_grade, 1.0) for g in range(n_grades)])
+    return fit([np.frombuffer(r[1], np.uint32) for r in sample], grades, n_grades, counts=stands[grades])
 
 
 def predict(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

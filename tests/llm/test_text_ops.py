@@ -167,3 +167,13 @@ def test_toxic_query_on_held_out_labels(spark):
     n = {(r["label"], r["toxic"]): r["count"] for r in held.groupBy("label", "toxic").count().collect()}
     assert n[1, True] / (n[1, True] + n.get((1, False), 0)) >= 0.85
     assert n.get((0, True), 0) / (n[0, False] + n.get((0, True), 0)) <= 0.01
+
+
+def test_shares_of_grades_do_not_depend_on_the_sample(spark):
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choices("abcdefghijkl", k=6))) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(1000)], "doc_id long, toxic int")
+    for cap in (4000, 100):
+        got = toxicity.predict(df, toxicity.train(df, labels, rows_per_grade=cap)).collect()
+        assert abs(sum(x["severity"] for x in got) / len(got) - 0.1) < 0.05
