@@ -113,11 +113,15 @@ _RANKED = f"""SELECT id, folder, language = 'en' AS m, importance_score AS imp,
  + CASE WHEN folder = 'src3' THEN 0.10 ELSE 0 END + CASE WHEN source = 'project_map' THEN 0.10 ELSE 0 END) AS score FROM {_CHUNKS} WHERE id % 3 = 0"""
 
 
-def _ranked(spark, sf):
-    held = _docs_as_chunks(spark, sf).where("id % 3 = 0").withColumn("score", 0.5 - (F.col("id") % 10) / 40.0)
+def _all_ranked(spark, sf):
+    held = _docs_as_chunks(spark, sf).withColumn("score", 0.5 - (F.col("id") % 10) / 40.0)
     return retrieve.rerank(held, retrieve.keyword_boost(held, SYMBOLS, TERMS, FRAGMENTS), "en", "work/src3/open.py")
 
 
+def _ranked(spark, sf):
+    return _all_ranked(spark, sf).where("id % 3 = 0")
+
+
 _BEST = "round(score, 9) DESC, m DESC, imp DESC, id"
 
 
@@ -184,8 +188,7 @@ def context_pack_skip(spark, sf):
 
 @query("context_blocks")
 def context_blocks(spark, sf):
-    held = _ranked(spark, sf).where("id < 300")
-    return budget.context_blocks(held, ["folder"], "ord")
+    return budget.context_blocks(_all_ranked(spark, sf), ["folder"], "ord")
 
 
 @query("history_pack")

@@ -43,3 +43,9 @@ def test_query(spark, sf, name):
 
 def test_flagship(spark, sf):
     assert catalog.flagship(spark, sf).count() > 0
+
+
+def test_context_blocks_hold_all_documents(spark, sf):
+    packed = {r["folder"]: r["context"] for r in QUERIES["context_blocks"](spark, sf).collect()}
+    sources = dict(spark.read.parquet(f"{sf}/documents.parquet").groupBy("source").count().collect())
+    assert {k: c.count("\n</source>") for k, c in packed.items()} == sources
