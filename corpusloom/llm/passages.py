@@ -241,15 +241,14 @@ def _classes(cls: np.ndarray, who: np.ndarray, label: np.ndarray, seen: np.ndarr
     return who[np.repeat(take, sizes)], sizes[take], np.concatenate([seen, sets[take]])
 
 
-def _split(who: np.ndarray, first: np.ndarray, number: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(class, member) for each token in which a member differs from its class's first: see meet."""
-    out_cls, out_who = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    slices = np.uint64(len(who) // 32768 + 1)
+def _split(who: np.ndarray, first: np.ndarray, number: np.ndarray, kept: np.ndarray, contexts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(class, member) for each token in which a member differs from its class's first (see meet), some whole classes at a time."""
+    slices = np.uint64(len(who) // 8192 + 1)
     for s in range(int(slices)):
         cls, members = [], []
         for k in range(0, len(who), 8192):
             some = who[k : k + 8192]
-            one, other = contexts[first[k : k + 8192]], contexts[some]
+            one, other = contexts[kept[first[k : k + 8192]]], contexts[kept[some]]
             apart = (one != other) & (other != 0)
             close = WIDTH - _matched(one, other).max(1) < 20
             wide = other.astype(np.uint64)
@@ -266,9 +265,7 @@ def _split(who: np.ndarray, first: np.ndarray, number: np.ndarray, contexts: np.
         cls, members = cls[turn], members[turn]
         again = cls[1:] == cls[:-1]
         held = np.concatenate([again, [False]]) | np.concatenate([[False], again]) if len(cls) else np.zeros(0, bool)
-        out_cls.append(cls[held])
-        out_who.append(members[held])
-    return np.concatenate(out_cls), np.concatenate(out_who)
+        yield cls[held], members[held]
 
 
 def meet(keys: np.ndarray, rows: np.ndarray, places: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -284,7 +281,6 @@ def meet(keys: np.ndarray, rows: np.ndarray, places: np.ndarray, contexts: np.nd
     """
     links, spans, kept = fold(keys, rows, places, contexts)
     links, spans = [links], [spans]
-    keys, rows, places, contexts = keys[kept], rows[kept], places[kept], contexts[kept]
     label, seen = np.arange(len(kept)), np.zeros(0, np.uint64)
 
     def compare(a: np.ndarray, b: np.ndarray) -> None:
@@ -292,16 +288,15 @@ def meet(keys: np.ndarray, rows: np.ndarray, places: np.ndarray, contexts: np.nd
             x, y = a[k : k + 16384], b[k : k + 16384]
             new = label[x] != label[y]
             x, y = x[new], y[new]
-            met, some, held = _linked(x, y, rows, places, contexts)
+            met, some, held = _linked(kept[x], kept[y], rows, places, contexts)
             links.append(some)
             spans.append(held)
             _joined(label, x[met], y[met])
 
-    cls = np.concatenate([_folded(contexts[:, a : a + SHARED], keys) for a in _SHARED_AT])
+    cls = np.concatenate([_folded(contexts[kept, a : a + SHARED], keys[kept]) for a in _SHARED_AT])
     who = np.tile(np.arange(len(kept)), len(_SHARED_AT))
-    cls, who = cls[cls != 0], who[cls != 0]
+    who, sizes, seen = _classes(cls[cls != 0], who[cls != 0], label, seen)
     while len(who):
-        who, sizes, seen = _classes(cls, who, label, seen)
         at = np.cumsum(sizes) - sizes
         first = np.repeat(who[at], sizes)
         compare(first, who)
@@ -313,15 +308,16 @@ def meet(keys: np.ndarray, rows: np.ndarray, places: np.ndarray, contexts: np.nd
             if not len(ahead):
                 break
             compare(who[ahead], who[ahead + step])
-        cls, next_who = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        next_who, next_sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         large = np.flatnonzero(sizes > PAIRS)
-        batch = np.cumsum(sizes[large]) // 32768
+        batch = np.cumsum(sizes[large]) // 8192
         for b in np.unique(batch):
             held = np.isin(number, large[batch == b]) & (first != who)
-            some = _split(who[held], first[held], number[held], contexts)
-            cls.append(some[0])
-            next_who.append(some[1])
-        cls, who = np.concatenate(cls), np.concatenate(next_who)
+            for cls, members in _split(who[held], first[held], number[held], kept, contexts):
+                some, count, seen = _classes(cls, members, label, seen)
+                next_who.append(some)
+                next_sizes.append(count)
+        who, sizes = np.concatenate(next_who), np.concatenate(next_sizes)
     links = np.concatenate(links)
     return np.unique(np.sort(links, axis=1), axis=0), _united(np.concatenate(spans))
 
@@ -436,6 +432,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_by
                 if not some:
                     continue
                 keys, rows, places, contexts = (np.concatenate(c) for c in zip(*some))
+                del some
                 if kind == "once" or last:
                     made += _results(*meet(keys, rows, places, contexts), p)
                 else:
