@@ -42,7 +42,11 @@ def _normal(z: float) -> float:
 
 
 def _below(x: float, df: float, far: float) -> float:
-    """P(X < x) for a chi-squared X with df degrees of freedom and noncentrality far, by the cube-root approximation of a scaled one."""
+    """P(X < x) for a chi-squared X with df degrees of freedom and noncentrality far, by the cube-root approximation of a scaled one.
+
+    An x that rounding took below 0 counts as 0.
+    """
+    x = max(x, 0.0)
     scale = (df + 2 * far) / (df + far)
     even = (df + far) / scale
     return _normal(((x / scale / even) ** (1 / 3) - (1 - 2 / (9 * even))) / math.sqrt(2 / (9 * even)))

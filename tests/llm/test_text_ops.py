@@ -104,6 +104,74 @@ def test_fixed_patterns(text, want):
     assert secrets._joined([s for s in secrets.spans(text) if s[1] < 3]) == want
 
 
+def naive_spans(text):
+    """The three fixed patterns, read letter by letter."""
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+    def run(at, letters):
+        end = at
+        while end < len(text) and text[end] in letters:
+            end += 1
+        return end
+
+    def assigned(at):
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(name, at):
+                end = at + len(name)
+                end += text[end : end + 1] in ("'", '"') and end < len(text)
+                end = run(end, " ")
+                if text[end : end + 1] not in (":", "=") or end == len(text):
+                    continue
+                # The value may begin with = or at the first letter after blanks and a quotation mark
+                end = run(end + 1, " ")
+                if end < len(text) and text[end] in "'\"":
+                    end += 1
+                if run(end, value) > end:
+                    return end, run(end, value)
+        return None
+
+    found, at = [], 0
+    while at < len(text):
+        if got := assigned(at):
+            if got[1] - got[0] >= 6:
+                found.append((at, 0, got[1]))
+            at = got[1]
+        else:
+            at += 1
+    for kind, start, letters, least in ((1, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20), (2, "", set("0123456789abcdef"), 24)):
+        at = 0
+        while at < len(text):
+            end = run(at + len(start), letters) if text.startswith(start, at) else at
+            if end > at + len(start):
+                if end - at >= least:
+                    found.append((at, kind, end))
+                at = end
+            else:
+                at += 1
+    return sorted(found)
+
+
+def test_fixed_patterns_are_the_naive_ones():
+    r = random.Random(12)
+    parts = ["password", "Passwd", "SECRET", "token", "api_key", "ApiKey", "=", ":", " ", "'", '"', "AKIA", "AKIA" + "Z9" * 8, "0a" * 12, "0f" * 13, "abc", "x.y-z", "\n", "é", "ſ", "q/" * 4, "F00D", "\t"]
+    n = 0
+    for _ in range(20000):
+        text = "".join(r.choices(parts, k=r.randint(1, 9)))
+        want = naive_spans(text)
+        n += len(want)
+        assert [s for s in secrets.spans(text) if s[1] < 3] == want, text
+    assert n > 5000
+
+
+@pytest.mark.parametrize("letters", sorted({x[1] for x in secrets.ENCODINGS}))
+def test_even_tokens_of_any_length(letters):
+    for n in range(1, 400):
+        name, chance, text = secrets.battery(letters * n)
+        assert 0 <= chance <= 1 and 0 <= text <= 1
+    assert secrets.spans(" " + letters * 49) is not None
+
+
 def test_random_strings_are_found_and_text_is_not():
     found = sum(bool(secrets.random_spans(f"see {rs.token_urlsafe(30)} here")) for _ in range(200))
     assert found >= 190
