@@ -10,13 +10,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, read
+from .common import cut, prepare, read
 
 #: Labelled rows that are fitted, at most, of each grade; the ones whose hashed ids come first.
 ROWS_PER_GRADE = 4000
+#: Bytes of features (four each) that are fitted, at most, of each grade; rows that come later than this is full aren't.
+BYTES_PER_GRADE = 16 << 20
 #: A word must be in so many fitted texts.
 LEAST_TEXTS = 3
 #: Bytes of a longer word's start that count as a feature of their own.
@@ -54,6 +56,11 @@ class Model:
         return above.sum(1), chances.argmax(1)
 
 
+def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the values at each of n places; zeros if there are none."""
+    return np.bincount(at, values, n).astype(float)
+
+
 def _loss_gradient(z: np.ndarray, steps: np.ndarray, grades: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of the mean negative log-likelihood by score, and by (first threshold, log gaps)."""
     t = np.cumsum(np.concatenate([steps[:1], np.exp(steps[1:])]))
@@ -61,8 +68,8 @@ def _loss_gradient(z: np.ndarray, steps: np.ndarray, grades: np.ndarray, counts:
     high, low = _sigmoid(ends[grades + 1] - z), _sigmoid(ends[grades] - z)
     chance = np.maximum(high - low, 1e-12)
     d_high, d_low = counts * high * (1 - high) / chance, counts * low * (1 - low) / chance
-    n = counts.sum()
-    by_end = np.bincount(grades + 1, -d_high, len(ends)) + np.bincount(grades, d_low, len(ends))
+    n = max(counts.sum(), 1e-12)
+    by_end = _sums(grades + 1, -d_high, len(ends)) + _sums(grades, d_low, len(ends))
     by_t = by_end[1:-1] / n
     tail = np.cumsum(by_t[::-1])[::-1]
     return (d_high - d_low) / n, np.concatenate([tail[:1], tail[1:] * np.exp(steps[1:])])
@@ -72,6 +79,7 @@ def fit(texts: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: float =
     """Select features with an L1 penalty, then fit the selected ones anew with a slight L2 penalty, so weights aren't shrunk.
 
     texts: the distinct features of each text. counts: how many labelled texts each one stands for; one, if left out.
+    Where no feature is in LEAST_TEXTS texts, or none is selected, the model has thresholds only: the shares of the grades.
     """
     counts = np.ones(len(texts)) if counts is None else counts * (len(texts) / counts.sum())
     every = np.concatenate([*texts, np.zeros(0, np.uint32)]).astype(np.uint32)
@@ -89,14 +97,14 @@ def fit(texts: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: float =
         n, m = len(texts), len(vocabulary)
         weights, probe = np.zeros(m), np.ones(m)
         for _ in range(10):  # the largest eigenvalue, for the step
-            probe = np.bincount(cols, (counts * np.bincount(rows, probe[cols], n))[rows], m)
+            probe = _sums(cols, (counts * _sums(rows, probe[cols], n))[rows], m)
             size = np.linalg.norm(probe) or 1.0
             probe /= size
         step = 1 / (0.25 * size / n * 1.1 + ridge + 1e-9) if m else 1.0
         ahead, pace = weights, 1.0
         for _ in range(rounds):
-            by_z, by_steps = _loss_gradient(np.bincount(rows, ahead[cols], n), steps, grades, counts)
-            new = ahead - step * (np.bincount(cols, by_z[rows], m) + ridge * ahead)
+            by_z, by_steps = _loss_gradient(_sums(rows, ahead[cols], n), steps, grades, counts)
+            new = ahead - step * (_sums(cols, by_z[rows], m) + ridge * ahead)
             new = np.sign(new) * np.maximum(np.abs(new) - step * penalty, 0)
             steps = steps - 0.5 * by_steps
             faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
@@ -107,12 +115,13 @@ def fit(texts: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: float =
     return Model(dict(zip(vocabulary.tolist(), weights.tolist())), thresholds.tolist())
 
 
-def train(documents: DataFrame, labels: DataFrame, n_grades: int = 2, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "toxic", rows_per_grade: int = ROWS_PER_GRADE) -> Model:
-    """A model of the labelled texts: of each grade, the rows_per_grade rows whose hashed ids come first.
+def train(documents: DataFrame, labels: DataFrame, n_grades: int = 2, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "toxic", rows_per_grade: int = ROWS_PER_GRADE, bytes_per_grade: int = BYTES_PER_GRADE) -> Model:
+    """A model of the labelled texts: of each grade, the rows_per_grade label rows whose hashed ids come first.
 
-    So the driver holds the features of at most n_grades * rows_per_grade texts; those of a grade with more rows count for all of them,
-    so shares of grades don't depend on the number of labels. Rows with a null id, text or grade, or a
-    grade outside 0 .. n_grades - 1, aren't fitted; of repeated ids any label row counts. Without rows the model is empty.
+    Each takes one text, whatever the number of rows with its id: the one whose hash is smallest. The driver gets at most
+    n_grades * rows_per_grade rows and n_grades * bytes_per_grade bytes of features. Rows that are fitted count for all label rows of their
+    grade, so shares of grades don't depend on the number of labels. Rows with a null id, text or grade, or a grade outside
+    0 .. n_grades - 1, aren't fitted; repeated label rows count as often as they stand there. Without rows the model is empty.
     """
     prepare(documents.sparkSession)
     rows = labels.select(labels[id_col].alias("__id"), labels[grade_col].cast("int").alias("__grade")).where("__id is not null")
@@ -121,17 +130,24 @@ def train(documents: DataFrame, labels: DataFrame, n_grades: int = 2, id_col: st
     for g in range(n_grades):
         some = rows.where(F.col("__grade") == g).orderBy(F.xxhash64("__id"), "__id").limit(rows_per_grade)
         picked = some if picked is None else picked.unionByName(some)
+    picked = cut(picked)
     texts = documents.select(documents[id_col].alias("__id"), documents[text_col].alias("__text")).where("__text is not null")
 
     @F.pandas_udf("binary")
     def packed(column):
         return column.map(lambda t: np.array(sorted(features(t)), np.uint32).tobytes())
 
-    sample = texts.join(F.broadcast(picked), "__id").select("__grade", packed("__text").alias("__features")).collect()
+    held = texts.join(F.broadcast(picked.select("__id").distinct()), "__id")
+    held = held.groupBy("__id").agg(F.min_by("__text", F.struct(F.xxhash64("__text"), "__text")).alias("__text"))
+    held = held.select("__id", packed("__text").alias("__features"))
+    order = Window.partitionBy("__grade").orderBy(F.xxhash64("__id"), "__id")
+    sized = held.join(F.broadcast(picked), "__id").withColumn("__bytes", F.sum(F.octet_length("__features")).over(order))
+    sample = sized.where(F.col("__bytes") <= bytes_per_grade).select("__grade", "__features").collect()
     if not sample:
         return Model({}, [0.0] * (n_grades - 1))
     grades = np.array([r[0] for r in sample])
-    stands = np.array([max(numbers.get(g, 0) / rows_per_grade, 1.0) for g in range(n_grades)])
+    fitted = np.bincount(grades, minlength=n_grades)
+    stands = np.array([numbers.get(g, 0) / max(fitted[g], 1) for g in range(n_grades)])
     return fit([np.frombuffer(r[1], np.uint32) for r in sample], grades, n_grades, counts=stands[grades])
 
 

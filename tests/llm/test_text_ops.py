@@ -245,3 +245,25 @@ def test_shares_of_grades_do_not_depend_on_the_sample(spark):
     for cap in (4000, 100):
         got = toxicity.predict(df, toxicity.train(df, labels, rows_per_grade=cap)).collect()
         assert abs(sum(x["severity"] for x in got) / len(got) - 0.1) < 0.05
+
+
+@pytest.mark.parametrize("texts", [[], ["", "", "", "", "", ""], ["same words here"] * 20, ["a b", "c d", "e f", "g h"]])
+def test_without_features_the_model_has_the_shares(texts):
+    grades = np.array([int(i % 4 == 0) for i in range(len(texts))], int)
+    model = toxicity.fit([np.array(sorted(toxicity.features(t)), np.uint32) for t in texts], grades, 2)
+    assert len(model.thresholds) == 1 and all(np.isfinite(model.thresholds))
+    severity, grade = model.predict(np.zeros(2))
+    assert np.isfinite(severity).all()
+
+
+def test_an_id_of_many_rows_sends_one_text_to_the_driver(spark, monkeypatch):
+    """A third of all rows have one id; the driver gets one row for each label row that is fitted, and bounded bytes."""
+    rows = [(7, f"word{i} filler") for i in range(3000)] + [(i, f"word{i} calm") for i in range(100, 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (7, 1)] + [(i, 0) for i in range(100, 200)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, grades, n, counts: seen.append((len(texts), sum(t.nbytes for t in texts), grades.tolist(), counts)))
+    toxicity.train(df, labels)
+    assert seen[0][0] == 102 and seen[0][2].count(1) == 2
+    toxicity.train(df, labels, bytes_per_grade=200)
+    assert seen[1][1] <= 400 and abs(seen[1][3].sum() - 102) < 1e-9
