@@ -44,11 +44,8 @@ def digest(payload: bytes) -> str:
 
 
 def _line(value: str) -> str:
-    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
-
-
-def _plain(value: str) -> str:
-    return value.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%")
+    """value as a header can hold it: line ends, which no URI has, are escaped; all else stays as it is."""
+    return value.replace("\r", "%0D").replace("\n", "%0A")
 
 
 def record(record_id: str, uri: str | None, payload: bytes, refers_to: str | None, date: str) -> bytes:
@@ -67,22 +64,31 @@ def record(record_id: str, uri: str | None, payload: bytes, refers_to: str | Non
 
 
 def _headers(head: bytes) -> dict[str, str]:
-    found = {}
+    """Headers by name in lower case; a line that begins with a blank goes on with the one before."""
+    found, name = {}, None
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            found[name] = f"{found[name]} {line.strip()}".strip()
+            continue
         name, colon, value = line.partition(":")
+        name = name.strip().lower()
         if colon:
-            found[name.strip().lower()] = value.strip()
+            found[name] = value.strip()
     return found
 
 
+#: What a column leaves out of its header's value.
+_PREFIX = {"record_id": "urn:record:", "refers_to": "urn:record:", "payload_digest": "sha1:"}
+
+
 def _value(headers: dict[str, str], column: str) -> str | None:
-    """A header as the column has it: without brackets, its urn or its algorithm."""
+    """A header as the column has it: without a pair of brackets around it, and without the column's own prefix."""
     value = headers.get(HEADER_OF[column])
     if value is None:
         return None
-    for start in ("<", "urn:record:", "sha1:"):
-        value = value.removeprefix(start)
-    return _plain(value.removesuffix(">"))
+    if column != "record_type" and value[:1] == "<" and value[-1:] == ">":
+        value = value[1:-1]
+    return value.removeprefix(_PREFIX.get(column, ""))
 
 
 @dataclass
@@ -302,8 +308,8 @@ def read(spark: SparkSession, path: str, payload: bool = True, verify: bool = Fa
 def write(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> None:
     """A record per row. Of rows with equal payloads of least_bytes or more, the one with the largest id is a response, and others revisit it.
 
-    Payloads are grouped by their SHA-1 with a maximum that combines before the shuffle; only groups of several rows
-    are joined back, and Spark splits a large one. A null payload is an empty one; rows with a null id revisit like
+    Payloads are grouped by their SHA-1 with a maximum that combines before the shuffle; groups of several rows
+    are joined back with all rows, which shuffles each payload once; Spark splits a large group. A null payload is an empty one; rows with a null id revisit like
     others but are never revisited; rows that share the largest id are all responses; an empty table gives an archive
     without records; further columns are left aside.
     """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import warc
 
-ROWS = [(1, "http://a/1", "<p>x"), (2, "http://a/2", "<p>y é"), (3, "http://b/3", "<p>x"), (3, "http://b/3", "<p>x"), (4, None, None), (5, "u\r\nX-Bad: 1%0A", ""), (None, "http://n", "<p>x"), (9, "http://long", "z" * 300000)]
+ROWS = [(1, "http://a/1", "<p>x"), (2, "http://a/2", "<p>y é"), (3, "http://b/3", "<p>x"), (3, "http://b/3", "<p>x"), (4, None, None), (5, "http://x/a%20b%0A?q=<b>", ""), (None, "http://n", "<p>x"), (9, "http://long", "z" * 300000)]
 
 
 def sha(text):
@@ -21,6 +21,39 @@ def archives(spark, tmp_path_factory):
     return path
 
 
+def strict(path):
+    """(headers, block) of each record of an archive's folder, read by the standard's grammar alone."""
+    for name in sorted(path.glob("*.warc.gz")):
+        data, at = gzip.decompress(name.read_bytes()), 0
+        while at < len(data):
+            assert data.startswith(b"WARC/1.1\r\n", at)
+            end = data.index(b"\r\n\r\n", at)
+            headers = dict(line.split(": ", 1) for line in data[at:end].decode().split("\r\n")[1:])
+            n = int(headers["Content-Length"])
+            assert data[end + 4 + n : end + 8 + n] == b"\r\n\r\n"
+            yield headers, data[end + 4 : end + 4 + n]
+            at = end + 8 + n
+
+
+def test_a_strict_reader_sees_uris_as_they_are(spark, tmp_path):
+    uris = ["http://x/a%20b", "http://x/?q=<b>", "sha1:abc", "urn:record:7", "http://x/%250A", "http://x/\r\nX-Bad: 1"]
+    warc.write(spark.createDataFrame([(i, u, f"p{i}") for i, u in enumerate(uris)], "page_id long, url string, html string"), str(tmp_path / "u"))
+    found = {h["WARC-Target-URI"]: b for h, b in strict(tmp_path / "u")}
+    assert set(found) == {*uris[:5], "http://x/%0D%0AX-Bad: 1"} and found["sha1:abc"].endswith(b"\r\n\r\np2")
+    got = warc.read(spark, str(tmp_path / "u"))
+    assert {r["target_uri"] for r in got.collect()} == set(found)
+    assert got.where("target_uri = 'http://x/a%20b'").count() == 1
+
+
+def test_headers_of_others_stay_as_they_are(spark, tmp_path):
+    lines = ["WARC/1.0", "WARC-Type: response", "WARC-Record-ID: <urn:uuid:1>", "WARC-Target-URI: <http://y/a%25b%0Ac>", "WARC-Payload-Digest: sha256:00ff", "X-Folded: a", " b", "Content-Length: 4"]
+    more = ["WARC/1.0", "WARC-Type: metadata", "WARC-Record-ID: <urn:uuid:2>", "WARC-Target-URI: <half", "Content-Length: 0"]
+    (tmp_path / "a.warc").write_bytes(b"".join("\r\n".join(x).encode() + b"\r\n\r\n" + body + b"\r\n\r\n" for x, body in ((lines, b"\r\n\r\n"), (more, b""))))
+    a, b = warc.read(spark, str(tmp_path)).orderBy("record_id").collect()
+    assert (a["record_id"], a["target_uri"], a["payload_digest"], a["headers"]["x-folded"]) == ("urn:uuid:1", "http://y/a%25b%0Ac", "sha256:00ff", "a b")
+    assert (b["record_id"], b["record_type"], b["target_uri"], b["payload"]) == ("urn:uuid:2", "metadata", "<half", None)
+
+
 @pytest.mark.parametrize("split", [64 << 20, 1])
 def test_round_trip(spark, archives, split):
     got = warc.read(spark, archives, verify=True, split_bytes=split).collect()
