@@ -104,6 +104,34 @@ def test_components_of_long_paths_and_stars(spark):
     assert {got[i] for i in range(1, 301)} == {0} and {got[1000 + k] for k in range(1, 200)} == {1000}
 
 
+@pytest.mark.parametrize("share", [1 / 2000, 1 / 20, 10])
+def test_components_are_brute_force(spark, monkeypatch, share):
+    """Random graphs; nodes with many edges are broadcast, some of them, or none."""
+    monkeypatch.setattr(common, "SHARE", share)
+    r = random.Random(6)
+    edges = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(-5, k) for k in range(1000, 1100)] + [(2**62, 2**62 - 1), (3, 3)]
+    nodes = sorted({x for a, b in edges if a != b for x in (a, b)})
+    pairs = {(max(a, b), min(a, b)) for a, b in edges}
+    root = united(len(nodes), lambda i, j: (nodes[i], nodes[j]) in pairs or (nodes[j], nodes[i]) in pairs)
+    least = {}
+    for k, x in zip(root, nodes):
+        least[k] = min(least.get(k, x), x)
+    got = dict(common.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert {n: got.get(n, n) for n in nodes} == {n: least[k] for k, n in zip(root, nodes)}
+
+
+def test_no_shared_folder_is_an_error_on_a_cluster(spark):
+    class Conf:
+        def get(self, name, default=None):
+            return default
+
+    class Session:
+        conf, sparkContext = Conf(), type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+
+
 def removed(rows, length):
     first, texts = {}, [(1 << 62 if i is None else i, (t or "").encode()) for i, t in rows]
     for i, b in texts:
