@@ -84,13 +84,13 @@ def test_decontamination(spark, bound):
     items = [(i, " ".join(r.choices(vocabulary, k=n))) for i, n in enumerate([0, 1, 3, 9, 10, 11, 30])] + [(None, "cat cat cat cat"), (20, None), (5, "zz " * 12)]
     rows = [(i, " ".join(r.choices(vocabulary[1:4], k=r.randint(0, 60)))) for i in range(20)] + [(100, items[6][1] + " " + items[4][1]), (101, None), (102, ""), (102, ""), (103, "ZZ  zz," * 30)]
     df, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.scan(df, b, broadcast_bytes=bound).collect()
+    got = decontaminate.scan(df, b, most_words=bound).collect()
     assert sorted(map(str, [(x["doc_id"], x["n_words"], x["n_hit"], x["n_items"], x["items_sha256"], x["contaminated"]) for x in got])) == sorted(map(str, [(i, *hits(t, items)) for i, t in rows]))
-    clean = decontaminate.clean(df.withColumn("row", F.lit(1)), b, broadcast_bytes=bound)
+    clean = decontaminate.clean(df.withColumn("row", F.lit(1)), b, most_words=bound)
     assert clean.columns == ["doc_id", "text", "row"]
     assert sorted(x["doc_id"] for x in clean.collect()) == sorted(i for i, t in rows if not hits(t, items)[1])
-    assert decontaminate.scan(df, b.limit(0), broadcast_bytes=bound).where("contaminated").count() == 0
-    assert decontaminate.scan(df.limit(0), b, broadcast_bytes=bound).count() == 0
+    assert decontaminate.scan(df, b.limit(0), most_words=bound).where("contaminated").count() == 0
+    assert decontaminate.scan(df.limit(0), b, most_words=bound).count() == 0
 
 
 CASES = [
@@ -267,3 +267,15 @@ def test_an_id_of_many_rows_sends_one_text_to_the_driver(spark, monkeypatch):
     assert seen[0][0] == 102 and seen[0][2].count(1) == 2
     toxicity.train(df, labels, bytes_per_grade=200)
     assert seen[1][1] <= 400 and abs(seen[1][3].sum() - 102) < 1e-9
+
+
+def test_a_benchmark_at_the_bound_stays_in_bytes(monkeypatch):
+    """Windows of random words, the worst case: what is broadcast and its pickle stay below what the bound says."""
+    import pickle
+
+    r = random.Random(3)
+    items = [(str(i), " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=9)) for _ in range(2000))) for i in range(20)]
+    held = decontaminate.Windows(items, 10)
+    n = 20 * 2000
+    assert held.nbytes() <= n * 224 and len(pickle.dumps(held)) <= n * 224
+    assert held.scan(items[3][1])[1].all() and held.scan(items[3][1])[2] == {"3"}
