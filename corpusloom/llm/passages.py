@@ -150,13 +150,18 @@ def _folded(part: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _matched(one: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """For each pair of contexts and each of WIDTH starts: how many of WIDTH tokens of other are in one, at most SHIFT places off."""
+def _same(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """For each pair of contexts: the tokens of other that are in one, at most SHIFT places off."""
     there = other != 0
     same = (one == other) & there
     for s in range(1, SHIFT + 1):
         same[:, s:] |= (other[:, s:] == one[:, :-s]) & there[:, s:]
         same[:, :-s] |= (other[:, :-s] == one[:, s:]) & there[:, :-s]
+    return same
+
+
+def _matched(same: np.ndarray) -> np.ndarray:
+    """For each row and each of WIDTH starts: how many of WIDTH tokens are marked."""
     sums = np.zeros((len(same), SPAN + 1), np.int8)
     np.cumsum(same, axis=1, dtype=np.int8, out=sums[:, 1:])
     return sums[:, WIDTH:] - sums[:, :-WIDTH]
@@ -164,7 +169,7 @@ def _matched(one: np.ndarray, other: np.ndarray) -> np.ndarray:
 
 def near(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     """For each pair of contexts: the places (of WIDTH starts) where WIDTH tokens of other have EQUAL or more equal ones in one."""
-    return _matched(one, other) >= EQUAL
+    return _matched(_same(one, other)) >= EQUAL
 
 
 def _united(spans: np.ndarray) -> np.ndarray:
@@ -182,13 +187,15 @@ def _united(spans: np.ndarray) -> np.ndarray:
 
 
 def _linked(a: np.ndarray, b: np.ndarray, rows: np.ndarray, places: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(which pairs of windows a, b are near, the links of their rows, the spans): a row isn't linked with itself."""
-    hits = near(contexts[a], contexts[b])
-    met = hits.any(1)
+    """(which pairs of windows a, b are near, both ways, the links of their rows, the spans): a row isn't linked with itself."""
+    hits = np.stack([near(contexts[b], contexts[a]), near(contexts[a], contexts[b])])
+    met = hits.any(2).all(0)
     apart = met & (rows[a] != rows[b])
-    a, b, hits = a[apart], b[apart], hits[apart]
-    low, high = hits.argmax(1) + 1 - WIDTH, WIDTH - 1 - hits[:, ::-1].argmax(1)
-    spans = [np.stack([rows[x], np.maximum(places[x] + low, 0), places[x] + high], 1) for x in (a, b)]
+    a, b, hits = a[apart], b[apart], hits[:, apart]
+    spans = []
+    for x, own in ((a, hits[0]), (b, hits[1])):
+        low, high = own.argmax(1) + 1 - WIDTH, WIDTH - 1 - own[:, ::-1].argmax(1)
+        spans.append(np.stack([rows[x], np.maximum(places[x] + low, 0), places[x] + high], 1))
     return met, np.stack([rows[a], rows[b]], 1), np.concatenate(spans)
 
 
@@ -241,65 +248,126 @@ def _classes(cls: np.ndarray, who: np.ndarray, label: np.ndarray, seen: np.ndarr
     return who[np.repeat(take, sizes)], sizes[take], np.concatenate([seen, sets[take]])
 
 
-def _split(who: np.ndarray, first: np.ndarray, number: np.ndarray, kept: np.ndarray, contexts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(class, member) for each token in which a member differs from its class's first (see meet), some whole classes at a time."""
-    slices = np.uint64(len(who) // 8192 + 1)
+def _centres(contexts: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """For each class (number, ascending) its centre: the most frequent token at each place, 0 where all have none."""
+    out = np.zeros((int(number[-1]) + 1, SPAN), np.uint16)
+    for p in range(SPAN):
+        token = contexts[:, p]
+        held = np.flatnonzero(token)
+        if not len(held):
+            continue
+        both, times = np.unique(number[held].astype(np.uint64) << np.uint64(16) | token[held], return_counts=True)
+        of = (both >> np.uint64(16)).astype(np.int64)
+        at = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        best = np.maximum.reduceat(times.astype(np.uint64) << np.uint64(16) | both & np.uint64(0xFFFF), at)
+        out[of[at], p] = (best & np.uint64(0xFFFF)).astype(np.uint16)
+    return out
+
+
+def _split(number: np.ndarray, contexts: np.ndarray, centres: np.ndarray, same: np.ndarray, matched: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class, place of the member) for the tokens in which members differ from their class's centre, of those that several have."""
+    slices = np.uint64(len(number) // 8192 + 1)
+    parts = []
+    close = WIDTH - matched.max(1) < 20
+    for k in range(0, len(number), 8192):
+        other, base = contexts[k : k + 8192], (number[k : k + 8192].astype(np.uint64) + np.uint64(1))[:, None] * _MUL
+        there = other != 0
+        loose, tight = (centres[number[k : k + 8192]] != other) & there, there & ~same[k : k + 8192]
+        wide = other.astype(np.uint64)
+        with np.errstate(over="ignore"):
+            double = _mixed(base + (wide[:, :-1] << np.uint64(16) | wide[:, 1:] | np.uint64(1 << 32)))
+            single = _mixed(base + wide)
+        for made, use, own in ((double, loose[:, :-1] & there[:, 1:], tight[:, :-1] & tight[:, 1:]), (single, loose & close[k : k + 8192, None], tight)):
+            at = np.nonzero(use)
+            parts.append((made[use] & ~np.uint64(1) | own[use], (at[0] + k).astype(np.int32)))
+    keyed, members = (np.concatenate(c) for c in zip(*parts))
+    del parts
     for s in range(int(slices)):
-        cls, members = [], []
-        for k in range(0, len(who), 8192):
-            some = who[k : k + 8192]
-            one, other = contexts[kept[first[k : k + 8192]]], contexts[kept[some]]
-            apart = (one != other) & (other != 0)
-            close = WIDTH - _matched(one, other).max(1) < 20
-            wide = other.astype(np.uint64)
-            with np.errstate(over="ignore"):
-                base = (number[k : k + 8192].astype(np.uint64) + np.uint64(1))[:, None] * _MUL
-                double = _mixed(base + (wide[:, :-1] << np.uint64(16) | wide[:, 1:] | np.uint64(1 << 32)))
-                single = _mixed(base + wide)
-            for made, use in ((double, apart[:, :-1] & (other[:, 1:] != 0)), (single, apart & close[:, None])):
-                use &= made % slices == np.uint64(s)
-                cls.append(made[use])
-                members.append(some[np.nonzero(use)[0]])
-        cls, members = np.concatenate(cls), np.concatenate(members)
-        turn = np.argsort(cls, kind="stable")
-        cls, members = cls[turn], members[turn]
-        again = cls[1:] == cls[:-1]
-        held = np.concatenate([again, [False]]) | np.concatenate([[False], again]) if len(cls) else np.zeros(0, bool)
-        yield cls[held], members[held]
+        some = np.flatnonzero((keyed >> np.uint64(1)) % slices == np.uint64(s))
+        cls, who = keyed[some], members[some]
+        turn = np.argsort(cls)
+        cls, who = cls[turn], who[turn]
+        at = np.flatnonzero(np.concatenate([[True], cls[1:] >> np.uint64(1) != cls[:-1] >> np.uint64(1)])[: len(cls)])
+        sizes = np.diff(np.append(at, len(cls)))
+        last = cls[at + sizes - 1] & np.uint64(1) == 1 if len(at) else np.zeros(0, bool)  # a member has it where the centre has nothing like it
+        held = np.repeat(last & (sizes > 1), sizes)
+        yield cls[held] >> np.uint64(1), who[held]
 
 
 def meet(keys: np.ndarray, rows: np.ndarray, places: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(links, spans) of windows that meet by key: pairs of rows that join all near ones, and (row, first token, last token).
 
     Equal contexts are one first. Distinct ones with a key and a string of SHARED tokens are a class; classes of up to
-    PAIRS are compared pair by pair, leaving out pairs that links join already. Of a larger class all are compared with
-    its first one, f, and go on in smaller classes, of those that share a token in which both differ from f: if y isn't
-    near f, y has WIDTH - EQUAL + 1 tokens or more that f doesn't have there in each range of WIDTH, and x, near y, lacks
-    WIDTH - EQUAL of a range's at most. So no near pair parts, but for those that f joins already. As one token says
-    little, all share pairs of neighbouring tokens; if y has 12 such tokens or more in the range, x and y share such a
-    pair, as each token that x lacks breaks one pair; if it has fewer, both are close to f, and they share single ones.
+    PAIRS are compared pair by pair, leaving out pairs that links join already. A larger class has a centre: the most
+    frequent token at each place, so what most members have. Let x and y be near, in a range of WIDTH tokens of y.
+
+    - If both are near the centre there: all members near the centre in that range are compared with the one that has
+      most of it. Where that doesn't join them all, each of them is taken in its place in turn.
+    - If one isn't, say y: it has WIDTH - EQUAL + 1 tokens or more there that the centre doesn't have, and x lacks WIDTH - EQUAL of y's
+      at most, so x and y share such a token, and meet in the smaller class of the members that have it where the centre
+      has another. As one token says little, pairs of neighbouring tokens are taken: if y has 12 such tokens or more,
+      x and y share a pair, as each token that x lacks breaks one; if fewer, both are close to the centre, and single ones are taken.
     """
     links, spans, kept = fold(keys, rows, places, contexts)
     links, spans = [links], [spans]
     label, seen = np.arange(len(kept)), np.zeros(0, np.uint64)
 
-    def compare(a: np.ndarray, b: np.ndarray) -> None:
+    def compare(a: np.ndarray, b: np.ndarray, whole: bool = False) -> None:
         for k in range(0, len(a), 16384):
             x, y = a[k : k + 16384], b[k : k + 16384]
-            new = label[x] != label[y]
+            new = (x != y) & (whole | (label[x] != label[y]))
             x, y = x[new], y[new]
             met, some, held = _linked(kept[x], kept[y], rows, places, contexts)
             links.append(some)
             spans.append(held)
             _joined(label, x[met], y[met])
 
+    def exhaust(who: np.ndarray) -> None:
+        for k, x in enumerate(who.tolist()):
+            rest = who[k + 1 :]
+            rest = rest[label[rest] != label[x]]
+            compare(np.full(len(rest), x), rest)
+            if (label[who] == label[who[0]]).all():
+                return
+
+    def large(who: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Compares members of classes about their centres; gives the smaller classes."""
+        number, at = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+        own = contexts[kept[who]]
+        centres = _centres(own, number)
+        same = np.empty(own.shape, bool)
+        for k in range(0, len(who), 8192):
+            same[k : k + 8192] = _same(centres[number[k : k + 8192]], own[k : k + 8192])
+        matched = _matched(same)
+        close = matched >= EQUAL
+        exact = close.copy()
+        for k in range(1, SHIFT + 1):  # a near one's range may begin that many places beside
+            close[:, k:] |= exact[:, :-k]
+            close[:, :-k] |= exact[:, k:]
+        place = np.arange(len(who), dtype=np.int64)[:, None]
+        best = np.maximum.reduceat(matched.astype(np.int64) << 32 | (len(who) - 1 - place), at)
+        best = len(who) - 1 - (best & 0xFFFFFFFF)  # by class and start: the member with most of the centre
+        some = close.nonzero()
+        pairs = np.unique(best[number[some[0]], some[1]] * len(who) + some[0])
+        compare(who[pairs // len(who)], who[pairs % len(who)], True)
+        found = label[who][:, None]
+        low, high = np.minimum.reduceat(np.where(close, found, len(label)), at), np.maximum.reduceat(np.where(close, found, -1), at)
+        parted = low < high
+        for c in np.flatnonzero(parted.any(1)).tolist():
+            span = slice(at[c], at[c] + sizes[c])
+            exhaust(who[span][close[span][:, parted[c]].any(1)])
+        for cls, members in _split(number, own, centres, same, matched):
+            whole = np.unique(np.stack([cls, members.astype(np.uint64)]), axis=1) if len(cls) else np.zeros((2, 0), np.uint64)
+            first, count = np.unique(whole[0], return_index=True, return_counts=True)[1:]
+            of = number[whole[1][first].astype(np.int64)]
+            for c in np.unique(of[count == sizes[of]]).tolist():  # a smaller class that isn't
+                exhaust(who[at[c] : at[c] + sizes[c]])
+            yield cls, who[members]
+
     cls = np.concatenate([_folded(contexts[kept, a : a + SHARED], keys[kept]) for a in _SHARED_AT])
     who = np.tile(np.arange(len(kept)), len(_SHARED_AT))
     who, sizes, seen = _classes(cls[cls != 0], who[cls != 0], label, seen)
     while len(who):
-        at = np.cumsum(sizes) - sizes
-        first = np.repeat(who[at], sizes)
-        compare(first, who)
         number, size = np.repeat(np.arange(len(sizes)), sizes), np.repeat(sizes, sizes)
         small = np.flatnonzero(size <= PAIRS)
         for step in range(1, PAIRS):
@@ -309,13 +377,13 @@ def meet(keys: np.ndarray, rows: np.ndarray, places: np.ndarray, contexts: np.nd
                 break
             compare(who[ahead], who[ahead + step])
         next_who, next_sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        large = np.flatnonzero(sizes > PAIRS)
-        batch = np.cumsum(sizes[large]) // 8192
+        wide = np.flatnonzero(sizes > PAIRS)
+        batch = np.cumsum(sizes[wide]) // 8192
         for b in np.unique(batch):
-            held = np.isin(number, large[batch == b]) & (first != who)
-            for cls, members in _split(who[held], first[held], number[held], kept, contexts):
-                some, count, seen = _classes(cls, members, label, seen)
-                next_who.append(some)
+            some = wide[batch == b]
+            for cls, members in large(who[np.isin(number, some)], sizes[some]):
+                part, count, seen = _classes(cls, members, label, seen)
+                next_who.append(part)
                 next_sizes.append(count)
         who, sizes = np.concatenate(next_who), np.concatenate(next_sizes)
     links = np.concatenate(links)

@@ -253,7 +253,8 @@ def test_meet_is_brute_force(monkeypatch, seed, pairs):
     n = len(contexts)
     links, spans = passages.meet(np.full(n, 8, np.uint64), np.arange(n), np.zeros(n, np.int64), contexts)[:2]
     meets = lambda i, j: any((contexts[i, a : a + passages.SHARED] == contexts[j, a : a + passages.SHARED]).all() for a in passages._SHARED_AT)
-    close = {(j, i) for i in range(n) for j in range(i) if meets(i, j) and passages.near(contexts[j : j + 1], contexts[i : i + 1]).any()}
+    near = lambda i, j: passages.near(contexts[j : j + 1], contexts[i : i + 1]).any()
+    close = {(j, i) for i in range(n) for j in range(i) if meets(i, j) and near(i, j) and near(j, i)}
     assert {tuple(x) for x in links.tolist()} <= close
     same = lambda roots: [roots.index(x) for x in roots]
     linked = {tuple(sorted(x)) for x in links.tolist()}
@@ -284,3 +285,35 @@ def test_quotes_before_a_passage_do_not_hide_it(spark):
         rows += [(2 * k, " ".join([*quotes, *base, sentence(r, 9)])), (2 * k + 1, " ".join([sentence(r, 9), *base, sentence(r, 9)]))]
     got = {x["doc_id"]: x for x in passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [i for i, x in got.items() if x["n_passages"] == 0 or x["class_id"] != i // 2 * 2] == []
+
+
+def jaccard(a, b):
+    """The largest similarity of 50 words of one and 50 words of the other, by five-word shingles."""
+    sets = [[frozenset(tuple(w[j : j + 5]) for j in range(i, i + 46)) for i in range(len(w) - 49)] for w in (a, b)]
+    return max(len(x & y) / len(x | y) for x in sets[0] for y in sets[1])
+
+
+@pytest.mark.parametrize("hot", [1024, 2])
+def test_recall_of_near_passages(spark, hot):
+    """Pairs that have 50 words each with a similarity of 0.8, by brute force, in texts that are unlike else: nine in ten of them, at least, are linked."""
+    r, rows, want = random.Random(77), [], {}
+    for n, edits in ((50, 1), (60, 1), (60, 2), (120, 2), (200, 3), (200, 4)):
+        for _ in range(60):
+            base = sentence(r, n).split()
+            copy = base[:]
+            for _ in range(edits):
+                at, kind = r.randrange(1, len(copy)), r.randrange(3)
+                copy[at : at + (kind != 1)] = [] if kind == 2 else [f"edit{r.randrange(9)}"]
+            a, b = [sentence(r, 8).split() + x + sentence(r, 8).split() for x in (base, copy)]
+            want[len(rows)] = (n, edits, jaccard(a, b) >= 0.8)
+            rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["class_id"] for x in passages.near_passages(df, group_bytes=20000, hot_groups=hot).collect()}
+    by = {}
+    for i, (n, edits, near) in want.items():
+        if near:
+            by.setdefault((n, edits), []).append(got[i + 1] == i)
+    shares = {k: (sum(v) / len(v), len(v)) for k, v in by.items()}
+    print(shares)
+    assert all(n >= 5 and s >= 0.9 for s, n in shares.values()), shares
+    assert all(got[i + 1] == i + 1 for i, (_, _, near) in want.items() if not near)
