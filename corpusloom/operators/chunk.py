@@ -33,17 +33,32 @@ def line_windows(df: DataFrame, content: str = "content", size: int = WINDOW, ov
 
 
 def sections(df: DataFrame, content: str = "content", title: int = 80) -> DataFrame:
-    """A row per headed section of a Markdown text; what stands before the first heading has none."""
+    """A row per headed section of a Markdown text; what stands before the first heading has none. A heading without a name is "documentation"."""
     rest = [c for c in df.columns if c != content]
     held = df.select(*rest, X.lines(F.coalesce(content, F.lit(""))).alias("__l"))
     at = F.filter(F.transform("__l", lambda x, i: F.when(x.startswith("#"), i)), lambda i: i.isNotNull())
     held = held.withColumn("__h", at).select(*rest, "__l", "__h", F.posexplode("__h").alias("__k", "__a"))
     end = F.coalesce(F.get("__h", F.col("__k") + 1), F.size("__l"))
-    name = F.substring(F.trim(F.regexp_replace(F.get("__l", F.col("__a")), "^#+", "")), 1, title)
+    name = F.trim(F.regexp_replace(F.get("__l", F.col("__a")), "^#+", ""))
+    name = F.substring(F.when(name == "", "documentation").otherwise(name), 1, title)
     body = F.array_join(F.slice("__l", F.col("__a") + 1, end - F.col("__a")), "\n")
     return held.select(*rest, (F.col("__a") + 1).cast("long").alias("start_line"), end.cast("long").alias("end_line"), name.alias("title"), body.alias("chunk"))
 
 
+def document_chunks(df: DataFrame, content: str = "content", size: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
+    """Chunks of Markdown texts: a doc_section for each section, doc_windows of a longer one, doc windows of a text without headings."""
+    rest = [c for c in df.columns if c != content]
+    span = lambda kind, symbol: (F.lit(kind).alias("chunk_type"), symbol.cast("string").alias("symbol"), F.lit(None).cast("string").alias("scope"), F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"), "chunk")
+    found = sections(df, content).withColumn("__n", F.col("end_line") - F.col("start_line") + 1)
+    short = found.where(F.col("__n") <= size).select(*rest, *span("doc_section", F.col("title")))
+    moved = found.where(F.col("__n") > size).select(*rest, F.col("start_line").alias("__from"), F.col("chunk").alias("__body"))
+    moved = line_windows(moved, "__body", size, overlap)
+    moved = moved.withColumns({"start_line": F.col("start_line") + F.col("__from") - 1, "end_line": F.col("end_line") + F.col("__from") - 1})
+    headed = F.exists(X.lines(F.coalesce(content, F.lit(""))), lambda x: x.startswith("#"))
+    plain = line_windows(df.where(~headed), content, size, overlap)
+    return short.unionByName(moved.select(*rest, *span("doc_window", F.lit(None)))).unionByName(plain.select(*rest, *span("doc", F.lit(None))))
+
+
 def _windows(kind: str, symbol: str | None, scope: str | None, first: int, rows: list[str], size: int, overlap: int) -> list[dict]:
     """A span as one chunk, or as windows where it is longer than size."""
     make = lambda k, a, b: {"chunk_type": k, "symbol": symbol, "scope": scope, "start_line": first + a + 1, "end_line": first + b, "content": "\n".join(rows[a:b])}
@@ -58,36 +73,30 @@ def _windows(kind: str, symbol: str | None, scope: str | None, first: int, rows:
 
 
 def python_chunks(code: str, size: int = WINDOW, overlap: int = OVERLAP) -> list[dict]:
-    """Top-level functions and classes; of a class longer than size also its members. Without a parse, none."""
+    """Top-level functions and classes; a class longer than size gives its members instead, a longer function windows. Without a parse, none."""
     try:
-        tree = ast.parse(code)
+        todo = [(node, None) for node in ast.parse(code).body]
     except (SyntaxError, ValueError, RecursionError):
         return []
-    rows, spans = code.splitlines(), []
-    kinds = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
-
-    def add(node, scope):
-        kind = "class" if isinstance(node, ast.ClassDef) else "function"
-        span = rows[node.lineno - 1 : node.end_lineno]
-        spans.append((node.lineno, kind, node.name, scope, span))
-        if kind == "class" and len(span) > size:
-            for member in node.body:
-                if isinstance(member, kinds):
-                    add(member, node.name)
-
-    for node in tree.body:
-        if isinstance(node, kinds):
-            add(node, None)
-    spans.sort(key=lambda s: (s[0], s[0] + len(s[4])))
-    return [c for line, kind, name, scope, span in spans for c in _windows(kind, name, scope, line - 1, span, size, overlap)]
-
-
-_TYPED = "class|interface|struct|enum"
+    rows, out = code.splitlines(), []
+    while todo:
+        node, scope = todo.pop()
+        if isinstance(node, ast.ClassDef) and node.end_lineno - node.lineno >= size:
+            todo += [(member, node.name) for member in node.body]
+        elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            kind = "class" if isinstance(node, ast.ClassDef) else "function"
+            out += _windows(kind, node.name, scope, node.lineno - 1, rows[node.lineno - 1 : node.end_lineno], size, overlap)
+    return sorted(out, key=lambda c: (c["start_line"], c["end_line"]))
+
+
+# Fixed values
 BLOCK_STARTS = {
     "rust": [("function", r"\bfn\s+([A-Za-z_]\w*)\s*\("), ("class", r"\b(?:struct|enum|trait|impl)\s+([A-Za-z_]\w*)")],
-    "typed": [("class", rf"\b(?:{_TYPED})\s+([A-Za-z_]\w*)"), ("function", r"[\w:<>,~*&\[\]]+\s+([A-Za-z_]\w*)\s*\([^;]*\)\s*(?:const\s*)?\{")],
+    "typed": [("class", r"\b(?:class|interface|struct|enum)\s+([A-Za-z_]\w*)"), ("function", r"[\w:<>,~*&\[\]]+\s+([A-Za-z_]\w*)\s*\([^;]*\)\s*(?:const\s*)?\{")],
     "script": [("class", r"\bclass\s+([A-Za-z_]\w*)"), ("function", r"\bfunction\s+([A-Za-z_]\w*)\s*\("), ("function", r"\b(?:const|let|var)\s+([A-Za-z_]\w*)\s*=\s*(?:async\s*)?\(")],
 }
+BRACED = ("javascript", "typescript", "java", "cpp", "csharp", "rust")
+WINDOW_KIND = {"markdown": "doc", "yaml": "config", "json": "config", "config": "config", "dockerfile": "config"}
 _LITERAL = re.compile(r'//.*|#.*|"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\'')
 
 
@@ -117,9 +126,9 @@ def brace_chunks(code: str, language: str, size: int = WINDOW, overlap: int = OV
 
 
 def symbol_chunks(df: DataFrame, content: str = "content", language: str = "language", size: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
-    """Chunks of source files: symbols where there are any, else headed sections' or windows' line spans.
+    """Chunks of source files: symbols or sections where there are any, else windows, whose type is that of the language.
 
-    Adds chunk_type, symbol, scope, start_line, end_line, chunk to the columns of df but content.
+    Adds chunk_type, symbol, scope, start_line, end_line, chunk to the columns of df but content. Only code goes to Python.
     """
 
     @F.pandas_udf(CHUNK)
@@ -127,14 +136,18 @@ def symbol_chunks(df: DataFrame, content: str = "content", language: str = "lang
         out = []
         for code, kind in zip(texts, languages):
             code = code or ""
-            made = python_chunks(code, size, overlap) if kind == "python" else brace_chunks(code, kind, size, overlap) if kind in ("javascript", "typescript", "java", "cpp", "csharp", "rust") else []
-            rows = code.splitlines()
-            if not made and rows:
-                plain = "doc" if kind == "markdown" else "config" if kind in ("yaml", "json", "config", "dockerfile") else "window"
-                made = [c | {"chunk_type": plain} for c in _windows(plain, None, None, 0, rows, size, overlap)]
+            made = python_chunks(code, size, overlap) if kind == "python" else brace_chunks(code, kind, size, overlap)
+            if not made and (rows := code.splitlines()):
+                made = [c | {"chunk_type": "window"} for c in _windows("window", None, None, 0, rows, size, overlap)]
             out.append(made)
         return pd.Series(out)
 
     rest = [c for c in df.columns if c != content]
-    held = df.select(*rest, F.explode(run(F.col(content), F.col(language))).alias("__c"))
-    return held.select(*rest, "__c.chunk_type", "__c.symbol", "__c.scope", "__c.start_line", "__c.end_line", F.col("__c.content").alias("chunk"))
+    lang = F.coalesce(F.col(language), F.lit(""))
+    code = lang.isin("python", *BRACED)
+    held = df.where(code).select(*rest, F.explode(run(F.col(content), F.col(language))).alias("__c"))
+    held = held.select(*rest, "__c.chunk_type", "__c.symbol", "__c.scope", "__c.start_line", "__c.end_line", F.col("__c.content").alias("chunk"))
+    kinds = F.create_map(*[F.lit(x) for kv in WINDOW_KIND.items() for x in kv])
+    other = line_windows(df.where(~code & (lang != "markdown")), content, size, overlap)
+    other = other.select(*rest, F.coalesce(F.try_element_at(kinds, F.col(language)), F.lit("window")).alias("chunk_type"), F.lit(None).cast("string").alias("symbol"), F.lit(None).cast("string").alias("scope"), F.col("start_line").cast("int"), F.col("end_line").cast("int"), "chunk")
+    return held.unionByName(document_chunks(df.where(lang == "markdown"), content, size, overlap)).unionByName(other)

@@ -161,7 +161,7 @@ def structures(spark, sf):
 
 @query("api_routes")
 def api_routes(spark, sf):
-    return _files(spark).select("path", F.explode(C.routes("content", "language")).alias("r")).select("path", "r.*")
+    return _files(spark).select("path", F.explode(C.routes("content", "language")).alias("r")).select("path", "r.method", F.col("r.path").alias("route"), "r.handler")
 
 
 @query("dependency_graph")
@@ -198,7 +198,7 @@ def test_counts(spark, sf):
 def model_outputs(spark, sf):
     told = [("python", "Sure:\n```py\nx = 1\n```\nDone"), ("python", "<think>hm</think>Here it is\nx = 1\ny = (\nExplanation:\nbecause"), ("java", "The class:\npublic class A {\n}\nNotes\nshort")]
     held = spark.createDataFrame(told, "language string, output string")
-    return held.select("language", output.parsed_output("output", "language").alias("o")).select("language", "o.*")
+    return output.parsed_outputs(held).drop("output")
 
 
 @query("grounding", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'redis,vector database' ELSE '' END AS blocked FROM conversations")
