@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-from .common import prepare, read as read_table, shared_dir
+from .common import cut, prepare, read as read_table, shared_dir
 
 SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, headers map<string,string>, payload binary"
 #: Columns that are headers of a record, by which it can be passed over.
@@ -33,6 +33,8 @@ MANIFEST, INDEX = "_records.json", ".idx"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 BATCH_BYTES = 8 << 20
+#: Revisits, about 60 bytes each, up to which they are broadcast.
+BROADCAST_ROWS = 1 << 19
 
 
 def files(path: str) -> tuple[pafs.FileSystem, str]:
@@ -305,22 +307,26 @@ def read(spark: SparkSession, path: str, payload: bool = True, verify: bool = Fa
     return spark.read.format("warc").options(**options).load(path)
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> None:
+def write(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", least_bytes: int = 0, broadcast_rows: int = BROADCAST_ROWS) -> None:
     """A record per row. Of rows with equal payloads of least_bytes or more, the one with the largest id is a response, and others revisit it.
 
-    Payloads are grouped by their SHA-1 with a maximum that combines before the shuffle; groups of several rows
-    are joined back with all rows, which shuffles each payload once; Spark splits a large group. A null payload is an empty one; rows with a null id revisit like
-    others but are never revisited; rows that share the largest id are all responses; an empty table gives an archive
-    without records; further columns are left aside.
+    Ids and SHA-1 alone are shuffled to find the revisits, with a maximum that combines first. Up to broadcast_rows of them are
+    broadcast, and payloads go from the scan to the archives; with more, payloads are joined with them by id and SHA-1,
+    so each is shuffled once, and equal ones of different rows don't meet in one task. A null payload is an empty one; rows
+    with a null id revisit like others but are never revisited; rows that share the largest id are all responses; an empty
+    table gives an archive without records; line ends in ids and URIs are written as %0D and %0A; further columns are left aside.
     """
     spark = prepare(pages.sparkSession)
     spark.dataSource.register(Warc)
     payload = F.coalesce(pages[payload_col].cast("binary"), F.lit(b""))
-    rows = pages.select(pages[id_col].alias("id"), pages[uri_col].cast("string").alias("target_uri"), payload.alias("payload"), F.sha1(payload).alias("sha"))
-    groups = rows.where(F.octet_length("payload") >= least_bytes).groupBy("sha").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1")
-    joined = rows.join(groups.select("sha", "last"), "sha", "left")
-    refers = F.when(F.col("last").isNotNull() & ~F.col("id").eqNullSafe(F.col("last")), F.col("last").cast("string"))
-    out = joined.select(F.col("id").cast("string").alias("record_id"), "target_uri", "payload", refers.alias("refers_to"))
+    rows = pages.select(pages[id_col].alias("id"), pages[uri_col].cast("string").alias("target_uri"), payload.alias("payload"), F.unhex(F.sha1(payload)).alias("sha"))
+    known = rows.where(F.octet_length("payload") >= least_bytes).select("id", "sha")
+    groups = known.groupBy("sha").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").select("sha", "last")
+    found = cut(known.join(groups, "sha").where("not id <=> last").distinct())
+    small = found.count() <= broadcast_rows
+    found = found.select(F.col("id").alias("rid"), F.col("sha").alias("rsha"), "last")
+    joined = rows.join(F.broadcast(found) if small else found.hint("merge"), rows["id"].eqNullSafe(F.col("rid")) & (rows["sha"] == F.col("rsha")), "left")
+    out = joined.select(F.col("id").cast("string").alias("record_id"), "target_uri", "payload", F.col("last").cast("string").alias("refers_to"))
     out.write.format("warc").mode("append").save(path)
 
 

@@ -14,10 +14,10 @@ def sha(text):
     return base64.b32encode(hashlib.sha1((text or "").encode()).digest()).decode()
 
 
-@pytest.fixture(scope="module")
-def archives(spark, tmp_path_factory):
+@pytest.fixture(scope="module", params=[warc.BROADCAST_ROWS, 0])
+def archives(spark, tmp_path_factory, request):
     path = str(tmp_path_factory.mktemp("w") / "a")
-    warc.write(spark.createDataFrame(ROWS, "page_id long, url string, html string").withColumn("sha", F.lit(1)), path)
+    warc.write(spark.createDataFrame(ROWS, "page_id long, url string, html string").withColumns({"sha": F.lit(1), "last": F.lit(2), "rid": F.lit(3)}), path, broadcast_rows=request.param)
     return path
 
 
