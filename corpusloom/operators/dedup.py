@@ -56,13 +56,45 @@ def classes(sigs: DataFrame) -> DataFrame:
     return sigs.groupBy("sig").agg(F.min("ord").alias("ord"), F.count("*").alias("n"))
 
 
-def pairs(sigs: DataFrame, n: int = 32, threshold: float = 0.95) -> DataFrame:
-    """Pairs (a < b, sim) of class representatives whose signatures agree in at least threshold of their slots."""
-    keyed = classes(sigs).select("ord", "sig", F.explode(bands(F.col("sig"), n, band_count(n, threshold))).alias("band"))
-    left = keyed.select(F.col("ord").alias("a"), F.col("sig").alias("sa"), "band")
-    right = keyed.select(F.col("ord").alias("b"), F.col("sig").alias("sb"), "band")
-    met = left.join(right, "band").where("a < b").withColumn("sim", similarity(F.col("sa"), F.col("sb")))
-    return met.where(F.col("sim") >= threshold).select("a", "b", "sim").distinct()
+#: Signatures of one band that are compared with each other at once; a larger band is cut up.
+BAND = 256
+
+
+def pairs(sigs: DataFrame, n: int = 32, threshold: float = 0.95, band: int = BAND) -> DataFrame:
+    """Pairs (a < b, sim) of class representatives whose signatures agree in at least threshold of their slots.
+
+    Signatures that share a band and are more than band get a second key: a similar pair differs in at most m slots in
+    all, so of m + 1 slices of the slots outside the band one agrees too. What then still is larger is dealt into
+    blocks of band by hash, and blocks meet each other one by one, so no task compares more than band rows with band.
+    """
+    count = band_count(n, threshold)
+    reps = classes(sigs).select("ord", "sig")
+    keyed = reps.select("ord", "sig", F.posexplode(bands(F.col("sig"), n, count)).alias("slice", "band"))
+    keyed = _cut_up(keyed, n, count, band)
+    sizes = keyed.groupBy("band").agg(F.count("*").alias("__n")).where("__n > 1")
+    held = checkpointed(keyed.join(sizes, "band").withColumn("parts", F.ceil(F.col("__n") / band).cast("int")))
+    block = F.pmod(F.xxhash64("ord"), F.col("parts")).cast("int")
+    # Block i meets blocks i .. parts - 1: the row goes to each pair of blocks that has its own
+    met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("x"), F.greatest(F.col("block"), j).alias("y")))
+    spread_rows = held.withColumn("block", block).select("ord", "sig", "band", "block", F.explode(met).alias("m")).select("ord", "sig", "band", "block", "m.x", "m.y")
+    left = spread_rows.where("block = x").select(F.col("ord").alias("a"), F.col("sig").alias("sa"), "band", "x", "y")
+    right = spread_rows.where("block = y").select(F.col("ord").alias("b"), F.col("sig").alias("sb"), "band", "x", "y")
+    found = left.join(right, ["band", "x", "y"]).where("x < y or a < b").withColumn("sim", similarity(F.col("sa"), F.col("sb")))
+    found = found.where(F.col("sim") >= threshold)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").distinct()
+
+
+def _cut_up(keyed: DataFrame, n: int, count: int, most: int) -> DataFrame:
+    """keyed (ord, sig, slice, band) with bands of more than most rows cut by a slice of the other slots each: (ord, sig, band)."""
+    sizes = keyed.groupBy("band").agg(F.count("*").alias("__n"))
+    large = sizes.where(F.col("__n") > most).select("band")
+    edges = F.array(*[F.lit(n * k // count) for k in range(count + 1)])
+    wide = keyed.join(large, "band")
+    outside = F.concat(F.slice("sig", F.lit(1), F.get(edges, F.col("slice"))), F.slice("sig", F.get(edges, F.col("slice") + 1) + 1, F.lit(n)))
+    cuts = lambda rest: F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda j: F.struct(j.alias("j"), F.slice(rest, F.floor(F.size(rest) * j / count).cast("int") + 1, (F.floor(F.size(rest) * (j + 1) / count) - F.floor(F.size(rest) * j / count)).cast("int")).alias("s")))
+    again = wide.select("ord", "sig", "band", F.explode(X.let(outside, cuts)).alias("c")).where(F.size("c.s") > 0)
+    again = again.select("ord", "sig", F.md5(F.concat_ws(",", "band", F.col("c.j").cast("string"), F.array_join("c.s", ","))).alias("band"))
+    return keyed.join(large, "band", "left_anti").select("ord", "sig", "band").unionByName(again)
 
 
 def greedy(sigs: DataFrame, n: int = 32, threshold: float = 0.95, rounds: int = 100) -> DataFrame:

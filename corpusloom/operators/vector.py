@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -12,16 +12,17 @@ from ..functions.text import col
 def hash_embedding(text: Column | str, dim: int = 768) -> Column:
     """Signed token counts in dim places, by SHA-256 of each token, with norm 1 (or all zero).
 
-    The first four bytes give the place, the parity of the fifth the sign.
+    The first four bytes give the place, the parity of the fifth the sign. Tokens are sorted by place and sign among one
+    mark for each; counts are the distances of the marks, so the work doesn't grow with tokens times places.
     """
-    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(col(text), F.lit(""))), "(?U)[\\s\\x1c-\\x1f]+", " ")), " ")
-    words = F.filter(words, lambda w: w != "")
-    hashed = F.transform(words, lambda w: F.sha2(w, 256))
+    hashed = F.transform(X.tokens(F.coalesce(col(text), F.lit(""))), lambda w: F.sha2(w, 256))
     place = lambda h: F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
-    sign = lambda h: F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
-    entries = F.transform(hashed, lambda h: F.struct(place(h).alias("i"), sign(h).alias("v")))
-    sums = lambda es: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(es, lambda e: e["i"] == i), F.lit(0.0), lambda a, e: a + e["v"]))
-    return X.let(X.let(entries, sums), normalized)
+    less = lambda h: F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2
+    among = F.array_sort(F.concat(F.transform(hashed, lambda h: place(h) * 4 + less(h) * 2), F.sequence(F.lit(1), F.lit(4 * dim - 1), F.lit(2))))
+    marks = lambda e: F.filter(F.transform(e, lambda x, i: F.when(x % 2 == 1, i)), lambda i: i.isNotNull())
+    count = lambda m, i: 2 * F.get(m, 2 * i) - F.coalesce(F.get(m, 2 * i - 1), F.lit(-1)) - F.get(m, 2 * i + 1)
+    sums = lambda m: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: count(m, i).cast("double"))
+    return X.let(X.let(X.let(among, marks), sums), normalized)
 
 
 def sparse_embedding(df: DataFrame, key: str, text: str, dim: int = 768) -> DataFrame:
@@ -63,18 +64,26 @@ def search(points: DataFrame, query: list[float], k: int, key: str = "id", vecto
     return held.withColumn("score", score).orderBy(F.desc("score"), key).limit(k)
 
 
-def search_batch(points: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "vector", blocks: int = 16) -> DataFrame:
-    """(query, key, score, rank): the k nearest points of each query (query, qv), which must be few enough to broadcast.
+#: Queries that are broadcast at once.
+BATCH = 1024
 
-    Each of blocks parts of the points keeps its own k first, so that ranking a query never gathers all points.
+
+def search_batch(points: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "vector", batch: int = BATCH) -> DataFrame:
+    """(query, key, score, rank): the k nearest points of each query (query, qv), ties by key.
+
+    Queries are broadcast in batches of at most batch, whatever their number, and each point meets each of them once.
+    Ranks cut rows beyond k in each task, before the shuffle, so of P tasks a query gets at most k * P rows.
     """
-    met = points.select(key, vector).crossJoin(F.broadcast(queries.select("query", "qv")))
-    scored = met.select("query", key, cosine(vector, "qv").alias("score"))
-    first = lambda df, *by: df.groupBy("query", *by).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), key))), 1, k).alias("t"))
-    parts = first(scored.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks))), "block")
-    rows = parts.select("query", F.explode("t").alias("e")).select("query", F.col(f"e.{key}").alias(key), (-F.col("e.s")).alias("score"))
-    ranked = first(rows).select("query", F.posexplode("t").alias("p", "e"))
-    return ranked.select("query", F.col(f"e.{key}").alias(key), (-F.col("e.s")).alias("score"), (F.col("p") + 1).cast("long").alias("rank"))
+    n = queries.count()
+    parts, out = -(-n // batch) or 1, None
+    for part in range(parts):
+        some = queries.select("query", "qv")
+        some = some.where(F.pmod(F.xxhash64("query", F.lit("batch")), F.lit(parts)) == part) if parts > 1 else some
+        met = points.select(key, vector).crossJoin(F.broadcast(some)).select("query", key, cosine(vector, "qv").alias("score"))
+        place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key))
+        found = met.withColumn("rank", place.cast("long")).where(F.col("rank") <= k)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def upsert(points: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ from ..session import table
 from .registry import query
 
 QUESTION = "Explain the Thth parser and the tion module with Ereaned tests"
-SYMBOLS, TERMS = retrieve.query_symbols(QUESTION), retrieve.query_terms(QUESTION)
-FRAGMENTS = retrieve.file_fragments(SYMBOLS + TERMS)
+SYMBOLS, TERMS = ["Explain", "Thth", "Ereaned"], ["explain", "thth", "parser", "tion", "module", "ereaned"]
+FRAGMENTS = ["ereaned", "explain", "module", "parser", "thth", "tion"]
 DIM = 64
 
 
@@ -110,18 +112,14 @@ def keyword_boost(spark, sf):
 
 _IMPORTANCE = "least(least(importance_score * 0.08, 0.20) + CASE WHEN is_entry_point THEN 0.10 ELSE 0 END + least(imported_by_count * 0.03, 0.15), 0.30)"
 _RANKED = f"""SELECT id, folder, language = 'en' AS m, importance_score AS imp, least(1.0, 0.5 - (id % 10) / 40.0::DOUBLE + {_boost_sql()} + CASE WHEN language = 'en' THEN 0.08 ELSE 0 END + {_IMPORTANCE}
- + CASE WHEN folder = 'src3' THEN 0.10 ELSE 0 END + CASE WHEN source = 'project_map' THEN 0.10 ELSE 0 END) AS score FROM {_CHUNKS} WHERE id % 3 = 0"""
+ + CASE WHEN folder = 'src3' THEN 0.10 ELSE 0 END + CASE WHEN source = 'project_map' THEN 0.10 ELSE 0 END) AS score FROM {_CHUNKS}"""
 
 
-def _all_ranked(spark, sf):
+def _ranked(spark, sf):
     held = _docs_as_chunks(spark, sf).withColumn("score", 0.5 - (F.col("id") % 10) / 40.0)
     return retrieve.rerank(held, retrieve.keyword_boost(held, SYMBOLS, TERMS, FRAGMENTS), "en", "work/src3/open.py")
 
 
-def _ranked(spark, sf):
-    return _all_ranked(spark, sf).where("id % 3 = 0")
-
-
 _BEST = "round(score, 9) DESC, m DESC, imp DESC, id"
 
 
@@ -165,13 +163,81 @@ def overview_score(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.round(retrieve.overview_score("text", TERMS), 6).cast("double").alias("score"))
 
 
-@query("overview_pack")
+# A search from end to end, over documents that have a vector. Six kinds of chunk, by id.
+
+_KIND = "['doc', 'folder_summary', 'file_summary', 'window', 'function', 'window'][1 + id % 6]"
+_INDEXED = f"""(SELECT c.*, embedding::DOUBLE[] AS v, CASE WHEN id % 60 = 0 THEN 'docs/README.md' ELSE file_path END AS path, {_KIND} AS kind, id % 5 + 1 AS a, id % 5 + 10 AS b FROM {_CHUNKS} c JOIN embeddings ON vec_id = id)"""
+_ENTRIES, _IMPORTANT = ["src1/25.py", "src2/8.py", "src3/63.py"], ["src1/121.py", "src4/14.py", "src5/20.py", "src6/9.py"]
+_IN = lambda names: "(" + ", ".join(f"'{x}'" for x in names) + ")"
+
+
+def _indexed(spark, sf):
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    kinds = F.array(*[F.lit(k) for k in ("doc", "folder_summary", "file_summary", "window", "function", "window")])
+    held = _docs_as_chunks(spark, sf).join(vectors, "id").withColumn("chunk_type", F.element_at(kinds, (F.col("id") % 6 + 1).cast("int")))
+    return held.withColumn("file_path", F.when(F.col("id") % 60 == 0, "docs/README.md").otherwise(F.col("file_path")))
+
+
+def _question(spark, sf, text=QUESTION):
+    return replace(retrieve.asked(spark, text), embedding=_query_vector(spark, sf))
+
+
+def _final_sql(hits: str, boost: str, limit: str) -> str:
+    """Hits (id, part, n, s) ranked with boosts, one a location."""
+    return f"""r AS (SELECT id, part, n, h.s, language = 'en' AS m, importance_score AS imp, path, a, b, round(least(1.0, h.s + {boost} + CASE WHEN language = 'en' THEN 0.08 ELSE 0 END + {_IMPORTANCE}
+ + CASE WHEN source = 'project_map' THEN 0.10 ELSE 0 END), 9) AS score FROM ({hits}) h JOIN p USING (id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY path, a, b ORDER BY score DESC, m DESC, imp DESC, part, n) AS o FROM r)
+SELECT id, round(score, 6)::DOUBLE AS score, round(s, 6)::DOUBLE AS semantic FROM k WHERE o = 1 ORDER BY score DESC, m DESC, imp DESC, part, n {limit}"""
+
+
+def _boosted() -> str:
+    return _boost_sql().replace("lower(file_path)", "lower(path)")
+
+
+_MAP = "SELECT id, 0 AS part, 1 AS n, round(least(0.82, 0.64 + 0.04 * (" + " + ".join(f"contains(low, '{w}')::INT" for w in TERMS) + ")), 9) AS s FROM p WHERE source = 'project_map' ORDER BY id LIMIT 1"
+_BLOB = "low || ' ' || lower(path) || ' ' || folder"
+
+
+def _scored(hits):
+    return hits.select("id", F.round("score", 6).cast("double").alias("score"), F.round("semantic_score", 6).cast("double").alias("semantic"))
+
+
+@query("retrieve_hybrid", f"""WITH p AS (SELECT * FROM {_INDEXED}), mp AS ({_MAP}),
+near AS (SELECT p.id, 1 AS part, row_number() OVER (ORDER BY {_COS} DESC, p.id) AS n, {_COS} AS s FROM p, (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 7) q QUALIFY n <= 100),
+found AS (SELECT id, 2 AS part, row_number() OVER (ORDER BY id) AS n, 0.55 AS s FROM p WHERE {" OR ".join([f"contains({_BLOB}, '{x.lower()}')" for x in SYMBOLS + TERMS] + [f"contains(lower(path), '{f}')" for f in FRAGMENTS])} QUALIFY n <= 50),
+{_final_sql("SELECT * FROM mp UNION ALL SELECT * FROM near UNION ALL SELECT * FROM found", _boosted(), "LIMIT 5")}""")
+def retrieve_hybrid(spark, sf):
+    return _scored(retrieve.retrieve(_indexed(spark, sf), _question(spark, sf), 5, "en"))
+
+
+_OVERVIEW = f"""x AS (SELECT id, CASE WHEN kind = 'folder_summary' THEN 1 WHEN kind = 'file_summary' THEN 2 WHEN kind = 'doc' AND lower(path) LIKE '%readme.md' THEN 0 WHEN source = 'project_code' THEN 3 END AS c, length(content) AS n, path, kind,
+ CASE WHEN kind = 'folder_summary' THEN 1.0 WHEN kind = 'file_summary' THEN CASE WHEN path IN {_IN(_ENTRIES)} THEN 0.95 WHEN path IN {_IN(_IMPORTANT)} THEN 0.90 WHEN is_config_file THEN 0.85 WHEN importance_score > 0.5 THEN 0.80 ELSE 0.60 END
+  WHEN kind = 'doc' AND lower(path) LIKE '%readme.md' THEN 1.0 WHEN path IN {_IN(_ENTRIES)} THEN 0.70 WHEN path IN {_IN(_IMPORTANT)} THEN 0.65 ELSE 0.50 END AS s FROM (SELECT * FROM p ORDER BY id LIMIT 1500)),
+l AS (SELECT *, row_number() OVER (ORDER BY c, CASE WHEN c >= 2 THEN -s ELSE 0 END, id) AS i FROM x WHERE c IS NOT NULL),
+f AS (SELECT 0::BIGINT AS i, 25000 - coalesce((SELECT length(content) FROM p WHERE source = 'project_map' ORDER BY id LIMIT 1), 0) AS budget, false AS readme, false AS kept
+ UNION ALL SELECT l.i, CASE WHEN c = 1 OR (n <= budget AND NOT (c = 0 AND readme)) THEN budget - n ELSE budget END, readme OR (c = 0 AND n <= budget), c = 1 OR (n <= budget AND NOT (c = 0 AND readme)) FROM f JOIN l ON l.i = f.i + 1),
+o AS (SELECT l.id, l.i, l.s, row_number() OVER (PARTITION BY CASE WHEN kind = 'folder_summary' THEN l.id::VARCHAR ELSE path END ORDER BY l.i) AS d FROM f JOIN l USING (i) WHERE kept)"""
+
+
+@query("overview_pack", f"WITH RECURSIVE p AS (SELECT * FROM {_INDEXED}), {_OVERVIEW} SELECT id, s::DOUBLE AS score FROM o WHERE d = 1")
 def overview_pack(spark, sf):
-    held = _docs_as_chunks(spark, sf).withColumn("chunk_type", F.element_at(F.array(F.lit("file_summary"), F.lit("folder_summary"), F.lit("window")), (F.col("id") % 3 + 1).cast("int")))
-    score = retrieve.summary_score("chunk_type", "file_path", "is_entry_point", F.col("id") % 23 == 0, "is_config_file", "importance_score")
-    ranked = held.withColumn("size", F.length("content")).withColumn("place", F.row_number().over(Window.partitionBy("folder").orderBy(F.desc(score), "id")))
-    kept = budget.skip_if_not_fit(ranked, ["folder"], "place", "size", 25_000)
-    return ranked.join(kept, ["folder", "place"]).select("folder", "place", "id", "size")
+    points = _indexed(spark, sf)
+    used = points.where("source = 'project_map'").orderBy("id").limit(1).agg(F.coalesce(F.sum(F.length("content")), F.lit(0))).first()[0]
+    return retrieve.overview(points, _ENTRIES, _IMPORTANT, used).select("id", F.col("score").cast("double").alias("score"))
+
+
+@query("retrieve_overview", f"WITH RECURSIVE p AS (SELECT * FROM {_INDEXED}), mp AS ({_MAP}), {_OVERVIEW}, {_final_sql('SELECT * FROM mp UNION ALL SELECT id, 1, i, s FROM o WHERE d = 1', _boosted(), '')}")
+def retrieve_overview(spark, sf):
+    return _scored(retrieve.retrieve(_indexed(spark, sf), _question(spark, sf), 5, "en", None, "project_explain", None, _ENTRIES, _IMPORTANT))
+
+
+_ASKS = "Compare README.md with 31.py and src2/8.py"
+
+
+@query("retrieve_exact", f"""WITH p AS (SELECT * FROM {_INDEXED}), e AS (SELECT id, 1 AS part, id AS n, 0.55 AS s FROM p WHERE path = 'docs/README.md' OR path LIKE '%/31.py' OR path = 'src2/8.py'),
+{_final_sql("SELECT * FROM e", "least((0.20 * (contains(low, 'compare') OR false)::INT + 0.20 * contains(low, 'readme')::INT + " + " + ".join(f"0.24 * (contains(lower(path), '{w}') OR contains(folder, '{w}'))::INT + 0.14 * contains(low, '{w}')::INT" for w in ("compare", "readme", "src2", "src2 8")) + " + " + " + ".join(f"0.18 * contains(lower(path), '{w}')::INT" for w in ("compare", "readme", "src", "2", "src_2", "src_2_8", "8")) + ")::DOUBLE, 0.60)", "LIMIT 5")}""")
+def retrieve_exact(spark, sf):
+    return _scored(retrieve.retrieve(_indexed(spark, sf), _question(spark, sf, _ASKS), 5, "en", None, "compare"))
 
 
 @query(
@@ -188,7 +254,7 @@ def context_pack_skip(spark, sf):
 
 @query("context_blocks")
 def context_blocks(spark, sf):
-    return budget.context_blocks(_all_ranked(spark, sf), ["folder"], "ord")
+    return budget.context_blocks(_ranked(spark, sf), ["folder"], "ord")
 
 
 @query("history_pack")
@@ -261,9 +327,23 @@ def entity_extract(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(F.transform(found, lambda e: F.concat(e["kind"], F.lit(":"), e["name"])), ",").alias("entities"))
 
 
-@query("query_terms", "SELECT conv_id, turn, 'alpha,beta,alpha beta,value' AS terms FROM conversations")
+_STOP = "(" + ", ".join(f"'{w}'" for w in retrieve.STOP_TERMS) + ")"
+
+
+@query("query_terms", f"""WITH r AS (SELECT conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z0-9_/-]{{2,}}') AS raw FROM (SELECT conv_id, turn, text || ' Please show the alpha/beta_value for this test' AS text FROM conversations)),
+l AS (SELECT conv_id, turn, flatten(list_transform(raw, lambda t: list_concat(list_filter(string_split_regex(t, '[/_-]+'), lambda x: length(x) >= 3 AND x NOT IN {_STOP}), CASE WHEN t NOT IN {_STOP} THEN [replace(t, '/', ' ')] ELSE [] END))) AS l FROM r)
+SELECT conv_id, turn, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:30], ',') AS terms FROM l""")
 def query_terms(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(retrieve.terms(F.lit("Please show the alpha/beta value for this test")), ",").alias("terms"))
+    text = F.concat("text", F.lit(" Please show the alpha/beta_value for this test"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(retrieve.terms(text), ",").alias("terms"))
+
+
+@query("question_names", """WITH r AS (SELECT conv_id, turn, regexp_extract_all(text, '\\b[A-Z][A-Za-z0-9_]{2,}\\b') AS s FROM (SELECT conv_id, turn, regexp_replace(text, '[^\x00-\x7F]+', ' ', 'g') AS text FROM conversations)), d AS (SELECT conv_id, turn, list_filter(s, lambda x, i: list_position(s, x) = i) AS s FROM r),
+w AS (SELECT conv_id, turn, s, list_transform(s, lambda x: list_transform(regexp_extract_all(x, '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda y: lower(y))) AS w FROM d)
+SELECT conv_id, turn, array_to_string(s, ',') AS symbols, array_to_string(list_sort(list_distinct(list_concat(list_transform(list_filter(w, lambda x: len(x) > 0), lambda x: array_to_string(x, '_')), list_filter(flatten(w), lambda x: x NOT IN ('agent', 'class', 'function'))))), ',') AS fragments FROM w""")
+def question_names(spark, sf):
+    held = table(spark, sf, "conversations").select("conv_id", "turn", retrieve.symbols(F.regexp_replace("text", r"[^\x00-\x7F]+", " ")).alias("s"))
+    return held.select("conv_id", "turn", F.array_join("s", ",").alias("symbols"), F.array_join(retrieve.fragments(F.col("s")), ",").alias("fragments"))
 
 
 @query("source_diversity", "SELECT lang, count(*) AS sources, count(DISTINCT source) AS files, round(count(DISTINCT source) / count(*)::DOUBLE, 3) AS diversity FROM documents GROUP BY 1")

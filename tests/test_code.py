@@ -1,8 +1,10 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import code as C
-from corpusloom.operators import budget, chunk, conversation, graph, output, retrieve
+from corpusloom.operators import budget, chunk, conversation, graph, output, retrieve, vector
 from corpusloom.plans.code import SOURCES
 
 
@@ -123,10 +125,60 @@ def test_strict_file_match(spark):
     assert [r[0] for r in got] == [False, True, True, False]
 
 
-def test_query_terms_agree(spark):
-    for q in ["Fix the user_profile/Loader-test in AgentRouter", "", "a b"]:
-        assert spark.range(1).select(retrieve.terms(F.lit(q))).first()[0] == retrieve.query_terms(q)
-    assert retrieve.file_fragments(["FlightAgent"]) == ["flight", "flight_agent"]
+def test_questions(spark):
+    """The constants of the plans, and the cases of joined words, stop terms and agents."""
+    from corpusloom.plans import retrieval
+
+    held = retrieve.asked(spark, retrieval.QUESTION, 8)
+    assert (held.symbols, held.terms, held.fragments) == (retrieval.SYMBOLS, retrieval.TERMS, retrieval.FRAGMENTS) and len(held.embedding) == 8
+    held = retrieve.asked(spark, "Fix the user_profile/Loader-test in AgentRouter, FlightAgent and src/a.py")
+    assert held.symbols == ["Fix", "Loader", "AgentRouter", "FlightAgent"] and held.files == ["src/a.py"]
+    assert held.terms == ["user", "profile", "loader", "user_profile loader-test", "agentrouter", "flightagent", "src", "src a"]
+    assert {"flight", "flight_agent", "agent_router", "router", "fix", "loader"} <= set(held.fragments) and "agent" not in held.fragments
+    assert retrieve.asked(spark, "", 4).embedding == [0.0] * 4
+
+
+def test_hash_embedding_is_the_sparse_one(spark):
+    import hashlib
+    import math
+
+    rows = [(1, "a b a C"), (2, ""), (3, None), (4, " ".join(f"w{i}" for i in range(300)))]
+    got = {r["k"]: r["v"] for r in spark.createDataFrame(rows, "k long, t string").select("k", vector.hash_embedding("t", 16).alias("v")).collect()}
+    for k, t in rows:
+        want = [0.0] * 16
+        for w in (t or "").lower().split():
+            h = hashlib.sha256(w.encode()).digest()
+            want[int.from_bytes(h[:4], "big") % 16] += 1 if h[4] % 2 == 0 else -1
+        n = math.sqrt(sum(x * x for x in want)) or 1.0
+        assert got[k] == pytest.approx([x / n for x in want])
+
+
+def test_batches_of_queries_give_the_same(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(i, [r.random() - 0.5 for _ in range(4)]) for i in range(200)]
+    points = spark.createDataFrame(rows, "id long, vector array<double>")
+    queries = points.where("id < 30").selectExpr("id as query", "vector as qv")
+    found = [sorted(map(tuple, vector.search_batch(points, queries, 3, batch=b).collect())) for b in (1024, 7)]
+    assert found[0] == found[1] and len(found[0]) == 90 and all(x[1] == x[0] for x in found[0] if x[3] == 1)
+    assert vector.search_batch(points, queries.limit(0), 3).count() == 0
+
+
+def test_modes_of_retrieval(spark):
+    rows = [(i, f"src/f{i}.py", "src", "project_code", "window", f"body {i}", [1.0, i / 10.0]) for i in range(20)] + [(90, "docs/README.md", "docs", "project_code", "doc", "read me", [0.0, 1.0]), (91, "map", "", "project_map", "project_map", "the map", [0.0, 0.0])]
+    points = spark.createDataFrame(rows, "id long, file_path string, folder string, source string, chunk_type string, content string, vector array<double>")
+    none = F.array().cast("array<string>")
+    points = points.withColumns({"language": F.lit("python"), "symbol_name": F.lit(""), "imports": none, "called_functions": none, "dependency_neighbors": none, "frameworks": none, "project_types": none, "is_test_file": F.lit(False), "is_config_file": F.lit(False), "is_entry_point": F.lit(False), "importance_score": F.lit(0.0), "imported_by_count": F.lit(0), "start_line": F.lit(1), "end_line": F.col("id")})
+    ask = lambda q: replace(retrieve.asked(spark, q), embedding=[1.0, 0.0])
+    exact = retrieve.retrieve(points, ask("Compare f3.py and f4.py"), 5, task_name="compare").collect()
+    assert {r["id"] for r in exact} == {3, 4} and {r["mode"] for r in exact} == {"exact"}
+    missing = retrieve.retrieve(points, ask("Compare none.py and nil.py"), 5, task_name="compare").collect()
+    assert len(missing) == 5 and {r["mode"] for r in missing} == {"hybrid"}
+    whole = retrieve.retrieve(points, ask("what is this project"), 5, explain="project").collect()
+    assert {r["mode"] for r in whole} == {"overview"} and len(whole) == 22 and whole[0]["id"] in (90, 91)
+    assert retrieve.retrieve(points.limit(0), ask("x"), 5).count() == 0
+    assert retrieve.search_depths(5) == (100, 50) and retrieve.search_depths(1) == (50, 30)
 
 
 def test_budgets_differ(spark):

@@ -24,8 +24,11 @@ def rows(columns, found):
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query(spark, sf, name):
+def test_query(spark, sf, name, tmp_path):
+    """Each frame is written as files too, so its columns must have names of their own."""
     df = QUERIES[name](spark, sf)
+    df.write.parquet(str(tmp_path / "q"))
+    df = spark.read.parquet(str(tmp_path / "q"))
     got = rows(df.columns, [tuple(r) for r in df.collect()])
     if name not in ORACLES:
         assert got
@@ -33,8 +36,6 @@ def test_query(spark, sf, name):
     db = duckdb.connect()
     for p in glob.glob(f"{sf}/*.parquet"):
         db.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
-    if name in ("merge_checks",):
-        return
     result = db.execute(ORACLES[name])
     columns = [d[0] for d in result.description]
     assert sorted(columns) == sorted(df.columns)
