@@ -41,6 +41,27 @@ def validity(df: DataFrame) -> DataFrame:
     return df.withColumn("reason", reason(rules))
 
 
+def encodable(c: Column | str) -> Column:
+    """Whether a text, or bytes taken as one, is valid UTF-8: a lone surrogate and a cut-off character are not. A null isn't."""
+    return F.coalesce(F.is_valid_utf8(X.col(c).cast("string")), F.lit(False))
+
+
+def stream_gates(df: DataFrame, languages: list[str], include: list[str] = (), must_match: bool = True, max_chars: int = 0, snippet: bool = False, language: str = "language", text: str = "code") -> DataFrame:
+    """df with a column reason, by the rules of a stream: unsupported_language, not_included (both only if languages must match), max_chars_exceeded, not_snippet_like or null."""
+    lang = X.alias_language(language)
+    rules = []
+    if must_match:
+        rules.append(("unsupported_language", ~lang.isin(*languages)))
+        if include:
+            wanted = F.array(*[X.alias_language(F.lit(x)) for x in include])
+            rules.append(("not_included", ~F.array_contains(wanted, lang)))
+    if max_chars > 0:
+        rules.append(("max_chars_exceeded", F.length(text) > max_chars))
+    if snippet:
+        rules.append(("not_snippet_like", ~X.looks_like_snippet(text)))
+    return df.withColumn("reason", reason(rules) if rules else F.lit(None).cast("string"))
+
+
 def counts_by_reason(df: DataFrame) -> DataFrame:
     return df.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
@@ -115,3 +136,13 @@ def syntax_kept(df: DataFrame, languages: list[str] = ("python", "java", "javasc
     least = F.least(*best)
     kept = (F.col("objective") == "bug_fix") | (F.col("language").isin(list(languages)) & ((least == 0) | (lenient & (least <= 0.5))))
     return df.withColumn("kept", F.coalesce(kept, F.lit(False)))
+
+
+def any_parses(df: DataFrame, columns: list[str] = ("input", "context", "output"), language: str = "language") -> DataFrame:
+    """df with a boolean kept: one of the columns parses as it stands, in full; no objective is excused."""
+
+    @F.pandas_udf("boolean")
+    def clean(languages: pd.Series, *texts: pd.Series) -> pd.Series:
+        return pd.Series([any(error_ratio(a, t) == 0 for t in row if t) for a, *row in zip(languages, *texts)], dtype="bool")
+
+    return df.withColumn("kept", clean(F.col(language), *[F.col(c) for c in columns]))

@@ -121,3 +121,33 @@ def project(signals: DataFrame) -> DataFrame:
     important = top.agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("importance_score")).alias("s"), "path"))), lambda x: x["path"]).alias("important_files"))
     entries = signals.where("is_entry_point").agg(F.sort_array(F.collect_list("path")).alias("entry_points"))
     return summary.crossJoin(flat).crossJoin(important).crossJoin(entries)
+
+
+# Fixed values
+ECOSYSTEMS = (("Python", "FastAPI", "Flask", "Django"), ("Node.js", "React", "Angular", "Vue"), ("Java", "Java Spring", "C# .NET", "C++", "Rust"))
+
+
+def workspace(files: DataFrame, frameworks: DataFrame | None = None) -> DataFrame:
+    """One row: project_types, frameworks, mixed (types of two ecosystems or more) and a summary, of files (language).
+
+    frameworks has a list column of that name, and may have project_types too; both are united with what languages say.
+    Languages are named by number of files, then by name.
+    """
+    types = F.create_map(*[F.lit(x) for kv in C.PROJECT_TYPES.items() for x in kv])
+    langs = files.groupBy("language").agg(F.count("*").alias("n"))
+    out = langs.agg(F.array_compact(F.collect_list(F.try_element_at(types, F.col("language")))).alias("t"), F.sort_array(F.collect_list(F.when(F.col("language").isNotNull(), F.struct((-F.col("n")).alias("n"), "language")))).alias("l"))
+    none = F.array().cast("array<string>")
+    if frameworks is None:
+        out = out.withColumns({"f": none, "p": none})
+    else:
+        more = F.col("project_types") if "project_types" in frameworks.columns else none
+        listed = frameworks.select(F.coalesce("frameworks", none).alias("f"), F.coalesce(more, none).alias("p"))
+        listed = listed.select(F.explode(F.concat(F.transform("f", lambda x: F.struct(F.lit("f").alias("k"), x.alias("v"))), F.transform("p", lambda x: F.struct(F.lit("p").alias("k"), x.alias("v"))))).alias("x")).distinct()
+        found = listed.agg(F.collect_set(F.when(F.col("x.k") == "f", F.col("x.v"))).alias("f"), F.collect_set(F.when(F.col("x.k") == "p", F.col("x.v"))).alias("p"))
+        out = out.crossJoin(F.broadcast(found))
+    out = out.select(F.array_sort(F.array_distinct(F.concat("t", "p"))).alias("project_types"), F.array_sort("f").alias("frameworks"), "l")
+    met = lambda group: F.arrays_overlap("project_types", F.array(*[F.lit(x) for x in group])).cast("int")
+    label = lambda c, none: F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise(none)
+    counted = F.transform("l", lambda x: F.concat(x["language"], F.lit("="), (-x["n"]).cast("string")))
+    text = F.concat(label("project_types", "unknown/generic project"), F.lit(". Frameworks: "), label("frameworks", "none detected"), F.lit(". Languages: "), label(counted, "unknown"), F.lit("."))
+    return out.select("project_types", "frameworks", (sum((met(g) for g in ECOSYSTEMS[1:]), met(ECOSYSTEMS[0])) >= 2).alias("mixed"), text.alias("summary"))

@@ -5,7 +5,11 @@ Random choices are ranks by the SHA-1 of a seed and the row's key: the same on a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,28 +148,80 @@ def hash_rank_by_order(df: DataFrame, group: list[str], order: str, width: int =
     return ranked.select(*df.columns, (F.col("__r") + F.col("__before")).alias("__rank"))
 
 
-def ingest(sources: dict[str, tuple[DataFrame | None, object]], caps: dict[str, int] | None = None) -> tuple[DataFrame | None, list[dict]]:
-    """All valid records of the sources, and a report (dataset, status).
+@dataclass
+class Source:
+    """A data set: raw, a DataFrame or a function that loads one, None where there is no raw data; its converter to records; caps."""
+
+    raw: DataFrame | Callable[[], DataFrame] | None
+    converter: Callable[[DataFrame], DataFrame] | None
+    objective: str
+    cap: int = 0
+
+
+CAP_REASON = "max_per_dataset_cap"
+REPORT = "dataset string, status string, error string"
+
+
+def ingest(spark: SparkSession, sources: dict[str, Source], objectives: list[str], cap: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(rows, report) of all sources that can be read and converted.
 
-    A source is a DataFrame, or None where its raw data is missing, and its converter (DataFrame -> records), or None.
-    A converter that fails while it is planned is reported; the others go on.
+    rows are the converted records with dataset and reason: null for those that are kept, or pipeline_ and the rule that
+    they fail, or max_per_dataset_cap for valid ones behind the first cap (of all sources, or the source's own) by ord.
+    The report has a row a source: status (success, skipped for an objective that isn't wanted, missing_raw, load_failed,
+    converter_error), error, raw, kept, dropped, retention and reasons, a map of counts. Loaders and converters are
+    someone else's code, so what they raise while they plan is reported and the others go on.
     """
-    out, report = None, []
-    for name, (raw, converter) in sources.items():
-        if converter is None or raw is None:
-            report.append({"dataset": name, "status": "skipped" if converter is None else "missing_raw"})
+    found, told, counted, caps = [], [], [], {}
+
+    def failed(name: str, status: str, error: str = "") -> None:
+        told.append((name, status, error[:200]))
+
+    for name, source in sources.items():
+        if source.objective not in objectives:
+            failed(name, "skipped", f"objective '{source.objective}' is not wanted")
+            continue
+        if source.raw is None:
+            failed(name, "missing_raw")
+            continue
+        try:
+            raw = source.raw() if callable(source.raw) else source.raw
+            raw.schema  # noqa: B018
+        except Exception as e:
+            failed(name, "load_failed", str(e))
             continue
         try:
-            rows = converter(raw)
-        except Exception as e:  # a converter is someone else's code
-            report.append({"dataset": name, "status": "converter_error", "error": str(e)[:200]})
+            if source.converter is None:
+                raise ValueError("no converter")
+            rows = source.converter(raw)
+        except Exception as e:
+            failed(name, "converter_error", str(e))
             continue
-        rows = validity(rows).withColumn("dataset", F.lit(name))
-        if caps and name in caps:
-            rows = rows.where("reason is null").limit(caps[name])
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-        report.append({"dataset": name, "status": "success"})
-    return out, report
+        if "ord" not in rows.columns:
+            rows = rows.withColumn("ord", F.monotonically_increasing_id())
+        rows = validity(rows).withColumn("reason", F.when(F.col("reason").isNotNull(), F.concat(F.lit("pipeline_"), "reason")))
+        found.append(rows.withColumn("dataset", F.lit(name)))
+        counted.append(raw.agg(F.count("*").alias("raw")).withColumn("dataset", F.lit(name)))
+        told.append((name, "success", None))
+        if cap or source.cap:
+            caps[name] = cap or source.cap
+    statuses = spark.createDataFrame(told, REPORT)
+    if not found:
+        return spark.createDataFrame([], "dataset string, reason string"), statuses.selectExpr("*", "0L as raw", "0L as kept", "0L as dropped", "0.0D as retention", "cast(map() as map<string,bigint>) as reasons")
+    union = lambda dfs: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
+    rows = union(found)
+    if caps:
+        limit = F.try_element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col("dataset"))
+        ranked = hash_rank_by_order(rows.where("reason is null"), ["dataset"], "ord")
+        kept = ranked.withColumn("reason", F.when(F.col("__rank") > limit, CAP_REASON)).drop("__rank")
+        rows = kept.unionByName(rows.where("reason is not null"))
+    by = rows.groupBy("dataset", "reason").agg(F.count("*").alias("n"))
+    entry = F.when(F.col("reason").isNotNull(), F.struct("reason", "n"))
+    sums = by.groupBy("dataset").agg(F.coalesce(F.sum(F.when(F.col("reason").isNull(), F.col("n"))), F.lit(0)).alias("kept"), F.coalesce(F.sum(F.when(F.col("reason").isNotNull(), F.col("n"))), F.lit(0)).alias("dropped"), F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("reasons"))
+    report = statuses.join(union(counted), "dataset", "left").join(sums, "dataset", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    share = F.round(F.coalesce(F.try_divide(F.col("kept").cast("double"), F.col("raw")), F.lit(0.0)), 6)
+    empty = F.map_from_entries(F.array().cast("array<struct<reason:string,n:bigint>>"))
+    return rows, report.select("dataset", "status", "error", zero("raw"), zero("kept"), zero("dropped"), share.alias("retention"), F.coalesce("reasons", empty).alias("reasons"))
 
 
 def struct_of(types: dict[str, str]) -> T.StructType:

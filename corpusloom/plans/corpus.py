@@ -373,12 +373,6 @@ def union_all_splits(spark, sf):
     return rules.counts(held.where("split = 'train'").unionByName(held.where("split = 'test'")), "split", "language")
 
 
-@query("raw_dir_indirection", "SELECT n.n_name AS name, coalesce(p.r_name, n.n_name) AS folder FROM nation n LEFT JOIN region p ON n.n_regionkey = p.r_regionkey AND n.n_nationkey % 2 = 0")
-def raw_dir_indirection(spark, sf):
-    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
-    return n.join(F.broadcast(r), (n.n_regionkey == r.r_regionkey) & (n.n_nationkey % 2 == 0), "left").select(F.col("n_name").alias("name"), F.coalesce("r_name", "n_name").alias("folder"))
-
-
 @query("repo_split_lookup", "SELECT o.o_orderkey % 5 AS bucket, count(*) AS n FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_mktsegment <> 'BUILDING' GROUP BY 1")
 def repo_split_lookup(spark, sf):
     o, c = table(spark, sf, "orders"), table(spark, sf, "customer").where("c_mktsegment <> 'BUILDING'")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,8 +31,13 @@ def session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") ->
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path, below the one that all executors share, or a temporary one where the session names none."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-")
+    """A new folder's path, below the one that all executors share; where the session names none, a temporary one, on a local master only."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="corpusloom-")
+        atexit.register(shutil.rmtree, top, ignore_errors=True)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

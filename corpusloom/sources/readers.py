@@ -12,17 +12,17 @@ from ..operators.filters import reason
 
 # Fixed values
 EXCLUDED_DIRS = (
-    ".git .hg .svn .venv venv env node_modules dist build out target __pycache__ .pytest_cache .mypy_cache .ruff_cache .tox .cache cache caches "
-    ".parcel-cache .next .nuxt coverage logs log qdrant_storage models"
-).split()
+    ".git", ".hg", ".svn", ".venv", "venv", "env", "node_modules", "dist", "build", "out", "target", "__pycache__", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".tox",
+    ".cache", "cache", "caches", ".parcel-cache", ".next", ".nuxt", "coverage", "logs", "log", "qdrant_storage", "models",
+)
 EXCLUDED_SUFFIXES = (
-    ".arrow .bin .ckpt .crt .db .dll .dylib .exe .gif .gz .ico .ipynb .jar .jpeg .jpg .key .log .mp4 .onnx .parquet .pem .pdf .png .pt .pth .pyc "
-    ".pyd .so .safetensors .sqlite .tar .tmp .zip"
-).split()
-SECRET_NAMES = ".env .env.local .env.development .env.production .env.test id_rsa id_dsa id_ecdsa id_ed25519".split()
+    ".arrow", ".bin", ".ckpt", ".crt", ".db", ".dll", ".dylib", ".exe", ".gif", ".gz", ".ico", ".ipynb", ".jar", ".jpeg", ".jpg", ".key", ".log", ".mp4", ".onnx", ".parquet", ".pem", ".pdf",
+    ".png", ".pt", ".pth", ".pyc", ".pyd", ".so", ".safetensors", ".sqlite", ".tar", ".tmp", ".zip",
+)
+SECRET_NAMES = (".env", ".env.local", ".env.development", ".env.production", ".env.test", "id_rsa", "id_dsa", "id_ecdsa", "id_ed25519")
 MAX_BYTES, SNIFF = 1_000_000, 4096
-CODE_COLUMNS = "code content before after text func func_code_string whole_func_string".split()
-LANGUAGE_COLUMNS = "language lang programming_language".split()
+CODE_COLUMNS = ("code", "content", "before", "after", "text", "func", "func_code_string", "whole_func_string")
+LANGUAGE_COLUMNS = ("language", "lang", "programming_language")
 
 RECORD = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "objective", "language", "input", "output", "context", "split")] + [T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))])
 
@@ -47,6 +47,26 @@ def objectives(spark: SparkSession, top: str, schema: T.StructType = RECORD) ->
     return rows.withColumn("objective", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1))
 
 
+def objective_files(spark: SparkSession, files: list[tuple[str, str]], schema: T.StructType = RECORD) -> DataFrame:
+    """The records of (objective, path) JSON lines files in the given order: objective is the file's, ord numbers all rows in order.
+
+    A path that isn't there gives no rows. All files are read at once; a row's place is its file's, then its own in it.
+    """
+    there = [(i, o, p) for i, (o, p) in enumerate(files) if _exists(spark, p)]
+    if not there:
+        return spark.createDataFrame([], schema).withColumn("ord", F.lit(0).cast("long"))
+    out = None
+    for i, objective, path in there:
+        one = spark.read.schema(schema).json(path).withColumn("objective", F.lit(objective)).withColumn("ord", F.lit(i).cast("long") * (1 << 50) + F.monotonically_increasing_id())
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+
+
 def splits(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The Parquet splits of a saved dataset as one table; columns that a split lacks are null."""
     out = None
@@ -56,24 +76,72 @@ def splits(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
+def column_gate(columns: list[str]) -> str:
+    """ok, or what the columns of a raw table lack: no_columns, missing_code_like_column, missing_language_like_column."""
+    names = {c.lower() for c in columns}
+    if not names:
+        return "no_columns"
+    if not names & set(CODE_COLUMNS):
+        return "missing_code_like_column"
+    return "ok" if names & set(LANGUAGE_COLUMNS) else "missing_language_like_column"
+
+
 def gated_parquet(spark: SparkSession, paths: list[str]) -> tuple[DataFrame | None, list[tuple[str, str]]]:
-    """(rows, skipped): files that have a code column and a language column; the others with why not. Only footers decide."""
+    """(rows, skipped): files that have a code column and a language column; the others with why not.
+
+    Only footers decide; the driver reads several at once.
+    """
     good, skipped = [], []
-    for p in paths:
-        try:
-            names = {f.name.lower() for f in spark.read.parquet(p).schema}
-        except Exception as e:
-            skipped.append((p, f"unreadable: {type(e).__name__}"))
-            continue
-        if not names & set(CODE_COLUMNS):
-            skipped.append((p, "no code column"))
-        elif not names & set(LANGUAGE_COLUMNS):
-            skipped.append((p, "no language column"))
+    for path, gate in _footers(spark, paths):
+        if gate == "ok":
+            good.append(path)
         else:
-            good.append(p)
+            skipped.append((path, gate))
     return (splits(spark, good) if good else None), skipped
 
 
+def _footers(spark: SparkSession, paths: list[str]) -> list[tuple[str, str]]:
+    """(path, gate) of each path, in order."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(path: str) -> tuple[str, str]:
+        try:
+            return path, column_gate(spark.read.parquet(path).columns)
+        except Exception as e:
+            return path, f"unreadable: {type(e).__name__}"
+
+    with ThreadPoolExecutor(16) as pool:
+        return list(pool.map(one, paths))
+
+
+def select_files(files: DataFrame, languages: list[str] = (), suffix: str = ".jsonl", folder: str | None = None, name: str | None = None) -> DataFrame:
+    """The files (path) of a remote listing that a source needs.
+
+    folder: a top folder whose next part names the language (data/<language>/...); without it a language counts if any
+    part of the path is its name. name: the file's own name, if it must have one. Without languages all count.
+    """
+    held = files.where(F.col("path").endswith(suffix))
+    wanted = [X.alias_language(F.lit(x)) for x in languages]
+    parts = F.split("path", "/")
+    if folder is not None:
+        held = held.where(F.col("path").startswith(folder + "/") & (F.size(parts) >= 3))
+        if name is not None:
+            held = held.where(F.element_at(parts, -1) == name)
+        return held.where(F.array_contains(F.array(*wanted), X.alias_language(F.get(parts, 1)))) if languages else held
+    if name is not None:
+        held = held.where(F.element_at(parts, -1) == name)
+    return held.where(F.arrays_overlap(F.split(F.lower("path"), "/"), F.array(*wanted))) if languages else held
+
+
+def raw_dir(configs: DataFrame) -> DataFrame:
+    """(name, raw_dir) of configs (name, raw_dir_name, reuse_raw_from): the parent's folder where it is reused, else its own, else its name."""
+    own = F.coalesce(F.nullif("raw_dir_name", F.lit("")), F.col("name"))
+    parents = configs.select(F.col("name").alias("parent"), own.alias("__dir"))
+    held = configs.join(parents, configs["reuse_raw_from"] == F.col("parent"), "left")
+    lost = F.coalesce(F.nullif("reuse_raw_from", F.lit("")), own)
+    return held.select("name", F.coalesce("__dir", lost).alias("raw_dir"))
+
+
 def normalized_rows(df: DataFrame) -> DataFrame:
     """Raw rows with the aliases of language, before, after, code, repo and path as one column each."""
     names = df.columns
@@ -98,8 +166,8 @@ def binary_like(content: Column | str, sample: int = SNIFF) -> Column:
 def skip_reason(path: Column | str, length: Column | str, content: Column | str) -> Column:
     """Why a file isn't indexed: secret, unsupported_type, too_large, binary; or null."""
     name, suffix = C.name_of(path), C.suffix_of(path)
-    secret = name.isin(SECRET_NAMES) | (name.startswith(".env") & (name != ".env.example")) | suffix.isin(".pem", ".key", ".crt")
-    supported = ~suffix.isin(EXCLUDED_SUFFIXES) & (name.isin(list(C.BY_NAME)) | suffix.isin(list(C.BY_SUFFIX)))
+    secret = name.isin(*SECRET_NAMES) | (name.startswith(".env") & (name != ".env.example")) | suffix.isin(".pem", ".key", ".crt")
+    supported = ~suffix.isin(*EXCLUDED_SUFFIXES) & (name.isin(list(C.BY_NAME)) | suffix.isin(list(C.BY_SUFFIX)))
     return reason([("secret", secret), ("unsupported_type", ~supported), ("too_large", X.col(length) > MAX_BYTES), ("binary", binary_like(content))])
 
 
@@ -131,14 +199,63 @@ def line_counts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).agg(F.count("*").alias("lines"), F.count_if(F.trim("value") != "").alias("filled"))
 
 
+MANIFESTS = ("package.json", "angular.json", "pyproject.toml", "requirements.txt", "setup.py", "pom.xml", "build.gradle", "build.gradle.kts", "cmakelists.txt", "cargo.toml", "dockerfile", "docker-compose.yml", "docker-compose.yaml", "compose.yml", "compose.yaml")
+NODE_FRAMEWORKS = {"react": "React", "@angular/core": "Angular", "vue": "Vue", "vite": "Vite", "express": "Express"}
+PYTHON_FRAMEWORKS = {"fastapi": "FastAPI", "flask": "Flask", "django": "Django"}
+
+
 def manifest_facts(files: DataFrame) -> DataFrame:
-    """(path, name, frameworks) of manifests among files (path, content): package.json, pyproject and Cargo, requirements, pom and gradle, csproj."""
-    name, text = C.name_of("path"), F.lower(F.coalesce("content", F.lit("")))
-    marks = [("fastapi", "FastAPI"), ("flask", "Flask"), ("django", "Django"), ('"react"', "React"), ('"vue"', "Vue"), ('"express"', "Express"), ('"@angular/core"', "Angular"), ("spring-boot", "Spring")]
-    found = F.array_compact(F.array(*[F.when(text.contains(m), n) for m, n in marks]))
-    title = F.when(name == "package.json", F.get_json_object("content", "$.name")).when(name == "pyproject.toml", C.toml_value("content", "project.name")).when(name == "cargo.toml", C.toml_value("content", "package.name"))
-    known = name.isin("package.json", "pyproject.toml", "cargo.toml", "requirements.txt", "pom.xml", "cmakelists.txt", "dockerfile") | name.rlike(r"\.(gradle|csproj)$")
-    return files.where(known).select("path", title.alias("name"), found.alias("frameworks"))
+    """(path, name, dependencies, frameworks, project_types, entry_points) of the manifests among files (path, content).
+
+    Dependencies are in lower case, without versions, sorted: of package.json all three lists, of requirements a line
+    each, of pyproject the project's and poetry's, of setup.py the known frameworks that it names. A text that doesn't
+    parse has none. Entry points are main and bin paths, beside the manifest's folder.
+    """
+    none = F.array().cast("array<string>")
+    name, text = C.name_of("path"), F.coalesce("content", F.lit(""))
+    low = F.lower(text)
+    known = name.isin(*MANIFESTS) | name.rlike(r"\.csproj$|^vite\.config")
+    bare = lambda x: F.trim(F.element_at(F.split(F.lower(x), r"[<>=~!;\[]"), 1))
+    held = files.where(known).select("path", name.alias("__name"), low.alias("__low"), text.alias("__text"))
+    name = F.col("__name")
+    toml = F.when(name.isin("pyproject.toml", "cargo.toml"), F.col("__text"))
+    held = held.withColumn("__toml", C.toml_lists(toml))
+    project = F.concat(F.transform("__toml.dependencies", bare), F.filter(F.transform("__toml.poetry", F.lower), lambda x: x != "python"))
+    named = F.array_compact(F.array(*[F.when(F.col("__low").contains(k), k) for k in PYTHON_FRAMEWORKS]))
+    content = F.col("__text")
+    deps = F.when(name == "package.json", _node_dependencies(content)).when(name == "requirements.txt", _requirements(content, bare)).when(name == "pyproject.toml", project).when(name == "setup.py", named).otherwise(none)
+    held = held.withColumn("dependencies", F.array_sort(F.array_distinct(F.coalesce(deps, none))))
+    has = lambda table: F.array_compact(F.array(*[F.when(F.array_contains("dependencies", k), v) for k, v in table.items()]))
+    java = name.isin("pom.xml", "build.gradle", "build.gradle.kts")
+    spring = java & (F.col("__low").contains("spring-boot") | F.col("__low").contains("org.springframework"))
+    python = name.isin("pyproject.toml", "requirements.txt", "setup.py")
+    one = lambda condition, *values: F.when(condition, F.array(*[F.lit(v) for v in values])).otherwise(none)
+    frames = F.concat(
+        F.when(name == "package.json", has(NODE_FRAMEWORKS)).otherwise(none), F.when(python, has(PYTHON_FRAMEWORKS)).otherwise(none), one(name == "angular.json", "Angular"), one(name.startswith("vite.config"), "Vite"),
+        one(spring, "Spring"), one(name == "cmakelists.txt", "CMake"), one(name.rlike("^(dockerfile|(docker-)?compose\\.ya?ml)$"), "Docker"),
+    )
+    held = held.withColumn("frameworks", F.array_sort(F.array_distinct(frames)))
+    types = F.concat(
+        one(name == "package.json", "Node.js"), F.filter(F.when(name.isin("package.json", "angular.json"), F.col("frameworks")).otherwise(none), lambda x: x.isin("React", "Angular", "Vue")),
+        one(python, "Python"), F.when(python, F.col("frameworks")).otherwise(none), one(java, "Java"), one(name == "pom.xml", "Java Maven"), one(spring, "Java Spring"),
+        one(name.endswith(".csproj"), "C# .NET"), one(name == "cmakelists.txt", "C++"), one(name == "cargo.toml", "Rust"),
+    )
+    folder = F.regexp_extract("path", r"^(.*/)[^/]*$", 1)
+    starts = F.when(name == "package.json", F.array_compact(F.array(F.get_json_object("__text", "$.main")))).otherwise(F.coalesce("__toml.bins", none))
+    title = F.when(name == "package.json", F.get_json_object("__text", "$.name")).otherwise(F.col("__toml.name"))
+    return held.select(
+        "path", title.alias("name"), "dependencies", "frameworks", F.array_sort(F.array_distinct(types)).alias("project_types"),
+        F.transform(starts, lambda x: F.concat(folder, F.regexp_replace(F.replace(x, F.lit("\\"), F.lit("/")), r"^(\./)+", ""))).alias("entry_points"),
+    )
+
+
+def _node_dependencies(text: Column) -> Column:
+    none = F.array().cast("array<string>")
+    return F.concat(*[F.coalesce(F.json_object_keys(F.get_json_object(text, f"$.{k}")), none) for k in ("dependencies", "devDependencies", "peerDependencies")])
+
+
+def _requirements(text: Column, bare) -> Column:
+    return F.filter(F.transform(X.lines(text), lambda x: bare(F.trim(x))), lambda x: (x != "") & ~x.startswith("#"))
 
 
 VECTOR = T.StructType([T.StructField("id", T.StringType()), T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("payload", T.MapType(T.StringType(), T.StringType()))])
@@ -165,11 +282,32 @@ def resolved_ids(tried: DataFrame) -> DataFrame:
     return tried.groupBy("name").agg(first.alias("id"), errors.alias("errors"))
 
 
+def raw_dataset(spark: SparkSession, path: str) -> tuple[str, DataFrame | None]:
+    """(loader, rows) of a raw folder: jsonl if it has raw.jsonl, splits if it has folders of Parquet (missing columns are null), parquet for files, or missing."""
+    if not _exists(spark, path):
+        return "missing", None
+    if _exists(spark, f"{path}/raw.jsonl"):
+        return "jsonl", spark.read.json(f"{path}/raw.jsonl")
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(top)
+    folders = sorted(x.getPath().toString() for x in listed if x.isDirectory() and not x.getPath().getName().startswith(("_", ".")))
+    if folders:
+        return "splits", splits(spark, folders)
+    if any(x.getPath().getName().endswith(".parquet") for x in listed):
+        return "parquet", spark.read.option("mergeSchema", "true").parquet(path)
+    return "missing", None
+
+
 def probe(df: DataFrame, n: int = 5) -> tuple[int, list[str], DataFrame]:
     """(rows, columns, the first n rows) of a raw table; rows are counted from footers where the format has them."""
     return df.count(), df.columns, df.limit(n)
 
 
+def nth(df: DataFrame, n: int, order: str = "ord") -> DataFrame:
+    """The row at place n of an ordered table: a filter, no sort."""
+    return df.where(F.col(order) == n)
+
+
 def statuses(wanted: DataFrame, found: DataFrame, least: int) -> DataFrame:
     """(name, status, n) of wanted (name) against found (name, n): missing, empty, small or ok."""
     held = wanted.join(found, "name", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,18 +40,27 @@ def collected(stream: DataFrame, checkpoint: str, path: str, mode: str = "append
 
 
 def ingested(stream: DataFrame, checkpoint: str, path: str, keep: Callable[[DataFrame], DataFrame], most: int) -> int:
-    """Write kept rows of each micro-batch until most are there; a batch that is run again overwrites its own folder."""
+    """Write kept rows of each micro-batch until most are there, over all runs from the same checkpoint; gives how many are.
+
+    What is there is counted from the folders of the batches before, so a query that starts again goes on at its count,
+    and a batch that is run again overwrites its own folder.
+    """
     spark = stream.sparkSession
-    state = {"n": 0}
+
+    def held(before: int | None = None) -> int:
+        try:
+            rows = spark.read.parquet(path)
+        except AnalysisException:  # no batch has been written yet
+            return 0
+        return (rows if before is None else rows.where(F.col("batch") < before)).count()
 
     def batch(df: DataFrame, number: int) -> None:
-        left = most - state["n"]
+        left = most - held(number)
         if left > 0:
             keep(df).limit(left).write.mode("overwrite").parquet(f"{path}/batch={number}")
-            state["n"] += spark.read.parquet(f"{path}/batch={number}").count()
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return state["n"]
+    return held()
 
 
 HISTORY = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("events", T.StringType()), T.StructField("n", T.LongType())])

@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import chunk, shape
+from corpusloom.operators import chunk, filters, graph, index, shape
 from corpusloom.sources import readers, writers
 from corpusloom.streaming import streams
 
@@ -38,26 +38,138 @@ def test_gate_and_normalized_rows(spark, tmp_path):
     spark.createDataFrame([("JS", "let a", "r")], "lang string, content string, repo string").write.parquet(a)
     spark.createDataFrame([(1,)], "x int").write.parquet(b)
     rows, skipped = readers.gated_parquet(spark, [a, b, str(tmp_path / "none")])
-    assert [s[1].split(":")[0] for s in skipped] == ["no code column", "unreadable"]
+    assert [s[1].split(":")[0] for s in skipped] == ["missing_code_like_column", "unreadable"]
+    assert readers.column_gate(["Code", "x"]) == "missing_language_like_column" and readers.column_gate([]) == "no_columns"
     assert readers.normalized_rows(rows).first()["language"] == "javascript"
 
 
 def test_manifests(spark):
-    df = spark.createDataFrame([("package.json", '{"name": "web", "dependencies": {"react": "1"}}'), ("pyproject.toml", '[project]\nname = "svc"\ndependencies = ["fastapi"]'), ("a.py", "x")], "path string, content string")
-    got = {r["path"]: (r["name"], r["frameworks"]) for r in readers.manifest_facts(df).collect()}
-    assert got == {"package.json": ("web", ["React"]), "pyproject.toml": ("svc", ["FastAPI"])}
+    rows = [
+        ("web/package.json", '{"name": "web", "main": "./src/index.js", "dependencies": {"react": "1"}, "devDependencies": {"vite": "2"}}'),
+        ("pyproject.toml", '[project]\nname = "svc"\ndependencies = ["FastAPI>=0.1", "x[y]"]\n[tool.poetry.dependencies]\npython = "3"\nNumpy = "1"'),
+        ("requirements.txt", "# none\nflask==2 \n\nDjango ; python_version > '3'"),
+        ("core/Cargo.toml", '[package]\nname = "core"\n[[bin]]\npath = "src/run.rs"'),
+        ("pom.xml", "<artifactId>spring-boot</artifactId>"), ("a/App.csproj", "<x/>"), ("Dockerfile", "FROM x"), ("CMakeLists.txt", ""), ("setup.py", "install_requires=['flask']"),
+        ("bad/package.json", "{"), ("bad/pyproject.toml", "= ="), ("a.py", "x"), ("none/package.json", None),
+    ]
+    got = {r["path"]: r for r in readers.manifest_facts(spark.createDataFrame(rows, "path string, content string")).collect()}
+    facts = {k: (r["name"], r["dependencies"], r["frameworks"], r["project_types"], r["entry_points"]) for k, r in got.items()}
+    assert facts == {
+        "web/package.json": ("web", ["react", "vite"], ["React", "Vite"], ["Node.js", "React"], ["web/src/index.js"]),
+        "pyproject.toml": ("svc", ["fastapi", "numpy", "x"], ["FastAPI"], ["FastAPI", "Python"], []),
+        "requirements.txt": (None, ["django", "flask"], ["Django", "Flask"], ["Django", "Flask", "Python"], []),
+        "core/Cargo.toml": ("core", [], [], ["Rust"], ["core/src/run.rs"]),
+        "pom.xml": (None, [], ["Spring"], ["Java", "Java Maven", "Java Spring"], []), "a/App.csproj": (None, [], [], ["C# .NET"], []), "Dockerfile": (None, [], ["Docker"], [], []),
+        "CMakeLists.txt": (None, [], ["CMake"], ["C++"], []), "setup.py": (None, ["flask"], ["Flask"], ["Flask", "Python"], []),
+        "bad/package.json": (None, [], [], ["Node.js"], []), "bad/pyproject.toml": (None, [], [], ["Python"], []), "none/package.json": (None, [], [], ["Node.js"], []),
+    }
 
 
 def test_ingest(spark):
-    raw = spark.createDataFrame([("1", "code_gen", "python", "in", "out"), ("2", "code_gen", "python", " ", "out")], "id string, objective string, language string, input string, output string")
-    fill = lambda df: df.withColumns({"context": F.lit(""), "metadata": F.create_map(F.lit("s"), F.lit("t"))})
+    raw = spark.createDataFrame([(str(i), "code_gen", "python", " " if i == 1 else "in", "out") for i in range(6)], "id string, objective string, language string, input string, output string")
+    fill = lambda df: df.withColumns({"context": F.lit(""), "metadata": F.create_map(F.lit("s"), F.lit("t")), "ord": F.col("id").cast("long")})
 
     def fails(df):
         raise ValueError("no")
 
-    rows, report = shape.ingest({"a": (raw, fill), "b": (None, fill), "c": (raw, None), "d": (raw, fails)})
-    assert sorted((r["id"], r["reason"]) for r in rows.collect()) == [("1", None), ("2", "blank_input")]
-    assert [r["status"] for r in report] == ["success", "missing_raw", "skipped", "converter_error"]
+    def lost():
+        raise OSError("gone")
+
+    made = {"a": shape.Source(raw, fill, "code_gen", 3), "b": shape.Source(None, fill, "code_gen"), "c": shape.Source(raw, None, "code_gen"), "d": shape.Source(raw, fails, "code_gen"), "e": shape.Source(lost, fill, "code_gen"), "f": shape.Source(raw, fill, "none"), "g": shape.Source(lambda: raw.limit(0), fill, "code_gen")}
+    rows, report = shape.ingest(spark, made, ["code_gen"])
+    assert sorted((r["id"], r["reason"]) for r in rows.collect()) == [("0", None), ("1", "pipeline_blank_input"), ("2", None), ("3", None), ("4", shape.CAP_REASON), ("5", shape.CAP_REASON)]
+    got = {r["dataset"]: r for r in report.collect()}
+    assert {k: r["status"] for k, r in got.items()} == {"a": "success", "b": "missing_raw", "c": "converter_error", "d": "converter_error", "e": "load_failed", "f": "skipped", "g": "success"}
+    a = got["a"]
+    assert (a["raw"], a["kept"], a["dropped"], a["retention"], a["reasons"]) == (6, 3, 3, 0.5, {"pipeline_blank_input": 1, shape.CAP_REASON: 2})
+    assert got["g"]["raw"] == 0 and got["g"]["reasons"] == {} and got["e"]["error"] == "gone"
+    rows, report = shape.ingest(spark, {"b": made["b"]}, ["code_gen"])
+    assert rows.count() == 0 and report.first()["kept"] == 0
+
+
+def test_files_of_objectives(spark, tmp_path):
+    (tmp_path / "b.jsonl").write_text('{"id": "1", "input": "x"}\n\n{"id": "2", "objective": "other"}\n')
+    (tmp_path / "a.jsonl").write_text('{"id": "3"}\n')
+    files = [("code_gen", str(tmp_path / "b.jsonl")), ("bug_fix", str(tmp_path / "none.jsonl")), ("test_gen", str(tmp_path / "a.jsonl"))]
+    got = readers.objective_files(spark, files).orderBy("ord").collect()
+    assert [(r["id"], r["objective"]) for r in got] == [("1", "code_gen"), ("2", "code_gen"), ("3", "test_gen")]
+    assert readers.objective_files(spark, files[1:2]).count() == 0
+
+
+def test_raw_folders(spark, tmp_path):
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "raw.jsonl").write_text('{"a": 1}\n{"b": 2}\n')
+    spark.range(3).write.parquet(str(tmp_path / "s" / "train"))
+    spark.range(2).withColumn("x", F.lit(1)).write.parquet(str(tmp_path / "s" / "test"))
+    spark.range(4).write.parquet(str(tmp_path / "p"))
+    found = {k: readers.raw_dataset(spark, str(tmp_path / k)) for k in "jspn"}
+    assert {k: v[0] for k, v in found.items()} == {"j": "jsonl", "s": "splits", "p": "parquet", "n": "missing"}
+    assert [readers.probe(found[k][1])[:2] for k in "jsp"] == [(2, ["a", "b"]), (5, ["id", "x"]), (4, ["id"])]
+
+
+def test_valid_text(spark):
+    rows = [(1, bytearray(b"ok")), (2, bytearray(b"\xed\xa0\x80")), (3, bytearray("é".encode()[:1])), (4, None), (5, bytearray())]
+    got = {r["i"]: r["v"] for r in spark.createDataFrame(rows, "i int, b binary").select("i", filters.encodable("b").alias("v")).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: False, 5: True}
+    df = spark.createDataFrame([("python", "x = (", "y = 1", None), ("python", "x = (", "", None), ("java", "f({)}", "g()", ""), (None, None, None, None)], "language string, input string, context string, output string")
+    assert [r["kept"] for r in filters.any_parses(df.coalesce(1)).collect()] == [True, False, True, False]
+
+
+def test_payloads_hold_all_that_a_chunk_is_found_by(spark):
+    code = "import os\n\n\ndef run(a):\n    return helper(os.getcwd())\n"
+    rows = [("src/core/run.py", "python", code, "s1"), ("tests/test_run.py", "python", "from core import run\n\n\ndef test_run():\n    run(1)\n", "s2"), ("README.md", "markdown", "# Title\ntext\n", "s3"), ("empty.py", "python", "", "s4")]
+    files = spark.createDataFrame(rows, "path string, language string, content string, sha256 string")
+    edges = spark.createDataFrame([("tests/test_run.py", "src/core/run.py", "FILE_IMPORTS_FILE"), ("tests/test_run.py", "src/core/run.py", "TEST_COVERS_FILE")], "src string, dst string, relation string")
+    near = index.adjacency(edges)
+    got = {r["relative_path"]: r.asDict() for r in index.payloads(files, "/w/My App/", graph.signals(files, edges), near).collect()}
+    assert set(got) == {"src/core/run.py", "tests/test_run.py", "README.md"}
+    r = got["src/core/run.py"]
+    assert (r["project_name"], r["project_path"], r["file_path"], r["folder"], r["language"]) == ("My App", "/w/My App", "/w/My App/src/core/run.py", "src/core", "python")
+    assert (r["chunk_type"], r["symbol_name"], r["start_line"], r["end_line"], r["imports"], r["called_functions"]) == ("function", "run", 4, 5, ["import os"], ["helper", "getcwd"])
+    assert (r["imported_by_count"], r["dependency_neighbors"], r["is_test_file"], r["source"], r["validated"], len(r["id"])) == (1, ["tests/test_run.py"], False, "project_code", True, 36)
+    assert got["tests/test_run.py"]["is_test_file"] and got["README.md"]["is_doc_file"] and got["README.md"]["folder"] == "." and got["README.md"]["symbol_name"] == "Title"
+    assert {x["path"]: x["related_tests"] for x in near.collect()}["src/core/run.py"] == ["tests/test_run.py"]
+    summary = {x["relative_path"]: x["content"] for x in index.file_rows(files, "/w/My App", near).collect()}
+    assert summary["tests/test_run.py"] == "File: tests/test_run.py\nLanguage: python\nLines: 5\nPurpose: Source file.\nFunctions: test_run\nDependencies: src/core/run.py"
+    points = index.embedded(index.payloads(files, "/w/My App"), 8)
+    assert all(len(x["vector"]) == 8 for x in points.collect())
+
+
+def test_caps_on_hot_nodes(spark):
+    edges = spark.range(500).select(F.concat(F.lit("f"), F.lpad("id", 3, "0")).alias("src"), F.lit("hub").alias("dst"), F.lit("FILE_IMPORTS_FILE").alias("relation"))
+    hub = index.adjacency(edges).where("path = 'hub'").first()
+    assert hub["imported_by"] == [f"f{i:03d}" for i in range(30)] == hub["neighbors"] and hub["imports"] == []
+
+
+def test_a_stopped_ingest_keeps_its_cap(spark, tmp_path):
+    """Two runs from one checkpoint: the second one goes on at the count of the first."""
+    src, args = str(tmp_path / "in"), (str(tmp_path / "c"), str(tmp_path / "o"), lambda df: df.where("id % 2 = 0"), 30)
+    spark.range(0, 40).coalesce(1).write.parquet(src)
+    assert streams.ingested(streams.source(spark, src), *args) == 20
+    spark.range(40, 140).coalesce(1).write.mode("append").parquet(src)
+    assert streams.ingested(streams.source(spark, src), *args) == 30
+    spark.range(140, 200).coalesce(1).write.mode("append").parquet(src)
+    assert streams.ingested(streams.source(spark, src), *args) == 30 and spark.read.parquet(args[1]).count() == 30
+
+
+def test_windowed_counts_drop_late_rows(spark, tmp_path):
+    """Rows of three files, one a batch: 00:05 comes again after the watermark has passed its hour, and doesn't count."""
+    src, rows = str(tmp_path / "in"), [["2024-01-01 00:05:00", "2024-01-01 00:50:00", "2024-01-01 01:10:00"], ["2024-01-01 05:00:00"], ["2024-01-01 00:05:00", "2024-01-01 05:30:00"], ["2024-01-01 09:00:00"]]
+    for part in rows:
+        spark.createDataFrame([(t,) for t in part], "t string").select(F.to_timestamp("t").alias("ts"), F.lit("a").alias("k")).coalesce(1).write.mode("append").parquet(src)
+    held = streams.windowed(streams.source(spark, src), "ts", "1 hour", "10 minutes", "k").select(F.date_format("window.start", "HH:mm").alias("start"), "k", "n")
+    got = streams.collected(held, str(tmp_path / "c"), str(tmp_path / "o"))
+    assert sorted((r["start"], r["n"]) for r in got.collect()) == [("00:00", 2), ("01:00", 1), ("05:00", 2)]
+
+
+def test_no_shared_folder_is_an_error_on_a_cluster():
+    from types import SimpleNamespace
+
+    from corpusloom import session
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default=None: default), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch(far, "x")
 
 
 def test_swap_and_partitions(spark, tmp_path):
