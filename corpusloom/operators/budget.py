@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -35,13 +35,32 @@ def pack(texts: Column, budget: int, each: int, joiner: str = "\n\n") -> Column:
     return F.when(joined == "", "(none)").otherwise(joined)
 
 
-def context_blocks(sources: DataFrame, group: list[str], order: str) -> DataFrame:
-    """(group, context): tagged source blocks, project maps first, then by order; contents trimmed at 2400 and 6000."""
-    is_map = F.col("source") == "project_map"
+def source_blocks(sources: DataFrame) -> DataFrame:
+    """sources with block, the tagged text of each, and is_map; contents are trimmed at 6000 characters, a project map's at 2400."""
+    is_map = F.coalesce(F.col("source") == "project_map", F.lit(False))
     score = F.format_string("%.3f", F.col("score"))
-    head = F.when(is_map, F.concat(F.lit('<source type="project_map" score="'), score, F.lit('">\n'))).otherwise(
-        F.concat(F.lit('<source file="'), F.col("file_path"), F.lit('" lines="'), F.concat_ws("-", F.col("start_line").cast("string"), F.col("end_line").cast("string")), F.lit('" symbol="'), F.coalesce("symbol_name", F.lit("unknown")), F.lit('" type="'), F.coalesce("chunk_type", F.lit("unknown")), F.lit('" score="'), score, F.lit('">\n'))
-    )
-    body = F.when(is_map, X.trimmed("content", 2400)).otherwise(F.concat(F.lit("```"), F.coalesce("language", F.lit("")), F.lit("\n"), X.trimmed("content", 6000), F.lit("\n```")))
-    rows = F.struct((~is_map).cast("int").alias("m"), F.col(order).alias("o"), F.concat(head, body, F.lit("\n</source>")).alias("b"))
-    return sources.groupBy(*group).agg(F.array_join(F.transform(F.sort_array(F.collect_list(rows)), lambda x: x["b"]), "\n\n").alias("context"))
+    named = [
+        F.lit('<source file="'), F.coalesce("file_path", F.lit("")), F.lit('" lines="'), F.concat_ws("-", F.col("start_line").cast("string"), F.col("end_line").cast("string")),
+        F.lit('" symbol="'), F.coalesce("symbol_name", F.lit("unknown")), F.lit('" type="'), F.coalesce("chunk_type", F.lit("unknown")), F.lit('" score="'), score, F.lit('">\n'),
+    ]
+    head = F.when(is_map, F.concat(F.lit('<source type="project_map" score="'), score, F.lit('">\n'))).otherwise(F.concat(*named))
+    text = F.coalesce("content", F.lit(""))
+    body = F.when(is_map, X.trimmed(text, 2400)).otherwise(F.concat(F.lit("```"), F.coalesce("language", F.lit("")), F.lit("\n"), X.trimmed(text, 6000), F.lit("\n```")))
+    return sources.withColumns({"is_map": is_map, "block": F.concat(head, body, F.lit("\n</source>"))})
+
+
+#: Characters that a block has at the least.
+LEAST_BLOCK = 40
+
+
+def packed_blocks(blocks: DataFrame, group: list[str], order: str, budget: int = 14_000) -> DataFrame:
+    """(group, blocks, context): of each group the blocks that fit, one after the other, in budget characters; maps first, then by order.
+
+    As a block has LEAST_BLOCK characters, the first budget / LEAST_BLOCK rows of a group are enough, and the others are
+    cut in each task before the shuffle: no group is gathered. A group whose first block doesn't fit has no row.
+    """
+    first = Window.partitionBy(*group).orderBy(F.col("is_map").desc(), order)
+    held = blocks.select(*group, order, "is_map", "block").withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= budget // LEAST_BLOCK)
+    held = held.withColumn("__used", F.sum(F.length("block")).over(first.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("__used") <= budget)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("__n", "block"))), lambda x: x["block"])
+    return held.groupBy(*group).agg(F.count("*").alias("blocks"), F.array_join(listed, "\n\n").alias("context"))

@@ -148,34 +148,52 @@ def _files(spark):
     return held.select("path", C.language("path", "content").alias("language"), "content")
 
 
-@query("symbol_chunks")
+@query(
+    "symbol_chunks",
+    """SELECT * FROM (VALUES ('README.md', 'doc_section', 'Title', 1, 2), ('README.md', 'doc_section', 'Use', 3, 4), ('app/api.py', 'function', 'list_users', 7, 8), ('app/main.py', 'class', 'App', 5, 7), ('app/service.py', 'class', 'Service', 4, 6), ('app/util.py', 'function', 'helper', 1, 2), ('app/util.py', 'function', 'other', 5, 6), ('core/src/lib.rs', 'class', 'Draw', 3, 5), ('core/src/lib.rs', 'class', 'Point', 2, 2), ('core/src/lib.rs', 'function', 'main', 6, 8), ('tests/test_util.py', 'function', 'test_helper', 4, 5), ('web/index.js', 'function', 'start', 3, 5), ('web/lib/x.js', 'class', 'Box', 4, 6), ('web/lib/x.js', 'function', 'x', 1, 3)) t(path, chunk_type, symbol, start_line, end_line)""",
+)
 def symbol_chunks(spark, sf):
     return chunk.symbol_chunks(_files(spark)).select("path", "chunk_type", "symbol", "start_line", "end_line")
 
 
-@query("structures")
+@query(
+    "structures",
+    """SELECT * FROM (VALUES ('README.md', '', ''), ('app/api.py', '', 'list_users'), ('app/main.py', 'App(Service)', 'run'), ('app/service.py', 'Service(object)', 'call'), ('app/util.py', '', 'helper,other'), ('core/src/lib.rs', 'Point(),Point(Draw)', 'draw,main'), ('tests/test_util.py', '', 'test_helper'), ('web/index.js', '', 'start'), ('web/lib/x.js', 'Box(Base)', '')) t(path, classes, functions)""",
+)
 def structures(spark, sf):
     held = _files(spark).select("path", C.structure_of("content", "language").alias("s"))
     return held.select("path", F.array_join(F.transform("s.classes", lambda c: F.concat(c["name"], F.lit("("), F.array_join(c["bases"], " "), F.lit(")"))), ",").alias("classes"), F.array_join("s.functions", ",").alias("functions"))
 
 
-@query("api_routes")
+@query(
+    "api_routes",
+    """SELECT * FROM (VALUES ('app/api.py', 'GET', '/users', 'list_users'), ('web/index.js', 'GET', '/home', 'start')) t(path, method, route, handler)""",
+)
 def api_routes(spark, sf):
     return _files(spark).select("path", F.explode(C.routes("content", "language")).alias("r")).select("path", "r.method", F.col("r.path").alias("route"), "r.handler")
 
 
-@query("dependency_graph")
+@query(
+    "dependency_graph",
+    """SELECT * FROM (VALUES ('App', 'Service', 'CLASS_INHERITS_CLASS'), ('App', 'app/main.py', 'CLASS_BELONGS_TO_FILE'), ('Box', 'Base', 'CLASS_INHERITS_CLASS'), ('Box', 'web/lib/x.js', 'CLASS_BELONGS_TO_FILE'), ('Point', 'Draw', 'CLASS_INHERITS_CLASS'), ('Point', 'core/src/lib.rs', 'CLASS_BELONGS_TO_FILE'), ('Service', 'app/service.py', 'CLASS_BELONGS_TO_FILE'), ('Service', 'object', 'CLASS_INHERITS_CLASS'), ('app/main.py', 'app/service.py', 'FILE_EXTENDS_FILE'), ('app/main.py', 'app/service.py', 'FILE_IMPORTS_FILE'), ('app/main.py', 'app/util.py', 'FILE_CALLS_FILE'), ('app/service.py', 'app/util.py', 'FILE_CALLS_FILE'), ('app/service.py', 'app/util.py', 'FILE_IMPORTS_FILE'), ('call', 'app/service.py', 'FUNCTION_BELONGS_TO_FILE'), ('draw', 'core/src/lib.rs', 'FUNCTION_BELONGS_TO_FILE'), ('helper', 'app/util.py', 'FUNCTION_BELONGS_TO_FILE'), ('list_users', 'app/api.py', 'FUNCTION_BELONGS_TO_FILE'), ('main', 'core/src/lib.rs', 'FUNCTION_BELONGS_TO_FILE'), ('other', 'app/util.py', 'FUNCTION_BELONGS_TO_FILE'), ('run', 'app/main.py', 'FUNCTION_BELONGS_TO_FILE'), ('start', 'web/index.js', 'FUNCTION_BELONGS_TO_FILE'), ('test_helper', 'tests/test_util.py', 'FUNCTION_BELONGS_TO_FILE'), ('tests/test_util.py', 'app/util.py', 'FILE_CALLS_FILE'), ('tests/test_util.py', 'app/util.py', 'FILE_IMPORTS_FILE'), ('tests/test_util.py', 'app/util.py', 'TEST_COVERS_FILE'), ('web/index.js', 'web/lib/x.js', 'FILE_IMPORTS_FILE')) t(src, dst, relation)""",
+)
 def dependency_graph(spark, sf):
     return graph.build(_files(spark))
 
 
-@query("file_signals")
+@query(
+    "file_signals",
+    """SELECT * REPLACE (importance_score::DOUBLE AS importance_score) FROM (VALUES ('README.md', 'markdown', 0, 0, 0, false, false, true, false, '', 0.45), ('app/api.py', 'python', 0, 0, 2, false, false, false, false, 'FastAPI', 0.1), ('app/main.py', 'python', 1, 0, 5, true, false, false, false, '', 1.33), ('app/service.py', 'python', 1, 1, 5, false, false, false, false, '', 0.55), ('app/util.py', 'python', 0, 2, 5, false, false, false, false, '', 0.69), ('core/src/lib.rs', 'rust', 0, 0, 4, true, false, false, false, '', 1.2), ('tests/test_util.py', 'python', 1, 0, 3, false, false, false, true, '', 0.33), ('web/index.js', 'javascript', 1, 0, 3, true, false, false, false, '', 1.23), ('web/lib/x.js', 'javascript', 0, 1, 2, false, false, false, false, '', 0.32)) t(path, language, import_count, imported_by_count, symbol_count, is_entry_point, is_config_file, is_doc_file, is_test_file, frameworks, importance_score)""",
+)
 def file_signals(spark, sf):
     files = _files(spark)
     return graph.signals(files, graph.build(files)).withColumn("frameworks", F.array_join("frameworks", ","))
 
 
-@query("project_facts")
+@query(
+    "project_facts",
+    """SELECT * FROM (VALUES ('Node.js,Python,Rust', 'FastAPI', 'app/main.py,web/index.js,core/src/lib.rs,app/util.py,app/service.py,README.md,tests/test_util.py,web/lib/x.js,app/api.py', 'app/main.py,core/src/lib.rs,web/index.js', '{"javascript":2,"markdown":1,"python":5,"rust":1}')) t(project_types, frameworks, important_files, entry_points, languages)""",
+)
 def project_facts(spark, sf):
     files = _files(spark)
     held = graph.project(graph.signals(files, graph.build(files)))
@@ -194,7 +212,10 @@ def test_counts(spark, sf):
     return held.select("framework", C.test_counts("framework", "output").alias("c")).select("framework", "c.*")
 
 
-@query("model_outputs")
+@query(
+    "model_outputs",
+    """SELECT language, replace(code, '|', chr(10)) AS code, replace(explanation, '|', chr(10)) AS explanation, false AS is_empty, false AS is_fallback FROM (VALUES ('java', 'public class A {|}', 'short'), ('python', 'x = 1', 'Sure:|Done'), ('python', 'x = 1', 'y = (|because')) t(language, code, explanation)""",
+)
 def model_outputs(spark, sf):
     told = [("python", "Sure:\n```py\nx = 1\n```\nDone"), ("python", "<think>hm</think>Here it is\nx = 1\ny = (\nExplanation:\nbecause"), ("java", "The class:\npublic class A {\n}\nNotes\nshort")]
     held = spark.createDataFrame(told, "language string, output string")

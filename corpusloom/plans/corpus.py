@@ -113,7 +113,11 @@ def near_dup_pairs(spark, sf):
     return dedup.pairs(_sigs(spark, sf), PERMS, NEAR).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
-@query("near_dedup_greedy")
+@query("near_dedup_greedy", f"""WITH RECURSIVE {_sig_sql(PERMS)}, {_pairs_sql(PERMS, NEAR)},
+l AS (SELECT b AS ord, list(a) AS near FROM p GROUP BY b), n AS (SELECT *, row_number() OVER (ORDER BY ord) AS i FROM l),
+f AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS gone, NULL::BIGINT AS ord, true AS kept
+ UNION ALL SELECT n.i, CASE WHEN len(list_filter(near, lambda a: NOT list_contains(gone, a))) > 0 THEN list_append(gone, n.ord) ELSE gone END, n.ord, len(list_filter(near, lambda a: NOT list_contains(gone, a))) = 0 FROM f JOIN n ON n.i = f.i + 1)
+SELECT ord FROM c WHERE ord NOT IN (SELECT ord FROM f WHERE NOT kept)""")
 def near_dedup_greedy(spark, sf):
     return dedup.greedy(_sigs(spark, sf), PERMS, NEAR)
 
@@ -354,17 +358,25 @@ def bleu_sentence(spark, sf):
     return score.bleu(_answers(spark, sf), "k", "c", "r").select("k", F.round("bleu", 6).alias("bleu"))
 
 
-@query("rouge_l")
+_ROUGE = f"""e AS (SELECT a.conv_id * 1000 + a.turn AS k, a.text AS ct, b.text AS rt, {_TOK.format('a.text')} AS c, {_TOK.format('b.text')} AS r FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn),
+t AS (SELECT k, 0 AS i, list_transform(range(len(r) + 1), lambda x: 0) AS row FROM e
+ UNION ALL SELECT k, i + 1, list_transform(range(1, len(m) + 1), lambda j: list_max(m[1:j])) FROM (SELECT t.k, t.i, [0] || list_transform(range(1, len(r) + 1), lambda j: CASE WHEN c[t.i + 1] = r[j] THEN row[j] + 1 ELSE row[j + 1] END) AS m FROM t JOIN e USING (k) WHERE t.i < len(c))),
+z AS (SELECT e.k, CASE WHEN row[-1] > 0 THEN 2.0 * row[-1] / (len(c) + len(r)) ELSE 0 END::DOUBLE AS rouge FROM e JOIN t ON t.k = e.k AND t.i = len(c))"""
+
+
+@query("rouge_l", f"WITH RECURSIVE {_ROUGE} SELECT k, round(rouge, 6) AS rouge FROM z")
 def rouge_l(spark, sf):
     return _answers(spark, sf).select("k", F.round(score.rouge_l("c", "r"), 6).alias("rouge"))
 
 
-@query("eval_by_objective")
+@query("eval_by_objective", f"""WITH RECURSIVE b AS ({_BLEU.replace(", 6) AS bleu", ", 15) AS bleu")}), {_ROUGE},
+s AS (SELECT [{", ".join(f"'{o}'" for o in OBJECTIVES)}][1 + k % 7] AS objective, trim(regexp_replace(ct, '\\s+', ' ', 'g')) = trim(regexp_replace(rt, '\\s+', ' ', 'g')) AS exact, bleu, rouge FROM e JOIN b USING (k) JOIN z USING (k))
+SELECT coalesce(objective, 'ALL') AS objective, count(*) AS n, count(*) FILTER (exact) AS exact, round(avg(bleu), 6) AS bleu, round(avg(rouge), 6) AS rouge FROM s GROUP BY GROUPING SETS ((objective), ())""")
 def eval_by_objective(spark, sf):
     pairs = _answers(spark, sf)
     objective = F.element_at(F.array(*[F.lit(o) for o in OBJECTIVES]), (F.pmod("k", F.lit(7)) + 1).cast("int"))
     scored = pairs.join(score.bleu(pairs, "k", "c", "r"), "k").select(objective.alias("objective"), (X.normalized("c") == X.normalized("r")).alias("exact"), "bleu", score.rouge_l("c", "r").alias("rouge"))
-    return score.by_objective(scored)
+    return score.by_objective(scored).withColumns({"bleu": F.round("bleu", 6), "rouge": F.round("rouge", 6)})
 
 
 @query("union_all_splits", f"{_GLOBAL} SELECT split, language, count(*) AS n FROM d WHERE split <> 'val' GROUP BY ALL")

@@ -252,14 +252,34 @@ def context_pack_skip(spark, sf):
     return budget.skip_if_not_fit(rows, ["source"], "place", "n", 25_000)
 
 
-@query("context_blocks")
+@query("context_blocks", """SELECT id, md5(CASE WHEN doc_id % 101 = 0 THEN '<source type="project_map" score="' || printf('%.3f', s) || '">' || chr(10) || b
+ ELSE '<source file="' || source || '/' || id || '.py" lines="' || (id % 5 + 1) || '-' || (id % 5 + 10) || '" symbol="" type="window" score="' || printf('%.3f', s) || '">' || chr(10) || '```' || lang || chr(10) || b || chr(10) || '```' END || chr(10) || '</source>') AS block_md5
+ FROM (SELECT doc_id, doc_id AS id, source, lang, (doc_id % 10) / 10.0::DOUBLE AS s, CASE WHEN length(text) > m THEN regexp_replace(text[1:m], '\\s+$', '') || chr(10) || '...[trimmed]' ELSE text END AS b FROM (SELECT *, CASE WHEN doc_id % 101 = 0 THEN 2400 ELSE 6000 END AS m FROM documents))""")
 def context_blocks(spark, sf):
-    return budget.context_blocks(_ranked(spark, sf), ["folder"], "ord")
-
-
-@query("history_pack")
+    held = _docs_as_chunks(spark, sf).withColumn("score", (F.col("id") % 10) / 10.0)
+    return budget.source_blocks(held).select("id", F.md5("block").alias("block_md5"))
+
+
+@query("context_packs", """WITH c AS (SELECT source AS folder, doc_id, doc_id % 101 <> 0 AS m, length(CASE WHEN doc_id % 101 = 0 THEN '<source type="project_map" score="0.000">' || chr(10) || b
+ ELSE '<source file="' || source || '/' || doc_id || '.py" lines="' || (doc_id % 5 + 1) || '-' || (doc_id % 5 + 10) || '" symbol="" type="window" score="0.000">' || chr(10) || '```' || lang || chr(10) || b || chr(10) || '```' END || chr(10) || '</source>') AS n
+ FROM (SELECT *, CASE WHEN length(text) > m THEN regexp_replace(text[1:m], '\\s+$', '') || chr(10) || '...[trimmed]' ELSE text END AS b FROM (SELECT *, CASE WHEN doc_id % 101 = 0 THEN 2400 ELSE 6000 END AS m FROM documents))),
+r AS (SELECT *, sum(n) OVER (PARTITION BY folder ORDER BY m, doc_id) AS used FROM c)
+SELECT folder, count(*) AS blocks, (sum(n) + 2 * (count(*) - 1))::BIGINT AS chars FROM r WHERE used <= 14000 GROUP BY 1""")
+def context_packs(spark, sf):
+    held = _docs_as_chunks(spark, sf).withColumn("score", F.lit(0.0))
+    packed = budget.packed_blocks(budget.source_blocks(held), ["folder"], "ord")
+    return packed.select("folder", F.col("blocks").cast("long").alias("blocks"), F.length("context").cast("long").alias("chars"))
+
+
+@query("history_pack", """WITH RECURSIVE m AS (SELECT conv_id, CASE WHEN trim(coalesce(role, '')) = '' THEN 'message' ELSE trim(role) END || ': ' AS head, trim(coalesce(text, '')) AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i
+ FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role <> 'system') WHERE r <= 8),
+f AS (SELECT conv_id, 0::BIGINT AS i, 6000::BIGINT AS budget, []::VARCHAR[] AS told FROM (SELECT DISTINCT conv_id FROM m)
+ UNION ALL SELECT f.conv_id, m.i, CASE WHEN budget <= 0 OR body = '' THEN budget ELSE budget - length(head || CASE WHEN length(body) > least(1200, budget) THEN regexp_replace(body[1:least(1200, budget)], '\\s+$', '') || chr(10) || '...[trimmed]' ELSE body END) END,
+ CASE WHEN budget <= 0 OR body = '' THEN told ELSE list_append(told, head || CASE WHEN length(body) > least(1200, budget) THEN regexp_replace(body[1:least(1200, budget)], '\\s+$', '') || chr(10) || '...[trimmed]' ELSE body END) END FROM f JOIN m ON m.conv_id = f.conv_id AND m.i = f.i + 1)
+SELECT conv_id, md5(CASE WHEN len(told) = 0 THEN '(none)' ELSE array_to_string(told, chr(10) || chr(10)) END) AS history_md5 FROM f QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1""")
 def history_pack(spark, sf):
-    return conversation.history(table(spark, sf, "conversations").where("role <> 'system'"), ["conv_id"], "turn")
+    held = conversation.history(table(spark, sf, "conversations").where("role <> 'system'"), ["conv_id"], "turn")
+    return held.select("conv_id", F.md5("history").alias("history_md5"))
 
 
 @query("last_n_turns", "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 4")
@@ -303,14 +323,18 @@ def trimmed_messages(spark, sf):
 
 
 ASKED = ["Explain this project", "explain src/core/run.py please", "fix the crash", "find a BUG here", "add tests", "refactor it", "make it fast, optimize", "write a parser", "compare a.py and b.py", "list the source files", "hello", "what does the file do"]
-_ASKED = ", ".join(f"({i}, '{q}')" for i, q in enumerate(ASKED))
 _ROUTED = "project_explain,file_explain,bug_fix,bug_detection,test_gen,refactoring,perf_opt,code_gen,compare,project_explain,code_gen,file_explain".split(",")
+_LISTS = " OR ".join(f"regexp_matches(low, '{p}')" for p in retrieve.LISTING_PATTERNS)
+_TASK = f"""CASE WHEN {" OR ".join(f"starts_with(trim(low), '{x}')" for x in retrieve.EXPLAIN_STARTS)} OR {_LISTS} THEN 'project_explain' {" ".join(f"WHEN contains(low, '{w}') THEN '{t}'" for w, t in retrieve.TASK_WORDS)} ELSE 'code_gen' END"""
+_ONE = f"""(contains(low, 'this file') OR contains(low, 'the file') OR contains(low, 'this class') OR contains(low, 'this function') OR len(list_filter(regexp_extract_all(q, '{retrieve.FILE_PATTERN}'), lambda x: regexp_replace(x, '^[./\\\\]+', '') <> '')) > 0)"""
 
 
-@query("task_route", "SELECT c.conv_id, c.turn, ['" + "','".join(_ROUTED) + f"'][1 + c.turn % {len(ASKED)}] AS task FROM conversations c")
+@query("task_route", f"""SELECT conv_id, turn, CASE WHEN task = 'project_explain' AND {_ONE} THEN 'file_explain' ELSE task END AS task FROM (SELECT conv_id, turn, q, low, {_TASK} AS task
+ FROM (SELECT conv_id, turn, q, lower(q) AS low FROM (SELECT conv_id, turn, [{", ".join(f"'{x}'" for x in ASKED)}][1 + turn % {len(ASKED)}] || ' ' || text AS q FROM conversations)))""")
 def task_route(spark, sf):
+    """Each turn's own text behind a question of its kind."""
     asked = F.element_at(F.array(*[F.lit(q) for q in ASKED]), (F.col("turn") % len(ASKED) + 1).cast("int"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", retrieve.task(asked).alias("task"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", retrieve.task(F.concat(asked, F.lit(" "), "text")).alias("task"))
 
 
 @query("scope_infer", "SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'project' WHEN 1 THEN 'file' WHEN 2 THEN 'selection' ELSE CASE WHEN conv_id % 2 = 0 THEN 'selection' ELSE 'file' END END AS scope FROM conversations")
@@ -351,21 +375,26 @@ def source_diversity(spark, sf):
     return rules.diversity(table(spark, sf, "documents"), "lang", "source")
 
 
-_DIFF = """WITH c AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 3), s AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE sha256(text) END AS h FROM documents WHERE doc_id % 10 <> 4),
+_DIFF = """WITH c AS (SELECT doc_id, sha256(text) AS h FROM documents), b AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0),
+s AS (SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM b) THEN 'old' ELSE h END AS h FROM c WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT -1 - doc_id, 'x' FROM b),
 d AS (SELECT doc_id, CASE WHEN s.h IS NULL THEN 'added' WHEN c.h IS NULL THEN 'removed' WHEN c.h = s.h THEN 'unchanged' ELSE 'changed' END AS status FROM c FULL JOIN s USING (doc_id))"""
 
 
 @query("incremental_diff", f"{_DIFF} SELECT * FROM d")
 def incremental_diff(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    state = d.where("doc_id % 10 <> 4").withColumn("h", F.when(F.col("doc_id") % 7 == 0, "old").otherwise(F.col("h")))
-    return rules.index_diff(d.where("doc_id % 10 <> 3"), state, "doc_id", "h")
+    """All documents against a state that has the labelled ones, older ones of bad quality, and some that are gone."""
+    d, labels = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("h")), table(spark, sf, "labels")
+    bad = labels.where("quality = 0").select("doc_id").distinct()
+    state = d.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").join(bad.withColumn("bad", F.lit(True)), "doc_id", "left")
+    state = state.select("doc_id", F.when(F.col("bad"), "old").otherwise(F.col("h")).alias("h")).unionByName(bad.select((-1 - F.col("doc_id")).alias("doc_id"), F.lit("x").alias("h")))
+    return rules.index_diff(d, state, "doc_id", "h")
 
 
-@query("upsert_merge", "SELECT id, label FROM (SELECT vec_id AS id, label FROM embeddings WHERE vec_id % 5 <> 0 UNION ALL SELECT vec_id, 99 FROM embeddings WHERE vec_id % 5 = 0)")
+@query("upsert_merge", "SELECT vec_id AS id, CASE WHEN label = 2 THEN 99 ELSE label END AS label FROM embeddings UNION ALL SELECT -1 - vec_id, 99 FROM embeddings WHERE label = 2")
 def upsert_merge(spark, sf):
     points = _points(spark, sf).select("id", "label")
-    return vector.upsert(points, points.where("id % 5 = 0").withColumn("label", F.lit(99)))
+    some = points.where("label = 2").select("id", F.lit(99).alias("label"))
+    return vector.upsert(points, some.unionByName(some.withColumn("id", -1 - F.col("id"))))
 
 
 @query("delete_by_filter", "SELECT vec_id AS id, label FROM embeddings WHERE NOT (label = 2)")
