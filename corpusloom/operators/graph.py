@@ -47,25 +47,43 @@ def resolve(files: DataFrame) -> DataFrame:
     return found.where("src <> dst").distinct().withColumn("relation", F.lit("FILE_IMPORTS_FILE"))
 
 
-def symbol_edges(files: DataFrame) -> DataFrame:
-    """Edges of classes, functions and calls: (src, dst, relation).
+def symbols_of(files: DataFrame) -> DataFrame:
+    """(path, classes, functions, calls, routes, entry) of files (path, language, content), parsed once and cut."""
+    s = C.structure_of("content", "language")
+    held = files.select("path", s.alias("s"), C.called_functions("content", "language").alias("calls"), C.routes("content", "language").alias("routes"), C.is_entry("path", "content", "language").alias("entry"))
+    return checkpointed(held.select("path", "s.classes", "s.functions", "calls", "routes", "entry"))
 
-    A base or a called name links to the file that defines it: of several for a base the smallest path, for a call
-    only a single one.
-    """
-    held = checkpointed(files.select("path", C.structure_of("content", "language").alias("s"), C.called_functions("content", "language").alias("calls")))
-    classes = held.select("path", F.explode("s.classes").alias("c")).select("path", "c.name", "c.bases")
-    functions = held.select("path", F.explode("s.functions").alias("name"))
-    homes = classes.groupBy("name").agg(F.min("path").alias("home"))
-    bases = classes.select("path", "name", F.explode("bases").alias("base"))
-    inherits = bases.select(F.col("name").alias("src"), F.col("base").alias("dst"), F.lit("CLASS_INHERITS_CLASS").alias("relation"))
-    depends = bases.select("path", "base").join(homes.withColumnRenamed("name", "base"), "base").where("path <> home").select(F.col("path").alias("src"), F.col("home").alias("dst"), F.lit("FILE_EXTENDS_FILE").alias("relation"))
-    single = functions.groupBy("name").agg(F.count_distinct("path").alias("n"), F.min("path").alias("home")).where("n = 1")
-    calls = held.select("path", F.explode("calls").alias("name")).join(single, "name").where("path <> home")
-    calls = calls.select(F.col("path").alias("src"), F.col("home").alias("dst"), F.lit("FILE_CALLS_FILE").alias("relation"))
-    own = lambda df, kind: df.select(F.col("name").alias("src"), F.col("path").alias("dst"), F.lit(kind).alias("relation"))
-    out = own(classes, "CLASS_BELONGS_TO_FILE").unionByName(own(functions, "FUNCTION_BELONGS_TO_FILE"))
-    return out.unionByName(inherits).unionByName(depends).unionByName(calls).distinct()
+
+def _classes(held: DataFrame) -> DataFrame:
+    return held.select("path", F.explode("classes").alias("c")).select("path", "c.name", "c.bases")
+
+
+def _homes(held: DataFrame) -> DataFrame:
+    """(name, home) of functions that one file alone defines."""
+    return held.select("path", F.explode("functions").alias("name")).groupBy("name").agg(F.count_distinct("path").alias("n"), F.min("path").alias("home")).where("n = 1").drop("n")
+
+
+def calls_of(held: DataFrame) -> DataFrame:
+    """(path, name, home): calls of functions that one other file alone defines."""
+    return held.select("path", F.explode("calls").alias("name")).join(_homes(held), "name").where("path <> home").select("path", "name", "home")
+
+
+def bases_of(held: DataFrame) -> DataFrame:
+    """(path, base, home): classes' bases that another file defines; of several the smallest path."""
+    classes = _classes(held)
+    homes = classes.groupBy(F.col("name").alias("base")).agg(F.min("path").alias("home"))
+    return classes.select("path", F.explode("bases").alias("base")).join(homes, "base").where("path <> home").select("path", "base", "home").distinct()
+
+
+def symbol_edges(held: DataFrame) -> DataFrame:
+    """(src, dst, relation) of symbols_of's rows: bases, functions' files, calls, entry points' modules, routes' handlers."""
+    edge = lambda df, src, dst, kind: df.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("relation"))
+    out = edge(_classes(held).select("name", F.explode("bases").alias("base")), "name", "base", "CLASS_INHERITS_CLASS")
+    out = out.unionByName(edge(held.select("path", F.explode("functions").alias("name")), "name", "path", "FUNCTION_BELONGS_TO_FILE"))
+    out = out.unionByName(edge(calls_of(held), "path", "name", "FUNCTION_CALLS_FUNCTION"))
+    out = out.unionByName(edge(held.where("entry").select("path", module_of("path").alias("module")), "path", "module", "ENTRYPOINT_STARTS_MODULE"))
+    routes = held.select(F.explode("routes").alias("r")).select(F.concat_ws(" ", "r.method", "r.path").alias("route"), "r.handler")
+    return out.unionByName(edge(routes, "route", "handler", "API_ROUTE_CALLS_HANDLER"))
 
 
 def test_edges(files: DataFrame, imports: DataFrame) -> DataFrame:
@@ -81,9 +99,61 @@ def test_edges(files: DataFrame, imports: DataFrame) -> DataFrame:
 
 
 def build(files: DataFrame) -> DataFrame:
-    """All edges of files (path, language, content)."""
-    imports = checkpointed(resolve(files))
-    return imports.unionByName(symbol_edges(files)).unionByName(test_edges(files, imports)).distinct()
+    """(src, dst, relation): all edges of files (path, language, content), each once; none leads to itself."""
+    held, imports = symbols_of(files), checkpointed(resolve(files))
+    modules = imports.select(module_of("src").alias("src"), module_of("dst").alias("dst"), F.lit("MODULE_DEPENDS_ON_MODULE").alias("relation"))
+    tests = checkpointed(test_edges(files, imports))
+    defined = held.select(F.col("path").alias("dst"), F.explode("functions").alias("name"))
+    called = held.select(F.col("path").alias("src"), F.explode("calls").alias("name"))
+    covered = tests.select("src", "dst").join(defined, "dst").join(called, ["src", "name"]).select("src", F.col("name").alias("dst"), F.lit("TEST_COVERS_FUNCTION").alias("relation"))
+    out = imports.unionByName(modules).unionByName(symbol_edges(held)).unionByName(tests).unionByName(covered)
+    return out.where("src <> '' and dst <> '' and src <> dst").distinct()
+
+
+# Fixed values
+CAPS = {"files": 15, "tests": 10, "symbols": 20, "functions": 30, "routes": 80, "edges": 4000}
+
+
+def stored(edges: DataFrame, most: int = CAPS["edges"]) -> DataFrame:
+    """The edges that are kept with a project, in order; counts by relation are taken from all of them."""
+    return edges.orderBy("relation", "src", "dst").limit(most)
+
+
+def _listed(rows: DataFrame, name: str, most: int) -> DataFrame:
+    """(path, name): the first most distinct values of rows (path, rank, value) by rank, then value; rows beyond are cut in each task."""
+    first = rows.where("value is not null and value <> path").groupBy("path", "value").agg(F.min("rank").alias("rank"))
+    place = F.row_number().over(Window.partitionBy("path").orderBy("rank", "value"))
+    held = first.withColumn("n", place).where(F.col("n") <= most)
+    return held.groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "value"))), lambda x: x["value"]).alias(name))
+
+
+def relations(files: DataFrame, caps: dict[str, int] = CAPS) -> DataFrame:
+    """A row a file: imports, imported_by, related_files, related_tests, related_symbols, dependency_count, call_count, classes,
+    functions, parent_classes, child_classes. Lists are cut by caps, counts are not.
+
+    Related are, in this order, what a file imports, what imports it, its tests, files of its classes' bases, files whose
+    classes have its own as bases, and files that it calls.
+    """
+    held, imports = symbols_of(files), checkpointed(resolve(files).select("src", "dst"))
+    tests = test_edges(files, imports).select("src", "dst")
+    bases, calls = bases_of(held), calls_of(held)
+    pair = lambda df, path, value, rank: df.select(F.col(path).alias("path"), F.lit(rank).alias("rank"), F.col(value).alias("value"))
+    out_of, into, tested = pair(imports, "src", "dst", 0), pair(imports, "dst", "src", 1), pair(tests, "dst", "src", 2)
+    related = out_of.unionByName(into).unionByName(tested).unionByName(pair(bases, "path", "home", 3)).unionByName(pair(bases, "home", "path", 4)).unionByName(pair(calls, "path", "home", 5))
+    classes = _classes(held)
+    parents = classes.select("path", F.lit(0).alias("rank"), F.explode("bases").alias("value"))
+    of = classes.select("path", F.col("name").alias("base"))
+    children = classes.select(F.col("name").alias("value"), F.explode("bases").alias("base")).join(of, "base").select("path", F.lit(0).alias("rank"), "value")
+    listed = F.concat(F.transform("classes", lambda c: c["name"]), "functions")
+    own = held.select("path", F.posexplode(listed).alias("rank", "value")).unionByName(parents.withColumn("rank", F.lit(1 << 30)))
+    counts = out_of.unionByName(into).groupBy("path").agg(F.count_distinct("rank", "value").alias("dependency_count"))
+    out = held.select("path", F.size("calls").cast("long").alias("call_count"), F.transform("classes", lambda c: c["name"]).alias("classes"), F.slice("functions", 1, caps["functions"]).alias("functions"))
+    lists = {"imports": (out_of, caps["files"]), "imported_by": (into, caps["files"]), "related_files": (related, caps["files"]), "related_tests": (tested, caps["tests"]), "related_symbols": (own, caps["symbols"]), "parent_classes": (parents, 1 << 30), "child_classes": (children, 1 << 30)}
+    for name, (rows, most) in lists.items():
+        out = out.join(_listed(rows, name, most), "path", "left")
+    none = F.array().cast("array<string>")
+    out = out.join(counts, "path", "left").withColumns({c: F.coalesce(c, none) for c in lists})
+    return out.withColumn("dependency_count", F.coalesce("dependency_count", F.lit(0)))
 
 
 def degrees(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:

@@ -13,7 +13,7 @@ from .vector import hash_embedding, point_id
 
 # Fixed values
 TASK_TAGS = ("code_gen", "bug_fix", "bug_detection", "refactoring")
-CAPS = {"imports": 20, "called_functions": 50, "dependency_neighbors": 30, "related_files": 15, "related_tests": 10, "related_symbols": 20, "routes": 80, "edges": 4000}
+CAPS = {"imports": 20, "called_functions": 50, "dependency_neighbors": 30, "related_tests": 10}
 
 
 def normal_path(path: Column | str) -> Column:
@@ -44,14 +44,13 @@ def capped_lists(rows: DataFrame, key: str, value: str, most: int, name: str) ->
 
 def adjacency(edges: DataFrame, caps: dict[str, int] = CAPS) -> DataFrame:
     """(path, imports, imported_by, neighbors, related_tests) by the graph's edges (src, dst, relation); lists are sorted, and cut by caps."""
-    files = edges.where("relation in ('FILE_IMPORTS_FILE', 'FILE_CALLS_FILE', 'FILE_EXTENDS_FILE')")
     imports = edges.where("relation = 'FILE_IMPORTS_FILE'")
     turned = lambda df: df.select(F.col("dst").alias("path"), F.col("src").alias("value"))
     plain = lambda df: df.select(F.col("src").alias("path"), F.col("dst").alias("value"))
     lists = [
         capped_lists(plain(imports), "path", "value", caps["dependency_neighbors"], "imports"),
         capped_lists(turned(imports), "path", "value", caps["dependency_neighbors"], "imported_by"),
-        capped_lists(plain(files).unionByName(turned(files)), "path", "value", caps["dependency_neighbors"], "neighbors"),
+        capped_lists(plain(imports).unionByName(turned(imports)), "path", "value", caps["dependency_neighbors"], "neighbors"),
         capped_lists(turned(edges.where("relation = 'TEST_COVERS_FILE'")), "path", "value", caps["related_tests"], "related_tests"),
     ]
     out = lists[0]

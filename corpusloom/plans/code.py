@@ -128,6 +128,57 @@ def path_classes(spark, sf):
     return table(spark, sf, "pages").select("page_id", C.is_test(path).alias("test"), C.is_config(path, lang).alias("config"), C.is_doc(path, lang).alias("doc"))
 
 
+_CODE = """(SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' WHEN 2 THEN 'java' WHEN 3 THEN 'cpp' WHEN 4 THEN 'csharp' ELSE 'rust' END AS language,
+ 'import java.util.' || host || ';' || chr(10) || 'from .' || host || ' import x, flask' || chr(10) || '#include <' || host || '.h>' || chr(10) || 'using Sys.' || host || ';' || chr(10) || 'use a::' || host || chr(10) || 'const e = require("./' || host || '/x"); express()' || chr(10) || 'import os' || chr(10) || html AS content
+ FROM (SELECT page_id, html, regexp_replace(regexp_extract(url, '^[a-z]+://([^/]+)', 1), '[^a-z]', '', 'g') AS host FROM pages))"""
+
+
+def _code(spark, sf):
+    """Pages as source files: imports of all languages before each page's own text."""
+    p = table(spark, sf, "pages").withColumn("host", F.regexp_replace(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1), "[^a-z]", ""))
+    language = F.element_at(F.array(*[F.lit(x) for x in ("python", "javascript", "java", "cpp", "csharp", "rust")]), (F.col("page_id") % 6 + 1).cast("int"))
+    parts = ["import java.util.", "host", ";\nfrom .", "host", " import x, flask\n#include <", "host", ".h>\nusing Sys.", "host", ";\nuse a::", "host", '\nconst e = require("./', "host", '/x"); express()\nimport os\n', "html"]
+    return p.select("page_id", language.alias("language"), F.concat(*[F.col(x) if x in ("host", "html") else F.lit(x) for x in parts]).alias("content"))
+
+
+def _found(language: str) -> str:
+    every = " || ".join("regexp_extract_all(content, '{}', 1)".format(p.replace("'", "''")) for p in C.REFERENCES[language])
+    last = {"java": "string_split(x, '.')[-1]", "csharp": "string_split(x, '.')[-1]", "rust": "replace(x, '::', '/')"}.get(language, "x")
+    return f"WHEN '{language}' THEN list_transform({every}, lambda x: {last})"
+
+
+@query("import_references", f"WITH r AS (SELECT page_id, CASE language {' '.join(_found(x) for x in ('python', 'javascript', 'java', 'cpp', 'csharp', 'rust'))} END AS r FROM {_CODE}) SELECT page_id, array_to_string(list_filter(r, lambda x, i: list_position(r, x) = i)[1:100], ' ') AS refs FROM r")
+def import_references(spark, sf):
+    return _code(spark, sf).select("page_id", F.array_join(C.references("content", "language"), " ").alias("refs"))
+
+
+_NAMES = ", ".join("nullif(regexp_extract(content, '{}', 1), '')".format(p.replace("'", "''")) for p in C.SYMBOL_NAME)
+
+
+@query("symbol_names", f"SELECT page_id, coalesce({_NAMES}) AS name FROM {_CODE}")
+def symbol_names(spark, sf):
+    return _code(spark, sf).select("page_id", C.symbol_name("content").alias("name"))
+
+
+@query("frameworks_found", f"SELECT page_id, CASE language WHEN 'python' THEN 'Flask' WHEN 'javascript' THEN 'Express' ELSE '' END || CASE WHEN language = 'python' AND contains(lower(content), 'django') THEN ',Django' ELSE '' END AS frameworks FROM {_CODE}")
+def frameworks_found(spark, sf):
+    return _code(spark, sf).select("page_id", F.array_join(C.frameworks("content", "language"), ",").alias("frameworks"))
+
+
+_SHOWN = "ltrim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+@query("content_language", f"""SELECT doc_id, CASE WHEN starts_with(s, '# ') OR starts_with(s, '## ') THEN 'markdown' WHEN starts_with(s, '{{') OR starts_with(s, '[') THEN 'json' WHEN starts_with(s, 'FROM ') OR contains(t, chr(10) || 'RUN ') THEN 'dockerfile'
+ WHEN contains(t, 'fn ') AND (contains(t, 'let ') OR contains(t, 'use ')) THEN 'rust' WHEN starts_with(s, 'using ') OR contains(s, 'namespace ') THEN 'csharp' WHEN contains(t, '#include') OR contains(t, 'std::') THEN 'cpp' WHEN contains(t, 'public class ') THEN 'java'
+ WHEN contains(t, 'function ') OR contains(t, 'const ') OR contains(t, 'let ') THEN 'javascript' ELSE 'python' END AS language
+ FROM (SELECT doc_id, t, {_SHOWN} AS s FROM (SELECT doc_id, ['# ', '  {{"a": 1}} ', 'FROM x ', 'fn a use b ', 'using y; ', 'int std::z ', 'public class Q ', 'const k = 1; ', '', 'x ' || chr(10) || 'RUN '][1 + doc_id % 10] || text AS t FROM documents))""")
+def content_language(spark, sf):
+    """Files whose names say nothing, by signs at their start and in their own texts."""
+    starts = ("# ", '  {"a": 1} ', "FROM x ", "fn a use b ", "using y; ", "int std::z ", "public class Q ", "const k = 1; ", "", "x \nRUN ")
+    text = F.concat(F.element_at(F.array(*[F.lit(x) for x in starts]), (F.col("doc_id") % 10 + 1).cast("int")), "text")
+    return table(spark, sf, "documents").select("doc_id", C.language(F.lit("LICENSE"), text).alias("language"))
+
+
 # Inline sources
 
 SOURCES = {
@@ -175,12 +226,21 @@ def api_routes(spark, sf):
 
 @query(
     "dependency_graph",
-    """SELECT * FROM (VALUES ('App', 'Service', 'CLASS_INHERITS_CLASS'), ('App', 'app/main.py', 'CLASS_BELONGS_TO_FILE'), ('Box', 'Base', 'CLASS_INHERITS_CLASS'), ('Box', 'web/lib/x.js', 'CLASS_BELONGS_TO_FILE'), ('Point', 'Draw', 'CLASS_INHERITS_CLASS'), ('Point', 'core/src/lib.rs', 'CLASS_BELONGS_TO_FILE'), ('Service', 'app/service.py', 'CLASS_BELONGS_TO_FILE'), ('Service', 'object', 'CLASS_INHERITS_CLASS'), ('app/main.py', 'app/service.py', 'FILE_EXTENDS_FILE'), ('app/main.py', 'app/service.py', 'FILE_IMPORTS_FILE'), ('app/main.py', 'app/util.py', 'FILE_CALLS_FILE'), ('app/service.py', 'app/util.py', 'FILE_CALLS_FILE'), ('app/service.py', 'app/util.py', 'FILE_IMPORTS_FILE'), ('call', 'app/service.py', 'FUNCTION_BELONGS_TO_FILE'), ('draw', 'core/src/lib.rs', 'FUNCTION_BELONGS_TO_FILE'), ('helper', 'app/util.py', 'FUNCTION_BELONGS_TO_FILE'), ('list_users', 'app/api.py', 'FUNCTION_BELONGS_TO_FILE'), ('main', 'core/src/lib.rs', 'FUNCTION_BELONGS_TO_FILE'), ('other', 'app/util.py', 'FUNCTION_BELONGS_TO_FILE'), ('run', 'app/main.py', 'FUNCTION_BELONGS_TO_FILE'), ('start', 'web/index.js', 'FUNCTION_BELONGS_TO_FILE'), ('test_helper', 'tests/test_util.py', 'FUNCTION_BELONGS_TO_FILE'), ('tests/test_util.py', 'app/util.py', 'FILE_CALLS_FILE'), ('tests/test_util.py', 'app/util.py', 'FILE_IMPORTS_FILE'), ('tests/test_util.py', 'app/util.py', 'TEST_COVERS_FILE'), ('web/index.js', 'web/lib/x.js', 'FILE_IMPORTS_FILE')) t(src, dst, relation)""",
+    """SELECT * FROM (VALUES ('App', 'Service', 'CLASS_INHERITS_CLASS'), ('Box', 'Base', 'CLASS_INHERITS_CLASS'), ('Point', 'Draw', 'CLASS_INHERITS_CLASS'), ('Service', 'object', 'CLASS_INHERITS_CLASS'), ('app/main.py', 'app/service.py', 'FILE_IMPORTS_FILE'), ('app/service.py', 'app/util.py', 'FILE_IMPORTS_FILE'), ('tests/test_util.py', 'app/util.py', 'FILE_IMPORTS_FILE'), ('web/index.js', 'web/lib/x.js', 'FILE_IMPORTS_FILE'), ('tests', 'app', 'MODULE_DEPENDS_ON_MODULE'), ('web', 'web/lib', 'MODULE_DEPENDS_ON_MODULE'), ('app/main.py', 'helper', 'FUNCTION_CALLS_FUNCTION'), ('app/service.py', 'helper', 'FUNCTION_CALLS_FUNCTION'), ('tests/test_util.py', 'helper', 'FUNCTION_CALLS_FUNCTION'), ('call', 'app/service.py', 'FUNCTION_BELONGS_TO_FILE'), ('draw', 'core/src/lib.rs', 'FUNCTION_BELONGS_TO_FILE'), ('helper', 'app/util.py', 'FUNCTION_BELONGS_TO_FILE'), ('list_users', 'app/api.py', 'FUNCTION_BELONGS_TO_FILE'), ('main', 'core/src/lib.rs', 'FUNCTION_BELONGS_TO_FILE'), ('other', 'app/util.py', 'FUNCTION_BELONGS_TO_FILE'), ('run', 'app/main.py', 'FUNCTION_BELONGS_TO_FILE'), ('start', 'web/index.js', 'FUNCTION_BELONGS_TO_FILE'), ('test_helper', 'tests/test_util.py', 'FUNCTION_BELONGS_TO_FILE'), ('tests/test_util.py', 'app/util.py', 'TEST_COVERS_FILE'), ('tests/test_util.py', 'helper', 'TEST_COVERS_FUNCTION'), ('app/main.py', 'app', 'ENTRYPOINT_STARTS_MODULE'), ('core/src/lib.rs', 'core/src', 'ENTRYPOINT_STARTS_MODULE'), ('web/index.js', 'web', 'ENTRYPOINT_STARTS_MODULE'), ('GET /users', 'list_users', 'API_ROUTE_CALLS_HANDLER'), ('GET /home', 'start', 'API_ROUTE_CALLS_HANDLER')) t(src, dst, relation)""",
 )
 def dependency_graph(spark, sf):
     return graph.build(_files(spark))
 
 
+
+@query(
+    "file_relations",
+    """SELECT * FROM (VALUES ('README.md', '', '', '', '', '', 0, 0, '', '', '', ''), ('app/api.py', '', '', '', '', 'list_users', 0, 2, '', 'list_users', '', ''), ('app/main.py', 'app/service.py', '', 'app/service.py,app/util.py', '', 'App,run,Service', 1, 4, 'App', 'run', 'Service', ''), ('app/service.py', 'app/util.py', 'app/main.py', 'app/util.py,app/main.py', '', 'Service,call,object', 2, 1, 'Service', 'call', 'object', 'App'), ('app/util.py', '', 'app/service.py,tests/test_util.py', 'app/service.py,tests/test_util.py', 'tests/test_util.py', 'helper,other', 2, 1, '', 'helper,other', '', ''), ('core/src/lib.rs', '', '', '', '', 'Point,draw,main,Draw', 0, 3, 'Point,Point', 'draw,main', 'Draw', ''), ('tests/test_util.py', 'app/util.py', '', 'app/util.py', '', 'test_helper', 1, 1, '', 'test_helper', '', ''), ('web/index.js', 'web/lib/x.js', '', 'web/lib/x.js', '', 'start', 1, 5, '', 'start', '', ''), ('web/lib/x.js', '', 'web/index.js', 'web/index.js', '', 'Box,Base', 1, 1, 'Box', '', 'Base', '')) t(path, imports, imported_by, related_files, related_tests, related_symbols, dependency_count, call_count, classes, functions, parent_classes, child_classes)""",
+)
+def file_relations(spark, sf):
+    held = graph.relations(_files(spark))
+    return held.select("path", *[F.array_join(c, ",").alias(c) for c in ("imports", "imported_by", "related_files", "related_tests", "related_symbols")], "dependency_count", "call_count", *[F.array_join(c, ",").alias(c) for c in ("classes", "functions", "parent_classes", "child_classes")])
+
 @query(
     "file_signals",
     """SELECT * REPLACE (importance_score::DOUBLE AS importance_score) FROM (VALUES ('README.md', 'markdown', 0, 0, 0, false, false, true, false, '', 0.45), ('app/api.py', 'python', 0, 0, 2, false, false, false, false, 'FastAPI', 0.1), ('app/main.py', 'python', 1, 0, 5, true, false, false, false, '', 1.33), ('app/service.py', 'python', 1, 1, 5, false, false, false, false, '', 0.55), ('app/util.py', 'python', 0, 2, 5, false, false, false, false, '', 0.69), ('core/src/lib.rs', 'rust', 0, 0, 4, true, false, false, false, '', 1.2), ('tests/test_util.py', 'python', 1, 0, 3, false, false, false, true, '', 0.33), ('web/index.js', 'javascript', 1, 0, 3, true, false, false, false, '', 1.23), ('web/lib/x.js', 'javascript', 0, 1, 2, false, false, false, false, '', 0.32)) t(path, language, import_count, imported_by_count, symbol_count, is_entry_point, is_config_file, is_doc_file, is_test_file, frameworks, importance_score)""",

@@ -104,9 +104,16 @@ def test_graph(files):
     edges = {tuple(r) for r in graph.build(files).collect()}
     for e in [
         ("app/main.py", "app/service.py", "FILE_IMPORTS_FILE"), ("web/index.js", "web/lib/x.js", "FILE_IMPORTS_FILE"), ("App", "Service", "CLASS_INHERITS_CLASS"),
-        ("app/main.py", "app/util.py", "FILE_CALLS_FILE"), ("tests/test_util.py", "app/util.py", "TEST_COVERS_FILE"), ("helper", "app/util.py", "FUNCTION_BELONGS_TO_FILE"),
+        ("app/main.py", "helper", "FUNCTION_CALLS_FUNCTION"), ("tests/test_util.py", "app/util.py", "TEST_COVERS_FILE"), ("helper", "app/util.py", "FUNCTION_BELONGS_TO_FILE"), ("tests/test_util.py", "helper", "TEST_COVERS_FUNCTION"),
+        ("tests", "app", "MODULE_DEPENDS_ON_MODULE"), ("app/main.py", "app", "ENTRYPOINT_STARTS_MODULE"), ("GET /users", "list_users", "API_ROUTE_CALLS_HANDLER"),
     ]:
         assert e in edges
+    assert graph.stored(graph.build(files), 3).count() == 3
+    near = {r["path"]: r for r in graph.relations(files, graph.CAPS | {"symbols": 2}).collect()}
+    util, main = near["app/util.py"], near["app/main.py"]
+    assert (util["imports"], util["imported_by"], util["related_tests"], util["dependency_count"]) == ([], ["app/service.py", "tests/test_util.py"], ["tests/test_util.py"], 2)
+    assert main["related_files"] == ["app/service.py", "app/util.py"] and main["parent_classes"] == ["Service"] and main["related_symbols"] == ["App", "run"]
+    assert near["app/service.py"]["child_classes"] == ["App"] and near["app/service.py"]["related_files"] == ["app/util.py", "app/main.py"] and near["README.md"]["related_files"] == []
     held = {r["path"]: r for r in graph.signals(files, graph.build(files)).collect()}
     assert held["app/util.py"]["imported_by_count"] == 2 and held["app/main.py"]["is_entry_point"] and held["app/api.py"]["frameworks"] == ["FastAPI"]
 
