@@ -7,14 +7,14 @@ matter, which are about 2 / WIDTH of the tokens, and those above such a node are
 Jaccard similarity of s agree in each function's min-hash with probability s (always, if equal), so windows of some
 function meet by their hash, and the intervals around their tokens are compared.
 
-1. Rows are dealt into groups; groups send the set of their windows' hashes, and learn which another row has.
+1. Rows are dealt into groups; groups learn, in two hops (see exchange), which of their windows' hashes another row has.
 2. Windows of those hashes with equal contexts are one within the group. Distinct contexts go to a bucket by hash, and
    are compared there.
 3. Links make the classes, spans the passages.
 
-Windows of a hash that HOT_GROUPS groups or more have (a phrase in every third text) meet by the hash and each string of
-SHARED tokens, the classes in which others are compared, so both find the same pairs; and equal contexts are made one in
-parts first.
+Windows of a hash of which groups would send more than HOT_BYTES (a phrase in every third text) meet by the hash and each
+string of SHARED tokens, the classes in which others are compared, so both find the same pairs; and equal contexts are
+made one in parts first.
 """
 
 from collections.abc import Iterator
@@ -25,12 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import exchange
 from .common import components, cut, prepare, read
-from .suffix import _bucket, _by_bucket, _pack, _smallest, _unpack
+from .exchange import pack, table, unpack
+from .suffix import _by_bucket, _smallest
 
 SHINGLE, WORDS, SIMILARITY = 5, 50, 0.8
 FUNCTIONS = 4
-GROUP_BYTES, HOT_GROUPS = 4 << 20, 1024
+#: Bytes of a group's texts; bytes of one hash's windows that a task reads at most.
+GROUP_BYTES, HOT_BYTES = 4 << 20, 4 << 20
 #: Hashes per bucket, on average, and parts in which the groups' contexts of a hot hash are made one first.
 BUCKET, PARTS = 1 << 18, 64
 #: Tokens by which a passage may be shifted against another within a window.
@@ -96,6 +99,12 @@ class Windows:
             self.shared = np.minimum.reduceat(rows, at) != np.maximum.reduceat(rows, at)
         else:
             self.shared = np.zeros(0, bool)
+        # How many distinct windows each hash has here, by tokens on both sides
+        far = [np.clip(self.c + k, self.low, self.high) for k in (-WIDTH // 3, WIDTH // 3)]
+        with np.errstate(over="ignore"):
+            marks = exchange.mixed(self.tokens[far[0]] * _MUL + self.tokens[far[1]]) if len(self.c) else np.zeros(0, np.uint64)
+        held = np.unique(np.stack([self.number.astype(np.uint64), marks]), axis=1)[0].astype(np.int64) if len(marks) else np.zeros(0, np.int64)
+        self.times = np.bincount(held, minlength=len(self.distinct))
 
     def _windows(self, function: int) -> tuple[np.ndarray, ...]:
         with np.errstate(over="ignore"):
@@ -394,21 +403,17 @@ _FIELDS = [("kind", pa.string()), ("p", pa.int64()), ("a", pa.int64()), ("b", pa
 SCHEMA, SENT = pa.schema(_FIELDS), "kind string, p long, a long, b long, c long, data binary"
 
 
-def _table(made: list[tuple], schema: pa.Schema = SCHEMA) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made) if made else [[]] * len(schema), schema)], schema=schema)
-
-
 def _results(links: np.ndarray, spans: np.ndarray, p: int) -> list[tuple]:
     return [("link", p, a, b, None, None) for a, b in links.tolist()] + [("span", p, r, a, b, None) for r, a, b in spans.tolist()]
 
 
 def _members(keys: np.ndarray, rows: np.ndarray, places: np.ndarray, contexts: np.ndarray, p: int, kind: str) -> tuple:
     data = b"".join([np.int64(len(keys)).tobytes(), keys.astype("<u8").tobytes(), rows.astype("<i8").tobytes(), places.astype("<i8").tobytes(), contexts.astype("<u2").tobytes()])
-    return (kind, p, None, None, None, _pack(data))
+    return (kind, p, None, None, None, pack(data))
 
 
 def _opened(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    raw = _unpack(data)
+    raw = unpack(data)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     whole = [np.frombuffer(raw, t, n, 8 + 8 * n * k) for k, t in enumerate(("<u8", "<i8", "<i8"))]
     return (*whole, np.frombuffer(raw, "<u2", n * SPAN, 8 + 24 * n).reshape(n, SPAN))
@@ -422,7 +427,7 @@ def _grouped(keys: np.ndarray) -> Iterator[np.ndarray]:
         yield order[a:b]
 
 
-def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, hot_groups: int = HOT_GROUPS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, hot_bytes: int = HOT_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows: row, doc_id, n_words; links: a, b, pairs of rows that span the classes; spans: row, first, last word).
 
     df is read twice and must give its rows in the same order, as files and checkpoints do.
@@ -430,48 +435,35 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_by
     prepare(df.sparkSession)
     text = F.coalesce(df[text_col], F.lit("")).cast("binary")
     total = df.select(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    groups, buckets = int(total // group_bytes + 1), int(total // (BUCKET * 6 * WIDTH // (2 * FUNCTIONS)) + 1)
+    groups, plan = int(total // group_bytes + 1), exchange.Plan.of(total * 2 * FUNCTIONS // (6 * WIDTH), BUCKET)
     row = F.monotonically_increasing_id()
     dealt = df.select(F.pmod(F.xxhash64(row), F.lit(groups)).alias("g"), row.alias("row"), df[id_col].cast("long").alias("id"), text.alias("text"))
-    hashes = "g long, p long, data binary"
-    to = pa.schema([("g", pa.int64()), ("p", pa.int64()), ("data", pa.binary())])
+
+    def keys_of(found: Windows) -> exchange.GroupKeys:
+        return exchange.GroupKeys(plan, found.distinct, found.times, found.shared)
 
     def sets(group: pa.Table) -> pa.Table:
-        found, made, g = Windows(group.column("text").to_pylist()), [], group.column("g")[0].as_py()
-        for p, at in _by_bucket(_bucket(found.distinct, buckets)):
-            made.append((g, p, (found.distinct[at] << np.uint64(1) | found.shared[at]).tobytes()))
-        return _table(made, to)
-
-    def shared(bucket: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint64) for x in bucket.column("data").to_pylist()]
-        values = np.concatenate(parts)
-        own, values = (values & np.uint64(1)).astype(bool), values >> np.uint64(1)
-        flags = np.zeros(len(values), np.uint8)
-        for at in _grouped(values):
-            if len(at) > 1 or own[at[0]]:
-                flags[at] = 2 if len(at) >= hot_groups else 1
-        ends = np.cumsum([len(x) for x in parts])
-        return _table([(g, p, _pack(flags[e - len(x) : e])) for g, p, x, e in zip(bucket.column("g").to_pylist(), bucket.column("p").to_pylist(), parts, ends)], to)
+        return exchange.sets_table(keys_of(Windows(group.column("text").to_pylist())), group.column("g")[0].as_py())
+
+    def bucket(keys: np.ndarray) -> np.ndarray:
+        return plan.bucket(plan.cut(keys))
 
     def windows(group: pa.Table, answers: pa.Table) -> pa.Table:
         if not group.num_rows:
-            return _table([])
+            return table([], SCHEMA)
         g, ids = group.column("g")[0].as_py(), group.column("row").to_numpy()
         found = Windows(group.column("text").to_pylist())
         made = [("row", g, r, i, n, None) for r, i, n in zip(ids.tolist(), group.column("id").to_pylist(), found.words)]
-        flags = np.zeros(len(found.distinct), np.uint8)
-        known = dict(zip(answers.column("p").to_pylist(), answers.column("data").to_pylist()))
-        for p, at in _by_bucket(_bucket(found.distinct, buckets)):
-            flags[at] = np.frombuffer(_unpack(known[p]), np.uint8)
+        flags = keys_of(found).flags(dict(zip(answers.column("r").to_pylist(), answers.column("data").to_pylist())))
         kind = flags[found.number]
         at = np.flatnonzero(kind)
         contexts, keys = found.contexts(at), found.key[at]
-        hot = np.flatnonzero(kind[at] == 2)
+        hot = np.flatnonzero(kind[at] == exchange.HOT)
         sides = []
         for a in _SHARED_AT:
             strings = _folded(contexts[hot, a : a + SHARED], keys[hot])
             sides.append((hot[strings != 0], strings[strings != 0]))
-        plain = np.flatnonzero(kind[at] == 1)
+        plain = np.flatnonzero(kind[at] == exchange.SHARED)
         pick = np.concatenate([plain, *(s[0] for s in sides)])
         keys = np.concatenate([keys[plain], *(s[1] for s in sides)])
         wide = np.concatenate([np.zeros(len(plain), bool), np.ones(len(pick) - len(plain), bool)])
@@ -479,21 +471,21 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_by
         *results, lead = fold(keys, rows, places, contexts)
         made += _results(*results, g)
         for kind, some in (("once", lead[~wide[lead]]), ("part", lead[wide[lead]])):
-            deal = _bucket(keys[some], buckets)
+            deal = bucket(keys[some])
             if kind == "part":
                 deal = deal * PARTS + g % PARTS
             for p, at in _by_bucket(deal):
                 s = some[at]
                 made.append(_members(keys[s], rows[s], places[s], contexts[s], p, kind))
-        return _table(made)
+        return table(made, SCHEMA)
 
     def meeting(last: bool):
-        def run(bucket: pa.Table) -> pa.Table:
-            kinds = bucket.column("kind").to_pylist()
-            data = bucket.column("data").to_pylist()
-            p = bucket.column("p")[0].as_py()
+        def run(held: pa.Table) -> pa.Table:
+            kinds = held.column("kind").to_pylist()
+            data = held.column("data").to_pylist()
+            p = held.column("p")[0].as_py()
             take = [i for i, k in enumerate(kinds) if k in ("once", "part")]
-            passed = bucket.take(pa.array([i for i, k in enumerate(kinds) if k not in ("once", "part")], pa.int64())).cast(SCHEMA)
+            passed = held.take(pa.array([i for i, k in enumerate(kinds) if k not in ("once", "part")], pa.int64())).cast(SCHEMA)
             made = []
             for kind in ("once", "part"):
                 some = [_opened(data[i]) for i in take if kinds[i] == kind]
@@ -506,12 +498,12 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_by
                 else:
                     *results, lead = fold(keys, rows, places, contexts)
                     made += _results(*results, p)
-                    made += [_members(keys[lead[at]], rows[lead[at]], places[lead[at]], contexts[lead[at]], q, "part") for q, at in _by_bucket(_bucket(keys[lead], buckets))]
-            return pa.concat_tables([passed, _table(made)])
+                    made += [_members(keys[lead[at]], rows[lead[at]], places[lead[at]], contexts[lead[at]], q, "part") for q, at in _by_bucket(bucket(keys[lead]))]
+            return pa.concat_tables([passed, table(made, SCHEMA)])
 
         return run
 
-    flags = dealt.select("g", "row", "id", "text").groupBy("g").applyInArrow(sets, hashes).groupBy("p").applyInArrow(shared, hashes)
+    flags = exchange.shared_keys(dealt.groupBy("g").applyInArrow(sets, exchange.SENT), plan, 2 * SPAN + 24, hot_bytes)
     out = dealt.groupBy("g").cogroup(flags.groupBy("g")).applyInArrow(windows, SENT)
     out = out.groupBy("p").applyInArrow(meeting(False), SENT).groupBy("p").applyInArrow(meeting(True), SENT)
     out = cut(out.drop("data"))
@@ -521,7 +513,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_by
     return rows, links, spans
 
 
-def near_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, hot_groups: int = HOT_GROUPS) -> DataFrame:
+def near_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Per row: doc_id, n_words, n_passages, n_passage_words, spans (first:last word, in order), class_id.
 
     A passage is near another if 50 words around a shared min-hash have a Jaccard similarity of 0.8 or more in
@@ -529,7 +521,7 @@ def near_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     without any have none of the counts. Null and short texts have no passages; a null id counts as largest;
     repeated rows are near each other and get a row each; an empty table gives an empty result; further columns are left aside.
     """
-    rows, links, spans = find(df, id_col, text_col, group_bytes, hot_groups)
+    rows, links, spans = find(df, id_col, text_col, group_bytes, hot_bytes)
     found = components(links)
     members = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
     ids = members.join(rows.select(F.col("row").alias("node"), "doc_id"), "node")

@@ -5,17 +5,18 @@ LENGTH bytes is the smallest hash of its GRAM-byte substrings, so equal strings
 positions of a text mostly share theirs. Such a run of positions is a piece of text (all its strings, overlapped), and
 equal strings always lie in pieces with the same minimizer.
 
-1. Texts are dealt into groups of about GROUP_BYTES, by row. Each group sends the set of its minimizers, in buckets;
-   a bucket answers by a bit for each which ones another text has too. Most have none, and their text stays where it is.
+1. Texts are dealt into groups of about GROUP_BYTES, by row. Groups learn by two hops (see exchange) which of their
+   minimizers another text has too. Most have none, and their text stays where it is.
 2. Groups send the pieces of the others, each distinct piece once, with its smallest document id. A bucket joins the
    equal ones; the distinct pieces that share a minimizer become one text, whose suffixes are grouped by their first
    LENGTH bytes: see equal_strings(). Each piece is answered by the smallest id of each of its strings.
 3. Groups mark the strings that a smaller document has, and remove what they cover.
 
 All of it moves fewer bytes than the texts have, and no step gathers more than a group, or what shares a minimizer. A
-minimizer that HOT_GROUPS groups or more have (say, of a passage in every third document, which has as many contexts)
-is not gathered: its pieces are cut into single strings, which are dealt out by their own hashes, and of which each
-group sends one copy.
+minimizer of which groups would send more than HOT_BYTES of distinct pieces (say, of a line in every third document,
+with as many contexts) is not gathered: its pieces are cut into single strings, which are dealt out by their own hashes,
+in two hops as well: equal strings of a supergroup are one before they go to a bucket, so a string that all groups have
+makes no hot bucket either.
 """
 
 import hashlib
@@ -23,16 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import exchange
 from .common import prepare, read
+from .exchange import pack, table, unpack
 
 LENGTH, GRAM = 50, 24
-GROUP_BYTES, HOT_GROUPS = 4 << 20, 1024
-#: Minimizers per bucket, on average.
-BUCKET = 1 << 20
+#: Bytes of a group's texts; bytes of one minimizer's pieces that a task reads at most.
+GROUP_BYTES, HOT_BYTES = 4 << 20, 4 << 20
 #: Bytes of text that are hashed at once, and symbols of one transform.
 _STRETCH, _TEXT = 1 << 17, 1 << 18
 #: Rows up to which an interval is expanded row by row.
@@ -216,10 +217,22 @@ class Runs:
         rows = self.row[order]
         ends = np.concatenate([at[1:], [len(rows)]]).astype(np.int64) - 1
         self.shared = rows[at] != rows[ends] if len(at) else np.zeros(0, bool)  # by two rows of the group
-
-
-def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
-    return ((values >> np.uint64(17)) % np.uint64(buckets)).astype(np.int64)
+        self.pieces = self._pieces(whole, length, ends - at + 1)
+
+    def _pieces(self, whole: np.ndarray, length: int, times: np.ndarray) -> np.ndarray:
+        """How many distinct pieces each distinct minimizer has here, by hashes of their first and last strings."""
+        some = np.flatnonzero(times[self.number] > 1)
+        power = np.ones(length, np.uint64)
+        with np.errstate(over="ignore"):
+            np.multiply.accumulate(np.full(length - 1, _MUL), out=power[1:])
+            marks = np.empty(len(some), np.uint64)
+            for k in range(0, len(some), 1 << 15):
+                at = some[k : k + (1 << 15)]
+                strings = np.lib.stride_tricks.sliding_window_view(whole, length)
+                ends = [(strings[x].astype(np.uint64) * power).sum(1, dtype=np.uint64) for x in (self.start[at], self.start[at] + self.count[at] - 1)]
+                marks[k : k + len(at)] = exchange.mixed(ends[0] * _MUL + ends[1] + self.count[at].astype(np.uint64))
+        held = np.unique(np.stack([self.number[some].astype(np.uint64), marks]), axis=1)[0].astype(np.int64) if len(some) else np.zeros(0, np.int64)
+        return np.where(times > 1, np.bincount(held, minlength=len(times)), 1)
 
 
 def _by_bucket(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -231,48 +244,52 @@ def _by_bucket(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(ranked[a]), order[a:b]
 
 
-_pack = lambda x: zstandard.ZstdCompressor(level=1).compress(x if isinstance(x, bytes) else x.tobytes())
-_unpack = lambda x: zstandard.ZstdDecompressor().decompress(x)
-
-
 class Pieces:
-    """The pieces that a group sends, in an order that depends on their bytes alone, and where they occur.
+    """What a group sends, in an order that depends on the texts' bytes alone, and where it occurs: pieces, and single strings of hot minimizers.
 
-    flags: by minimizer of runs.distinct, 0 (no other text has it), 1, or 2 (hot: cut into single strings).
+    flags: by minimizer of runs.distinct, whether another text has it, and whether it is hot.
     """
 
-    def __init__(self, runs: Runs, flags: np.ndarray, ids: np.ndarray, length: int, buckets: int):
+    def __init__(self, runs: Runs, flags: np.ndarray, ids: np.ndarray, length: int, plan: exchange.Plan):
         kind = flags[runs.number]
-        plain, hot = np.flatnonzero(kind == 1), np.flatnonzero(kind == 2)
-        singles = _ranges(runs.start[hot], runs.count[hot])
-        self.start = np.concatenate([runs.start[plain], singles])
-        self.count = np.concatenate([runs.count[plain], np.ones(len(singles), np.int64)])
-        self.row = np.concatenate([runs.row[plain], np.repeat(runs.row[hot], runs.count[hot])])
+        plain, hot = np.flatnonzero(kind == exchange.SHARED), np.flatnonzero(kind == exchange.HOT)
         data, extra = runs.data, length - 1
-        texts = [data[a : a + n + extra] for a, n in zip(self.start.tolist(), self.count.tolist())]
-        self.texts = sorted(set(texts))
-        number = dict(zip(self.texts, range(len(self.texts))))
-        self.number = np.fromiter(map(number.__getitem__, texts), np.int64, len(texts))
-        # A piece's key: its minimizer, or for a single string of a hot one its own hash
-        keys = np.zeros(len(self.texts), np.uint64)
-        keys[self.number[: len(plain)]] = runs.value[plain]
-        if len(hot):
-            own = self.number[len(plain) :]
-            firsts, where = np.unique(own, return_index=True)
-            joined = np.frombuffer(b"".join(self.texts[i] for i in firsts.tolist()), np.uint8)
-            keys[firsts] = _grams(joined, length)[::length]
-        self.keys = keys
-        self.least = np.full(len(self.texts), NO_ID)
-        np.minimum.at(self.least, self.number, ids[self.row])
-        self.bucket = _bucket(keys, buckets)
-
-
-def _flags(runs: Runs, rows: pa.Table, buckets: int) -> np.ndarray:
-    flags = np.zeros(len(runs.distinct), np.uint8)
-    answers = dict(zip(rows.column("p").to_pylist(), rows.column("data").to_pylist()))
-    for p, at in _by_bucket(_bucket(runs.distinct, buckets)):
-        flags[at] = np.frombuffer(_unpack(answers[p]), np.uint8)
-    return flags
+        self.start, self.count, self.row = runs.start[plain], runs.count[plain], runs.row[plain]
+        self.texts, self.number, self.least = self._distinct([data[a : a + n + extra] for a, n in zip(self.start.tolist(), self.count.tolist())], ids[self.row])
+        self.keys = np.zeros(len(self.texts), np.uint64)
+        self.keys[self.number] = runs.value[plain]
+        self.bucket = plan.bucket(plan.cut(self.keys))
+        self.at = _ranges(runs.start[hot], runs.count[hot])
+        self.owner = np.repeat(runs.row[hot], runs.count[hot])
+        self.strings, self.which, self.lowest = self._distinct([data[a : a + length] for a in self.at.tolist()], ids[self.owner])
+        own = _grams(np.frombuffer(b"".join(self.strings), np.uint8), length)[::length] if self.strings else np.zeros(0, np.uint64)
+        self.home = plan.bucket(plan.cut(own)) // plan.fan  # the range of a string's bucket
+
+    @staticmethod
+    def _distinct(texts: list[bytes], ids: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """(distinct texts in order, the number of each text among them, the smallest id of each)."""
+        found = sorted(set(texts))
+        number = dict(zip(found, range(len(found))))
+        numbers = np.fromiter(map(number.__getitem__, texts), np.int64, len(texts))
+        least = np.full(len(found), NO_ID)
+        np.minimum.at(least, numbers, ids)
+        return found, numbers, least
+
+
+def _strings(data: bytes, length: int) -> list[bytes]:
+    return [data[k : k + length] for k in range(0, len(data), length)]
+
+
+def _lowest(rows: list[tuple[bytes, bytes]], length: int) -> tuple[dict[bytes, int], list[list[bytes]]]:
+    """(the smallest id of each string, the strings of each row) of rows of packed ids and strings."""
+    least: dict[bytes, int] = {}
+    lists = []
+    for ids, data in rows:
+        lists.append(_strings(unpack(data), length))
+        for text, i in zip(lists[-1], np.frombuffer(unpack(ids), np.int64).tolist()):
+            if least.get(text, NO_ID + 1) > i:
+                least[text] = i
+    return least, lists
 
 
 def first_holders(items: list[tuple[np.ndarray, np.ndarray, list[bytes]]], length: int) -> list[bytes]:
@@ -313,11 +330,11 @@ def first_holders(items: list[tuple[np.ndarray, np.ndarray, list[bytes]]], lengt
         edge[np.cumsum(n) - n] = True
         edge[1:] |= values[1:] != values[:-1]
         runs = np.flatnonzero(edge)
-        out.append(_pack(np.concatenate([values[runs], np.diff(np.concatenate([runs, [len(values)]]))])))
+        out.append(pack(np.concatenate([values[runs], np.diff(np.concatenate([runs, [len(values)]]))])))
     return out
 
 
-def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, group_bytes: int = GROUP_BYTES, hot_groups: int = HOT_GROUPS) -> DataFrame:
+def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, group_bytes: int = GROUP_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes that remain, if texts).
 
     A byte is removed if a string of length bytes that covers it also starts in a row with a smaller id. Ids are
@@ -329,59 +346,82 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     gram = max(1, min(GRAM, length // 2))
     text = F.coalesce(df[text_col], F.lit("")).cast("binary")
     total = df.select(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    groups, buckets = int(total // group_bytes + 1), int(total // (BUCKET * (length - gram) // 2) + 1)
+    groups, plan = int(total // group_bytes + 1), exchange.Plan.of(2 * total // (length - gram))
     deal = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))
     rows = df.select(deal.alias("g"), df[id_col].cast("long").alias("id"), text.alias("text"))
-    sent = "g long, p long, data binary"
-    to = pa.schema([("g", pa.int64()), ("p", pa.int64()), ("data", pa.binary())])
-    full = pa.schema([("g", pa.int64()), ("p", pa.int64()), ("keys", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary())])
-
-    def table(made: list[tuple], schema: pa.Schema) -> pa.Table:
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made) if made else [[]] * len(schema), schema)], schema=schema)
+    full = pa.schema([("g", pa.int64()), ("s", pa.int64()), ("r", pa.int64()), ("keys", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary())])
+    hop = pa.schema([("s", pa.int64()), ("r", pa.int64()), ("p", pa.int64()), ("ids", pa.binary()), ("data", pa.binary())])
+    back = pa.schema([("g", pa.int64()), ("r", pa.int64()), ("data", pa.binary())])
 
     def runs_of(group: pa.Table) -> Runs:
         return Runs(group.column("text").to_pylist(), length, gram)
 
+    def keys_of(runs: Runs) -> exchange.GroupKeys:
+        return exchange.GroupKeys(plan, runs.distinct, runs.pieces, runs.shared)
+
     def minimizers(group: pa.Table) -> pa.Table:
-        runs, made, g = runs_of(group), [], group.column("g")[0].as_py()
-        for p, at in _by_bucket(_bucket(runs.distinct, buckets)):
-            made.append((g, p, (runs.distinct[at] & ~np.uint64(1) | runs.shared[at]).tobytes()))
-        return table(made, to)
-
-    def shared(bucket: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint64) for x in bucket.column("data").to_pylist()]
-        values = np.concatenate(parts)
-        own, values = values & np.uint64(1), values >> np.uint64(1)
-        order = np.argsort(values)
-        ranked = values[order]
-        edges = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        times = np.diff(np.concatenate([edges, [len(ranked)]]))
-        twice = (times > 1) | np.maximum.reduceat(own[order], edges).astype(bool)
-        flags = np.empty(len(values), np.uint8)
-        flags[order] = np.repeat(np.where(times >= hot_groups, 2, twice.astype(np.uint8)), times)
-        ends = np.cumsum([len(x) for x in parts])
-        return table([(g, p, _pack(flags[e - len(x) : e])) for g, p, x, e in zip(bucket.column("g").to_pylist(), bucket.column("p").to_pylist(), parts, ends)], to)
+        return exchange.sets_table(keys_of(runs_of(group)), group.column("g")[0].as_py())
 
     def ids_of(group: pa.Table) -> np.ndarray:
         return group.column("id").fill_null(int(NO_ID)).to_numpy()
 
+    def listed(answers: pa.Table) -> dict[int, bytes]:
+        return dict(zip(answers.column("r").to_pylist(), answers.column("data").to_pylist()))
+
     def pieces(group: pa.Table, answers: pa.Table) -> pa.Table:
         if not group.num_rows:
             return table([], full)
         runs, made, g = runs_of(group), [], group.column("g")[0].as_py()
-        sent = Pieces(runs, _flags(runs, answers, buckets), ids_of(group), length, buckets)
+        sent = Pieces(runs, keys_of(runs).flags(listed(answers)), ids_of(group), length, plan)
         for p, at in _by_bucket(sent.bucket):
-            texts = [sent.texts[i] for i in at.tolist()]
-            sizes = np.array([len(t) for t in texts], np.uint32)
-            made.append((g, p, sent.keys[at].tobytes(), _pack(sent.least[at]), _pack(sizes), _pack(b"".join(texts))))
+            some = [sent.texts[i] for i in at.tolist()]
+            sizes = np.array([len(t) for t in some], np.uint32)
+            made.append((g, -1, p, sent.keys[at].tobytes(), pack(sent.least[at]), pack(sizes), pack(b"".join(some))))
+        for r, at in _by_bucket(sent.home):
+            made.append((g, g // plan.fan, r, None, pack(sent.lowest[at]), None, pack(b"".join([sent.strings[i] for i in at.tolist()]))))
         return table(made, full)
 
     def holders(bucket: pa.Table) -> pa.Table:
+        if bucket.column("s")[0].as_py() >= 0:  # single strings: see merged
+            return table([], back)
         items = []
         for x in bucket.select(["keys", "ids", "sizes", "data"]).to_pylist():
-            data, ends = _unpack(x["data"]), np.cumsum(np.frombuffer(_unpack(x["sizes"]), np.uint32), dtype=np.int64).tolist()
-            items.append((np.frombuffer(x["keys"], np.uint64), np.frombuffer(_unpack(x["ids"]), np.int64), [data[a:b] for a, b in zip([0, *ends], ends)]))
-        return table(list(zip(bucket.column("g").to_pylist(), bucket.column("p").to_pylist(), first_holders(items, length))), to)
+            data, ends = unpack(x["data"]), np.cumsum(np.frombuffer(unpack(x["sizes"]), np.uint32), dtype=np.int64).tolist()
+            items.append((np.frombuffer(x["keys"], np.uint64), np.frombuffer(unpack(x["ids"]), np.int64), [data[a:b] for a, b in zip([0, *ends], ends)]))
+        return table(list(zip(bucket.column("g").to_pylist(), bucket.column("r").to_pylist(), first_holders(items, length))), back)
+
+    def of(bucket: pa.Table) -> tuple[dict[bytes, int], list[list[bytes]]]:
+        return _lowest(list(zip(bucket.column("ids").to_pylist(), bucket.column("data").to_pylist())), length)
+
+    def homes(strings: list[bytes]) -> np.ndarray:
+        return plan.bucket(plan.cut(_grams(np.frombuffer(b"".join(strings), np.uint8), length)[::length]))
+
+    def merged(bucket: pa.Table) -> pa.Table:
+        s, r = bucket.column("s")[0].as_py(), bucket.column("r")[0].as_py()
+        if s < 0:  # pieces: see holders
+            return table([], hop)
+        least, _ = of(bucket)
+        strings, made = sorted(least), []
+        for p, at in _by_bucket(homes(strings)):
+            some = [strings[i] for i in at.tolist()]
+            made.append((s, r, p, pack(np.array([least[x] for x in some], np.int64)), pack(b"".join(some))))
+        return table(made, hop)
+
+    def answered(bucket: pa.Table) -> pa.Table:
+        least, lists = of(bucket)
+        s, r, p = (bucket.column(c).to_pylist() for c in ("s", "r", "p"))
+        return table([(a, b, c, pack(np.array([least[x] for x in some], np.int64)), None) for a, b, c, some in zip(s, r, p, lists)], hop)
+
+    def scattered(bucket: pa.Table, told: pa.Table) -> pa.Table:
+        if not bucket.num_rows or bucket.column("s")[0].as_py() < 0:
+            return table([], back)
+        least, lists = of(bucket)
+        strings = sorted(least)
+        answers = dict(zip(told.column("p").to_pylist(), told.column("ids").to_pylist()))
+        for p, at in _by_bucket(homes(strings)):
+            least |= zip([strings[i] for i in at.tolist()], np.frombuffer(unpack(answers[p]), np.int64).tolist())
+        g, r = bucket.column("g").to_pylist(), bucket.column("r").to_pylist()
+        return table([(a, b, pack(np.array([least[x] for x in some], np.int64))) for a, b, some in zip(g, r, lists)], back)
 
     out_fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *[("kept", pa.binary())] * texts]
 
@@ -389,20 +429,21 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
         if not group.num_rows:
             return table([], pa.schema(out_fields))
         runs, ids = runs_of(group), ids_of(group)
-        first = answers.filter(pa.compute.equal(answers.column("step"), 1))
-        second = answers.filter(pa.compute.equal(answers.column("step"), 2))
-        sent = Pieces(runs, _flags(runs, first, buckets), ids, length, buckets)
-        replies = dict(zip(second.column("p").to_pylist(), second.column("data").to_pylist()))
+        first, second, third = (listed(answers.filter(pa.compute.equal(answers.column("step"), k))) for k in (1, 2, 3))
+        sent = Pieces(runs, keys_of(runs).flags(first), ids, length, plan)
         counts = np.array([len(t) for t in sent.texts], np.int64) - length + 1
         begins, parts, at_end = np.zeros(len(counts), np.int64), [], 0
         for p, at in _by_bucket(sent.bucket):
-            values = np.frombuffer(_unpack(replies[p]), np.int64).reshape(2, -1)
+            values = np.frombuffer(unpack(second[p]), np.int64).reshape(2, -1)
             parts.append(np.repeat(values[0], values[1]))
             begins[at] = at_end + np.cumsum(counts[at]) - counts[at]
             at_end += len(parts[-1])
         least = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         seen = least[_ranges(begins[sent.number], sent.count)] < np.repeat(ids[sent.row], sent.count)
-        hits = _ranges(sent.start, sent.count)[seen]
+        lowest = np.zeros(len(sent.strings), np.int64)
+        for r, at in _by_bucket(sent.home):
+            lowest[at] = np.frombuffer(unpack(third[r]), np.int64)
+        hits = np.concatenate([_ranges(sent.start, sent.count)[seen], sent.at[lowest[sent.which] < ids[sent.owner]]])
         marks = np.zeros(len(runs.data) + length + 1, np.int32)
         marks[hits] += 1  # a position is in one run only
         marks[hits + length] -= 1
@@ -415,10 +456,14 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
             made.append((doc, n, n - len(left), n_spans, hashlib.sha256(left).hexdigest(), *[left] * texts))
         return table(made, pa.schema(out_fields))
 
-    flags = rows.groupBy("g").applyInArrow(minimizers, sent).groupBy("p").applyInArrow(shared, sent)
-    parts = rows.groupBy("g").cogroup(flags.groupBy("g")).applyInArrow(pieces, "g long, p long, keys binary, ids binary, sizes binary, data binary")
-    found = parts.groupBy("p").applyInArrow(holders, sent)
-    answers = flags.withColumn("step", F.lit(1)).unionByName(found.withColumn("step", F.lit(2)))
+    sets = rows.groupBy("g").applyInArrow(minimizers, exchange.SENT)
+    flags = exchange.shared_keys(sets, plan, length + (length - gram) // 2, hot_bytes)
+    parts = rows.groupBy("g").cogroup(flags.groupBy("g")).applyInArrow(pieces, "g long, s long, r long, keys binary, ids binary, sizes binary, data binary")
+    dealt = parts.groupBy("s", "r")  # all that follows shares one exchange
+    plain = dealt.applyInArrow(holders, "g long, r long, data binary")
+    told = dealt.applyInArrow(merged, "s long, r long, p long, ids binary, data binary").groupBy("p").applyInArrow(answered, "s long, r long, p long, ids binary, data binary")
+    single = dealt.cogroup(told.groupBy("s", "r")).applyInArrow(scattered, "g long, r long, data binary")
+    answers = flags.withColumn("step", F.lit(1)).unionByName(plain.withColumn("step", F.lit(2))).unionByName(single.withColumn("step", F.lit(3)))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
     return rows.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(removed, schema)
 

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusloom.llm import common, passages, simhash, suffix
+from corpusloom.llm import common, exchange, passages, simhash, suffix
 
 
 def sentence(r, n):
@@ -148,12 +148,30 @@ def removed(rows, length):
     return sorted(map(str, out))
 
 
-@pytest.mark.parametrize("group_bytes, hot, length", [(4 << 20, 1024, 50), (6000, 1024, 50), (6000, 2, 50), (6000, 3, 17)])
-def test_repeats(df, rows, group_bytes, hot, length):
-    got = suffix.remove_repeats(df, length, group_bytes=group_bytes, hot_groups=hot)
+@pytest.mark.parametrize("group_bytes, hot, length", [(4 << 20, 4 << 20, 50), (6000, 4 << 20, 50), (6000, 1, 50), (6000, 200, 50), (6000, 100, 17), (1500, 300, 50)])
+@pytest.mark.parametrize("bucket", [1 << 20, 300])
+def test_repeats(monkeypatch, df, rows, group_bytes, hot, length, bucket):
+    """hot: bytes of a minimizer's pieces from which they are cut into strings; few keys a bucket make many buckets, ranges and supergroups."""
+    plan = exchange.Plan.of
+    monkeypatch.setattr(exchange.Plan, "of", classmethod(lambda cls, keys, own=0: plan(keys, bucket)))
+    got = suffix.remove_repeats(df, length, group_bytes=group_bytes, hot_bytes=hot)
     assert sorted(str(tuple(r)) for r in got.collect()) == removed(rows, length)
 
 
+def test_keys_survive_their_way():
+    r = np.random.default_rng(2)
+    for buckets in (1, 40, 3000, 1 << 22):
+        plan = exchange.Plan.of(buckets * exchange.BUCKET)
+        keys = r.integers(0, 1 << 63, 500).astype(np.uint64)
+        cut = np.unique(plan.cut(keys))
+        code = r.integers(0, 256, len(cut)).astype(np.uint8)
+        back = exchange.decoded(exchange.encoded(cut, code, plan.width), plan.width)
+        assert (back[0] == cut).all() and (back[1] == code).all()
+        assert (np.diff(plan.bucket(cut)) >= 0).all() and plan.bucket(cut).max() < plan.buckets
+    sizes = np.array([1, 2, 3, 100, 1e6])
+    assert (exchange._sizes(exchange._coded(sizes, np.zeros(5, bool))) >= sizes * 0.999).all() and (exchange._sizes(exchange._coded(sizes, np.ones(5, bool))) <= sizes * 1.2).all()
+
+
 def test_repeats_give_texts(df, rows):
     got = suffix.remove_repeats(df, texts=True).collect()
     assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] for r in got)
@@ -171,9 +189,11 @@ def test_interval_expansion(seed):
     assert len(classes) == len(strings) and len(set(zip(strings, classes.tolist()))) == len(set(strings)) == len(set(classes.tolist()))
 
 
-@pytest.mark.parametrize("group_bytes, hot", [(4 << 20, 1024), (6000, 1024), (6000, 2)])
-def test_passages(df, rows, group_bytes, hot):
-    got = passages.near_passages(df, group_bytes=group_bytes, hot_groups=hot).collect()
+@pytest.mark.parametrize("group_bytes, hot, bucket", [(4 << 20, 4 << 20, 1 << 18), (6000, 4 << 20, 30), (6000, 1, 1 << 18), (6000, 1, 30)])
+def test_passages(monkeypatch, df, rows, group_bytes, hot, bucket):
+    plan = exchange.Plan.of
+    monkeypatch.setattr(exchange.Plan, "of", classmethod(lambda cls, keys, own=0: plan(keys, bucket)))
+    got = passages.near_passages(df, group_bytes=group_bytes, hot_bytes=hot).collect()
     assert len(got) == len(rows)
     words = [(t or "").encode().lower().split() for _, t in rows]
     runs = [{tuple(w[j : j + 50]) for j in range(len(w) - 49)} for w in words]
@@ -272,7 +292,7 @@ def test_hot_windows_find_the_same_pairs(spark):
             words[23 + k % 4] = f"edit{i}"
             rows.append((2 * k + i, sentence(r, 12) + " " + " ".join(words) + " " + sentence(r, 12)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    plain, hot = ({x["doc_id"]: (x["class_id"], x["spans"]) for x in passages.near_passages(df, group_bytes=2000, hot_groups=n).collect()} for n in (1024, 2))
+    plain, hot = ({x["doc_id"]: (x["class_id"], x["spans"]) for x in passages.near_passages(df, group_bytes=2000, hot_bytes=n).collect()} for n in (4 << 20, 1))
     assert sum(c % 2 == 0 and c != i for i, (c, _) in plain.items()) >= 30 and hot == plain
 
 
@@ -293,7 +313,7 @@ def jaccard(a, b):
     return max(len(x & y) / len(x | y) for x in sets[0] for y in sets[1])
 
 
-@pytest.mark.parametrize("hot", [1024, 2])
+@pytest.mark.parametrize("hot", [4 << 20, 1])
 def test_recall_of_near_passages(spark, hot):
     """Pairs that have 50 words each with a similarity of 0.8, by brute force, in texts that are unlike else: nine in ten of them, at least, are linked."""
     r, rows, want = random.Random(77), [], {}
@@ -308,7 +328,7 @@ def test_recall_of_near_passages(spark, hot):
             want[len(rows)] = (n, edits, jaccard(a, b) >= 0.8)
             rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {x["doc_id"]: x["class_id"] for x in passages.near_passages(df, group_bytes=20000, hot_groups=hot).collect()}
+    got = {x["doc_id"]: x["class_id"] for x in passages.near_passages(df, group_bytes=20000, hot_bytes=hot).collect()}
     by = {}
     for i, (n, edits, near) in want.items():
         if near:
