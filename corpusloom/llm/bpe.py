@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, spread
 
 #: Characters beyond a match's end that can have a say in it.
 LOOK = 3
@@ -204,7 +204,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
             columns = [batch.column(0), *[pa.array(made, pa.list_(pa.int32()))] * ids, pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(back, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, ", ".join(kinds))
+    return spread(df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))).mapInArrow(run, ", ".join(kinds))
 
 
 def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:

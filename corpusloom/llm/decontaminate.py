@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from .common import cut, prepare, read
+from .common import cut, prepare, read, spread
 
 WINDOW = 10
 #: Words of item texts up to which their windows are broadcast: at most 64 bytes a window and 160 a distinct word, so 115 MB at the very worst.
@@ -127,7 +127,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_co
         for batch in batches:
             yield pa.RecordBatch.from_pylist([_digest(doc.as_py(), *held.scan(text.as_py())) for doc, text in zip(*batch.columns)], to)
 
-    return rows.mapInArrow(run, schema)
+    return spread(rows).mapInArrow(run, schema)
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most_words: int = MOST_WORDS) -> DataFrame:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, prepare, read
+from .common import components, cut, prepare, read, settled, spread
 
 RADIUS, BITS, SHINGLE, SEED = 3, 64, 3, 42
 TABLES = 2 ** (RADIUS + 1) - 1
@@ -48,7 +48,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.monotonically_increasing_id().alias("row"), df[id_col].alias("doc_id"), df[text_col].alias("text"))
-    return rows.mapInArrow(run, f"row long, doc_id {kind}, fp long")
+    return spread(rows).mapInArrow(run, f"row long, doc_id {kind}, fp long")
 
 
 def masks(positions: list[int]) -> list[int]:
@@ -136,8 +136,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
     """The rows of df, one of each component: that with the smallest id, or the first of several. Columns as they were.
 
-    df is read twice and must give its rows in the same order, as files and checkpoints do.
+    Null and empty texts are one component; a null id counts as largest; of repeated rows one stays; an empty table stays
+    empty. df is read twice, so one that files or checkpoints don't give is cut first.
     """
+    df = settled(df)
     rows = cut(fingerprints(df, id_col, text_col))
     kept = _labelled(rows, bucket).select(F.col("first.row").alias("__kept_row")).distinct()
     whole = df.select(F.monotonically_increasing_id().alias("__kept_row"), F.struct(*[df[c] for c in df.columns]).alias("__kept"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, read
+from .common import cut, prepare, read, spread
 
 #: Labelled rows that are fitted, at most, of each grade; the ones whose hashed ids come first.
 ROWS_PER_GRADE = 4000
@@ -166,7 +166,7 @@ def predict(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col
 
     kind = documents.schema[id_col].dataType.simpleString()
     rows = documents.select(documents[id_col].alias("doc_id"), documents[text_col].alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, severity double, grade int, toxic boolean")
+    return spread(rows).mapInArrow(run, f"doc_id {kind}, severity double, grade int, toxic boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
