@@ -1,7 +1,8 @@
 """A training corpus from raw documents: rules, near-dedup, decontamination, secrets, tokens.
 
-Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last keep the columns of documents. Stages
-read their input as files, so a lost executor costs the work of one stage at most.
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last keep the columns of documents, further
+ones with any names among them, and an empty table gives an empty one. Stages read their input as files, so a lost
+executor costs the work of one stage at most.
 """
 
 from __future__ import annotations
@@ -16,28 +17,28 @@ from corpusloom.llm import bpe, common, decontaminate, quality, secrets, simhash
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass every quality rule."""
+    """Documents that pass every quality rule. Null and empty texts have no words and go; repeated rows each stay or go; an empty table stays empty."""
     return quality.keep(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest id."""
+    """Of each group of near-duplicates, the document with the smallest id; null ids come last, and of repeated rows one stays. Null and empty texts are one group."""
     return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of the benchmark."""
+    """Documents that hold no window of the benchmark. A null text has none and stays; repeated rows stay or go together."""
     return decontaminate.clean(docs, common.read(spark, sf_dir, "benchmark"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked and n_chars, where there is one, counted anew."""
+    """All documents, with secrets masked and n_chars, where there is one, counted anew. A null text stays null, and so does its n_chars."""
     out = secrets.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of all documents, their number, and digests of the ids and of the bytes that they decode to."""
+    """Token ids of all documents, their number, and digests of the ids and of the bytes that they decode to. A null text counts as empty; repeated rows each get a row."""
     common.prepare(spark)
     return bpe.encode(docs, *bpe.default_files())
 
