@@ -68,7 +68,7 @@ def pairs(sigs: DataFrame, n: int = 32, threshold: float = 0.95, band: int = BAN
     blocks of band by hash, and blocks meet each other one by one, so no task compares more than band rows with band.
     """
     count = band_count(n, threshold)
-    reps = classes(sigs).select("ord", "sig")
+    reps = checkpointed(classes(sigs).select("ord", "sig"))
     keyed = reps.select("ord", "sig", F.posexplode(bands(F.col("sig"), n, count)).alias("slice", "band"))
     keyed = _cut_up(keyed, n, count, band)
     sizes = keyed.groupBy("band").agg(F.count("*").alias("__n")).where("__n > 1")
