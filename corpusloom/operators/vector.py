@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.text import col
+from ..session import spread
 
 
 def hash_embedding(text: Column | str, dim: int = 768) -> Column:
@@ -27,7 +28,7 @@ def hash_embedding(text: Column | str, dim: int = 768) -> Column:
 
 def sparse_embedding(df: DataFrame, key: str, text: str, dim: int = 768) -> DataFrame:
     """(key, i, v): the places of hash_embedding that aren't zero, for texts of any length: token counts combine before the shuffle."""
-    words = df.select(key, F.explode(X.tokens(F.coalesce(text, F.lit("")))).alias("w")).select(key, F.sha2("w", 256).alias("h"))
+    words = spread(df.select(key, text)).select(key, F.explode(X.tokens(F.coalesce(text, F.lit("")))).alias("w")).select(key, F.sha2("w", 256).alias("h"))
     place = F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
     sign = F.when(F.conv(F.substring("h", 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
     sums = words.groupBy(key, place.alias("i")).agg(F.sum(sign).alias("v")).where("v <> 0")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -49,8 +50,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Names of steps of a plan, each at the start of its line, after which a second run may give rows in another order.
+_REORDERS = re.compile(r"(?m)^[\s:|+*()\d-]*\w*(?:Exchange|Sample|InMemoryTableScan|BatchScan|InArrow|InPandas|EvalPython|Aggregate|Join|Sort|Limit|TakeOrdered|Window|Generate|Coalesce)")
+
+
+def plain_scan(df: DataFrame) -> bool:
+    """Whether df is what files or a checkpoint give, row by row: cheap to read again, in the same order each time."""
+    return not _REORDERS.search(df._jdf.queryExecution().executedPlan().toString())
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, for steps that compute much, where its splits are fewer than the cores; a larger input stays as it is."""
+    """df over all cores, for steps that compute much, where its files give fewer splits than there are cores; a larger input, or what isn't a plain scan, stays as it is."""
+    if not plain_scan(df):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

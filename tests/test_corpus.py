@@ -137,3 +137,26 @@ def test_common_subsequence():
             for j in range(len(b)):
                 t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
         assert score.common_subsequence(a, b) == t[-1][-1]
+
+
+@pytest.mark.parametrize("band", [2, 5, 256])
+@pytest.mark.parametrize("threshold", [0.75, 0.9])
+def test_pairs_of_crowded_bands_are_brute_force(spark, band, threshold):
+    """Signatures of few symbols, so that bands are shared by many: cut up, in blocks or at once, all similar pairs are found, each once."""
+    import random
+
+    r = random.Random(int(band * threshold * 100))
+    base = [r.choice("ab") for _ in range(8)]
+    rows = []
+    for i in range(70):
+        sig = base[:] if i % 2 else [r.choice("ab") for _ in range(8)]
+        for _ in range(r.randrange(3)):
+            sig[r.randrange(8)] = r.choice("abcdef")
+        rows.append((i, sig))
+    first = {}
+    for i, sig in rows:
+        first.setdefault(tuple(sig), i)
+    reps = sorted((i, s) for s, i in first.items())
+    want = {(i, j) for i, s in reps for j, t in reps if i < j and sum(x == y for x, y in zip(s, t)) / 8 >= threshold}
+    got = dedup.pairs(spark.createDataFrame(rows, "ord long, sig array<string>"), 8, threshold, band).collect()
+    assert {(x["a"], x["b"]) for x in got} == want and len(got) == len(want)
