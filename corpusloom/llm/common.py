@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import atexit
 import os
-import re
 import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import plain_scan, spread  # noqa: F401
+
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -48,25 +49,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Names of steps of a plan, each at the start of its line, after which a second run may give rows in another order.
-_UNSETTLED = re.compile(r"(?m)^[\s:|+*()\d-]*\w*(?:Exchange|Sample|InMemoryTableScan|BatchScan|InArrow|InPandas|EvalPython|Aggregate|Join|Sort|Limit|TakeOrdered|Window|Generate|Coalesce)")
-
-
-def _plan(df: DataFrame) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, for steps that compute much, where its files give fewer splits than there are cores; a larger input, or what isn't read from files, stays as it is."""
-    if _UNSETTLED.search(_plan(df)):
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def settled(df: DataFrame) -> DataFrame:
     """df itself where files or a checkpoint give its rows, which come in the same order each time; else df, cut. For frames that are numbered in one read and used in another."""
-    return cut(df) if _UNSETTLED.search(_plan(df)) else df
+    return df if plain_scan(df) else cut(df)
 
 
 #: Nodes with more than this share of the edges' ends (so fewer than 1 / SHARE of them) get their minima by a broadcast.

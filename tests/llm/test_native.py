@@ -1,6 +1,9 @@
+import math
+import struct
 import zlib
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from corpusloom.llm import quality, sharding
@@ -69,6 +72,21 @@ def test_sharding(spark):
     assert sharding.assign(df.limit(0), [1.0]).count() == 0
 
 
+def test_places_are_brute_force(spark):
+    """Rendezvous hashing in plain Python: of all shards the one with the smallest -ln(u) / weight."""
+    weights = [1.0] * 24 + [2.5, 0.0]
+
+    def placed(key):
+        seed = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+        draws = [(-math.log(((xxhash.xxh64_intdigest(struct.pack("<i", s), seed) >> 11) + 0.5) / 2**53) / w, s) for s, w in enumerate(weights) if w]
+        return min(draws)[1]
+
+    keys = [None, 0, -1, 2**62, *range(7, 60000, 31)]
+    df = spark.createDataFrame([(k,) for k in keys], "doc_id long")
+    got = {r["doc_id"]: r["s"] for r in df.select("doc_id", sharding.place(F.col("doc_id"), weights).alias("s")).collect()}
+    assert got == {k: placed(k) for k in keys}
+
+
 def test_weights(spark):
     df = spark.range(30000)
     one = df.select(sharding.place(F.col("id"), [1.0, 2.0, 0.0, 1.0]).alias("s"), sharding.place(F.col("id"), [1.0, 4.0, 0.0, 1.0]).alias("t"))

@@ -68,3 +68,60 @@ def test_stages_against_brute_force(spark, sf):
                 assert r["token_ids"] == library.encode_ordinary(before[i]["text"])
                 assert r["decoded_sha256"] == hashlib.sha256(before[i]["text"].encode()).hexdigest()
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()) == sorted(after)
+
+
+GOOD = "the cat and a dog of this house are with us for it is on that we have "
+
+
+def edge_rows():
+    """Null and empty texts, null ids, repeated rows, ties, a long text, a benchmark passage, a secret."""
+    import random
+
+    r = random.Random(8)
+    words = lambda n: " ".join(r.choice(["the", "and", *("".join(r.choices("abcdefgh", k=5)) for _ in range(9))]) for _ in range(n))
+    long, passage, plain = words(30000), words(12), words(90)
+    rows = [(1, None), (2, ""), (3, " \n "), (4, plain), (4, plain), (5, plain), (None, plain), (6, long), (7, words(70) + " " + passage + " " + words(20)), (8, words(80) + " token=abcdef12345 " + words(9)), (None, None)]
+    return [(i, t, "en", "s", None if t is None else len(t), "clash", 3, "x") for i, t in rows], passage
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __kept string, row long, fingerprint string"
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_edge_cases(spark, tmp_path, empty):
+    rows, passage = edge_rows()
+    docs = spark.createDataFrame([] if empty else rows, SCHEMA)
+    spark.createDataFrame([(1, passage), (2, None), (None, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    sizes, texts = [], {}
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        if k == 1:  # the stages behind the rules get null and empty texts too
+            docs = spark.createDataFrame([] if empty else rows, SCHEMA)
+        out = stage(spark, docs.repartition(3), str(tmp_path))
+        held = out.collect()
+        sizes.append(len(held))
+        if k < 4:
+            assert out.columns == docs.columns
+            texts[k] = sorted(((r["doc_id"], r["text"]) for r in held), key=str)
+            out.write.parquet(str(tmp_path / f"stage{k}"))
+            docs = spark.read.parquet(str(tmp_path / f"stage{k}"))
+        else:
+            assert len({r["doc_id"] for r in held}) == len({i for i, _ in texts[3]})
+    if empty:
+        assert sizes == [0] * 5
+        return
+    plain = rows[3][1]
+    assert [i for i, _ in texts[0]] == [4, 4, 5, 6, 7, 8, None] and sizes[0] == 7  # null and empty texts go, repeated rows don't
+    assert [i for i, _ in texts[1]] == [1, 4, 6, 7, 8]  # of empty ones the smallest id, of equal ones one row
+    assert [i for i, _ in texts[2]] == [1, 4, 6, 8] and dict(texts[2])[1] is None  # a null text has no window
+    assert "[SECRET]" in dict(texts[3])[8] and dict(texts[3])[4] == plain and dict(texts[3])[1] is None
+    assert sizes[4] == 4
+
+
+def test_shuffled_frames_are_cut(spark):
+    from corpusloom.llm import common
+
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(50)], "doc_id long, text string")
+    for odd in (df.repartition(4), df.distinct(), df.repartition(4).cache(), df.orderBy("text"), df.limit(9)):
+        assert not common.plain_scan(odd) and common.plain_scan(common.settled(odd))
+    plain = df.where("doc_id > 3").select("doc_id")
+    assert common.settled(plain) is plain
