@@ -96,15 +96,15 @@ def decoded(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
 class GroupKeys:
     """The distinct 64-bit keys of a group as they are sent: cut, sorted, in ranges."""
 
-    def __init__(self, plan: Plan, keys: np.ndarray, counts: np.ndarray, shared: np.ndarray):
+    def __init__(self, plan: Plan, keys: np.ndarray):
         self.plan = plan
-        self.cut, self.place, times = np.unique(plan.cut(keys), return_inverse=True, return_counts=True)
-        self.size = np.bincount(self.place, counts, len(self.cut))
-        self.shared = (np.bincount(self.place, shared, len(self.cut)) > 0) | (times > 1)
+        self.cut, self.place, self.times = np.unique(plan.cut(keys), return_inverse=True, return_counts=True)
         self.ranges = slices(plan.bucket(self.cut) // plan.fan)
 
-    def rows(self, g: int) -> list[tuple]:
-        code = _coded(self.size, self.shared)
+    def rows(self, g: int, counts: np.ndarray, shared: np.ndarray) -> list[tuple]:
+        """What is sent of keys that come counts times, and of which two texts of the group have those that are shared."""
+        size = np.bincount(self.place, counts, len(self.cut))
+        code = _coded(size, (np.bincount(self.place, shared, len(self.cut)) > 0) | (self.times > 1))
         return [(g, g // self.plan.fan, r, encoded(self.cut[a:b], code[a:b], self.plan.width)) for r, a, b in self.ranges]
 
     def flags(self, answers: dict[int, bytes]) -> np.ndarray:
@@ -153,5 +153,12 @@ def shared_keys(sets: DataFrame, plan: Plan, unit: int, hot_bytes: int) -> DataF
     return sets.groupBy("s", "r").cogroup(told.groupBy("s", "r")).applyInArrow(scattered, "g long, r long, data binary")
 
 
-def sets_table(keys: GroupKeys, g: int) -> pa.Table:
-    return table(keys.rows(g), _TO)
+def sets_table(plan: Plan, g: int, keys: np.ndarray, counts: np.ndarray, shared: np.ndarray) -> pa.Table:
+    return table(GroupKeys(plan, keys).rows(g, counts, shared), _TO)
+
+
+def distinct_counts(number: np.ndarray, marks: np.ndarray, n: int) -> np.ndarray:
+    """How many distinct marks each of n numbers has."""
+    with np.errstate(over="ignore"):
+        both = mixed(marks + (number.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    return np.bincount(number[np.unique(both, return_index=True)[1]], minlength=n)

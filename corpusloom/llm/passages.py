@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import components, cut, prepare, read
+from .common import components, cut, prepare, read, settled
 from .exchange import pack, table, unpack
 from .suffix import _by_bucket, _smallest
 
@@ -99,12 +99,14 @@ class Windows:
             self.shared = np.minimum.reduceat(rows, at) != np.maximum.reduceat(rows, at)
         else:
             self.shared = np.zeros(0, bool)
-        # How many distinct windows each hash has here, by tokens on both sides
-        far = [np.clip(self.c + k, self.low, self.high) for k in (-WIDTH // 3, WIDTH // 3)]
+
+    def times(self) -> np.ndarray:
+        """How many distinct windows each distinct hash has here, by a token on either side."""
+        if not len(self.c):
+            return np.zeros(0, np.int64)
+        left, right = (self.tokens[np.clip(self.c + k, self.low, self.high)] for k in (-WIDTH // 3, WIDTH // 3))
         with np.errstate(over="ignore"):
-            marks = exchange.mixed(self.tokens[far[0]] * _MUL + self.tokens[far[1]]) if len(self.c) else np.zeros(0, np.uint64)
-        held = np.unique(np.stack([self.number.astype(np.uint64), marks]), axis=1)[0].astype(np.int64) if len(marks) else np.zeros(0, np.int64)
-        self.times = np.bincount(held, minlength=len(self.distinct))
+            return exchange.distinct_counts(self.number, left * _MUL + right, len(self.distinct))
 
     def _windows(self, function: int) -> tuple[np.ndarray, ...]:
         with np.errstate(over="ignore"):
@@ -134,9 +136,9 @@ class Windows:
         return (h[nodes] & ~np.uint64(7)) | np.uint64(function), nodes, low, high
 
     def contexts(self, at: np.ndarray) -> np.ndarray:
-        """For each window of at: 15 bits of the tokens from WIDTH - 1 before its own to WIDTH - 1 after it, as far as the window goes; 0 beyond."""
+        """For each window of at: 16 bits of the tokens from WIDTH - 1 before its own to WIDTH - 1 after it, as far as the window goes; 0 beyond."""
         out = np.zeros((len(at), SPAN), np.uint16)
-        short = (self.tokens >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
+        short = np.maximum((self.tokens >> np.uint64(48)).astype(np.uint16), np.uint16(1))
         for k in range(0, len(at), 8192):
             some = at[k : k + 8192]
             place = self.c[some][:, None] + np.arange(1 - WIDTH, WIDTH)[None, :]
@@ -430,20 +432,19 @@ def _grouped(keys: np.ndarray) -> Iterator[np.ndarray]:
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, hot_bytes: int = HOT_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows: row, doc_id, n_words; links: a, b, pairs of rows that span the classes; spans: row, first, last word).
 
-    df is read twice and must give its rows in the same order, as files and checkpoints do.
+    df is read twice, so one that files or checkpoints don't give is cut first.
     """
     prepare(df.sparkSession)
-    text = F.coalesce(df[text_col], F.lit("")).cast("binary")
+    df = settled(df.select(df[id_col].alias("id"), df[text_col].alias("text")))
+    text = F.coalesce("text", F.lit("")).cast("binary")
     total = df.select(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     groups, plan = int(total // group_bytes + 1), exchange.Plan.of(total * 2 * FUNCTIONS // (6 * WIDTH), BUCKET)
     row = F.monotonically_increasing_id()
-    dealt = df.select(F.pmod(F.xxhash64(row), F.lit(groups)).alias("g"), row.alias("row"), df[id_col].cast("long").alias("id"), text.alias("text"))
-
-    def keys_of(found: Windows) -> exchange.GroupKeys:
-        return exchange.GroupKeys(plan, found.distinct, found.times, found.shared)
+    dealt = df.select(F.pmod(F.xxhash64(row), F.lit(groups)).alias("g"), row.alias("row"), F.col("id").cast("long").alias("id"), text.alias("text"))
 
     def sets(group: pa.Table) -> pa.Table:
-        return exchange.sets_table(keys_of(Windows(group.column("text").to_pylist())), group.column("g")[0].as_py())
+        found = Windows(group.column("text").to_pylist())
+        return exchange.sets_table(plan, group.column("g")[0].as_py(), found.distinct, found.times(), found.shared)
 
     def bucket(keys: np.ndarray) -> np.ndarray:
         return plan.bucket(plan.cut(keys))
@@ -454,7 +455,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_by
         g, ids = group.column("g")[0].as_py(), group.column("row").to_numpy()
         found = Windows(group.column("text").to_pylist())
         made = [("row", g, r, i, n, None) for r, i, n in zip(ids.tolist(), group.column("id").to_pylist(), found.words)]
-        flags = keys_of(found).flags(dict(zip(answers.column("r").to_pylist(), answers.column("data").to_pylist())))
+        flags = exchange.GroupKeys(plan, found.distinct).flags(dict(zip(answers.column("r").to_pylist(), answers.column("data").to_pylist())))
         kind = flags[found.number]
         at = np.flatnonzero(kind)
         contexts, keys = found.contexts(at), found.key[at]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import prepare, read
+from .common import prepare, read, settled
 from .exchange import pack, table, unpack
 
 LENGTH, GRAM = 50, 24
@@ -217,22 +217,23 @@ class Runs:
         rows = self.row[order]
         ends = np.concatenate([at[1:], [len(rows)]]).astype(np.int64) - 1
         self.shared = rows[at] != rows[ends] if len(at) else np.zeros(0, bool)  # by two rows of the group
-        self.pieces = self._pieces(whole, length, ends - at + 1)
+        self.times = ends - at + 1  # runs of each distinct minimizer
 
-    def _pieces(self, whole: np.ndarray, length: int, times: np.ndarray) -> np.ndarray:
+    def pieces(self, length: int) -> np.ndarray:
         """How many distinct pieces each distinct minimizer has here, by hashes of their first and last strings."""
-        some = np.flatnonzero(times[self.number] > 1)
+        some = np.flatnonzero(self.times[self.number] > 1)
+        if not len(some):
+            return self.times
         power = np.ones(length, np.uint64)
+        strings = np.lib.stride_tricks.sliding_window_view(np.frombuffer(self.data, np.uint8), length)
+        marks = np.empty(len(some), np.uint64)
         with np.errstate(over="ignore"):
             np.multiply.accumulate(np.full(length - 1, _MUL), out=power[1:])
-            marks = np.empty(len(some), np.uint64)
             for k in range(0, len(some), 1 << 15):
                 at = some[k : k + (1 << 15)]
-                strings = np.lib.stride_tricks.sliding_window_view(whole, length)
-                ends = [(strings[x].astype(np.uint64) * power).sum(1, dtype=np.uint64) for x in (self.start[at], self.start[at] + self.count[at] - 1)]
-                marks[k : k + len(at)] = exchange.mixed(ends[0] * _MUL + ends[1] + self.count[at].astype(np.uint64))
-        held = np.unique(np.stack([self.number[some].astype(np.uint64), marks]), axis=1)[0].astype(np.int64) if len(some) else np.zeros(0, np.int64)
-        return np.where(times > 1, np.bincount(held, minlength=len(times)), 1)
+                first, last = ((strings[x].astype(np.uint64) * power).sum(1, dtype=np.uint64) for x in (self.start[at], self.start[at] + self.count[at] - 1))
+                marks[k : k + len(at)] = first * _MUL + last + self.count[at].astype(np.uint64)
+        return np.maximum(exchange.distinct_counts(self.number[some], marks, len(self.times)), 1)
 
 
 def _by_bucket(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -340,15 +341,16 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     A byte is removed if a string of length bytes that covers it also starts in a row with a smaller id. Ids are
     integers; a null id is larger than all others; rows that share an id don't remove from each other; null texts
     count as empty; texts shorter than length are kept; an empty table gives an empty result; further columns are left
-    aside. df is read several times and must give its rows in the same order, as files and checkpoints do.
+    aside. df is read several times, so one that files or checkpoints don't give is cut first.
     """
     prepare(df.sparkSession)
+    df = settled(df.select(df[id_col].alias("id"), df[text_col].alias("text")))
     gram = max(1, min(GRAM, length // 2))
-    text = F.coalesce(df[text_col], F.lit("")).cast("binary")
+    text = F.coalesce("text", F.lit("")).cast("binary")
     total = df.select(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     groups, plan = int(total // group_bytes + 1), exchange.Plan.of(2 * total // (length - gram))
     deal = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))
-    rows = df.select(deal.alias("g"), df[id_col].cast("long").alias("id"), text.alias("text"))
+    rows = df.select(deal.alias("g"), F.col("id").cast("long").alias("id"), text.alias("text"))
     full = pa.schema([("g", pa.int64()), ("s", pa.int64()), ("r", pa.int64()), ("keys", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary())])
     hop = pa.schema([("s", pa.int64()), ("r", pa.int64()), ("p", pa.int64()), ("ids", pa.binary()), ("data", pa.binary())])
     back = pa.schema([("g", pa.int64()), ("r", pa.int64()), ("data", pa.binary())])
@@ -356,11 +358,9 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     def runs_of(group: pa.Table) -> Runs:
         return Runs(group.column("text").to_pylist(), length, gram)
 
-    def keys_of(runs: Runs) -> exchange.GroupKeys:
-        return exchange.GroupKeys(plan, runs.distinct, runs.pieces, runs.shared)
-
     def minimizers(group: pa.Table) -> pa.Table:
-        return exchange.sets_table(keys_of(runs_of(group)), group.column("g")[0].as_py())
+        runs = runs_of(group)
+        return exchange.sets_table(plan, group.column("g")[0].as_py(), runs.distinct, runs.pieces(length), runs.shared)
 
     def ids_of(group: pa.Table) -> np.ndarray:
         return group.column("id").fill_null(int(NO_ID)).to_numpy()
@@ -372,7 +372,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
         if not group.num_rows:
             return table([], full)
         runs, made, g = runs_of(group), [], group.column("g")[0].as_py()
-        sent = Pieces(runs, keys_of(runs).flags(listed(answers)), ids_of(group), length, plan)
+        sent = Pieces(runs, exchange.GroupKeys(plan, runs.distinct).flags(listed(answers)), ids_of(group), length, plan)
         for p, at in _by_bucket(sent.bucket):
             some = [sent.texts[i] for i in at.tolist()]
             sizes = np.array([len(t) for t in some], np.uint32)
@@ -430,7 +430,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
             return table([], pa.schema(out_fields))
         runs, ids = runs_of(group), ids_of(group)
         first, second, third = (listed(answers.filter(pa.compute.equal(answers.column("step"), k))) for k in (1, 2, 3))
-        sent = Pieces(runs, keys_of(runs).flags(first), ids, length, plan)
+        sent = Pieces(runs, exchange.GroupKeys(plan, runs.distinct).flags(first), ids, length, plan)
         counts = np.array([len(t) for t in sent.texts], np.int64) - length + 1
         begins, parts, at_end = np.zeros(len(counts), np.int64), [], 0
         for p, at in _by_bucket(sent.bucket):
@@ -470,3 +470,23 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents"))
+
+
+SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+s AS (SELECT k, doc_id, j, substr(h, 2 * j + 1, 100) AS g FROM (SELECT *, unnest(range(0, n - 49)) AS j FROM d WHERE n >= 50)),
+m AS (SELECT g, min(doc_id) AS least FROM s GROUP BY g),
+x AS (SELECT k, j FROM s JOIN m USING (g) WHERE least < coalesce(doc_id, 9223372036854775807)),
+i AS (
+  SELECT k, j, sum((j > coalesce(p + 50, -1))::INT) OVER (PARTITION BY k ORDER BY j) AS run
+  FROM (SELECT k, j, lag(j) OVER (PARTITION BY k ORDER BY j) AS p FROM x)),
+r AS (SELECT k, min(j) AS a, max(j) + 50 AS b FROM i GROUP BY k, run),
+l AS (SELECT k, a, b, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS z FROM r),
+t AS (
+  SELECT k, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, max(b) AS e,
+         string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS kept FROM l JOIN d USING (k) GROUP BY k)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(e, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN t USING (k)
+"""
