@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, spread
 
 SPACE = "[\\x20\\x09-\\x0D]"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -45,22 +45,17 @@ def measures(df: DataFrame, text_col: str = "text", keep: list[str] | None = Non
         F.struct(*[df[c] for c in (df.columns if keep is None else keep)]).alias("__row"),
         F.coalesce(df[text_col], F.lit("")).alias("__t"),
     )
-    base = base.select("__row", "__t", F.filter(F.split("__t", f"{SPACE}+"), lambda w: w != "").alias("__w"))
+    inner = F.btrim("__t", F.lit(BLANKS))
+    base = base.select("__row", "__t", F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, f"{SPACE}+")).alias("__w"))
     lines = F.filter(F.split("__t", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     n = F.size("__w")
+    word = lambda i: F.get("__w", i)
+    places = F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0)))
+    base = base.withColumn("__h", F.when(n >= 3, F.transform(places, lambda i: F.xxhash64(word(i), word(i + 1), word(i + 2)))))
+    # Windows are sorted only where hashes are equal, by hash first: their strings are compared only for equal hashes.
     windows = F.when(
-        n >= 3,
-        F.sort_array(
-            F.zip_with(
-                F.transform("__w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))),
-                F.zip_with(
-                    F.slice("__w", 2, F.greatest(n, F.lit(1))),
-                    F.slice("__w", 3, F.greatest(n, F.lit(1))),
-                    lambda b, c: F.struct(b.alias("b"), c.alias("c")),
-                ),
-                lambda a, r: F.struct(F.concat(a["w"], F.lit(" "), r["b"], F.lit(" "), r["c"]).alias("s"), a["i"].alias("i")),
-            )
-        ),
+        F.size(F.array_distinct("__h")) < F.size("__h"),
+        F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), F.concat(word(i), F.lit(" "), word(i + 1), F.lit(" "), word(i + 2)).alias("s"), i.alias("i")))),
     )
     base = base.select(
         "__row",
@@ -71,8 +66,8 @@ def measures(df: DataFrame, text_col: str = "text", keep: list[str] | None = Non
         windows.alias("__s"),
         F.size(F.filter("__w", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
     )
-    # Sorted windows: a window is repeated if it equals one of its neighbours. The last two, with a null word, have a null string.
-    before = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("s"), F.lit(-1).alias("i"))), F.col("__s"))
+    # Sorted windows: a window is repeated if it equals one of its neighbours.
+    before = F.concat(F.array(F.struct(F.lit(0).cast("long").alias("h"), F.lit(None).cast("string").alias("s"), F.lit(-1).alias("i"))), F.col("__s"))
     flagged = F.zip_with(before, F.col("__s"), lambda a, b: F.when(a["s"] == b["s"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))
     base = base.select(
         "__row", "n_words", "word_chars", "n_symbols", "n_stop_words",
@@ -115,7 +110,7 @@ def verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     A null or empty text has no words and fails; a null id stays null; repeated rows each get a row; an empty table
     gives an empty result; further columns are left aside, whatever their names.
     """
-    out = measures(df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")), "text", ["doc_id"])
+    out = measures(spread(df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))), "text", ["doc_id"])
     failed = (F.col("__q.n_words") < 50) | (100 * F.col("__q.n_repeat_words") > 50 * F.col("__q.n_words"))
     return out.select("__row.doc_id", "__q.*", failed.alias("base_failed"), (~failed & compiled(rules)).alias("kept"))
 
