@@ -110,6 +110,24 @@ def build(files: DataFrame) -> DataFrame:
     return out.where("src <> '' and dst <> '' and src <> dst").distinct()
 
 
+def importers(edges: DataFrame, most: int = 15, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node, n, sources): how many nodes lead to each, and the first most of them."""
+    pairs = edges.select(F.col(dst).alias("node"), F.col(src).alias("value")).distinct()
+    place = F.row_number().over(Window.partitionBy("node").orderBy("value"))
+    first = pairs.withColumn("k", place).where(F.col("k") <= most).groupBy("node").agg(F.sort_array(F.collect_list("value")).alias("sources"))
+    return pairs.groupBy("node").agg(F.count("*").alias("n")).join(first, "node")
+
+
+def hotspots(edges: DataFrame, most: int = 8) -> DataFrame:
+    """(node, degree): the nodes that others lead to, of most edges either way."""
+    return degrees(edges).where("n_in > 0").orderBy(F.desc("degree"), "node").limit(most).select("node", "degree")
+
+
+def module_degrees(edges: DataFrame) -> DataFrame:
+    """(module, degree): degrees summed over the nodes of a folder."""
+    return degrees(edges).groupBy(module_of("node").alias("module")).agg(F.sum("degree").alias("degree"))
+
+
 # Fixed values
 CAPS = {"files": 15, "tests": 10, "symbols": 20, "functions": 30, "routes": 80, "edges": 4000}
 

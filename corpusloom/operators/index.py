@@ -119,12 +119,24 @@ def file_rows(files: DataFrame, project: str, neighbors: DataFrame | None = None
     return held.select(*_row(project, "file_summary", F.col("path"), text, F.col("path")), F.col("sha256").alias("file_sha256"), F.lit("project_code").alias("source"))
 
 
-def folder_rows(files: DataFrame, project: str) -> DataFrame:
-    """A folder_summary point for each folder of files (path): the files in it."""
+#: Files that a folder's row lists; a larger folder has a row for each so many.
+LISTED = 1000
+
+
+def folder_rows(files: DataFrame, project: str, most: int = LISTED) -> DataFrame:
+    """A folder_summary point for each folder of files (path): the files in it, in order.
+
+    Files are counted first. A folder of over most is dealt into parts of about that many by hashes of the paths, and each
+    part is a point, so no task gathers a folder and no file is left out.
+    """
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    held = files.select("path", F.when(folder == "", "root").otherwise(folder).alias("folder")).groupBy("folder").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    held = files.select("path", F.when(folder == "", "root").otherwise(folder).alias("folder"))
+    sizes = held.groupBy("folder").agg(F.ceil(F.count("*") / most).alias("parts"))
+    held = held.join(sizes, "folder").withColumn("part", F.pmod(F.xxhash64("path"), F.col("parts")))
+    held = held.groupBy("folder", "part").agg(F.sort_array(F.collect_list("path")).alias("paths"))
     text = F.concat(F.lit("Folder: "), "folder", F.lit("\nContains:\n- "), F.array_join("paths", "\n- "))
-    return held.select(*_row(project, "folder_summary", F.col("folder"), text, F.col("folder")), F.lit(None).cast("string").alias("file_sha256"), F.lit("project_code").alias("source"))
+    name = F.when(F.col("part") == 0, F.col("folder")).otherwise(F.concat_ws("#", "folder", F.col("part").cast("string")))
+    return held.select(*_row(project, "folder_summary", F.col("folder"), text, name), F.lit(None).cast("string").alias("file_sha256"), F.lit("project_code").alias("source"))
 
 
 def map_row(files: DataFrame, project: str, frameworks: DataFrame | None = None) -> DataFrame:

@@ -25,6 +25,11 @@ def hash_rank(df: DataFrame, group: list[str], key: str, out: str = "rank", seed
     return ranked.select(*df.columns, (F.col("__r") + F.col("__before")).cast("long").alias(out))
 
 
+def hash_sample(df: DataFrame, key: str, n: int, seed: str = "42") -> DataFrame:
+    """The rows whose hash_rank over all of df is at most n, in no order: each task keeps n, and nothing is shuffled but those."""
+    return df.orderBy(F.sha1(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))), key).limit(n)
+
+
 def first_of(df: DataFrame, key: list[str], order: str) -> DataFrame:
     """The row of each key with the smallest order, which must be unique: a minimum that combines early, and a semi-join."""
     first = df.groupBy(*key).agg(F.min(order).alias("__first")).select("__first")

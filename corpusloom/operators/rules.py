@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rank import hash_rank
+from .rank import hash_sample
 
 
 def counts(df: DataFrame, *keys: str) -> DataFrame:
@@ -68,7 +68,7 @@ def merge_checks(merged: DataFrame, expected: dict[str, int]) -> DataFrame:
 
 def sample(df: DataFrame, key: str, n: int, seed: str = "42") -> DataFrame:
     """n rows of df by the rank of their hashed keys, in the order of the key."""
-    return hash_rank(df, [], key, "__rank", seed).where(F.col("__rank") <= n).drop("__rank").orderBy(key)
+    return hash_sample(df, key, n, seed).orderBy(key)
 
 
 def diversity(df: DataFrame, session: str, file: Column | str) -> DataFrame:

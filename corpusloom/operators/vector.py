@@ -87,6 +87,17 @@ def search_batch(points: DataFrame, queries: DataFrame, k: int, key: str = "id",
     return out
 
 
+def counts(points: DataFrame, by: str, values: list | None = None, vector: str = "vector") -> DataFrame:
+    """(by, n, dims): points and the largest number of dimensions of each value of a payload column, or of those in values."""
+    held = points if values is None else points.where(F.col(by).cast("string").isin(*values))
+    return held.groupBy(by).agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("dims"))
+
+
+def status(points: DataFrame, by: str, dim: int, vector: str = "vector") -> DataFrame:
+    """(by, points, valid): points of each project, and those whose vectors have dim numbers."""
+    return points.groupBy(by).agg(F.count("*").alias("points"), F.count_if(F.size(vector) == dim).alias("valid"))
+
+
 def upsert(points: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     return points.join(new.select(key), key, "left_anti").unionByName(new)
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from . import rules
 from .filters import REQUIRED, broken
-from .rank import hash_rank
+from .rank import hash_sample
 
 # Fixed values
 SPLIT_SHARES = {"train": (0.85, 0.05), "val": (0.07, 0.04), "test": (0.08, 0.04)}
@@ -63,7 +63,7 @@ def table_facts(df: DataFrame, section: str, name: str, value: str) -> DataFrame
 
 def spot_checks(df: DataFrame, key: str, n: int = 25, seed: str = "42") -> DataFrame:
     """(section, name, actual): how many of n rows, by the rank of their hashed keys, have a blank input or output or no objective."""
-    some = hash_rank(df, [], key, "__rank", seed).where(F.col("__rank") <= n)
+    some = hash_sample(df, key, n, seed)
     blank = lambda c: F.coalesce(F.trim(F.col(c)) == "", F.lit(True))
     row = some.agg(F.count("*").alias("seen"), F.count_if(blank("input")).alias("input"), F.count_if(blank("output")).alias("output"), F.count_if(blank("objective")).alias("objective"))
     return _facts(row, [("spot", c, c) for c in ("seen", "input", "output", "objective")])

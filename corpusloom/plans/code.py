@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import code as C
 from ..functions import text as X
-from ..operators import chunk, graph, output
+from ..operators import chunk, graph, output, rules
 from ..session import scratch, table
 from ..streaming import streams
 from .registry import query
@@ -66,25 +66,25 @@ def link_graph_degree(spark, sf):
     return graph.degrees(_edges(spark, sf))
 
 
-@query("module_degree", f"{_DEGREES} SELECT CASE WHEN node LIKE '/%' OR NOT contains(node, '/') THEN '(root)' ELSE regexp_extract(node, '^(.*)/[^/]*$', 1) END AS module, sum(degree)::BIGINT AS degree FROM g GROUP BY 1")
+@query("module_degree", f"{_DEGREES} SELECT coalesce(nullif(regexp_extract(node, '^(.*)/[^/]*$', 1), ''), '(root)') AS module, sum(degree)::BIGINT AS degree FROM g GROUP BY 1")
 def module_degree(spark, sf):
-    node = F.col("node")
-    return graph.degrees(_edges(spark, sf)).groupBy(F.when(node.startswith("/"), "(root)").otherwise(graph.module_of(node)).alias("module")).agg(F.sum("degree").alias("degree"))
+    return graph.module_degrees(_edges(spark, sf))
 
 
 @query("top_hotspots", f"{_DEGREES} SELECT node, degree FROM g WHERE n_in > 0 ORDER BY degree DESC, node LIMIT 8")
 def top_hotspots(spark, sf):
-    return graph.degrees(_edges(spark, sf)).where("n_in > 0").orderBy(F.desc("degree"), "node").limit(8).select("node", "degree")
+    return graph.hotspots(_edges(spark, sf), 8)
 
 
-@query("reverse_neighbors", f"{_EDGES} SELECT dst AS node, count(*) AS n, string_agg(src, ' ' ORDER BY src) AS sources FROM e GROUP BY 1")
+@query("reverse_neighbors", f"{_EDGES} SELECT dst AS node, count(*) AS n, array_to_string(list(src ORDER BY src)[1:15], ' ') AS sources FROM e GROUP BY 1")
 def reverse_neighbors(spark, sf):
-    return _edges(spark, sf).groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("src")), " ").alias("sources"))
+    return graph.importers(_edges(spark, sf)).withColumn("sources", F.array_join("sources", " "))
 
 
 @query("edge_counts", f"{_EDGES} SELECT CASE WHEN dst LIKE '/%' THEN 'FILE_IMPORTS_FILE' ELSE 'FILE_IMPORTS_HOST' END AS relation, count(*) AS n FROM e GROUP BY 1")
 def edge_counts(spark, sf):
-    return _edges(spark, sf).groupBy(F.when(F.col("dst").startswith("/"), "FILE_IMPORTS_FILE").otherwise("FILE_IMPORTS_HOST").alias("relation")).agg(F.count("*").alias("n"))
+    relation = F.when(F.col("dst").startswith("/"), "FILE_IMPORTS_FILE").otherwise("FILE_IMPORTS_HOST")
+    return rules.counts(_edges(spark, sf).withColumn("relation", relation), "relation")
 
 
 @query("folder_listing", f"{_EDGES} SELECT host, count(*) AS n, string_agg(page_id::VARCHAR, ',' ORDER BY page_id) AS pages FROM p GROUP BY 1")
@@ -298,6 +298,16 @@ def write_gate(spark, sf):
 
 # Streams
 
+@query("stream_index", f"""WITH l AS (SELECT 'd/' || doc_id AS path, {_LINES} AS l FROM (SELECT doc_id, text AS t FROM documents)), w AS (SELECT path, len(l) AS n, unnest(range(0, len(l), 15)) AS s FROM l)
+SELECT path, (s + 1)::BIGINT AS start_line, least(s + 20, n)::BIGINT AS end_line FROM w WHERE s = 0 OR s - 15 + 20 < n""")
+def stream_index(spark, sf):
+    tmp = scratch(spark, "stream")
+    files = streams.source(spark, f"{sf}/documents.parquet").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("sha256"), F.col("text").alias("content"))
+    made = lambda df: chunk.line_windows(df.select("path", "content"), size=20, overlap=5).select("path", "start_line", "end_line")
+    streams.indexing(files, f"{tmp}/c", f"{tmp}/o", made)
+    return streams.indexed(spark, f"{tmp}/o")[0].select("path", "start_line", "end_line")
+
+
 _SEEN = "SELECT count(DISTINCT sha1(concat_ws('|', coalesce(lang, ''), coalesce(text, '')))) AS n FROM documents"
 
 

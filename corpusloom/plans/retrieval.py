@@ -63,8 +63,7 @@ def vector_batch_topk(spark, sf):
 
 @query("vector_count_by_filter", "SELECT label, count(*) AS n, max(len(embedding))::INT AS dims FROM embeddings WHERE label::VARCHAR IN ('1', '2', '3') GROUP BY 1")
 def vector_count_by_filter(spark, sf):
-    held = _points(spark, sf).where(F.col("label").cast("string").isin("1", "2", "3"))
-    return held.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dims"))
+    return vector.counts(_points(spark, sf), "label", ["1", "2", "3"])
 
 
 _HASHED = f"""WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[\\s\\x0B\\x1C-\\x1F]+'), lambda x: x <> '')) AS w FROM documents),
@@ -409,4 +408,4 @@ def point_ids(spark, sf):
 
 @query("index_status", "SELECT label, count(*) AS points, count(*) FILTER (len(embedding) = 64) AS valid FROM embeddings GROUP BY 1")
 def index_status(spark, sf):
-    return _points(spark, sf).groupBy("label").agg(F.count("*").alias("points"), F.count_if(F.size("vector") == 64).alias("valid"))
+    return vector.status(_points(spark, sf), "label", 64)

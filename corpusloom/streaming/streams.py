@@ -101,6 +101,37 @@ def reindexed(files: DataFrame, state: DataFrame, index: DataFrame, chunks: Call
     return index.join(gone, key, "left_anti").unionByName(chunks(new), allowMissingColumns=True), files.select(key, digest)
 
 
+def indexing(stream: DataFrame, checkpoint: str, top: str, chunks: Callable[[DataFrame], DataFrame], key: str = "path", digest: str = "sha256") -> None:
+    """Index the files of a stream by content: each batch writes chunks and hashes of the files that are new or changed, below top.
+
+    A batch is compared with what the batches before it have left, and one that is run again overwrites its own folders.
+    Nothing written before is touched; indexed() gives what counts. Of rows of one file in a batch any one is taken.
+    """
+    spark = stream.sparkSession
+
+    def batch(df: DataFrame, number: int) -> None:
+        fresh = df.dropDuplicates([key])
+        try:
+            seen = _latest(spark.read.parquet(f"{top}/state").where(F.col("batch") < number), key, digest)
+            fresh = fresh.join(seen.select(key, digest), [key, digest], "left_anti")
+        except AnalysisException:  # the first batch
+            pass
+        chunks(fresh).write.mode("overwrite").parquet(f"{top}/index/batch={number}")
+        fresh.select(key, digest).write.mode("overwrite").parquet(f"{top}/state/batch={number}")
+
+    stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def _latest(state: DataFrame, key: str, digest: str) -> DataFrame:
+    return state.groupBy(key).agg(F.max(F.struct("batch", digest)).alias("s")).select(key, f"s.{digest}", "s.batch")
+
+
+def indexed(spark: SparkSession, top: str, key: str = "path", digest: str = "sha256") -> tuple[DataFrame, DataFrame]:
+    """(index, state) that the batches of indexing() have left: of each file the chunks of its last version."""
+    state = _latest(spark.read.parquet(f"{top}/state"), key, digest)
+    return spark.read.parquet(f"{top}/index").join(state.select(key, "batch"), [key, "batch"], "left_semi").drop("batch"), state.drop("batch")
+
+
 def windowed(stream: DataFrame, time: str, window: str = "1 hour", late: str = "10 minutes", *keys: str) -> DataFrame:
     """Counts by time window and keys; late rows are dropped when the watermark has passed their window."""
     return stream.withWatermark(time, late).groupBy(F.window(time, window), *keys).agg(F.count("*").alias("n"))

@@ -196,6 +196,23 @@ def test_budgets_differ(spark):
     assert got == "user: " + "x" * 60 + "\n\n" + "bot: " + "y" * 34 + "\n...[trimmed]"
 
 
+def test_the_fold_is_bounded_and_whole(spark):
+    """Against a plain loop: many rows of each size, sizes of zero, sizes beyond the budget."""
+    import random
+
+    r = random.Random(4)
+    rows = [(g, i, r.choice([0, 1, 2, 3, 7, 50, 99, 100, 101, None])) for g in "abc" for i in range(400)]
+    want = set()
+    for g in "abc":
+        left = 100
+        for _, i, n in (x for x in rows if x[0] == g):
+            if (n or 0) <= left:
+                left -= n or 0
+                want.add((g, i))
+    got = budget.skip_if_not_fit(spark.createDataFrame(rows, "g string, o long, n long"), ["g"], "o", "n", 100).collect()
+    assert {(x["g"], x["o"]) for x in got} == want and len(got) == len(want)
+
+
 def test_conversation(spark):
     t = spark.createDataFrame([("p", 1, ["planner.py"], None), ("p", 2, ["agent.py"], "utils.py")], "project string, turn_no long, files_referenced array<string>, active_file string")
     files = conversation.recent_files(t, ["project"]).first()["files"]

@@ -211,3 +211,33 @@ def test_vectors_and_labels(spark, tmp_path):
     rows = training.labelled(df, "p", "a", 5).collect()
     assert [r["labels"] for r in rows] == [[-100, -100, 100, -100, -100], [-100] * 5, [-100] * 5]
     assert [r["attention_mask"] for r in rows] == [[1, 1, 1, 0, 0], [1] * 5, [0] * 5] and rows[0]["input_ids"] == [98, 99, 100, 0, 0]
+
+
+def test_a_stream_of_files_is_indexed_by_content(spark, tmp_path):
+    """Three batches: new files, one of them again as it was, one changed; then a second run goes on."""
+    src, args = str(tmp_path / "in"), (str(tmp_path / "c"), str(tmp_path / "o"))
+    made = []
+
+    def chunks(df):
+        made.append(sorted(r["path"] for r in df.collect()))
+        return chunk.line_windows(df.select("path", "content")).select("path", "chunk")
+
+    put = lambda rows: spark.createDataFrame([(p, str(hash(c)), c) for p, c in rows], "path string, sha256 string, content string").coalesce(1).write.mode("append").parquet(src)
+    put([("a", "1"), ("b", "2")])
+    streams.indexing(streams.source(spark, src), *args, chunks)
+    put([("a", "1"), ("b", "3\n4"), ("c", "5")])
+    streams.indexing(streams.source(spark, src), *args, chunks)
+    put([("c", "5")])
+    streams.indexing(streams.source(spark, src), *args, chunks)
+    index, state = streams.indexed(spark, args[1])
+    assert made == [["a", "b"], ["b", "c"], []]
+    assert sorted(map(tuple, index.collect())) == [("a", "1"), ("b", "3\n4"), ("c", "5")] and state.count() == 3
+
+
+def test_large_folders_have_several_rows(spark):
+    files = spark.range(2500).select(F.concat(F.lit("big/"), F.lpad("id", 4, "0")).alias("path")).unionByName(spark.createDataFrame([("one.py",), ("small/a",), ("small/b",)], "path string"))
+    got = index.folder_rows(files, "/w", 1000).collect()
+    big = [r for r in got if r["relative_path"] == "big"]
+    assert len(big) == 3 and len({r["id"] for r in got}) == len(got) == 5
+    assert sorted(x for r in big for x in r["content"].split("\n- ")[1:]) == [f"big/{i:04d}" for i in range(2500)]
+    assert {r["relative_path"]: r["content"] for r in got}["small"] == "Folder: small\nContains:\n- small/a\n- small/b"
