@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 
 #: Keys of a bucket, on average.
 BUCKET = 1 << 20
-#: What a key's flag says: no other text has it; another one has; others have, and more of it than one task should read.
-ALONE, SHARED, HOT = 0, 1, 2
+#: What a key's flag says: no other text has it; another one has; others have, and more of it than one task should read; more than VAST_HOT times that.
+ALONE, SHARED, HOT, VAST = 0, 1, 2, 3
+VAST_HOT = 16
 SENT = "g long, s long, r long, data binary"
 _TO = pa.schema([("g", pa.int64()), ("s", pa.int64()), ("r", pa.int64()), ("data", pa.binary())])
 _HOP = "s long, r long, p long, data binary"
@@ -136,7 +137,7 @@ def shared_keys(sets: DataFrame, plan: Plan, unit: int, hot_bytes: int) -> DataF
 
     def answered(rows: pa.Table) -> pa.Table:
         _, places, size, shared = _joined(rows.column("data").to_pylist(), width)
-        flags = np.where(shared, np.where(size * unit >= hot_bytes, HOT, SHARED), ALONE).astype(np.uint8)
+        flags = np.where(shared, SHARED + (size * unit >= hot_bytes) + (size * unit >= hot_bytes * VAST_HOT), ALONE).astype(np.uint8)
         s, r, p = (rows.column(c).to_pylist() for c in ("s", "r", "p"))
         return table([(a, b, c, pack(flags[at])) for a, b, c, at in zip(s, r, p, places)], _HOP_TO)
 

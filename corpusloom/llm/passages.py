@@ -13,8 +13,8 @@ function meet by their hash, and the intervals around their tokens are compared.
 3. Links make the classes, spans the passages.
 
 Windows of a hash of which groups would send more than HOT_BYTES (a phrase in every third text) meet by the hash and each
-string of SHARED tokens, the classes in which others are compared, so both find the same pairs; and equal contexts are
-made one in parts first.
+string of SHARED tokens, the classes in which others are compared, so both find the same pairs; and where that is much
+more (a copy in every third text), equal contexts are made one in parts first.
 """
 
 from collections.abc import Iterator
@@ -33,7 +33,7 @@ from .suffix import _by_bucket, _smallest
 SHINGLE, WORDS, SIMILARITY = 5, 50, 0.8
 FUNCTIONS = 4
 #: Bytes of a group's texts; bytes of one hash's windows that a task reads at most.
-GROUP_BYTES, HOT_BYTES = 4 << 20, 4 << 20
+GROUP_BYTES, HOT_BYTES = 4 << 20, 16 << 20
 #: Hashes per bucket, on average, and parts in which the groups' contexts of a hot hash are made one first.
 BUCKET, PARTS = 1 << 18, 64
 #: Tokens by which a passage may be shifted against another within a window.
@@ -459,7 +459,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_by
         kind = flags[found.number]
         at = np.flatnonzero(kind)
         contexts, keys = found.contexts(at), found.key[at]
-        hot = np.flatnonzero(kind[at] == exchange.HOT)
+        hot = np.flatnonzero(kind[at] >= exchange.HOT)
         sides = []
         for a in _SHARED_AT:
             strings = _folded(contexts[hot, a : a + SHARED], keys[hot])
@@ -467,7 +467,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_by
         plain = np.flatnonzero(kind[at] == exchange.SHARED)
         pick = np.concatenate([plain, *(s[0] for s in sides)])
         keys = np.concatenate([keys[plain], *(s[1] for s in sides)])
-        wide = np.concatenate([np.zeros(len(plain), bool), np.ones(len(pick) - len(plain), bool)])
+        wide = kind[at[pick]] == exchange.VAST
         rows, places, contexts = ids[found.row[at[pick]]], found.c[at[pick]] - found.begins[found.row[at[pick]]], contexts[pick]
         *results, lead = fold(keys, rows, places, contexts)
         made += _results(*results, g)

@@ -253,7 +253,7 @@ class Pieces:
 
     def __init__(self, runs: Runs, flags: np.ndarray, ids: np.ndarray, length: int, plan: exchange.Plan):
         kind = flags[runs.number]
-        plain, hot = np.flatnonzero(kind == exchange.SHARED), np.flatnonzero(kind == exchange.HOT)
+        plain, hot = np.flatnonzero(kind == exchange.SHARED), np.flatnonzero(kind >= exchange.HOT)
         data, extra = runs.data, length - 1
         self.start, self.count, self.row = runs.start[plain], runs.count[plain], runs.row[plain]
         self.texts, self.number, self.least = self._distinct([data[a : a + n + extra] for a, n in zip(self.start.tolist(), self.count.tolist())], ids[self.row])

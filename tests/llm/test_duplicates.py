@@ -193,6 +193,7 @@ def test_interval_expansion(seed):
 def test_passages(monkeypatch, df, rows, group_bytes, hot, bucket):
     plan = exchange.Plan.of
     monkeypatch.setattr(exchange.Plan, "of", classmethod(lambda cls, keys, own=0: plan(keys, bucket)))
+    monkeypatch.setattr(exchange, "VAST_HOT", 16 if bucket == 30 else 1)
     got = passages.near_passages(df, group_bytes=group_bytes, hot_bytes=hot).collect()
     assert len(got) == len(rows)
     words = [(t or "").encode().lower().split() for _, t in rows]
