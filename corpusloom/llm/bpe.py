@@ -42,6 +42,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.tokens = {i: t for t, i in ranks.items()}
+        self.never = max(self.tokens, default=0) + 1  # the rank of what isn't a token
         self.paired: dict[tuple[int, int], bool] = {}
         self.known: dict[str, list[int]] = {}
 
@@ -59,16 +60,17 @@ class Codec:
         if len(data) > PIECE_LEAF:
             return self.long_leaf(data)
         parts = [data[i : i + 1] for i in range(len(data))]
-        rank = self.ranks.get
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = rank(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
+        rank, never = self.ranks.get, self.never
+        # The rank of each part with the next; a merge changes those of its neighbours alone
+        ranks = [rank(data[i : i + 2], never) for i in range(len(data) - 1)]
+        while ranks and (best := min(ranks)) != never:
+            at = ranks.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = rank(parts[at] + parts[at + 1], never)
+            if at:
+                ranks[at - 1] = rank(parts[at - 1] + parts[at], never)
         return [self.ranks[p] for p in parts]
 
     def long_leaf(self, data: bytes) -> list[int]:
