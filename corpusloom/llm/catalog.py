@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, passages, quality, secrets, sharding, simhash, suffix, toxicity, warc
+from . import bpe, centroids, decontaminate, passages, quality, secrets, sharding, simhash, suffix, toxicity, warc
 
 MODULES = {
     "op1_simhash_near_dedup": simhash,
@@ -15,6 +15,7 @@ MODULES = {
     "op8_warc": warc,
     "op9_substring_dedup": passages,
     "op10_quality_rules": quality,
+    "op11_centroid_clustering": centroids,
 }
 
 
