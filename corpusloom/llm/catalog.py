@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, centroids, decontaminate, passages, quality, secrets, sharding, simhash, suffix, toxicity, warc
+from . import bpe, centroids, chat, decontaminate, passages, quality, secrets, sharding, simhash, suffix, toxicity, warc
 
 MODULES = {
     "op1_simhash_near_dedup": simhash,
@@ -16,6 +16,7 @@ MODULES = {
     "op9_substring_dedup": passages,
     "op10_quality_rules": quality,
     "op11_centroid_clustering": centroids,
+    "op12_chat_formatting": chat,
 }
 
 
