@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, centroids, chat, decontaminate, passages, quality, secrets, sharding, simhash, suffix, toxicity, warc
+from . import bpe, centroids, chat, decontaminate, passages, quality, repair, secrets, sharding, simhash, suffix, toxicity, warc
 
 MODULES = {
     "op1_simhash_near_dedup": simhash,
@@ -17,6 +17,7 @@ MODULES = {
     "op10_quality_rules": quality,
     "op11_centroid_clustering": centroids,
     "op12_chat_formatting": chat,
+    "op13_conversation_repair": repair,
 }
 
 
