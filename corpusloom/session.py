@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import re
 import shutil
 import tempfile
@@ -31,6 +32,15 @@ def session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") ->
     return spark
 
 
+def python_path(spark: SparkSession) -> None:
+    """Lets Python workers find this package."""
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
+    if top not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([top, *filter(None, paths)])
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's path, below the one that all executors share; where the session names none, a temporary one, on a local master only."""
     top = spark.conf.get("spark.checkpoint.dir", None)

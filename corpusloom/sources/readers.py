@@ -8,19 +8,9 @@ from pyspark.sql import types as T
 
 from ..functions import code as C
 from ..functions import text as X
-from ..operators.filters import reason
+from . import trees
 
 # Fixed values
-EXCLUDED_DIRS = (
-    ".git", ".hg", ".svn", ".venv", "venv", "env", "node_modules", "dist", "build", "out", "target", "__pycache__", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".tox",
-    ".cache", "cache", "caches", ".parcel-cache", ".next", ".nuxt", "coverage", "logs", "log", "qdrant_storage", "models",
-)
-EXCLUDED_SUFFIXES = (
-    ".arrow", ".bin", ".ckpt", ".crt", ".db", ".dll", ".dylib", ".exe", ".gif", ".gz", ".ico", ".ipynb", ".jar", ".jpeg", ".jpg", ".key", ".log", ".mp4", ".onnx", ".parquet", ".pem", ".pdf",
-    ".png", ".pt", ".pth", ".pyc", ".pyd", ".so", ".safetensors", ".sqlite", ".tar", ".tmp", ".zip",
-)
-SECRET_NAMES = (".env", ".env.local", ".env.development", ".env.production", ".env.test", "id_rsa", "id_dsa", "id_ecdsa", "id_ed25519")
-MAX_BYTES, SNIFF = 1_000_000, 4096
 CODE_COLUMNS = ("code", "content", "before", "after", "text", "func", "func_code_string", "whole_func_string")
 LANGUAGE_COLUMNS = ("language", "lang", "programming_language")
 
@@ -155,43 +145,19 @@ def normalized_rows(df: DataFrame) -> DataFrame:
     return out.select(found.alias("language"), "before", "after", code.alias("code"), "repo", "path")
 
 
-def binary_like(content: Column | str, sample: int = SNIFF) -> Column:
-    """A NUL, or under three quarters text bytes, in the first sample bytes."""
-    digits = F.hex(F.substring(X.col(content), 1, sample))
-    n = F.length(digits) / 2
-    text = F.regexp_count(F.regexp_replace(digits, "(..)", "$1 "), F.lit("(?:09|0A|0D|[2-6][0-9A-F]|7[0-9A-E]|[89A-F][0-9A-F]) "))
-    return (n > 0) & (F.regexp_replace(digits, "(..)", "$1 ").contains("00 ") | (F.coalesce(F.try_divide(text.cast("double"), n), F.lit(1.0)) < 0.75))
-
-
-def skip_reason(path: Column | str, length: Column | str, content: Column | str) -> Column:
-    """Why a file isn't indexed: secret, unsupported_type, too_large, binary; or null."""
-    name, suffix = C.name_of(path), C.suffix_of(path)
-    secret = name.isin(*SECRET_NAMES) | (name.startswith(".env") & (name != ".env.example")) | suffix.isin(".pem", ".key", ".crt")
-    supported = ~suffix.isin(*EXCLUDED_SUFFIXES) & (name.isin(list(C.BY_NAME)) | suffix.isin(list(C.BY_SUFFIX)))
-    return reason([("secret", secret), ("unsupported_type", ~supported), ("too_large", X.col(length) > MAX_BYTES), ("binary", binary_like(content))])
-
-
 def tree(spark: SparkSession, root: str, max_files: int | None = None) -> DataFrame:
-    """Files below root, outside of excluded folders: path (relative), length, sha256, language, skip, content (text, where not skipped).
+    """Files below root, hidden ones too, outside of excluded folders: path (relative), length, sha256, skip, language, content (text, where not skipped).
 
-    Spark lists no files whose names begin with a dot or an underscore, so hidden secrets are never read.
+    max_files: the rows up to the indexed file of that number, by path. See trees.scan() for what is skipped, and why.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.rstrip("/").removeprefix("file://").removeprefix("file:"))
-    whole = F.regexp_replace("path", "^[a-z]+:(//)?(?=/)", "")
-    rel = F.regexp_replace(F.substr(whole, F.length(base) + 1), "^/+", "")
-    held = files.select(rel.alias("path"), "length", "content").where(~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(d) for d in EXCLUDED_DIRS])))
-    out = held.withColumn("skip", skip_reason("path", "length", "content"))
-    text = F.when(F.col("skip").isNull(), F.decode("content", "UTF-8"))
-    out = out.select("path", "length", F.sha2("content", 256).alias("sha256"), "skip", text.alias("text"))
-    out = out.withColumn("language", F.when(F.col("skip").isNull(), C.language("path", "text"))).withColumnRenamed("text", "content")
-    return out.orderBy("path").limit(max_files) if max_files else out
+    return trees.texts(trees.first_files(spark, root, max_files) if max_files else trees.scan(spark, root))
 
 
 def folder_size(spark: SparkSession, path: str) -> DataFrame:
-    """One row: files and bytes below path. Contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length")
-    return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+    """One row: files and bytes below path, hidden ones too. The file system counts them; contents aren't read."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    told = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(top)
+    return spark.range(1).select(F.lit(told.getFileCount()).cast("long").alias("files"), F.lit(told.getLength()).cast("long").alias("bytes"))
 
 
 def line_counts(spark: SparkSession, path: str) -> DataFrame:

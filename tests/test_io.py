@@ -1,3 +1,4 @@
+import hashlib
 import json
 import os
 
@@ -5,17 +6,68 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import chunk, filters, graph, index, shape
-from corpusloom.sources import readers, writers
+from corpusloom.sources import readers, trees, writers
 from corpusloom.streaming import streams
 
 
+def planted(top):
+    for name, data in {
+        "src/a.rs": b"fn main() {}", "README.md": b"# T\r\nx\xff", "compose.yml": b"a: 1", "node_modules/x.ts": b"x", "pkg/build/y.py": b"y", "big.json": b" " * 1_000_001, "most.json": b" " * 1_000_000, "p.png": b"x", "k.pem": b"K", ".env": b"K=1",
+        "bin.py": b"a\0b", "odd.py": b"\x01\x02\x03ab", "__init__.py": b"", "_util.py": b"u = 1", ".github/ci.yml": b"on: push", "_priv/m.py": b"m = 2", ".env.example": b"", "e/.env.x": b"", "empty": b"",
+    }.items():
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_bytes(data)
+    (top / "lost.py").symlink_to(top / "nowhere")
+    (top / "src" / "again").symlink_to(top)
+    with open(top / "huge.py", "wb") as f:
+        f.truncate(3 << 30)
+
+
+TREE = {
+    "src/a.rs": (None, "rust"), "README.md": (None, "markdown"), "compose.yml": (None, "yaml"), "most.json": (None, "json"), "big.json": ("too_large", None), "p.png": ("unsupported_type", None), "k.pem": ("secret", None), ".env": ("secret", None),
+    "bin.py": ("binary", None), "odd.py": ("binary", None), "__init__.py": (None, "python"), "_util.py": (None, "python"), ".github/ci.yml": (None, "yaml"), "_priv/m.py": (None, "python"), ".env.example": ("unsupported_type", None), "e/.env.x": ("secret", None),
+    "empty": ("unsupported_type", None), "lost.py": ("stat_failed", None), "huge.py": ("too_large", None),
+}
+
+
 def test_tree(spark, tmp_path):
-    for name, data in {"src/a.rs": b"fn main() {}", "README.md": b"# T", "compose.yml": b"a: 1", "node_modules/x.ts": b"x", "big.json": b" " * 1_000_001, "p.png": b"x", "k.pem": b"K", ".env": b"K=1", "bin.py": b"a\0b", "odd.py": b"\x01\x02\x03ab"}.items():
-        (tmp_path / name).parent.mkdir(exist_ok=True)
-        (tmp_path / name).write_bytes(data)
-    got = {r["path"]: (r["skip"], r["language"]) for r in readers.tree(spark, str(tmp_path)).collect()}
-    assert got == {"src/a.rs": (None, "rust"), "README.md": (None, "markdown"), "compose.yml": (None, "yaml"), "big.json": ("too_large", None), "p.png": ("unsupported_type", None), "k.pem": ("secret", None), "bin.py": ("binary", None), "odd.py": ("binary", None)}
-    assert tuple(readers.folder_size(spark, str(tmp_path / "src")).first()) == (1, 12)
+    planted(tmp_path)
+    root = str(tmp_path)
+    rows = {r["path"]: r for r in readers.tree(spark, root).collect()}
+    assert {p: (r["skip"], r["language"]) for p, r in rows.items()} == TREE
+    assert rows["README.md"]["content"] == "# T\nx" and rows["huge.py"]["length"] == 3 << 30 and rows["lost.py"]["length"] is None
+    assert rows["_util.py"]["sha256"] == hashlib.sha256(b"u = 1").hexdigest() and rows["bin.py"]["sha256"] is None
+    told = {(r["what"], r["name"]): r["n"] for r in trees.statistics(trees.scan(spark, root, contents=False)).collect()}
+    assert told == {
+        ("folder", "node_modules"): 1, ("folder", "pkg/build"): 1, ("skipped", "secret"): 3, ("skipped", "unsupported_type"): 3, ("skipped", "stat_failed"): 1, ("skipped", "too_large"): 2, ("skipped", "binary"): 2,
+        ("language", "rust"): 1, ("language", "markdown"): 1, ("language", "yaml"): 2, ("language", "json"): 1, ("language", "python"): 3,
+    }
+    first = sorted(p for p, (skip, _) in TREE.items() if skip is None)[:3]
+    got = readers.tree(spark, root, 3).collect()
+    assert sorted(r["path"] for r in got if r["skip"] is None) == first and len(got) == sum(p <= first[-1] for p in TREE)
+    assert readers.tree(spark, root, 100).count() == len(TREE)
+    assert tuple(readers.folder_size(spark, str(tmp_path / "_priv")).first()) == (1, 5)
+
+
+def test_tree_opens_only_what_it_must(spark, tmp_path):
+    planted(tmp_path)
+    reader = trees.TreeReader({"path": str(tmp_path), "split_bytes": "1"})
+    opened = [p for part in reader.partitions() for p, _ in part.opened]
+    assert sorted(opened) == sorted(p for p, (skip, _) in TREE.items() if skip in (None, "binary")) and len(reader.partitions()) == len(opened) + 1
+    reader = trees.TreeReader({"path": str(tmp_path), "prefix": "_p", "kept": "true"})
+    assert reader._entered("_priv") and not reader._entered("src") and [p for part in reader.partitions() for p, _ in part.opened] == ["_priv/m.py"]
+    found = trees.scan(spark, str(tmp_path))
+    both = found.where("skip IS NULL").select("path").union(found.where("skip IS NOT NULL").select("path"))
+    assert both.count() == found.count() == len(TREE) + 2 and trees.scan(spark, str(tmp_path), kept=True).count() == sum(skip is None for skip, _ in TREE.values())
+    assert [r["path"] for r in trees.scan(spark, str(tmp_path), prefix="src/").collect()] == ["src/a.rs"]
+
+
+def test_tree_is_written(spark, tmp_path):
+    df = spark.createDataFrame([("a/__init__.py", "é"), ("a/.b/c.py", None), (".d.py", "x\ny")], "path string, content string").repartition(3)
+    trees.write(df, str(tmp_path / "t"))
+    assert {r["path"]: r["content"] for r in readers.tree(spark, str(tmp_path / "t")).collect()} == {"a/__init__.py": "é", "a/.b/c.py": "", ".d.py": "x\ny"}
+    with pytest.raises(Exception):
+        trees.write(spark.createDataFrame([("../x.py", "")], "path string, content string"), str(tmp_path / "t"))
 
 
 def test_json_lines(spark, tmp_path):
