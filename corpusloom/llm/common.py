@@ -31,9 +31,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def pick(df: DataFrame, **names: str) -> DataFrame:
     """The columns of df with just these names, under new ones. Others are left aside, even where they differ from them in case alone."""
-    at = {c: f"__{i}" for i, c in enumerate(df.columns)}
-    plain = df.toDF(*at.values()) if len(at) == len(df.columns) else df
-    return plain.select(*[(F.col(at[name]) if plain is not df else F.col(name)).alias(new) for new, name in names.items()])
+    numbered = df.toDF(*[str(i) for i in range(len(df.columns))])
+    return numbered.select(*[numbered[str(df.columns.index(name))].alias(new) for new, name in names.items()])
 
 
 def shared_dir(spark: SparkSession) -> str:
