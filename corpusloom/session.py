@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import os
-import re
 import shutil
 import tempfile
 import uuid
@@ -60,13 +59,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Names of steps of a plan, each at the start of its line, after which a second run may give rows in another order.
-_REORDERS = re.compile(r"(?m)^[\s:|+*()\d-]*\w*(?:Exchange|Sample|InMemoryTableScan|BatchScan|InArrow|InPandas|EvalPython|Aggregate|Join|Sort|Limit|TakeOrdered|Window|Generate|Coalesce)")
+#: Steps of a plan that take rows one by one, in order.
+_PLAIN = {"WholeStageCodegenExec", "InputAdapter", "ColumnarToRowExec", "ProjectExec", "FilterExec", "UnionExec", "FileSourceScanExec", "LocalTableScanExec"}
 
 
 def plain_scan(df: DataFrame) -> bool:
     """Whether df is what files or a checkpoint give, row by row: cheap to read again, in the same order each time."""
-    return not _REORDERS.search(df._jdf.queryExecution().executedPlan().toString())
+
+    def plain(step) -> bool:
+        kind = step.getClass().getSimpleName()
+        if kind == "RDDScanExec":
+            return step.rdd().isCheckpointed()
+        below = step.children()
+        return kind in _PLAIN and all(plain(below.apply(i)) for i in range(below.size()))
+
+    return plain(df._jdf.queryExecution().executedPlan())
 
 
 def spread(df: DataFrame) -> DataFrame:
