@@ -7,22 +7,23 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-_STATE = "struct<left: bigint, kept: array<bigint>>"
-
 
 def skip_if_not_fit(df: DataFrame, group: list[str], order: str, size: str, budget: int) -> DataFrame:
     """(group, order): the rows that are kept, in order, where one that would go beyond the budget is skipped.
 
     What is left never grows, so of rows of one size the first ones are kept, at most budget / size of them: only those
     go into the fold, which bounds it whatever a group's number of rows. Rows without a size are all kept, outside of it.
+    order may be of any type that sorts, a struct too. A budget below 0 keeps nothing.
     """
-    rows = df.select(*group, F.col(order).cast("long").alias("__o"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("__n"))
+    kind = df.schema[order].dataType.simpleString()
+    state = f"struct<left: bigint, kept: array<{kind}>>"
+    rows = df.select(*group, F.col(order).alias("__o"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("__n")).where(F.lit(budget >= 0))
     free = rows.where("__n <= 0").select(*group, F.col("__o").alias(order))
     place = F.row_number().over(Window.partitionBy(*group, "__n").orderBy("__o"))
-    held = rows.where(F.col("__n").between(1, budget)).withColumn("__k", place).where((F.col("__k") <= budget) & (F.col("__k") * F.col("__n") <= budget))
+    held = rows.where(F.col("__n").between(1, budget)).withColumn("__k", place).where((F.col("__k") <= max(budget, 0)) & (F.col("__k") * F.col("__n") <= budget))
     listed = held.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(F.col("__o").alias("o"), F.col("__n").alias("n")))).alias("rows"))
-    start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast("array<bigint>").alias("kept")).cast(_STATE)
-    step = lambda s, r: F.when(r["n"] <= s["left"], F.struct((s["left"] - r["n"]).alias("left"), F.concat(s["kept"], F.array(r["o"])).alias("kept"))).otherwise(s).cast(_STATE)
+    start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast(f"array<{kind}>").alias("kept")).cast(state)
+    step = lambda s, r: F.when(r["n"] <= s["left"], F.struct((s["left"] - r["n"]).alias("left"), F.concat(s["kept"], F.array(r["o"])).alias("kept"))).otherwise(s).cast(state)
     return listed.select(*group, F.explode(F.aggregate("rows", start, step)["kept"]).alias(order)).unionByName(free)
 
 

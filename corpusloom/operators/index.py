@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import code as C
 from ..functions import text as X
 from ..functions.text import col
+from ..session import checkpointed
 from . import chunk, graph, rules
 from .vector import hash_embedding, point_id
 
@@ -80,43 +81,56 @@ def payloads(files: DataFrame, project: str, signals: DataFrame | None = None, n
         C.is_test("path").alias("is_test_file"), C.is_config("path", lang).alias("is_config_file"), C.is_doc("path", lang).alias("is_doc_file"),
         F.lit("project_code").alias("source"), F.lit(True).alias("validated"), F.lit("indexer").alias("created_by"), F.array(*[F.lit(t) for t in TASK_TAGS]).alias("task_tags"),
     )
+    out = _signalled(out, signals, neighbors)
+    return out.withColumn("id", point_id("project_id", "relative_path", "start_line", "end_line", F.coalesce("symbol_name", F.lit("")), "file_sha256"))
+
+
+def _signalled(rows: DataFrame, signals: DataFrame | None, neighbors: DataFrame | None) -> DataFrame:
+    """rows (relative_path) with what the graph says of their files, and the project's types and frameworks; in place of what they have of it."""
     none = F.array().cast("array<string>")
-    known = ["frameworks", "importance_score", "import_count", "imported_by_count", "symbol_count", "is_entry_point"]
-    if signals is not None:
-        out = out.join(signals.select(F.col("path").alias("relative_path"), *known), "relative_path", "left")
-    else:
-        out = out.withColumns({"frameworks": none, "importance_score": F.lit(0.0), "import_count": F.lit(0), "imported_by_count": F.lit(0), "symbol_count": F.lit(0), "is_entry_point": F.lit(False)})
-    out = out.withColumns({"frameworks": F.coalesce("frameworks", none), "importance_score": F.coalesce("importance_score", F.lit(0.0)), "is_entry_point": F.coalesce("is_entry_point", F.lit(False)), **{c: F.coalesce(c, F.lit(0)).cast("int") for c in ("import_count", "imported_by_count", "symbol_count")}})
-    if neighbors is not None:
-        out = out.join(neighbors.select(F.col("path").alias("relative_path"), F.col("neighbors").alias("dependency_neighbors")), "relative_path", "left")
-        out = out.withColumn("dependency_neighbors", F.coalesce("dependency_neighbors", none))
+    known = {"importance_score": F.lit(0.0), "import_count": F.lit(0), "imported_by_count": F.lit(0), "symbol_count": F.lit(0), "is_entry_point": F.lit(False)}
+    kinds = {"importance_score": "double", "is_entry_point": "boolean"}
+    out = rows.drop(*known, "project_types", "frameworks", "dependency_neighbors")
+    if signals is None:
+        out = out.withColumns({**known, "project_types": none, "frameworks": none})
     else:
-        out = out.withColumn("dependency_neighbors", none)
-    return out.withColumn("id", point_id("project_id", "relative_path", "start_line", "end_line", F.coalesce("symbol_name", F.lit("")), "file_sha256"))
+        facts = graph.project(signals).select("project_types", "frameworks")
+        out = out.join(signals.select(F.col("path").alias("relative_path"), *known), "relative_path", "left").crossJoin(F.broadcast(facts))
+    out = out.withColumns({c: F.coalesce(c, empty).cast(kinds.get(c, "int")) for c, empty in known.items()})
+    if neighbors is None:
+        return out.withColumn("dependency_neighbors", none)
+    out = out.join(neighbors.select(F.col("path").alias("relative_path"), F.col("neighbors").alias("dependency_neighbors")), "relative_path", "left")
+    return out.withColumn("dependency_neighbors", F.coalesce("dependency_neighbors", none))
 
 
-def _row(project: str, kind: str, path: Column, content: Column, name: Column) -> list[Column]:
+def _row(project: str, kind: str, path: Column, content: Column, name: Column, of_file: bool = False) -> list[Column]:
     who = identity(F.lit(project))
     return [
+        (F.concat_ws("/", who["project_path"], path) if of_file else F.lit(None).cast("string")).alias("file_path"), who["project_path"].alias("workspace_root"),
         point_id(F.concat_ws(":", who["project_id"], name, F.lit(kind))).alias("id"), who["project_id"].alias("project_id"), who["project_name"].alias("project_name"),
         who["project_path"].alias("project_path"), path.alias("relative_path"), F.lit(kind).alias("chunk_type"), content.alias("content"),
     ]
 
 
-def file_rows(files: DataFrame, project: str, neighbors: DataFrame | None = None) -> DataFrame:
-    """A file_summary point a file (path, language, content, sha256): its lines, classes, functions and what it depends on."""
+def file_rows(files: DataFrame, project: str, neighbors: DataFrame | None = None, signals: DataFrame | None = None) -> DataFrame:
+    """A file_summary point a file (path, language, content, sha256): its lines, classes, functions and what it depends on, with its importance."""
     s = C.structure_of("content", "language")
     held = files.select("path", "language", "sha256", F.size(X.lines(F.coalesce("content", F.lit("")))).alias("loc"), s.alias("s"))
     if neighbors is not None:
         held = held.join(neighbors.select("path", "imports"), "path", "left")
     else:
         held = held.withColumn("imports", F.array().cast("array<string>"))
+    if signals is not None:
+        held = held.join(signals.select("path", "importance_score"), "path", "left")
+    else:
+        held = held.withColumn("importance_score", F.lit(0.0))
     line = lambda label, c: F.when(F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0, F.concat(F.lit(label + ": "), F.array_join(c, ", ")))
     text = F.concat_ws(
         "\n", F.concat(F.lit("File: "), "path"), F.concat(F.lit("Language: "), "language"), F.concat(F.lit("Lines: "), F.col("loc").cast("string")), F.lit("Purpose: Source file."),
         line("Classes", F.transform("s.classes", lambda c: c["name"])), line("Functions", F.col("s.functions")), line("Dependencies", F.col("imports")),
     )
-    return held.select(*_row(project, "file_summary", F.col("path"), text, F.col("path")), F.col("sha256").alias("file_sha256"), F.lit("project_code").alias("source"))
+    score = F.coalesce("importance_score", F.lit(0.0)).cast("double").alias("importance_score")
+    return held.select(*_row(project, "file_summary", F.col("path"), text, F.col("path"), True), F.col("sha256").alias("file_sha256"), F.lit("project_code").alias("source"), score)
 
 
 #: Files that a folder's row lists; a larger folder has a row for each so many.
@@ -139,28 +153,41 @@ def folder_rows(files: DataFrame, project: str, most: int = LISTED) -> DataFrame
     return held.select(*_row(project, "folder_summary", F.col("folder"), text, name), F.lit(None).cast("string").alias("file_sha256"), F.lit("project_code").alias("source"))
 
 
-def map_row(files: DataFrame, project: str, frameworks: DataFrame | None = None) -> DataFrame:
-    """The one project_map point: types, frameworks (of a table with that list column) and languages in a sentence each."""
-    facts = graph.workspace(files, frameworks)
-    return facts.select(*_row(project, "project_map", F.lit("project_map"), F.col("summary"), F.lit("project_map")), F.lit(None).cast("string").alias("file_sha256"), F.lit("project_map").alias("source"))
+def map_row(files: DataFrame, project: str, frameworks: DataFrame | None = None, signals: DataFrame | None = None) -> DataFrame:
+    """The one project_map point: types, frameworks (of a table with that list column) and languages in a sentence each; with signals, the files that matter too."""
+    facts = graph.workspace(files, frameworks if frameworks is not None else signals)
+    none = F.array().cast("array<string>")
+    if signals is None:
+        facts = facts.withColumns({"important_files": none, "entry_points": none})
+    else:
+        facts = facts.crossJoin(F.broadcast(graph.project(signals).select("important_files", "entry_points")))
+    columns = _row(project, "project_map", F.lit("project_map"), F.col("summary"), F.lit("project_map"))
+    return facts.select(*columns, F.lit(None).cast("string").alias("file_sha256"), F.lit("project_map").alias("source"), "project_types", "frameworks", *[F.coalesce(c, none).alias(c) for c in ("important_files", "entry_points")])
 
 
-def renewed(files: DataFrame, state: DataFrame, points: DataFrame, project: str, size: int = chunk.WINDOW, overlap: int = chunk.OVERLAP) -> tuple[DataFrame, DataFrame, DataFrame]:
+def renewed(files: DataFrame, state: DataFrame, points: DataFrame, project: str, size: int = chunk.WINDOW, overlap: int = chunk.OVERLAP, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(points, state, report) after a scan of files (path, language, content, sha256) against the state (path, sha256) of the last one.
 
-    Chunks and summaries of added and changed files are made anew, those of changed and removed files go, and rows of
-    folders and the project's map are replaced as a whole. Points keep the columns of what is made. The report is one
-    row: files scanned, reindexed, unchanged and removed. An empty state indexes all; an empty scan leaves the map alone.
+    Chunks of added and changed files are made anew, those of changed and removed files go. What the graph says of a
+    file (counts, importance, neighbours, what its summary lists) can change with any other file: it is set anew on all
+    points, so a renewed index is the same as one that is made from nothing. edges: the graph of the files; without it, it is built. Points
+    keep the columns of what is made. The report is one row: files scanned, reindexed, unchanged and removed. An empty
+    state indexes all.
     """
+    edges = checkpointed(graph.build(files) if edges is None else edges)
+    signals, neighbors = checkpointed(graph.signals(files, edges)), checkpointed(adjacency(edges))
     diff = rules.index_diff(files, state, "path", "sha256")
     gone = diff.where("status in ('changed', 'removed')").select(F.col("path").alias("relative_path"))
     fresh = files.join(diff.where("status in ('changed', 'added')").select("path"), "path", "left_semi")
-    held = points.where("chunk_type not in ('folder_summary', 'project_map')").join(gone, "relative_path", "left_anti")
-    made = payloads(fresh, project, size=size, overlap=overlap).unionByName(file_rows(fresh, project), allowMissingColumns=True)
-    made = made.unionByName(folder_rows(files, project), allowMissingColumns=True).unionByName(map_row(files, project), allowMissingColumns=True)
+    held = points.where("chunk_type not in ('file_summary', 'folder_summary', 'project_map')").join(gone, "relative_path", "left_anti")
+    made = payloads(fresh, project, size=size, overlap=overlap)
+    lists = [c for c in ("important_files", "entry_points") if c in held.columns]
+    made = _signalled(held.drop(*lists).unionByName(made, allowMissingColumns=True), signals, neighbors)
+    for more in (file_rows(files, project, neighbors, signals), folder_rows(files, project), map_row(files, project, signals=signals)):
+        made = made.unionByName(more, allowMissingColumns=True)
     count = lambda s: F.count_if(F.col("status").isin(*s))
     report = diff.agg(count(("added", "changed", "unchanged")).alias("scanned"), count(("added", "changed")).alias("reindexed"), count(("unchanged",)).alias("unchanged"), count(("removed",)).alias("removed"))
-    return held.unionByName(made, allowMissingColumns=True), files.select("path", "sha256"), report
+    return made, files.select("path", "sha256"), report
 
 
 def embedded(points: DataFrame, dim: int = 768) -> DataFrame:

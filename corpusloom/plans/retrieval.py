@@ -211,7 +211,7 @@ def retrieve_hybrid(spark, sf):
 
 _OVERVIEW = f"""x AS (SELECT id, CASE WHEN kind = 'folder_summary' THEN 1 WHEN kind = 'file_summary' THEN 2 WHEN kind = 'doc' AND lower(path) LIKE '%readme.md' THEN 0 WHEN source = 'project_code' THEN 3 END AS c, length(content) AS n, path, kind,
  CASE WHEN kind = 'folder_summary' THEN 1.0 WHEN kind = 'file_summary' THEN CASE WHEN path IN {_IN(_ENTRIES)} THEN 0.95 WHEN path IN {_IN(_IMPORTANT)} THEN 0.90 WHEN is_config_file THEN 0.85 WHEN importance_score > 0.5 THEN 0.80 ELSE 0.60 END
-  WHEN kind = 'doc' AND lower(path) LIKE '%readme.md' THEN 1.0 WHEN path IN {_IN(_ENTRIES)} THEN 0.70 WHEN path IN {_IN(_IMPORTANT)} THEN 0.65 ELSE 0.50 END AS s FROM (SELECT * FROM p ORDER BY id LIMIT 1500)),
+  WHEN kind = 'doc' AND lower(path) LIKE '%readme.md' THEN 1.0 WHEN path IN {_IN(_ENTRIES)} THEN 0.70 WHEN path IN {_IN(_IMPORTANT)} THEN 0.65 ELSE 0.50 END AS s FROM p),
 l AS (SELECT *, row_number() OVER (ORDER BY c, CASE WHEN c >= 2 THEN -s ELSE 0 END, id) AS i FROM x WHERE c IS NOT NULL),
 f AS (SELECT 0::BIGINT AS i, 25000 - coalesce((SELECT length(content) FROM p WHERE source = 'project_map' ORDER BY id LIMIT 1), 0) AS budget, false AS readme, false AS kept
  UNION ALL SELECT l.i, CASE WHEN c = 1 OR (n <= budget AND NOT (c = 0 AND readme)) THEN budget - n ELSE budget END, readme OR (c = 0 AND n <= budget), c = 1 OR (n <= budget AND NOT (c = 0 AND readme)) FROM f JOIN l ON l.i = f.i + 1),
