@@ -3,7 +3,9 @@
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -111,8 +113,12 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
         found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    base = list(found)
-    found += [(a, 3, b) for a, b in random_spans(text) if not any(x <= a and b <= y for x, _, y in base)]
+    base = sorted((a, b) for a, _, b in found)
+    starts, reach = [a for a, _ in base], list(accumulate((b for _, b in base), max))
+    for a, b in random_spans(text):
+        before = bisect_right(starts, a)  # base spans that begin at a or before it
+        if not before or reach[before - 1] < b:
+            found.append((a, 3, b))
     return sorted(found)
 
 
