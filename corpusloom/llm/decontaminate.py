@@ -1,6 +1,6 @@
 """Benchmark decontamination: windows of test-set words, looked up in every training text.
 
-A set of up to MOST_WORDS words of items is broadcast whole. Of a larger one only a filter of FILTER_BITS bits is, which
+A set of up to MOST_WORDS words and MOST_BYTES bytes of items is broadcast whole. Of a larger one only a filter of FILTER_BITS bits is, which
 says of a window's hash that no item has it, or that one may; windows that may be one's are joined with the items by their words.
 """
 
@@ -21,6 +21,8 @@ from .common import cut, prepare, read, spread
 WINDOW = 10
 #: Words of item texts up to which their windows are broadcast: at most 64 bytes a window and 160 a distinct word, so 115 MB at the very worst.
 MOST_WORDS = 1 << 19
+#: Bytes of item texts up to which they are collected and broadcast, whatever their words: an item may be all blanks, or one vast word.
+MOST_BYTES = 1 << 24
 #: Bits of the filter for larger benchmarks: 64 MB.
 FILTER_BITS = 1 << 29
 
@@ -108,7 +110,7 @@ def _digest(doc, n_words: int, hit: np.ndarray, items: set) -> dict:
 def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most_words: int = MOST_WORDS) -> DataFrame:
     """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (of hit words, end exclusive).
 
-    The windows are broadcast if the benchmark has at most most_words words; see _joined for larger ones. A window's
+    The windows are broadcast if the benchmark has at most most_words words and MOST_BYTES bytes; see _joined for larger ones. A window's
     hash is only a first look; its words decide. Null texts have no words
     and no windows; items with a null id mark words but aren't listed; equal items count each; repeated document rows
     each get a row; empty tables on either side give no hits; further columns are left aside.
@@ -118,7 +120,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_co
     items = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[item_text_col].alias("text")).where("text is not null")
     schema = f"doc_id {documents.schema[id_col].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<int>>"
     to = to_arrow_schema(_parse_datatype_string(schema))
-    if _size(items) > most_words:
+    if not _small(items, most_words):
         return _joined(rows, items, window, schema, to)
     shared = spark.sparkContext.broadcast(Windows([tuple(r) for r in items.collect()], window))
 
@@ -134,11 +136,11 @@ def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text
     """The rows of documents without any window of the benchmark, with their columns as they were.
 
     Rows without a text have no window and stay, as do all if the benchmark is empty; repeated rows stay or go together;
-    an empty table stays empty. With a benchmark of over most_words words, documents are cut first, as they are read twice.
+    an empty table stays empty. With a larger benchmark, documents are cut first, as they are read twice.
     """
     spark = prepare(documents.sparkSession)
     items = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[item_text_col].alias("text")).where("text is not null")
-    if _size(items) > most_words:
+    if not _small(items, most_words):
         whole = cut(documents.select(F.monotonically_increasing_id().alias("__row"), F.struct(*[documents[c] for c in documents.columns]).alias("__kept"), documents[text_col].alias("__text")))
         found = scan(whole, benchmark, window, "__row", "__text", item_col, item_text_col, most_words)
         hit = found.where("contaminated").select(F.col("doc_id").alias("__row"))
@@ -153,9 +155,11 @@ def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text
     return documents.where(free(documents[text_col]))
 
 
-def _size(items: DataFrame) -> int:
-    """The number of words of all items."""
-    return items.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(_WORD_CHARS))), F.lit(0))).first()[0]
+def _small(items: DataFrame, most_words: int, most_bytes: int = MOST_BYTES) -> bool:
+    """Whether all items together have no more words and bytes than that."""
+    none = F.lit(0)
+    sums = items.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(_WORD_CHARS))), none), F.coalesce(F.sum(F.octet_length("text")), none)).first()
+    return sums[0] <= most_words and sums[1] <= most_bytes
 
 
 def _keyed(text: str | None, sizes: list[int], whole: bool = False) -> Iterator[tuple[int, int, np.ndarray, list[bytes]]]:
