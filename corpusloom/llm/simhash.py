@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, prepare, read, settled, spread
+from .common import SHARE, components, cut, prepare, read, settled, spread
 
 RADIUS, BITS, SHINGLE, SEED = 3, 64, 3, 42
 TABLES = 2 ** (RADIUS + 1) - 1
@@ -111,13 +111,13 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def _labelled(rows: DataFrame, bucket: int) -> DataFrame:
-    """Per distinct fingerprint of rows (row, doc_id, fp): fp, and first: the component's smallest (null id?, doc_id, row)."""
+    """Per distinct fingerprint of rows (row, doc_id, fp): fp, n (rows that have it), and first: the component's smallest (null id?, doc_id, row)."""
     key = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
-    reps = rows.groupBy("fp").agg(F.min(key).alias("first"))
+    reps = rows.groupBy("fp").agg(F.min(key).alias("first"), F.count("*").alias("n"))
     found = components(links(reps.select("fp"), bucket))
-    reps = reps.join(found, reps.fp == found.node, "left").select("fp", F.coalesce("component", "fp").alias("c"), "first")
+    reps = reps.join(found, reps.fp == found.node, "left").select("fp", "n", F.coalesce("component", "fp").alias("c"), "first")
     firsts = reps.groupBy("c").agg(F.min("first").alias("first"))
-    return reps.select("fp", "c").join(firsts, "c").select("fp", "first")
+    return reps.select("fp", "n", "c").join(firsts, "c").select("fp", "n", "first")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
@@ -126,11 +126,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Equal fingerprints are one node however many rows have them; nodes link at three or fewer differing bits.
     component_id is the smallest doc_id reachable. Null and empty texts have fingerprint zero and link like others;
     null ids count as largest; repeated rows each get a row; an empty table gives an empty result; further columns
-    are left aside.
+    are left aside. The rows of the most frequent fingerprints (at most 1 / SHARE) get their components by a broadcast.
     """
     rows = cut(fingerprints(df, id_col, text_col))
-    out = rows.join(_labelled(rows, bucket), "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id"))
+    found = cut(_labelled(rows, bucket).select("fp", F.col("first.id").alias("component_id"), F.lit(True).alias("hot"), "n"))
+    often = F.col("n") > rows.count() * SHARE
+    marked = rows.select("doc_id", "fp").join(F.broadcast(found.where(often).drop("n")), "fp", "left")
+    rest = marked.where("hot is null").select("doc_id", "fp").join(found.where(~often).select("fp", "component_id"), "fp")
+    out = marked.where("hot").select("doc_id", "fp", "component_id").unionByName(rest)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
