@@ -93,7 +93,7 @@ def cluster(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))), 256)
     start = rows.select(order.alias("h"), "q").orderBy("h", "q").limit(k).collect()
     keyed = rows.withColumn("key", F.unhex(F.sha2(F.array_join(F.col("q").cast("array<string>"), ","), 256)))
-    distinct = cut(keyed.groupBy("key").agg(F.first("q").alias("q"), F.count("*").alias("n")))
+    distinct = cut(keyed.groupBy("key", "q").agg(F.count("*").alias("n")))
     centroids = np.array([r["q"] for r in start], np.int64).reshape(-1, dims)
     if not len(centroids):
         none = rows.select("id", F.lit(0).alias("cluster"), F.lit(0).cast("long").alias("distance")).limit(0)
