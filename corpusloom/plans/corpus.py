@@ -85,13 +85,18 @@ def _sig_sql(n: int) -> str:
   FROM (SELECT ord, list_filter(regexp_split_to_array(lower(input), '[\\s\\x0B\\x1C-\\x1F]+'), lambda x: x <> '') AS t FROM {_R})),
 s AS (SELECT DISTINCT ord, unnest(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' '))) AS s FROM w),
 m AS (SELECT ord, i, min(md5(i::VARCHAR || s)) AS h FROM s, range({n}) AS r(i) GROUP BY ord, i),
-g AS (SELECT ord, string_agg(h, '' ORDER BY i) AS sig FROM m GROUP BY ord),
-c AS (SELECT sig, min(ord) AS ord, count(*) AS n FROM g GROUP BY sig)"""
+g AS MATERIALIZED (SELECT ord, string_agg(h, '' ORDER BY i) AS sig FROM m GROUP BY ord),
+c AS MATERIALIZED (SELECT sig, min(ord) AS ord, count(*) AS n FROM g GROUP BY sig)"""
 
 
 def _pairs_sql(n: int, t: float) -> str:
-    same = f"list_sum(list_transform(range({n}), lambda k: (x.sig[1 + k * 32:32 + k * 32] = y.sig[1 + k * 32:32 + k * 32])::INT))"
-    return f"p AS (SELECT x.ord AS a, y.ord AS b, {same} / {n}::DOUBLE AS sim FROM c x JOIN c y ON x.ord < y.ord WHERE {same} >= {t} * {n} - 1e-9)"
+    """Pairs of classes that agree in a slice; similar ones differ in fewer slots than there are slices, so they agree in one."""
+    count = dedup.band_count(n, t)
+    edges = [n * k // count for k in range(count + 1)]
+    slices = [f"sig[{32 * a + 1}:{32 * b}]" for a, b in zip(edges, edges[1:])]
+    met = " UNION ".join(f"SELECT x.ord AS a, y.ord AS b, x.sig AS sa, y.sig AS sb FROM c x JOIN c y ON x.{s} = y.{s} AND x.ord < y.ord" for s in slices)
+    same = f"list_sum(list_transform(range({n}), lambda k: (sa[1 + k * 32:32 + k * 32] = sb[1 + k * 32:32 + k * 32])::INT))"
+    return f"p AS MATERIALIZED (SELECT a, b, {same} / {n}::DOUBLE AS sim FROM ({met}) WHERE {same} >= {t} * {n} - 1e-9)"
 
 
 def _sigs(spark, sf):
@@ -114,7 +119,7 @@ def near_dup_pairs(spark, sf):
 
 
 @query("near_dedup_greedy", f"""WITH RECURSIVE {_sig_sql(PERMS)}, {_pairs_sql(PERMS, NEAR)},
-l AS (SELECT b AS ord, list(a) AS near FROM p GROUP BY b), n AS (SELECT *, row_number() OVER (ORDER BY ord) AS i FROM l),
+l AS (SELECT b AS ord, list(a) AS near FROM p GROUP BY b), n AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ord) AS i FROM l),
 f AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS gone, NULL::BIGINT AS ord, true AS kept
  UNION ALL SELECT n.i, CASE WHEN len(list_filter(near, lambda a: NOT list_contains(gone, a))) > 0 THEN list_append(gone, n.ord) ELSE gone END, n.ord, len(list_filter(near, lambda a: NOT list_contains(gone, a))) = 0 FROM f JOIN n ON n.i = f.i + 1)
 SELECT ord FROM c WHERE ord NOT IN (SELECT ord FROM f WHERE NOT kept)""")
