@@ -10,6 +10,7 @@ from ..session import checkpointed
 
 # Fixed values
 CANDIDATE_ENDS = ["", ".py", ".js", ".jsx", ".ts", ".tsx", ".java", ".cs", ".cpp", ".hpp", ".h", ".rs", "/index.js", "/index.ts", "/mod.rs"]
+TEST_ENDS, TEST_MARKS = r"\.(py|js|ts|tsx|jsx|java|cs|rs|cpp|cc)$", r"(^test_|_test$|\.test$|\.spec$|^test)"
 
 
 def module_of(path: Column | str) -> Column:
@@ -87,14 +88,15 @@ def symbol_edges(held: DataFrame) -> DataFrame:
 
 
 def test_edges(files: DataFrame, imports: DataFrame) -> DataFrame:
-    """(src, dst, TEST_COVERS_FILE): what a test imports that is no test, or else up to three files of its stem."""
+    """(src, dst, TEST_COVERS_FILE): what a test imports that is no test, or else up to three files of its stem. Files are cut to three a stem before they meet the tests."""
     marked = files.select("path", C.is_test("path").alias("test"))
     tests, others = marked.where("test").select(F.col("path").alias("src")), marked.where("not test").select(F.col("path").alias("dst"))
     direct = imports.select("src", "dst").join(tests, "src", "left_semi").join(others, "dst", "left_semi").select("src", "dst")
-    stem = F.regexp_replace(F.regexp_replace(C.name_of("src"), r"\.(py|js|ts|tsx|jsx|java|cs|rs|cpp|cc)$", ""), r"(^test_|_test$|\.test$|\.spec$|^test)", "")
+    stem = F.regexp_replace(F.regexp_replace(C.name_of("src"), TEST_ENDS, ""), TEST_MARKS, "")
     rest = tests.join(direct, "src", "left_anti").select("src", F.btrim(stem, F.lit("_.")).alias("stem")).where("stem <> ''")
     named = others.select("dst", F.lower(F.regexp_extract("dst", r"([^/]+?)(\.[^./]*)?$", 1)).alias("stem"))
-    near = rest.join(named, "stem").withColumn("n", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where("n <= 3").select("src", "dst")
+    first = named.withColumn("n", F.row_number().over(Window.partitionBy("stem").orderBy("dst"))).where("n <= 3")
+    near = rest.join(first, "stem").select("src", "dst")
     return direct.unionByName(near).distinct().withColumn("relation", F.lit("TEST_COVERS_FILE"))
 
 
@@ -130,6 +132,8 @@ def module_degrees(edges: DataFrame) -> DataFrame:
 
 # Fixed values
 CAPS = {"files": 15, "tests": 10, "symbols": 20, "functions": 30, "routes": 80, "edges": 4000}
+#: Classes that a list of parents or children has at most.
+MOST_CLASSES = 1000
 
 
 def stored(edges: DataFrame, most: int = CAPS["edges"]) -> DataFrame:
@@ -147,7 +151,7 @@ def _listed(rows: DataFrame, name: str, most: int) -> DataFrame:
 
 def relations(files: DataFrame, caps: dict[str, int] = CAPS) -> DataFrame:
     """A row a file: imports, imported_by, related_files, related_tests, related_symbols, dependency_count, call_count, classes,
-    functions, parent_classes, child_classes. Lists are cut by caps, counts are not.
+    functions, parent_classes, child_classes. Lists are cut by caps and at MOST_CLASSES, counts are not.
 
     Related are, in this order, what a file imports, what imports it, its tests, files of its classes' bases, files whose
     classes have its own as bases, and files that it calls.
@@ -161,12 +165,14 @@ def relations(files: DataFrame, caps: dict[str, int] = CAPS) -> DataFrame:
     classes = _classes(held)
     parents = classes.select("path", F.lit(0).alias("rank"), F.explode("bases").alias("value"))
     of = classes.select("path", F.col("name").alias("base"))
-    children = classes.select(F.col("name").alias("value"), F.explode("bases").alias("base")).join(of, "base").select("path", F.lit(0).alias("rank"), "value")
+    heirs = classes.select(F.col("name").alias("value"), F.explode("bases").alias("base")).distinct()
+    heirs = heirs.withColumn("n", F.row_number().over(Window.partitionBy("base").orderBy("value"))).where(F.col("n") <= MOST_CLASSES)
+    children = heirs.join(of.distinct(), "base").select("path", F.lit(0).alias("rank"), "value")
     listed = F.concat(F.transform("classes", lambda c: c["name"]), "functions")
     own = held.select("path", F.posexplode(listed).alias("rank", "value")).unionByName(parents.withColumn("rank", F.lit(1 << 30)))
     counts = out_of.unionByName(into).groupBy("path").agg(F.count_distinct("rank", "value").alias("dependency_count"))
     out = held.select("path", F.size("calls").cast("long").alias("call_count"), F.transform("classes", lambda c: c["name"]).alias("classes"), F.slice("functions", 1, caps["functions"]).alias("functions"))
-    lists = {"imports": (out_of, caps["files"]), "imported_by": (into, caps["files"]), "related_files": (related, caps["files"]), "related_tests": (tested, caps["tests"]), "related_symbols": (own, caps["symbols"]), "parent_classes": (parents, 1 << 30), "child_classes": (children, 1 << 30)}
+    lists = {"imports": (out_of, caps["files"]), "imported_by": (into, caps["files"]), "related_files": (related, caps["files"]), "related_tests": (tested, caps["tests"]), "related_symbols": (own, caps["symbols"]), "parent_classes": (parents, MOST_CLASSES), "child_classes": (children, MOST_CLASSES)}
     for name, (rows, most) in lists.items():
         out = out.join(_listed(rows, name, most), "path", "left")
     none = F.array().cast("array<string>")

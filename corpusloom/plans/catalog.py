@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dedup, filters
 from ..session import records
-from . import build, code, corpus, extras, retrieval, trees  # noqa: F401
+from . import build, code, corpus, extras, retrieval, search, trees  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

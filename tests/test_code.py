@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import code as C
-from corpusloom.operators import budget, chunk, conversation, graph, output, retrieve, vector
+from corpusloom.operators import budget, chunk, conversation, graph, index, output, retrieve, vector
 from corpusloom.plans.code import SOURCES
 
 
@@ -268,3 +268,80 @@ def test_importance_ranks_first(spark):
     h = spark.createDataFrame([(1, 0.5, "py", 0.0, False, 0), (2, 0.5, "py", 2.0, False, 4)], "ord long, score double, language string, importance_score double, is_entry_point boolean, imported_by_count int")
     h = h.withColumns({"file_path": F.lit("a"), "folder": F.lit("f"), "dependency_neighbors": F.array().cast("array<string>"), "source": F.lit("project_code")})
     assert [r["ord"] for r in retrieve.rerank(h, F.lit(0.0)).collect()] == [2, 1]
+
+
+def as_rows(df, *drop):
+    columns = sorted(c for c in df.columns if c not in drop)
+    return sorted(str(tuple(r[c] for c in columns)) for r in df.collect())
+
+
+def test_a_renewed_index_is_the_same_as_a_new_one(spark, files):
+    """A new importer raises counts and importance of files that didn't change, and a file that goes takes its edges along."""
+    hashed = files.withColumn("sha256", F.sha2("content", 256))
+    nothing = hashed.limit(0)
+    empty = index.payloads(nothing, "/w/app"), nothing.select("path", "sha256")
+    old = hashed.where("path <> 'app/service.py'").withColumn("content", F.when(F.col("path") == "app/util.py", F.concat("content", F.lit("\nx = 1\n"))).otherwise(F.col("content"))).withColumn("sha256", F.sha2("content", 256))
+    old = old.unionByName(spark.createDataFrame([("app/gone.py", "python", "from app.util import helper\n", "0")], old.schema))
+    points, state, _ = index.renewed(old, empty[1], empty[0], "/w/app")
+    points, state, report = index.renewed(hashed, state, points, "/w/app")
+    assert tuple(report.first()) == (9, 2, 7, 1)
+    new, _, _ = index.renewed(hashed, empty[1], empty[0], "/w/app")
+    assert as_rows(points) == as_rows(new) and sorted(points.columns) == sorted(new.columns)
+    rows = {(r["relative_path"], r["chunk_type"], r["symbol_name"]): r for r in new.collect()}
+    helper = rows["app/util.py", "function", "helper"]
+    assert helper["imported_by_count"] == 2 and helper["importance_score"] == pytest.approx(0.69) and helper["dependency_neighbors"] == ["app/service.py", "tests/test_util.py"] and "FastAPI" in helper["frameworks"]
+    assert rows["app/main.py", "class", "App"]["is_entry_point"] and rows["app/main.py", "file_summary", None]["file_path"] == "/w/app/app/main.py"
+    assert rows["project_map", "project_map", None]["entry_points"] == ["app/main.py", "core/src/lib.rs", "web/index.js"]
+
+
+@pytest.fixture(scope="module")
+def indexed(spark, files):
+    hashed = files.withColumn("sha256", F.sha2("content", 256))
+    nothing = hashed.limit(0)
+    points, _, _ = index.renewed(hashed, nothing.select("path", "sha256"), index.payloads(nothing, "/w/app"), "/w/app")
+    return index.embedded(points, 16).cache()
+
+
+def test_an_index_is_explained_whole(spark, indexed):
+    got = retrieve.retrieve(indexed, retrieve.asked(spark, "what is this project", 16), 5, task_name="project_explain").collect()
+    kinds = {(r["chunk_type"], r["relative_path"]): r["semantic_score"] for r in got}
+    assert sum(k == "file_summary" for k, _ in kinds) == 9 and sum(k == "folder_summary" for k, _ in kinds) == 6 and ("project_map", "project_map") in kinds
+    assert kinds["file_summary", "app/main.py"] == 0.95 and kinds["file_summary", "app/util.py"] == 0.90
+    assert {r["mode"] for r in got} == {"overview"}
+
+
+def test_projects_are_kept_apart(spark, indexed, files):
+    other = index.embedded(index.payloads(files.withColumn("sha256", F.lit("1")), "/w/other"), 16)
+    both = indexed.unionByName(other, allowMissingColumns=True).cache()
+    for task, question in (("compare", "Compare util.py with service.py"), (None, "helper"), ("project_explain", "the project")):
+        got = retrieve.retrieve(both, retrieve.asked(spark, question, 16), 5, task_name=task, project="/w/app").collect()
+        assert got and {r["project_path"] for r in got} == {"/w/app"}
+
+
+@pytest.mark.parametrize("task", ["compare", "project_explain", None])
+def test_ties_are_the_same_on_any_partitioning(spark, task):
+    rows = [(i, f"src/a{i}.py" if task != "compare" else "src/a.py", "same", [1.0, 0.0]) for i in range(40)]
+    points = spark.createDataFrame(rows, "id long, file_path string, content string, vector array<double>")
+    none = F.array().cast("array<string>")
+    points = points.withColumns({"source": F.lit("project_code"), "chunk_type": F.lit("window"), "folder": F.lit("src"), "language": F.lit("python"), "symbol_name": F.lit(""), "dependency_neighbors": none, "is_test_file": F.lit(False), "is_config_file": F.lit(False), "is_entry_point": F.lit(False), "importance_score": F.lit(0.0), "imported_by_count": F.lit(0), "start_line": F.col("id"), "end_line": F.col("id")})
+    ask = replace(retrieve.asked(spark, "Compare a.py and b.py" if task == "compare" else "same"), embedding=[1.0, 0.0])
+    found = [[r["id"] for r in retrieve.retrieve(points.repartition(n), ask, 5, task_name=task).collect()] for n in (1, 3, 7)]
+    assert found[0] == found[1] == found[2] and found[0][:5] == [0, 1, 2, 3, 4]
+
+
+def test_overview_looks_at_all_points(spark):
+    """The best rows come last by key, behind more than fit and more than any cap."""
+    rows = [(i, f"f{i}", "window", "x" * 10, 0.0) for i in range(4000)] + [(5000 + i, f"g{i}", "file_summary", "y" * 100, 0.9) for i in range(30)] + [(9000, "README.md", "doc", "z" * 50, 0.0)]
+    points = spark.createDataFrame(rows, "id long, file_path string, chunk_type string, content string, importance_score double").withColumns({"source": F.lit("project_code"), "is_config_file": F.lit(False)})
+    got = [r["id"] for r in retrieve.overview(points, ["f3"], [], used=10, budget=3080).orderBy("ord").collect()]
+    assert got == [9000, *range(5000, 5030), 3, 0]
+    assert retrieve.overview(points, used=4000, budget=3000).count() == 0
+
+
+def test_many_tests_and_files_of_one_stem(spark, files):
+    rows = [(f"t{i}/test_utils.py", "python", "x = 1\n") for i in range(60)] + [(f"p{i:02}/utils.py", "python", f"class C{i}(Base):\n    pass\nclass Base:\n    pass\n") for i in range(60)]
+    many = spark.createDataFrame(rows, "path string, language string, content string")
+    edges = graph.test_edges(many, graph.resolve(many)).collect()
+    assert len(edges) == 180 and {e["dst"] for e in edges} == {"p00/utils.py", "p01/utils.py", "p02/utils.py"}
+    near = graph.relations(many).where("path = 'p07/utils.py'").first()
+    assert len(near["child_classes"]) == 60
