@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lexing
 from ..functions import text as X
 
 WINDOW, OVERLAP = 120, 12
@@ -97,23 +98,21 @@ BLOCK_STARTS = {
 }
 BRACED = ("javascript", "typescript", "java", "cpp", "csharp", "rust")
 WINDOW_KIND = {"markdown": "doc", "yaml": "config", "json": "config", "config": "config", "dockerfile": "config"}
-_LITERAL = re.compile(r'//.*|#.*|"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\'')
 
 
 def brace_chunks(code: str, language: str, size: int = WINDOW, overlap: int = OVERLAP) -> list[dict]:
-    """Blocks that begin with a symbol and end where their braces close; the scan goes on behind a block."""
+    """Blocks that begin with a symbol and end where their braces close; the scan goes on behind a block. Comments and literals have neither symbols nor braces."""
     kind = "rust" if language == "rust" else "typed" if language in ("java", "cpp", "csharp") else "script"
     starts = [(k, re.compile(p)) for k, p in BLOCK_STARTS[kind]]
-    rows, out, i = code.splitlines(), [], 0
+    rows, bare, out, i = code.splitlines(), lexing.blanked(code, language).splitlines(), [], 0
     while i < len(rows):
-        found = next(((k, m[1]) for k, p in starts if (m := p.search(rows[i]))), None)
+        found = next(((k, m[1]) for k, p in starts if (m := p.search(bare[i]))), None)
         end = None
         if found:
             depth, opened = 0, False
             for j in range(i, len(rows)):
-                bare = _LITERAL.sub("", rows[j])
-                depth += bare.count("{") - bare.count("}")
-                opened |= "{" in bare
+                depth += bare[j].count("{") - bare[j].count("}")
+                opened |= "{" in bare[j]
                 if opened and depth <= 0:
                     end = j
                     break

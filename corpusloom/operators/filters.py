@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import lexing
 from ..functions import text as X
 
 # Fixed values
@@ -107,7 +108,7 @@ def _balanced(code: str) -> float:
 
 
 def error_ratio(language: str | None, code: str | None) -> float | None:
-    """0 for code that parses, up to 1; null without code. Python is parsed, other languages have their brackets matched."""
+    """0 for code that parses, up to 1; null without code. Python is parsed, other languages have their brackets matched, those in comments and literals aside."""
     if not code:
         return None
     if language == "python":
@@ -116,7 +117,7 @@ def error_ratio(language: str | None, code: str | None) -> float | None:
             return 0.0
         except (SyntaxError, ValueError, RecursionError, MemoryError):
             return max(_balanced(code), 0.01)
-    return _balanced(code)
+    return _balanced(lexing.blanked(code, language) if language in lexing.LITERALS else code)
 
 
 def syntax_kept(df: DataFrame, languages: list[str] = ("python", "java", "javascript", "cpp", "csharp")) -> DataFrame:

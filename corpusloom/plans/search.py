@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import code as C
-from ..operators import graph, index, retrieve
-from ..session import checkpointed, table
+from ..operators import cells, graph, index, inverted, retrieve
+from ..session import checkpointed, scratch, table
 from .code import _LINES
 from .registry import query
+from .retrieval import _ANY, _CHUNKS, _COS, _POINT, FRAGMENTS, SYMBOLS, TERMS, _docs_as_chunks, _points
 
 PROJECT, ASKED = "/work/app", "What does this project explain"
 _WORDS = ("what", "does", "project", "explain")
@@ -61,3 +62,31 @@ def index_retrieval(spark, sf):
     points = checkpointed(index.embedded(points, 16))
     found = retrieve.retrieve(points, retrieve.asked(spark, ASKED, 16), 5, task_name="project_explain", project=PROJECT)
     return found.select("relative_path", "chunk_type", "start_line", "end_line", F.round("score", 6).cast("double").alias("score"))
+
+
+@query("keyword_index_search", f"SELECT id, 0.55::DOUBLE AS score FROM {_CHUNKS} WHERE {_ANY} ORDER BY id LIMIT 50")
+def keyword_index_search(spark, sf):
+    """The rows of keyword_search, by posting lists of trigrams that are written first."""
+    path = scratch(spark, "inverted")
+    inverted.build(_docs_as_chunks(spark, sf), path, parts=16)
+    return inverted.search(spark, path, SYMBOLS + TERMS, FRAGMENTS, 50).select("id", F.col("score").cast("double").alias("score"))
+
+
+@query("trigram_postings", """WITH t AS (SELECT doc_id, lower(text) || '  ' || source || '/' || doc_id || '.py ' || source AS t FROM documents)
+SELECT word, doc_id AS id FROM t, (VALUES ('parser'), ('ereaned'), ('tion'), ('and the')) w(word) WHERE contains(t, word)""")
+def trigram_postings(spark, sf):
+    """Candidates of each word, verified: the index finds all points that have it."""
+    path, points = scratch(spark, "inverted"), _docs_as_chunks(spark, sf)
+    inverted.build(points, path, parts=16)
+    found = inverted.postings(spark, path, ["parser", "ereaned", "tion", "and the"])
+    held = spark.read.parquet(f"{path}/points").join(found, F.col("id") == F.col("key"))
+    return held.where(F.col("__blob").contains(F.col("word"))).select("word", "id")
+
+
+@query("vector_cells_topk", f"WITH p AS ({_POINT}), r AS (SELECT q.id AS query, p.id, {_COS} AS s, row_number() OVER (PARTITION BY q.id ORDER BY {_COS} DESC, p.id) AS rank FROM p, p q WHERE q.id % 50 = 0) SELECT query, id, round(s, 6) AS score, rank FROM r WHERE rank <= 5")
+def vector_cells_topk(spark, sf):
+    """The rows of vector_batch_topk, by cells that are written first; cells and points that can't be among the nearest aren't scored."""
+    path, points = scratch(spark, "cells"), _points(spark, sf)
+    cells.build(points, path, 32)
+    asked = points.where("id % 50 = 0").select(F.col("id").alias("query"), F.col("vector").alias("qv"))
+    return cells.search(spark, path, asked, 5).select("query", "id", F.round("score", 6).alias("score"), "rank")
