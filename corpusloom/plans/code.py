@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import code as C
 from ..functions import text as X
-from ..operators import chunk, graph, output, rules
+from ..operators import chunk, filters, graph, output, rules
 from ..session import scratch, table
 from ..streaming import streams
 from .registry import query
@@ -179,107 +182,177 @@ def content_language(spark, sf):
     return table(spark, sf, "documents").select("doc_id", C.language(F.lit("LICENSE"), text).alias("language"))
 
 
-# Inline sources
+# Source trees of several languages, made of the documents: each document's words are a comment in its files
 
-SOURCES = {
-    "app/main.py": "import os\nfrom app.service import Service\n\n\nclass App(Service):\n    def run(self):\n        return helper(os.getcwd())\n\n\nif __name__ == '__main__':\n    App().run()\n",
-    "app/service.py": "from app.util import helper\n\n\nclass Service(object):\n    def call(self):\n        return helper(1)\n",
-    "app/util.py": "def helper(x):\n    return x\n\n\ndef other():\n    return helper(2)\n",
-    "app/api.py": "from fastapi import FastAPI\n\napp = FastAPI()\n\n\n@app.get('/users')\nasync def list_users():\n    return []\n",
-    "tests/test_util.py": "from app.util import helper\n\n\ndef test_helper():\n    assert helper(1) == 1\n",
-    "web/index.js": "import { x } from './lib/x';\nconst express = require('express');\nfunction start(a) {\n  return x(a);\n}\napp.get('/home', start);\nserver.listen(80);\n",
-    "web/lib/x.js": "export const x = (a) => {\n  return a;\n};\nclass Box extends Base {\n  open() { return 1; }\n}\n",
-    "core/src/lib.rs": "use crate::shape;\nstruct Point { x: i32 }\nimpl Draw for Point {\n  fn draw(&self) { println!(\"}\"); }\n}\nfn main() {\n  shape();\n}\n",
-    "README.md": "# Title\ntext\n## Use\nmore\n",
+#: kind: language, path before and after the number, content. {n} is a document's number, {p} half of it, {t} its words.
+MADE = {
+    "py": ("python", "app/m{n}.py", "# {t}\nimport os\nfrom app.m{p} import f{p}\n\n\nclass C{n}(C{p}):\n    def run{n}(self):\n        return f{p}(os.getcwd())\n\n\ndef f{n}(x):\n    return x\n"),
+    "js": ("javascript", "web/j{n}.js", "// {t}\nimport { g{p} } from './j{p}';\napp.get('/r{n}', g{n});\nfunction g{n}(a) {\n  return g{p}(a);\n}\n"),
+    "test": ("python", "tests/test_m{n}.py", "from app.m{n} import f{n}\n\n\ndef test_f{n}():\n    assert f{n}(1) == 1\n"),
+    "rs": ("rust", "core/r{n}.rs", "// {t}\nuse crate::r{p};\nstruct S{n} { x: i32 }\nimpl D{n} for S{n} {\n  fn draw{n}(&self) { println!(\"}\"); }\n}\nfn main() {\n  go{n}();\n}\n"),
+    "md": ("markdown", "docs/d{n}/README.md", "# Title {n}\n{t}\n## Use\nmore\n"),
+    "api": ("python", "api/a{n}.py", "# {t}\nfrom fastapi import FastAPI\n\napp = FastAPI()\n\n\n@app.get('/u{n}')\nasync def list{n}():\n    return []\n"),
 }
+_EVERY = ["py", "js"]
+_FOURTH = ["test", "rs", "md", "api"]
+
+
+def _files(spark, sf):
+    """path, language, content: a Python and a JavaScript file for each document, and a test, Rust, Markdown or API file by doc_id % 4."""
+    n = F.col("doc_id").cast("string")
+    p, t = F.floor(F.col("doc_id") / 2).cast("string"), F.regexp_replace("text", "[^A-Za-z]+", " ")
+
+    def filled(template):
+        parts = re.split(r"(\{[npt]\})", template)
+        return F.concat(*[{"{n}": n, "{p}": p, "{t}": t}.get(x, F.lit(x)) for x in parts if x])
+
+    made = {k: F.struct(filled(path).alias("path"), F.lit(language).alias("language"), filled(content).alias("content")) for k, (language, path, content) in MADE.items()}
+    last = F.element_at(F.array(*[made[k] for k in _FOURTH]), (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, sf, "documents").select(F.explode(F.array(*[made[k] for k in _EVERY], last)).alias("f")).select("f.*")
 
 
-def _files(spark):
-    held = spark.createDataFrame(list(SOURCES.items()), "path string, content string")
-    return held.select("path", C.language("path", "content").alias("language"), "content")
+def _made_sql() -> str:
+    def filled(template):
+        parts = [x for x in re.split(r"(\{[npt]\})", template) if x]
+        return " || ".join({"{n}": "n", "{p}": "p", "{t}": "t"}.get(x, "'" + x.replace("'", "''") + "'") for x in parts)
 
+    rows = [f"SELECT '{k}' AS kind, n, p, {filled(path)} AS path, '{language}' AS language, {filled(content)} AS content FROM d" + ("" if k in _EVERY else f" WHERE n % 4 = {_FOURTH.index(k)}") for k, (language, path, content) in MADE.items()]
+    return "d AS (SELECT doc_id AS n, doc_id // 2 AS p, regexp_replace(text, '[^A-Za-z]+', ' ', 'g') AS t FROM documents), f AS MATERIALIZED (" + " UNION ALL ".join(rows) + ")"
 
-@query(
-    "symbol_chunks",
-    """SELECT * FROM (VALUES ('README.md', 'doc_section', 'Title', 1, 2), ('README.md', 'doc_section', 'Use', 3, 4), ('app/api.py', 'function', 'list_users', 7, 8), ('app/main.py', 'class', 'App', 5, 7), ('app/service.py', 'class', 'Service', 4, 6), ('app/util.py', 'function', 'helper', 1, 2), ('app/util.py', 'function', 'other', 5, 6), ('core/src/lib.rs', 'class', 'Draw', 3, 5), ('core/src/lib.rs', 'class', 'Point', 2, 2), ('core/src/lib.rs', 'function', 'main', 6, 8), ('tests/test_util.py', 'function', 'test_helper', 4, 5), ('web/index.js', 'function', 'start', 3, 5), ('web/lib/x.js', 'class', 'Box', 4, 6), ('web/lib/x.js', 'function', 'x', 1, 3)) t(path, chunk_type, symbol, start_line, end_line)""",
-)
+
+_F = _made_sql()
+_DEFINED = """u AS (SELECT path, n, unnest(CASE kind WHEN 'py' THEN ['f' || n, 'run' || n] WHEN 'js' THEN ['g' || n] WHEN 'test' THEN ['test_f' || n] WHEN 'rs' THEN ['draw' || n, 'main'] WHEN 'api' THEN ['list' || n] ELSE [] END) AS name FROM f)"""
+_IMPORTS = """i AS (SELECT DISTINCT a.path AS src, b.path AS dst FROM f a JOIN f b ON (a.kind = b.kind AND a.kind IN ('py', 'js', 'rs') AND b.n = a.p) OR (a.kind = 'test' AND b.kind = 'py' AND a.n = b.n) WHERE a.path <> b.path)"""
+_SIGNALS = f"""g AS (SELECT path, language, kind, n, (SELECT count(*) FROM i WHERE src = path) AS import_count, (SELECT count(*) FROM i WHERE dst = path) AS imported_by_count,
+ ({" + ".join("len(regexp_extract_all(content, '{}'))".format(x.replace("'", "''")) for x in C.SYMBOL_COUNT)})::BIGINT AS symbol_count, kind = 'rs' AS is_entry_point, false AS is_config_file, kind = 'md' AS is_doc_file, kind = 'test' AS is_test_file,
+ if(kind = 'api', 'FastAPI', '') AS frameworks FROM f),
+k AS (SELECT * EXCLUDE (kind, n), round(least(imported_by_count * 0.22, 1.2) + least(import_count * 0.08, 0.5) + least(symbol_count * 0.05, 0.5) + if(is_entry_point, 1.0, 0) + if(is_doc_file, 0.2, 0) + if(is_test_file, 0.1, 0) + if(kind = 'md', 0.25, 0), 4)::DOUBLE AS importance_score FROM g)"""
+
+
+@query("symbol_chunks", f"""WITH {_F} SELECT path, c.k AS chunk_type, c.s AS symbol, c.a AS start_line, c.b AS end_line FROM (SELECT path, unnest(CASE kind
+ WHEN 'py' THEN [{{'k': 'class', 's': 'C' || n, 'a': 6, 'b': 8}}, {{'k': 'function', 's': 'f' || n, 'a': 11, 'b': 12}}] WHEN 'js' THEN [{{'k': 'function', 's': 'g' || n, 'a': 4, 'b': 6}}] WHEN 'test' THEN [{{'k': 'function', 's': 'test_f' || n, 'a': 4, 'b': 5}}]
+ WHEN 'rs' THEN [{{'k': 'class', 's': 'S' || n, 'a': 3, 'b': 3}}, {{'k': 'class', 's': 'D' || n, 'a': 4, 'b': 6}}, {{'k': 'function', 's': 'main', 'a': 7, 'b': 9}}]
+ WHEN 'md' THEN [{{'k': 'doc_section', 's': 'Title ' || n, 'a': 1, 'b': 2}}, {{'k': 'doc_section', 's': 'Use', 'a': 3, 'b': 4}}] ELSE [{{'k': 'function', 's': 'list' || n, 'a': 8, 'b': 9}}] END) AS c FROM f)""")
 def symbol_chunks(spark, sf):
-    return chunk.symbol_chunks(_files(spark)).select("path", "chunk_type", "symbol", "start_line", "end_line")
+    return chunk.symbol_chunks(_files(spark, sf)).select("path", "chunk_type", "symbol", "start_line", "end_line")
 
 
-@query(
-    "structures",
-    """SELECT * FROM (VALUES ('README.md', '', ''), ('app/api.py', '', 'list_users'), ('app/main.py', 'App(Service)', 'run'), ('app/service.py', 'Service(object)', 'call'), ('app/util.py', '', 'helper,other'), ('core/src/lib.rs', 'Point(),Point(Draw)', 'draw,main'), ('tests/test_util.py', '', 'test_helper'), ('web/index.js', '', 'start'), ('web/lib/x.js', 'Box(Base)', '')) t(path, classes, functions)""",
-)
+@query("structures", f"""WITH {_F} SELECT path, CASE kind WHEN 'py' THEN 'C' || n || '(C' || p || ')' WHEN 'rs' THEN 'S' || n || '(),S' || n || '(D' || n || ')' ELSE '' END AS classes,
+ CASE kind WHEN 'py' THEN 'f' || n || ',run' || n WHEN 'js' THEN 'g' || n WHEN 'test' THEN 'test_f' || n WHEN 'rs' THEN 'draw' || n || ',main' WHEN 'api' THEN 'list' || n ELSE '' END AS functions FROM f""")
 def structures(spark, sf):
-    held = _files(spark).select("path", C.structure_of("content", "language").alias("s"))
+    held = _files(spark, sf).select("path", C.structure_of("content", "language").alias("s"))
     return held.select("path", F.array_join(F.transform("s.classes", lambda c: F.concat(c["name"], F.lit("("), F.array_join(c["bases"], " "), F.lit(")"))), ",").alias("classes"), F.array_join("s.functions", ",").alias("functions"))
 
 
-@query(
-    "api_routes",
-    """SELECT * FROM (VALUES ('app/api.py', 'GET', '/users', 'list_users'), ('web/index.js', 'GET', '/home', 'start')) t(path, method, route, handler)""",
-)
+@query("api_routes", f"WITH {_F} SELECT path, 'GET' AS method, if(kind = 'js', '/r', '/u') || n AS route, if(kind = 'js', 'g', 'list') || n AS handler FROM f WHERE kind IN ('js', 'api')")
 def api_routes(spark, sf):
-    return _files(spark).select("path", F.explode(C.routes("content", "language")).alias("r")).select("path", "r.method", F.col("r.path").alias("route"), "r.handler")
-
-
-@query(
-    "dependency_graph",
-    """SELECT * FROM (VALUES ('App', 'Service', 'CLASS_INHERITS_CLASS'), ('Box', 'Base', 'CLASS_INHERITS_CLASS'), ('Point', 'Draw', 'CLASS_INHERITS_CLASS'), ('Service', 'object', 'CLASS_INHERITS_CLASS'), ('app/main.py', 'app/service.py', 'FILE_IMPORTS_FILE'), ('app/service.py', 'app/util.py', 'FILE_IMPORTS_FILE'), ('tests/test_util.py', 'app/util.py', 'FILE_IMPORTS_FILE'), ('web/index.js', 'web/lib/x.js', 'FILE_IMPORTS_FILE'), ('tests', 'app', 'MODULE_DEPENDS_ON_MODULE'), ('web', 'web/lib', 'MODULE_DEPENDS_ON_MODULE'), ('app/main.py', 'helper', 'FUNCTION_CALLS_FUNCTION'), ('app/service.py', 'helper', 'FUNCTION_CALLS_FUNCTION'), ('tests/test_util.py', 'helper', 'FUNCTION_CALLS_FUNCTION'), ('call', 'app/service.py', 'FUNCTION_BELONGS_TO_FILE'), ('draw', 'core/src/lib.rs', 'FUNCTION_BELONGS_TO_FILE'), ('helper', 'app/util.py', 'FUNCTION_BELONGS_TO_FILE'), ('list_users', 'app/api.py', 'FUNCTION_BELONGS_TO_FILE'), ('main', 'core/src/lib.rs', 'FUNCTION_BELONGS_TO_FILE'), ('other', 'app/util.py', 'FUNCTION_BELONGS_TO_FILE'), ('run', 'app/main.py', 'FUNCTION_BELONGS_TO_FILE'), ('start', 'web/index.js', 'FUNCTION_BELONGS_TO_FILE'), ('test_helper', 'tests/test_util.py', 'FUNCTION_BELONGS_TO_FILE'), ('tests/test_util.py', 'app/util.py', 'TEST_COVERS_FILE'), ('tests/test_util.py', 'helper', 'TEST_COVERS_FUNCTION'), ('app/main.py', 'app', 'ENTRYPOINT_STARTS_MODULE'), ('core/src/lib.rs', 'core/src', 'ENTRYPOINT_STARTS_MODULE'), ('web/index.js', 'web', 'ENTRYPOINT_STARTS_MODULE'), ('GET /users', 'list_users', 'API_ROUTE_CALLS_HANDLER'), ('GET /home', 'start', 'API_ROUTE_CALLS_HANDLER')) t(src, dst, relation)""",
-)
+    return _files(spark, sf).select("path", F.explode(C.routes("content", "language")).alias("r")).select("path", "r.method", F.col("r.path").alias("route"), "r.handler")
+
+
+@query("dependency_graph", f"""WITH {_F}, {_DEFINED}, {_IMPORTS}, homes AS (SELECT name, min(path) AS home FROM u GROUP BY 1 HAVING count(*) = 1),
+calls AS (SELECT path, 'f' || p AS name FROM f WHERE kind = 'py' UNION ALL SELECT path, 'f' || n FROM f WHERE kind = 'test' UNION ALL SELECT path, 'g' || p FROM f WHERE kind = 'js' UNION ALL SELECT path, 'main' FROM f WHERE kind = 'rs'),
+parent AS (SELECT path, regexp_replace(path, '/[^/]*$', '') AS module FROM f),
+e AS (SELECT src, dst, 'FILE_IMPORTS_FILE' AS relation FROM i UNION ALL SELECT a.module, b.module, 'MODULE_DEPENDS_ON_MODULE' FROM i JOIN parent a ON a.path = src JOIN parent b ON b.path = dst
+ UNION ALL SELECT 'C' || n, 'C' || p, 'CLASS_INHERITS_CLASS' FROM f WHERE kind = 'py' UNION ALL SELECT 'S' || n, 'D' || n, 'CLASS_INHERITS_CLASS' FROM f WHERE kind = 'rs' UNION ALL SELECT name, path, 'FUNCTION_BELONGS_TO_FILE' FROM u
+ UNION ALL SELECT path, name, 'FUNCTION_CALLS_FUNCTION' FROM calls JOIN homes USING (name) WHERE path <> home
+ UNION ALL SELECT f.path, 'app/m' || n || '.py', 'TEST_COVERS_FILE' FROM f WHERE kind = 'test' UNION ALL SELECT path, 'f' || n, 'TEST_COVERS_FUNCTION' FROM f WHERE kind = 'test'
+ UNION ALL SELECT path, 'core', 'ENTRYPOINT_STARTS_MODULE' FROM f WHERE kind = 'rs' UNION ALL SELECT if(kind = 'js', 'GET /r', 'GET /u') || n, if(kind = 'js', 'g', 'list') || n, 'API_ROUTE_CALLS_HANDLER' FROM f WHERE kind IN ('js', 'api'))
+SELECT DISTINCT src, dst, relation FROM e WHERE src <> dst""")
 def dependency_graph(spark, sf):
-    return graph.build(_files(spark))
+    return graph.build(_files(spark, sf))
+
 
+_LIST = "coalesce((SELECT string_agg(v, ',' ORDER BY r, v) FROM (SELECT v, min(r) AS r FROM {0} x WHERE x.path = f.path AND v <> f.path GROUP BY v ORDER BY 2, 1 LIMIT {1})), '')"
 
 
-@query(
-    "file_relations",
-    """SELECT * FROM (VALUES ('README.md', '', '', '', '', '', 0, 0, '', '', '', ''), ('app/api.py', '', '', '', '', 'list_users', 0, 2, '', 'list_users', '', ''), ('app/main.py', 'app/service.py', '', 'app/service.py,app/util.py', '', 'App,run,Service', 1, 4, 'App', 'run', 'Service', ''), ('app/service.py', 'app/util.py', 'app/main.py', 'app/util.py,app/main.py', '', 'Service,call,object', 2, 1, 'Service', 'call', 'object', 'App'), ('app/util.py', '', 'app/service.py,tests/test_util.py', 'app/service.py,tests/test_util.py', 'tests/test_util.py', 'helper,other', 2, 1, '', 'helper,other', '', ''), ('core/src/lib.rs', '', '', '', '', 'Point,draw,main,Draw', 0, 3, 'Point,Point', 'draw,main', 'Draw', ''), ('tests/test_util.py', 'app/util.py', '', 'app/util.py', '', 'test_helper', 1, 1, '', 'test_helper', '', ''), ('web/index.js', 'web/lib/x.js', '', 'web/lib/x.js', '', 'start', 1, 5, '', 'start', '', ''), ('web/lib/x.js', '', 'web/index.js', 'web/index.js', '', 'Box,Base', 1, 1, 'Box', '', 'Base', '')) t(path, imports, imported_by, related_files, related_tests, related_symbols, dependency_count, call_count, classes, functions, parent_classes, child_classes)""",
-)
+@query("file_relations", f"""WITH {_F}, {_IMPORTS}, o AS (SELECT src AS path, 0 AS r, dst AS v FROM i), n AS (SELECT dst AS path, 1 AS r, src AS v FROM i),
+t AS (SELECT 'app/m' || n || '.py' AS path, 2 AS r, path AS v FROM f WHERE kind = 'test'),
+kin AS (SELECT a.path AS low, b.path AS high FROM f a JOIN f b ON a.kind = 'py' AND b.kind = 'py' AND b.n = a.p AND a.path <> b.path),
+called AS (SELECT a.path, 5 AS r, b.path AS v FROM f a JOIN f b ON (a.kind = b.kind AND a.kind IN ('py', 'js') AND b.n = a.p) OR (a.kind = 'test' AND b.kind = 'py' AND a.n = b.n)),
+lone AS (SELECT path, 5 AS r, (SELECT min(path) FROM f WHERE kind = 'rs') AS v FROM f WHERE kind = 'rs' AND (SELECT count(*) FROM f WHERE kind = 'rs') = 1),
+a AS (SELECT * FROM o UNION ALL SELECT * FROM n UNION ALL SELECT * FROM t UNION ALL SELECT low, 3, high FROM kin UNION ALL SELECT high, 4, low FROM kin UNION ALL SELECT * FROM called UNION ALL SELECT * FROM lone),
+s AS (SELECT path, unnest(range(5)) AS r, unnest(CASE kind WHEN 'py' THEN ['C' || n, 'f' || n, 'run' || n, 'C' || p, NULL] WHEN 'js' THEN ['g' || n, NULL, NULL, NULL, NULL] WHEN 'test' THEN ['test_f' || n, NULL, NULL, NULL, NULL] WHEN 'rs' THEN ['S' || n, 'draw' || n, 'main', 'D' || n, NULL] WHEN 'api' THEN ['list' || n, NULL, NULL, NULL, NULL] ELSE [NULL, NULL, NULL, NULL, NULL] END) AS v FROM f),
+heirs AS (SELECT high AS path, 0 AS r, 'C' || regexp_extract(low, 'm(\d+)', 1) AS v FROM kin UNION ALL SELECT path, 0, 'C0' FROM f WHERE kind = 'py' AND n = 0)
+SELECT path, {_LIST.format("o", 15)} AS imports, {_LIST.format("n", 15)} AS imported_by, {_LIST.format("a", 15)} AS related_files, {_LIST.format("t", 10)} AS related_tests, {_LIST.format("s", 20)} AS related_symbols,
+ (SELECT count(*) FROM (SELECT r, v FROM o WHERE o.path = f.path UNION SELECT r, v FROM n WHERE n.path = f.path)) AS dependency_count,
+ CASE kind WHEN 'py' THEN 2 WHEN 'js' THEN if(n = p, 2, 3) WHEN 'test' THEN 1 WHEN 'rs' THEN 3 WHEN 'api' THEN 2 ELSE 0 END::BIGINT AS call_count,
+ CASE kind WHEN 'py' THEN 'C' || n WHEN 'rs' THEN 'S' || n || ',S' || n ELSE '' END AS classes, CASE kind WHEN 'py' THEN 'f' || n || ',run' || n WHEN 'js' THEN 'g' || n WHEN 'test' THEN 'test_f' || n WHEN 'rs' THEN 'draw' || n || ',main' WHEN 'api' THEN 'list' || n ELSE '' END AS functions,
+ CASE kind WHEN 'py' THEN 'C' || p WHEN 'rs' THEN 'D' || n ELSE '' END AS parent_classes, {_LIST.format("heirs", 1000)} AS child_classes FROM f""")
 def file_relations(spark, sf):
-    held = graph.relations(_files(spark))
+    held = graph.relations(_files(spark, sf))
     return held.select("path", *[F.array_join(c, ",").alias(c) for c in ("imports", "imported_by", "related_files", "related_tests", "related_symbols")], "dependency_count", "call_count", *[F.array_join(c, ",").alias(c) for c in ("classes", "functions", "parent_classes", "child_classes")])
 
-@query(
-    "file_signals",
-    """SELECT * REPLACE (importance_score::DOUBLE AS importance_score) FROM (VALUES ('README.md', 'markdown', 0, 0, 0, false, false, true, false, '', 0.45), ('app/api.py', 'python', 0, 0, 2, false, false, false, false, 'FastAPI', 0.1), ('app/main.py', 'python', 1, 0, 5, true, false, false, false, '', 1.33), ('app/service.py', 'python', 1, 1, 5, false, false, false, false, '', 0.55), ('app/util.py', 'python', 0, 2, 5, false, false, false, false, '', 0.69), ('core/src/lib.rs', 'rust', 0, 0, 4, true, false, false, false, '', 1.2), ('tests/test_util.py', 'python', 1, 0, 3, false, false, false, true, '', 0.33), ('web/index.js', 'javascript', 1, 0, 3, true, false, false, false, '', 1.23), ('web/lib/x.js', 'javascript', 0, 1, 2, false, false, false, false, '', 0.32)) t(path, language, import_count, imported_by_count, symbol_count, is_entry_point, is_config_file, is_doc_file, is_test_file, frameworks, importance_score)""",
-)
+
+@query("file_signals", f"WITH {_F}, {_IMPORTS}, {_SIGNALS} SELECT * FROM k")
 def file_signals(spark, sf):
-    files = _files(spark)
+    files = _files(spark, sf)
     return graph.signals(files, graph.build(files)).withColumn("frameworks", F.array_join("frameworks", ","))
 
 
-@query(
-    "project_facts",
-    """SELECT * FROM (VALUES ('Node.js,Python,Rust', 'FastAPI', 'app/main.py,web/index.js,core/src/lib.rs,app/util.py,app/service.py,README.md,tests/test_util.py,web/lib/x.js,app/api.py', 'app/main.py,core/src/lib.rs,web/index.js', '{"javascript":2,"markdown":1,"python":5,"rust":1}')) t(project_types, frameworks, important_files, entry_points, languages)""",
-)
+@query("project_facts", f"""WITH {_F}, {_IMPORTS}, {_SIGNALS} SELECT 'Node.js,Python,Rust' AS project_types, 'FastAPI' AS frameworks,
+ (SELECT string_agg(path, ',' ORDER BY importance_score DESC, path) FROM (SELECT * FROM k WHERE importance_score > 0 ORDER BY importance_score DESC, path LIMIT 80)) AS important_files, (SELECT string_agg(path, ',' ORDER BY path) FROM k WHERE is_entry_point) AS entry_points,
+ (SELECT '{{' || string_agg('"' || language || '":' || n, ',' ORDER BY language) || '}}' FROM (SELECT language, count(*) AS n FROM f GROUP BY 1)) AS languages""")
 def project_facts(spark, sf):
-    files = _files(spark)
+    files = _files(spark, sf)
     held = graph.project(graph.signals(files, graph.build(files)))
     return held.select(*[F.array_join(c, ",").alias(c) for c in ("project_types", "frameworks", "important_files", "entry_points")], F.to_json("languages").alias("languages"))
 
 
-@query("import_lines", "SELECT * FROM (VALUES ('app/api.py', 1), ('app/main.py', 2), ('app/service.py', 1), ('app/util.py', 0), ('core/src/lib.rs', 1), ('README.md', 0), ('tests/test_util.py', 1), ('web/index.js', 2), ('web/lib/x.js', 0)) t(path, n)")
+@query("import_lines", f"WITH {_F} SELECT path, CASE kind WHEN 'py' THEN 2 WHEN 'md' THEN 0 ELSE 1 END AS n FROM f")
 def import_lines(spark, sf):
-    return _files(spark).select("path", F.size(C.import_lines("content", "language")).alias("n"))
+    return _files(spark, sf).select("path", F.size(C.import_lines("content", "language")).alias("n"))
+
+
+_HIDING = {
+    "java": ("/* ", " } ) \" */\nclass K{n} {\n  char c = '}'; // }\n}\n", r"\*/", 0),
+    "cpp": ('const char* a = R"x(', ' } )x";\nstruct K{n} {\n  int n = 1\'000;\n};\n', r'\)x"', 0),
+    "javascript": ("const a = `", " } ${b({c: `}`})} `;\nfunction K{n}(a) {\n  return /[}]/.test(a);\n}\n", r"[`$\\]", 0),
+    "rust": ('const A: &str = r##"', ' } "# "##;\nfn K{n}(x: &str) {\n  /* } /* } */ */\n}\n', r'"##', 0),
+}
 
 
-@query("test_counts", "SELECT * FROM (VALUES ('pytest', 9::BIGINT, 3::BIGINT), ('npm', 7, 2), ('maven', 8, 3), ('dotnet', 10, 1), ('cargo', 6, 1)) t(framework, run, failed)")
+@query("lexed_blocks", "WITH d AS (SELECT doc_id, doc_id % 4 AS i, ['\\*/', '\\)x\"', '[`$\\\\]', '\"##'][1 + doc_id % 4] AS p, text FROM documents), h AS (SELECT *, 2 + length(t) - length(replace(t, chr(10), '')) AS a FROM (SELECT doc_id, i, regexp_replace(text, p, '', 'g') AS t FROM d)) SELECT doc_id, if(i < 2, 'class', 'function') AS chunk_type, 'K' || doc_id AS symbol, a::INT AS start_line, (a + 2)::INT AS end_line, 0.0::DOUBLE AS errors FROM h")
+def lexed_blocks(spark, sf):
+    """Whole texts, with all the brackets and quotes they have, stand in comments and literals; blocks and bracket errors are those of the code around."""
+    names = list(_HIDING)
+    pick = lambda k: F.element_at(F.array(*[F.lit(_HIDING[x][k]) for x in names]), (F.col("doc_id") % 4 + 1).cast("int"))
+    language = F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("doc_id") % 4 + 1).cast("int"))
+    hidden = F.lit(None)
+    for i, x in enumerate(names):
+        hidden = F.when(F.col("doc_id") % 4 == i, F.regexp_replace("text", _HIDING[x][2], "")).otherwise(hidden)
+    content = F.concat(pick(0), hidden, F.replace(pick(1), F.lit("{n}"), F.col("doc_id").cast("string")))
+    held = table(spark, sf, "documents").select("doc_id", language.alias("language"), content.alias("content"))
+    blocks = chunk.symbol_chunks(held.withColumn("source", F.col("content")))
+    errors = F.pandas_udf(lambda a, b: pd.Series([filters.error_ratio(x, y) for x, y in zip(a, b)]), "double")
+    return blocks.select("doc_id", "chunk_type", "symbol", "start_line", "end_line", errors("language", "source").alias("errors"))
+
+
+@query("test_counts", """WITH c AS (SELECT conv_id, conv_id % 7 AS a, count(*) AS b, count(*) FILTER (role = 'user') AS u FROM conversations GROUP BY conv_id)
+SELECT conv_id, 'pytest' AS framework, a + b + u + 1 AS run, a + 1 AS failed FROM c UNION ALL SELECT conv_id, 'npm', a + b, a FROM c UNION ALL SELECT conv_id, 'maven', a + b, a + u FROM c UNION ALL SELECT conv_id, 'dotnet', a + b + u, a FROM c UNION ALL SELECT conv_id, 'cargo', b + u + a + 1, a FROM c""")
 def test_counts(spark, sf):
-    told = {"pytest": "2 failed, 5 passed, 1 error, 1 skipped in 3s", "npm": "Tests: 2 failed, 5 passed, 7 total", "maven": "Tests run: 3, Failures: 0, Errors: 0\nTests run: 8, Failures: 1, Errors: 2", "dotnet": "Failed: 1, Passed: 8, Skipped: 1, Total: 10", "cargo": "test result: ok. 3 passed; 0 failed\ntest result: FAILED. 2 passed; 1 failed"}
-    held = spark.createDataFrame(list(told.items()), "framework string, output string")
-    return held.select("framework", C.test_counts("framework", "output").alias("c")).select("framework", "c.*")
+    """Outputs of test runs whose numbers are counts of the conversations."""
+    held = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("b"), F.count_if(F.col("role") == "user").alias("u")).withColumn("a", F.col("conv_id") % 7)
+    told = {
+        "pytest": "{a} failed, {b} passed, 1 error, {u} skipped in 3s", "npm": "Tests: {a} failed, {b} passed, {a+b} total", "maven": "Tests run: 3, Failures: 0, Errors: 0\nTests run: {a+b}, Failures: {a}, Errors: {u}",
+        "dotnet": "Failed: {a}, Passed: {b}, Skipped: {u}, Total: {a+b+u}", "cargo": "test result: ok. {b} passed; 0 failed\ntest result: FAILED. {u+1} passed; {a} failed",
+    }
+    filled = lambda t: F.concat(*[F.expr(x[1:-1]).cast("string") if x[0] == "{" else F.lit(x) for x in re.split(r"(\{[^}]*\})", t) if x])
+    runs = F.explode(F.array(*[F.struct(F.lit(k).alias("framework"), filled(t).alias("output")) for k, t in told.items()]))
+    return held.select("conv_id", runs.alias("r")).select("conv_id", "r.framework", C.test_counts("r.framework", "r.output").alias("c")).select("conv_id", "framework", "c.*")
+
+
+_SAID = "trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'))"
 
 
-@query(
-    "model_outputs",
-    """SELECT language, replace(code, '|', chr(10)) AS code, replace(explanation, '|', chr(10)) AS explanation, false AS is_empty, false AS is_fallback FROM (VALUES ('java', 'public class A {|}', 'short'), ('python', 'x = 1', 'Sure:|Done'), ('python', 'x = 1', 'y = (|because')) t(language, code, explanation)""",
-)
+@query("model_outputs", f"""SELECT conv_id, turn, if(turn % 2 = 0, 'python', 'java') AS language, CASE turn % 2 WHEN 0 THEN 'x' || conv_id || ' = 1' ELSE 'public class A' || conv_id || ' {{' || chr(10) || '}}' END AS code,
+ 'Sure:' || chr(10) || 'Said ' || {_SAID} AS explanation, false AS is_empty, false AS is_fallback FROM conversations""")
 def model_outputs(spark, sf):
-    told = [("python", "Sure:\n```py\nx = 1\n```\nDone"), ("python", "<think>hm</think>Here it is\nx = 1\ny = (\nExplanation:\nbecause"), ("java", "The class:\npublic class A {\n}\nNotes\nshort")]
-    held = spark.createDataFrame(told, "language string, output string")
-    return output.parsed_outputs(held).drop("output")
+    """Answers with a fenced block, and the conversations' own words behind it."""
+    said = F.trim(F.regexp_replace("text", "[^A-Za-z]+", " "))
+    python, n = F.col("turn") % 2 == 0, F.col("conv_id").cast("string")
+    code = F.when(python, F.concat(F.lit("```py\nx"), n, F.lit(" = 1\n```"))).otherwise(F.concat(F.lit("```java\npublic class A"), n, F.lit(" {\n}\n```")))
+    told = table(spark, sf, "conversations").select("conv_id", "turn", F.when(python, "python").otherwise("java").alias("language"), F.concat(F.lit("Sure:\n"), code, F.lit("\nSaid "), said).alias("output"))
+    return output.parsed_outputs(told).drop("output")
 
 
 @query("grounding", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'redis,vector database' ELSE '' END AS blocked FROM conversations")
