@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import code as C
-from ..operators import cells, graph, index, inverted, retrieve
+from ..operators import cells, graph, index, inverted, retrieve, store
 from ..session import checkpointed, scratch, table
 from .code import _LINES
 from .registry import query
@@ -90,3 +90,14 @@ def vector_cells_topk(spark, sf):
     cells.build(points, path, 32)
     asked = points.where("id % 50 = 0").select(F.col("id").alias("query"), F.col("vector").alias("qv"))
     return cells.search(spark, path, asked, 5).select("query", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("bucketed_upsert", "SELECT vec_id AS id, if(vec_id % 9 = 0, -1, label) AS label FROM embeddings WHERE vec_id % 9 = 0 OR label IS DISTINCT FROM 2 UNION ALL SELECT vec_id + 10000000, -2 FROM embeddings WHERE vec_id % 11 = 0")
+def bucketed_upsert(spark, sf):
+    """A table of points in buckets: points of a label go, some change, some come; and it's read again."""
+    path, points = scratch(spark, "store"), _points(spark, sf).select("id", "label")
+    store.create(points, path, "id", 16)
+    store.delete_where(spark, path, {"label": "2"})
+    changed = points.where("id % 9 = 0").withColumn("label", F.lit(-1))
+    store.upsert(changed.unionByName(points.where("id % 11 = 0").select(F.col("id") + 10000000, F.lit(-2)).toDF("id", "label")), path)
+    return store.read(spark, path)

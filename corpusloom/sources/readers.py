@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import code as C
 from ..functions import text as X
+from ..session import checkpointed
 from . import trees
 
 # Fixed values
@@ -38,21 +39,30 @@ def objectives(spark: SparkSession, top: str, schema: T.StructType = RECORD) ->
 
 
 def objective_files(spark: SparkSession, files: list[tuple[str, str]], schema: T.StructType = RECORD) -> DataFrame:
-    """The records of (objective, path) JSON lines files in the given order: objective is the file's, ord numbers all rows in order.
+    """The records of (objective, path) JSON lines files in the given order: objective is the file's, line its row's number in it, ord numbers all rows.
 
-    A path that isn't there gives no rows. All files are read at once; a row's place is its file's, then its own in it.
+    A path that isn't there gives no rows. Files of any size are read in splits, in any number: each split's rows are counted, and
+    a row's line is what the splits before its own hold, and its place there.
     """
-    there = [(i, o, p) for i, (o, p) in enumerate(files) if _exists(spark, p)]
+    there = [(i, o, p) for i, (o, p) in enumerate(files) if exists(spark, p)]
     if not there:
-        return spark.createDataFrame([], schema).withColumn("ord", F.lit(0).cast("long"))
+        return spark.createDataFrame([], schema).withColumns({"line": F.lit(0).cast("long"), "ord": F.lit(0).cast("long")})
     out = None
     for i, objective, path in there:
-        one = spark.read.schema(schema).json(path).withColumn("objective", F.lit(objective)).withColumn("ord", F.lit(i).cast("long") * (1 << 50) + F.monotonically_increasing_id())
+        place = {"objective": F.lit(objective), "__file": F.lit(i), "__path": F.col("_metadata.file_path"), "__start": F.col("_metadata.file_block_start"), "__id": F.monotonically_increasing_id()}
+        one = spark.read.schema(schema).json(path).withColumns(place)
         out = one if out is None else out.unionByName(one)
-    return out
+    rows = checkpointed(out)
+    counts = rows.groupBy("__file", "__path", "__start").agg(F.count("*").alias("n"), F.min("__id").alias("__first"))
+    before = lambda *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(*[c for c in ("__file", "__path", "__start") if c not in by]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.withColumns({"__line": before("__file"), "__ord": before()}).drop("n")
+    held = rows.join(F.broadcast(starts), ["__file", "__path", "__start"])
+    place = F.col("__id") - F.col("__first")
+    return held.withColumns({"line": F.col("__line") + place, "ord": F.col("__ord") + place}).drop("__file", "__path", "__start", "__id", "__first", "__line", "__ord")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of that path, on any file system Spark knows."""
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
 
@@ -250,9 +260,9 @@ def resolved_ids(tried: DataFrame) -> DataFrame:
 
 def raw_dataset(spark: SparkSession, path: str) -> tuple[str, DataFrame | None]:
     """(loader, rows) of a raw folder: jsonl if it has raw.jsonl, splits if it has folders of Parquet (missing columns are null), parquet for files, or missing."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return "missing", None
-    if _exists(spark, f"{path}/raw.jsonl"):
+    if exists(spark, f"{path}/raw.jsonl"):
         return "jsonl", spark.read.json(f"{path}/raw.jsonl")
     top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     listed = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(top)

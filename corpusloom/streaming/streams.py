@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as X
 from ..operators.rules import index_diff
+from ..sources import readers
 
 
 def source(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -48,10 +48,9 @@ def ingested(stream: DataFrame, checkpoint: str, path: str, keep: Callable[[Data
     spark = stream.sparkSession
 
     def held(before: int | None = None) -> int:
-        try:
-            rows = spark.read.parquet(path)
-        except AnalysisException:  # no batch has been written yet
+        if not readers.exists(spark, path):  # no batch has been written yet
             return 0
+        rows = spark.read.parquet(path)
         return (rows if before is None else rows.where(F.col("batch") < before)).count()
 
     def batch(df: DataFrame, number: int) -> None:
@@ -111,11 +110,9 @@ def indexing(stream: DataFrame, checkpoint: str, top: str, chunks: Callable[[Dat
 
     def batch(df: DataFrame, number: int) -> None:
         fresh = df.dropDuplicates([key])
-        try:
+        if readers.exists(spark, f"{top}/state"):  # else this is the first batch
             seen = _latest(spark.read.parquet(f"{top}/state").where(F.col("batch") < number), key, digest)
             fresh = fresh.join(seen.select(key, digest), [key, digest], "left_anti")
-        except AnalysisException:  # the first batch
-            pass
         chunks(fresh).write.mode("overwrite").parquet(f"{top}/index/batch={number}")
         fresh.select(key, digest).write.mode("overwrite").parquet(f"{top}/state/batch={number}")
 

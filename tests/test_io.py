@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import chunk, filters, graph, index, shape
+from corpusloom.operators import chunk, filters, graph, index, shape, store, vector
 from corpusloom.sources import readers, trees, writers
 from corpusloom.streaming import streams
 
@@ -148,6 +148,55 @@ def test_files_of_objectives(spark, tmp_path):
     assert readers.objective_files(spark, files[1:2]).count() == 0
 
 
+def test_lines_of_files_in_many_splits(spark, tmp_path):
+    """A row's line is its number in the file, however the file is cut."""
+    for name, n in (("a", 3000), ("b", 1), ("c", 700)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps({"id": str(i), "input": "x" * (i % 50)}) + "\n" for i in range(n)))
+    files = [("code_gen", str(tmp_path / "c.jsonl")), ("bug_fix", str(tmp_path / "a.jsonl")), ("test_gen", str(tmp_path / "b.jsonl"))]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        got = readers.objective_files(spark, files).select("objective", "id", "line", "ord").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert all(int(r["id"]) == r["line"] for r in got) and len(got) == 3701
+    first = {"code_gen": 0, "bug_fix": 700, "test_gen": 3700}
+    assert all(r["ord"] == first[r["objective"]] + r["line"] for r in got)
+
+
+def test_buckets_are_rewritten_alone(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(i, f"v{i}", "a" if i % 10 else "b") for i in range(300)], "id long, v string, k string")
+    store.create(rows, path, "id", 16)
+    before = store.read(spark, path)
+    names = lambda df: {r[0] for r in df.select(F.col("_metadata.file_path")).distinct().collect()}
+    old = names(before)
+    new = spark.createDataFrame([("x", "new", 5), ("a", "more", 1000)], "k string, v string, id long")
+    touched = store.upsert(new, path)
+    after = store.read(spark, path)
+    assert 1 <= len(touched) <= 2 and len(old & names(after)) >= 14
+    assert sorted(after.collect()) == sorted(vector.upsert(rows, new.select("id", "v", "k")).collect())
+    assert sorted(before.collect()) == sorted(rows.collect()) == sorted(store.read(spark, path, 0).collect())
+    assert store.delete_where(spark, path, {"k": "b", "v": "v10"}) and store.read(spark, path).count() == 300
+    assert store.delete_where(spark, path, {"k": "nothing"}) == [] and store.upsert(new.limit(0), path) == []
+    assert store.versions(spark, path) == [0, 1, 2] and store.vacuum(spark, path, 1) > 0 and store.versions(spark, path) == [2]
+    assert store.read(spark, path).count() == 300
+    store.delete_where(spark, path, {})
+    assert store.read(spark, path).count() == 0 and store.read(spark, path).columns == ["id", "v", "k"]
+
+
+def test_of_two_writers_one_fails(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    store.create(rows, path, "id", 4)
+    manifest = store._manifest(spark, path)
+    store.upsert(rows.where("id = 1").withColumn("v", F.lit("x")), path)
+    monkeypatch.setattr(store, "_manifest", lambda *a: manifest)
+    with pytest.raises(RuntimeError):
+        store.upsert(rows.where("id = 2"), path)
+    monkeypatch.undo()
+    assert sorted(map(tuple, store.read(spark, path).collect())) == [(1, "x"), (2, "b")]
+
+
 def test_raw_folders(spark, tmp_path):
     (tmp_path / "j").mkdir()
     (tmp_path / "j" / "raw.jsonl").write_text('{"a": 1}\n{"b": 2}\n')
