@@ -1,7 +1,11 @@
 import hashlib
+import itertools
+import math
 import random
 import re
 import secrets as rs
+import statistics
+import time
 
 import numpy as np
 import pytest
@@ -189,6 +193,70 @@ def test_chi_squared_approximation():
             assert abs(secrets._below(float(np.quantile(x, q)), df, far) - q) < 0.02
 
 
+def naive_battery(token):
+    """The three tests over a token, from counts of their own, and the chance as text."""
+    name, letters, same = next((n, x, same) for n, x, same in secrets.ENCODINGS if set(token) <= set(x))
+    n, k = len(token), len(letters)
+    places = [letters.index(c) for c in token]
+    chi = sum((places.count(i) - n / k) ** 2 / (n / k) for i in range(k))
+    phi = statistics.NormalDist().cdf
+
+    def below(x, df, far):  # of a noncentral chi-squared, by the cube root
+        scale = (df + 2 * far) / (df + far)
+        free = (df + far) ** 2 / (df + 2 * far)
+        return phi(((max(x, 0) / scale / free) ** (1 / 3) - 1 + 2 / 9 / free) / math.sqrt(2 / 9 / free))
+
+    middle = sorted(places)[n // 2]
+    sides = "".join("+" if p >= middle else "-" for p in places)
+    runs, high = len(list(itertools.groupby(sides))), sides.count("+")
+    mean = 2 * high * (n - high) / n + 1
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    run_chance = 2 * phi(-abs(runs - mean) / math.sqrt(var)) if var > 0 else 0.0
+    apart = np.array(places) - np.mean(places)
+    total = float(apart @ apart)
+    serial = 2 * phi(-abs((float(apart[:-1] @ apart[1:]) / total * n + 1) / math.sqrt(n))) if total else 0.0
+    return name, min(1.0, 3 * min(1 - below(chi, k - 1, 0), run_chance, serial)), below(chi, k - 1, n * (k * same - 1))
+
+
+def naive_random(text):
+    found = [(naive_battery(m[0]), m.span()) for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}", text) if not m[0].isdigit() and any(set(m[0]) <= set(x) for _, x, _ in secrets.ENCODINGS)]
+    ranked = sorted(found, key=lambda f: (f[0][2], f[0][1], f[1]))
+    good = [i for i, f in enumerate(ranked) if f[0][2] <= 0.01 * (i + 1) / len(ranked)]
+    return sorted(f[1] for f in ranked[: max(good, default=-1) + 1] if f[0][1] >= 0.001)
+
+
+def test_the_battery_is_the_naive_one():
+    r = random.Random(8)
+    for _ in range(400):
+        letters = r.choice(secrets.ENCODINGS)[1]
+        token = "".join(r.choices(letters[: r.choice([3, len(letters)])], k=r.randrange(16, 80)))
+        if not token.isdigit():
+            got, want = secrets.battery(token), naive_battery(token)
+            assert got[0] == want[0] and got[1:] == pytest.approx(want[1:], abs=1e-9)
+    words = "internationalization straightforwardness ab_cd_ef_gh_ij_kl 1234567890123456 path/to/some/other/file".split()
+    n = 0
+    for _ in range(150):
+        text = " ".join(r.choice(words) if r.random() < 0.6 else "".join(r.choices(r.choice(secrets.ENCODINGS)[1], k=r.randrange(16, 60))) for _ in range(r.randrange(1, 12)))
+        want = naive_random(text)
+        n += len(want)
+        assert sorted(secrets.random_spans(text)) == want
+    assert n > 200
+
+
+def test_many_secrets_of_one_text_take_linear_time():
+    """Spans of some megabytes of secrets, each random one inside a base span or not: in seconds, and the same as by all pairs."""
+    r = random.Random(5)
+    letters = secrets.ENCODINGS[5][1]
+    lines = [f"password = {''.join(r.choices(letters, k=40))} and {''.join(r.choices(letters, k=24))}" for _ in range(400)]
+    text = "\n".join(lines)
+    base = [s for s in secrets.spans(text) if s[1] < 3]
+    inside = lambda a, b: any(x <= a and b <= y for x, _, y in base)
+    assert [s for s in secrets.spans(text) if s[1] == 3] == sorted((a, 3, b) for a, b in secrets.random_spans(text) if not inside(a, b))
+    began = time.monotonic()
+    found = secrets.spans("\n".join(lines * 40))
+    assert len(found) > 16000 and time.monotonic() - began < 40
+
+
 def test_secret_rows(spark):
     rows = EDGE + [(9, "token=" + "ab12" * 8)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(0))
@@ -269,6 +337,18 @@ def test_an_id_of_many_rows_sends_one_text_to_the_driver(spark, monkeypatch):
     assert seen[1][1] <= 400 and abs(seen[1][3].sum() - 102) < 1e-9
 
 
+def test_a_benchmark_of_blanks_or_vast_words_is_not_collected(spark):
+    """Few words, many bytes: the join takes over, with the same hits."""
+    plain = spark.createDataFrame([("a", "one two three"), ("b", "four")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "x one two three y"), (2, "Four!"), (3, "five"), (4, None)], "doc_id long, text string")
+    want = sorted(map(str, decontaminate.scan(docs, plain).collect()))
+    for vast in (F.concat(F.repeat(F.lit(" "), decontaminate.MOST_BYTES), F.lit("nine")), F.repeat(F.lit("w"), decontaminate.MOST_BYTES + 1)):
+        more = plain.unionByName(spark.range(1).select(F.lit("c").alias("item_id"), vast.alias("text")))
+        assert not decontaminate._small(more.select("text"), decontaminate.MOST_WORDS) and decontaminate._small(plain, decontaminate.MOST_WORDS)
+        assert sorted(map(str, decontaminate.scan(docs, more).collect())) == want
+        assert sorted(r["doc_id"] for r in decontaminate.clean(docs, more).collect()) == [3, 4]
+
+
 def test_a_benchmark_at_the_bound_stays_in_bytes(monkeypatch):
     """Windows of random words, the worst case: what is broadcast and its pickle stay below what the bound says."""
     import pickle
