@@ -160,3 +160,17 @@ def test_pairs_of_crowded_bands_are_brute_force(spark, band, threshold):
     want = {(i, j) for i, s in reps for j, t in reps if i < j and sum(x == y for x, y in zip(s, t)) / 8 >= threshold}
     got = dedup.pairs(spark.createDataFrame(rows, "ord long, sig array<string>"), 8, threshold, band).collect()
     assert {(x["a"], x["b"]) for x in got} == want and len(got) == len(want)
+
+
+def test_common_subsequences_by_bits():
+    """Against the table of lengths, on texts of few and many tokens."""
+    import random
+
+    r = random.Random(3)
+    for n in (0, 1, 5, 63, 64, 65, 150):
+        a, b = (r.choices("abcdefgh", k=r.randrange(n + 1)) for _ in range(2))
+        rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                rows[i + 1][j + 1] = rows[i][j] + 1 if x == y else max(rows[i][j + 1], rows[i + 1][j])
+        assert score.common_subsequence(a, b) == rows[-1][-1]

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import chunk, filters, graph, index, shape, store, vector
+from corpusloom.session import checkpointed, plain_scan
 from corpusloom.sources import readers, trees, writers
 from corpusloom.streaming import streams
 
@@ -197,6 +198,16 @@ def test_of_two_writers_one_fails(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, store.read(spark, path).collect())) == [(1, "x"), (2, "b")]
 
 
+def test_only_files_and_checkpoints_are_plain_scans(spark, tmp_path):
+    path = str(tmp_path / "p")
+    spark.range(100).write.parquet(path)
+    files = spark.read.parquet(path)
+    assert plain_scan(files) and plain_scan(files.where("id > 3").select((F.col("id") + 1).alias("x"))) and plain_scan(checkpointed(files.orderBy("id")))
+    shuffled = spark.createDataFrame(files.rdd.repartition(3), "id long")
+    for other in (shuffled, files.repartition(3), files.groupBy("id").count(), files.sample(0.5), files.limit(3), files.withColumn("n", F.expr("explode(array(1, 2))")), spark.createDataFrame([(1,)], "x int")):
+        assert not plain_scan(other)
+
+
 def test_raw_folders(spark, tmp_path):
     (tmp_path / "j").mkdir()
     (tmp_path / "j" / "raw.jsonl").write_text('{"a": 1}\n{"b": 2}\n')
