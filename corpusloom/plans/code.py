@@ -11,7 +11,7 @@ from ..functions import code as C
 from ..functions import text as X
 from ..operators import chunk, filters, graph, output, rules
 from ..session import scratch, table
-from ..streaming import streams
+from ..streaming import keyed, streams
 from .registry import query
 
 _LINES = "CASE WHEN t = '' THEN [] WHEN t LIKE '%' || chr(10) THEN string_split(t[1:length(t) - 1], chr(10)) ELSE string_split(t, chr(10)) END"
@@ -402,3 +402,29 @@ def stream_ingest(spark, sf):
     tmp = scratch(spark, "stream")
     n = streams.ingested(streams.source(spark, f"{sf}/documents.parquet"), f"{tmp}/c", f"{tmp}/o", lambda df: df.where("lang = 'en'"), 300)
     return spark.range(1).select(F.lit(n).alias("n"))
+
+
+_SCANS = """a AS (SELECT 'd/' || doc_id AS path, doc_id AS n, sha256(text) AS sha FROM documents), b AS (SELECT path, n, if(n % 5 = 0, sha256(sha), sha) AS sha FROM a WHERE n % 3 <> 0)"""
+
+
+@query("stream_removed", f"WITH {_SCANS} SELECT path, 'indexed' AS change, sha AS sha256 FROM a UNION ALL SELECT path, 'indexed', sha FROM b WHERE n % 5 = 0 UNION ALL SELECT path, 'removed', NULL FROM a WHERE n % 3 = 0")
+def stream_removed(spark, sf):
+    """Three scans of the documents as files, an hour and a half apart in all; the later ones lack a third, and a fifth has changed."""
+    tmp = scratch(spark, "stream")
+    first = table(spark, sf, "documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), F.col("doc_id").alias("n"), F.sha2("text", 256).alias("sha256"))
+    later = first.where("n % 3 <> 0").withColumn("sha256", F.when(F.col("n") % 5 == 0, F.sha2("sha256", 256)).otherwise(F.col("sha256")))
+    for files, minutes in ((first, 0), (later, 60), (later, 80)):
+        seen = F.timestamp_seconds(F.lit(1_700_000_000 + 60 * minutes)).alias("seen")
+        files.select("path", "sha256", seen).write.mode("append").parquet(f"{tmp}/in")
+        scans = spark.readStream.schema("path string, sha256 string, seen timestamp").parquet(f"{tmp}/in")
+        keyed.run(keyed.tracked(scans, 30 * 60 * 1000), f"{tmp}/c", f"{tmp}/out")
+    return spark.read.parquet(f"{tmp}/out").drop("at")
+
+
+@query("stream_capped", "SELECT lang, least(40, count(*)) AS n FROM documents GROUP BY 1")
+def stream_capped(spark, sf):
+    """A cap per language over the batches of a stream."""
+    tmp = scratch(spark, "stream")
+    held = streams.source(spark, f"{sf}/documents.parquet").select("lang", "doc_id")
+    keyed.run(keyed.capped(held, "lang", 40), f"{tmp}/c", f"{tmp}/out")
+    return rules.counts(spark.read.parquet(f"{tmp}/out"), "lang")
