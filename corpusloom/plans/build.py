@@ -32,6 +32,11 @@ def _files(spark, sf):
     return d.select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.lit("text").alias("language"), F.col("text").alias("content"), F.sha2("text", 256).alias("sha256"), "doc_id")
 
 
+def _no_edges(files):
+    """The graph of texts that import nothing."""
+    return files.select(F.col("path").alias("src"), F.col("path").alias("dst"), F.lit("FILE_IMPORTS_FILE").alias("relation")).limit(0)
+
+
 _SCAN = "SELECT doc_id, source || '/' || doc_id || '.txt' AS path, source AS folder, sha256(text) AS sha, text AS t FROM documents"
 
 
@@ -49,8 +54,8 @@ def index_points(spark, sf):
     old = old.unionByName(gone).select("path", "language", "content", "sha256")
     none = old.limit(0)
     nothing = index.payloads(none, "/work/app")
-    points, state, _ = index.renewed(old, none.select("path", "sha256"), nothing, "/work/app", 20, 5)
-    points, state, _ = index.renewed(files.drop("doc_id"), state, checkpointed(points), "/work/app", 20, 5)
+    points, state, _ = index.renewed(old, none.select("path", "sha256"), nothing, "/work/app", 20, 5, _no_edges(files))
+    points, state, _ = index.renewed(files.drop("doc_id"), state, checkpointed(points), "/work/app", 20, 5, _no_edges(files))
     return points.select("relative_path", "chunk_type", "start_line", "end_line", "file_sha256")
 
 
@@ -62,7 +67,7 @@ def index_report(spark, sf):
     state = files.join(labels.select("doc_id").distinct(), "doc_id").join(bad, "doc_id", "left")
     gone = state.where("bad").select(F.concat(F.lit("gone/"), "path").alias("path"), "sha256")
     state = state.select("path", F.when(F.col("bad"), "older").otherwise(F.col("sha256")).alias("sha256")).unionByName(gone)
-    return index.renewed(files.drop("doc_id"), state, index.payloads(files.limit(0).drop("doc_id"), "/work/app"), "/work/app")[2]
+    return index.renewed(files.drop("doc_id"), state, index.payloads(files.limit(0).drop("doc_id"), "/work/app"), "/work/app", edges=_no_edges(files))[2]
 
 
 @query("folder_summaries", "SELECT source AS folder, md5('Folder: ' || source || chr(10) || 'Contains:' || chr(10) || string_agg('- ' || source || '/' || doc_id || '.txt', chr(10) ORDER BY source || '/' || doc_id || '.txt')) AS content_md5 FROM documents GROUP BY 1")

@@ -272,7 +272,7 @@ called AS (SELECT a.path, 5 AS r, b.path AS v FROM f a JOIN f b ON (a.kind = b.k
 lone AS (SELECT path, 5 AS r, (SELECT min(path) FROM f WHERE kind = 'rs') AS v FROM f WHERE kind = 'rs' AND (SELECT count(*) FROM f WHERE kind = 'rs') = 1),
 a AS (SELECT * FROM o UNION ALL SELECT * FROM n UNION ALL SELECT * FROM t UNION ALL SELECT low, 3, high FROM kin UNION ALL SELECT high, 4, low FROM kin UNION ALL SELECT * FROM called UNION ALL SELECT * FROM lone),
 s AS (SELECT path, unnest(range(5)) AS r, unnest(CASE kind WHEN 'py' THEN ['C' || n, 'f' || n, 'run' || n, 'C' || p, NULL] WHEN 'js' THEN ['g' || n, NULL, NULL, NULL, NULL] WHEN 'test' THEN ['test_f' || n, NULL, NULL, NULL, NULL] WHEN 'rs' THEN ['S' || n, 'draw' || n, 'main', 'D' || n, NULL] WHEN 'api' THEN ['list' || n, NULL, NULL, NULL, NULL] ELSE [NULL, NULL, NULL, NULL, NULL] END) AS v FROM f),
-heirs AS (SELECT high AS path, 0 AS r, 'C' || regexp_extract(low, 'm(\d+)', 1) AS v FROM kin UNION ALL SELECT path, 0, 'C0' FROM f WHERE kind = 'py' AND n = 0)
+heirs AS (SELECT high AS path, 0 AS r, 'C' || regexp_extract(low, 'm([0-9]+)', 1) AS v FROM kin UNION ALL SELECT path, 0, 'C0' FROM f WHERE kind = 'py' AND n = 0)
 SELECT path, {_LIST.format("o", 15)} AS imports, {_LIST.format("n", 15)} AS imported_by, {_LIST.format("a", 15)} AS related_files, {_LIST.format("t", 10)} AS related_tests, {_LIST.format("s", 20)} AS related_symbols,
  (SELECT count(*) FROM (SELECT r, v FROM o WHERE o.path = f.path UNION SELECT r, v FROM n WHERE n.path = f.path)) AS dependency_count,
  CASE kind WHEN 'py' THEN 2 WHEN 'js' THEN if(n = p, 2, 3) WHEN 'test' THEN 1 WHEN 'rs' THEN 3 WHEN 'api' THEN 2 ELSE 0 END::BIGINT AS call_count,
