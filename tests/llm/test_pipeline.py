@@ -117,11 +117,13 @@ def test_stages_on_edge_cases(spark, tmp_path, empty):
     assert sizes[4] == 4
 
 
-def test_shuffled_frames_are_cut(spark):
+def test_shuffled_frames_are_cut(spark, tmp_path):
+    """Frames of rows that Python or an RDD gives are cut too: only files and checkpoints give the same order each time."""
     from corpusloom.llm import common
 
     df = spark.createDataFrame([(i, f"t{i}") for i in range(50)], "doc_id long, text string")
-    for odd in (df.repartition(4), df.distinct(), df.repartition(4).cache(), df.orderBy("text"), df.limit(9)):
+    for odd in (df.repartition(4), df.distinct(), df.repartition(4).cache(), df.orderBy("text"), df.limit(9), df, spark.createDataFrame(df.rdd.repartition(3), df.schema)):
         assert not common.plain_scan(odd) and common.plain_scan(common.settled(odd))
-    plain = df.where("doc_id > 3").select("doc_id")
+    df.write.parquet(str(tmp_path / "p"))
+    plain = spark.read.parquet(str(tmp_path / "p")).where("doc_id > 3").select("doc_id")
     assert common.settled(plain) is plain
