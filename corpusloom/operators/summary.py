@@ -19,7 +19,7 @@ def file_summary(files: DataFrame, most: int = 10) -> DataFrame:
 
 def readme_summary(content: Column | str, most: int = 8, plain: int = 6, chars: int = 1200) -> Column:
     """Headings and the first plain lines of a text, in order, joined: at most most lines, plain ones while under plain lines are held."""
-    kept = F.filter(F.transform(X.lines(F.coalesce(col(content), F.lit(""))), F.trim), lambda x: x != "")
+    kept = F.filter(F.transform(X.lines(F.coalesce(col(content), F.lit(""))), lambda x: F.trim(x)), lambda x: x != "")
 
     def step(acc, x):
         heading = x.startswith("#")
