@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,24 +69,102 @@ def search(points: DataFrame, query: list[float], k: int, key: str = "id", vecto
     return held.withColumn("score", score).orderBy(F.desc("score"), key).limit(k)
 
 
-#: Queries that are broadcast at once.
-BATCH = 1024
+#: Queries that are broadcast at once where rows meet one by one; queries and points of a block where blocks meet.
+BATCH, QUERIES, POINTS = 1024, 4096, 16384
+#: What a product of matrices may differ from the sum in order, far above its rounding for unit vectors.
+MARGIN = 1e-9
+
+
+def _proper(v: Column, dim: int) -> Column:
+    """Whether a vector has dim plain numbers and a norm that rounding can't spoil."""
+    return F.coalesce((F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & (norm(v) > 1e-100) & (norm(v) < 1e100), F.lit(False))
+
+
+def _matrix(column) -> np.ndarray:
+    return np.array(column.tolist(), dtype="float64")
+
+
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products row by row, summed from the first component on, as dot() does."""
+    out = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        out += a[:, i] * b[:, i]
+    return out
+
+
+def block_best(points: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
+    """(query, key, score) of a block of points (key, vector) and one of queries (query, qv): for each query at least its k best, scores as cosine() has them.
+
+    A product of matrices says which points are within MARGIN of a query's k-th best; only these are scored. Of equal
+    vectors the k smallest keys are enough.
+    """
+    points = points.sort_values("key", ignore_index=True)
+    p, q = _matrix(points["vector"]), _matrix(asked["qv"])
+    _, same = np.unique(p, axis=0, return_inverse=True)
+    few = pd.Series(same.ravel()).groupby(same.ravel()).cumcount().to_numpy() < k
+    points, p = points[few], p[few]
+    size, length = np.sqrt(_in_order(p, p)), np.sqrt(_in_order(q, q))
+    unit, out = (p / size[:, None]).T, []
+    for at in range(0, len(q), 256):
+        near = (q[at : at + 256] / length[at : at + 256, None]) @ unit
+        low = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(near), -np.inf)
+        i, j = np.nonzero(near >= low[:, None] - MARGIN)
+        i += at
+        score = _in_order(p[j], q[i]) / (size[j] * length[i])
+        out.append(pd.DataFrame({"query": asked["query"].to_numpy()[i], "key": points["key"].to_numpy()[j], "score": score}))
+    return pd.concat(out)
 
 
 def search_batch(points: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "vector", batch: int = BATCH) -> DataFrame:
     """(query, key, score, rank): the k nearest points of each query (query, qv), ties by key.
 
-    Queries are broadcast in batches of at most batch, whatever their number, and each point meets each of them once.
-    Ranks cut rows beyond k in each task, before the shuffle, so of P tasks a query gets at most k * P rows.
+    Vectors of the most frequent length meet as blocks: points are dealt into blocks of about POINTS, queries of about
+    QUERIES, and each pair of blocks is a task of bounded size. What has nulls, NaN, no direction or another length meets
+    the others row by row, with cosine().
     """
+    points, queries = points.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector")), queries.select("query", F.col("qv").cast("array<double>").alias("qv"))
+    sizes = points.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
+    dim = sizes[0]["d"] if sizes else -1
+    of, asked = _proper(F.col("vector"), dim), _proper(F.col("qv"), dim)
+    held = points.agg(F.count_if(of).alias("good"), F.count_if(~of).alias("bad")).first()
+    met = queries.agg(F.count_if(asked).alias("good"), F.count_if(~asked).alias("bad")).first()
+    found = []
+    if dim > 0 and held["good"] and met["good"]:
+        found.append(_blocks(points.where(of), queries.where(asked), k, held["good"], met["good"]))
+    if held["bad"]:
+        found.append(_row_by_row(points.where(~of), queries, k, batch))
+    if met["bad"]:
+        found.append(_row_by_row(points.where(of), queries.where(~asked), k, batch))
+    if not found:
+        found = [_row_by_row(points, queries, k, batch)]
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "key"))
+    out = reduce(DataFrame.unionByName, found).withColumn("rank", place.cast("long")).where(F.col("rank") <= k)
+    return out.select("query", F.col("key").alias(key), "score", "rank")
+
+
+def _blocks(points: DataFrame, queries: DataFrame, k: int, n: int, m: int) -> DataFrame:
+    """(query, key, score) of what block_best finds in each pair of blocks; n points and m queries."""
+    parts, turns = -(-n // POINTS), -(-m // QUERIES)
+    left = points.withColumn("p", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    right = queries.withColumn("t", F.pmod(F.xxhash64("query"), F.lit(turns)).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    schema = f"query {queries.schema['query'].dataType.simpleString()}, key {points.schema['key'].dataType.simpleString()}, score double"
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return block_best(a, b, k) if len(a) and len(b) else pd.DataFrame({"query": b["query"][:0], "key": a["key"][:0], "score": pd.Series([], dtype="float64")})
+
+    return left.groupBy("p", "t").cogroup(right.groupBy("p", "t")).applyInPandas(run, schema)
+
+
+def _row_by_row(points: DataFrame, queries: DataFrame, k: int, batch: int) -> DataFrame:
+    """(query, key, score) of the k best, by cosine() of every pair. Queries are broadcast in batches; ranks cut rows beyond k in each task, before the shuffle."""
     n = queries.count()
     parts, out = -(-n // batch) or 1, None
     for part in range(parts):
         some = queries.select("query", "qv")
         some = some.where(F.pmod(F.xxhash64("query", F.lit("batch")), F.lit(parts)) == part) if parts > 1 else some
-        met = points.select(key, vector).crossJoin(F.broadcast(some)).select("query", key, cosine(vector, "qv").alias("score"))
-        place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key))
-        found = met.withColumn("rank", place.cast("long")).where(F.col("rank") <= k)
+        met = points.crossJoin(F.broadcast(some)).select("query", "key", cosine("vector", "qv").alias("score"))
+        place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "key"))
+        found = met.withColumn("rank", place).where(F.col("rank") <= k).drop("rank")
         out = found if out is None else out.unionByName(found)
     return out
 
