@@ -7,10 +7,12 @@ what is farther than the k-th hit so far is passed over. No hit is lost, unlike
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
+from . import vector as V
 from .vector import BATCH, cosine, dot, norm
 
 #: Angles are held to be this much smaller than they are computed: rounding near 0 and pi is far below it.
@@ -102,26 +104,48 @@ def planned(cells: DataFrame, dim: int, some: DataFrame, k: int) -> DataFrame:
 
 
 def _steps(spark: SparkSession, path: str, dim: int, some: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pairs that are scored first, the k best of them, pairs that are scored then)."""
-    points = _points(spark, path)
+    """(queries and cells that are scored first, the k best of them, queries and cells that are scored then)."""
     plan = checkpointed(planned(spark.read.parquet(f"{path}/cells"), dim, some, k))
-    needed = lambda df: points.where(F.col("cell").isin([r[0] for r in df.select("cell").distinct().collect()]))
     seeds = plan.where("seed").withColumn("reach", F.lit(None).cast("double"))
-    first = _met(needed(seeds), seeds)
-    best = checkpointed(_best(first.select("query", "key", cosine("vector", "qv").alias("score")), k).drop("rank"))
+    best = checkpointed(_best(_scored(spark, path, dim, seeds, k), k).drop("rank"))
     far = best.groupBy("query").agg(F.count("*").alias("hits"), F.min("score").alias("worst"))
     reach = F.when(F.col("hits") >= k, _angle(F.col("worst")) + SLACK)
     rest = checkpointed(plan.where("not seed").join(F.broadcast(far), "query", "left").withColumn("reach", reach).where("reach is null or least <= reach").drop("hits", "worst"))
-    return first, best, _met(needed(rest), rest)
+    return seeds, best, rest
+
+
+def _blocks(points: DataFrame, asked: DataFrame, cells: DataFrame, k: int) -> DataFrame:
+    """(query, key, score) of at least the k best points of each cell for each query that needs it: a cell's points are dealt into blocks, and a block meets its queries by vector.block_best."""
+    parts = F.broadcast(cells.select("cell", F.ceil(F.col("n") / V.POINTS).cast("int").alias("parts")))
+    left = points.join(parts, "cell").withColumn("p", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).drop("parts")
+    right = asked.join(parts, "cell").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("query", "qv", "cell", "a", "reach", "p")
+    schema = f"query {asked.schema['query'].dataType.simpleString()}, key {points.schema['key'].dataType.simpleString()}, score double"
+
+    def run(points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        low, high = points["angle"].min(), points["angle"].max()
+        asked = asked[asked["reach"].isna() | ((asked["a"] - asked["reach"] <= high) & (asked["a"] + asked["reach"] >= low))]
+        return V.block_best(points, asked, k) if len(points) and len(asked) else pd.DataFrame({"query": asked["query"][:0], "key": points["key"][:0], "score": pd.Series([], dtype="float64")})
+
+    return left.groupBy("cell", "p").cogroup(right.groupBy("cell", "p")).applyInPandas(run, schema)
+
+
+def _scored(spark: SparkSession, path: str, dim: int, asked: DataFrame, k: int) -> DataFrame:
+    """(query, key, score): pairs of queries (query, qv, cell, a, reach) and points of their cells, the k best of each query among them. Vectors that rounding could spoil meet row by row."""
+    points = _points(spark, path).where(F.col("cell").isin([r[0] for r in asked.select("cell").distinct().collect()]))
+    plain, good = F.col("a").isNotNull() & V._proper(F.col("qv"), dim), (F.col("cell") != NOWHERE) & V._proper(F.col("vector"), dim)
+    rows = _met(points.where(~good), asked).unionByName(_met(points.where(good), asked.where(~plain)))
+    rows = rows.select("query", "key", cosine("vector", "qv").alias("score"))
+    return _blocks(points.where(good), asked.where(plain), spark.read.parquet(f"{path}/cells"), k).unionByName(rows)
 
 
 def _batch(spark: SparkSession, path: str, dim: int, some: DataFrame, k: int) -> DataFrame:
-    _, best, then = _steps(spark, path, dim, some, k)
-    return _best(best.unionByName(then.select("query", "key", cosine("vector", "qv").alias("score"))), k).select("query", "key", "score", "rank")
+    _, best, rest = _steps(spark, path, dim, some, k)
+    return _best(best.unionByName(_scored(spark, path, dim, rest, k)), k).select("query", "key", "score", "rank")
 
 
 def share_scored(spark: SparkSession, path: str, queries: DataFrame, k: int) -> float:
-    """Of all pairs of a query (at most BATCH of them) and a point, the share that a search scores."""
+    """Of all pairs of a query (at most BATCH of them) and a point, the share that angles don't rule out."""
     some = queries.select("query", F.col("qv").cast("array<double>").alias("qv"))
     first, _, then = _steps(spark, path, spark.read.parquet(f"{path}/about").first()["dim"], some, k)
-    return (first.count() + then.count()) / (some.count() * spark.read.parquet(f"{path}/cells").agg(F.sum("n")).first()[0])
+    points = _points(spark, path)
+    return (_met(points, first).count() + _met(points, then).count()) / (some.count() * spark.read.parquet(f"{path}/cells").agg(F.sum("n")).first()[0])
