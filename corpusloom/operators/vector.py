@@ -31,13 +31,14 @@ def hash_embedding(text: Column | str, dim: int = 768) -> Column:
 
 
 def sparse_embedding(df: DataFrame, key: str, text: str, dim: int = 768) -> DataFrame:
-    """(key, i, v): the places of hash_embedding that aren't zero, for texts of any length: token counts combine before the shuffle."""
+    """(key, i, v): the places of hash_embedding that aren't zero, for texts of any length: token counts combine before the shuffle, and words are hashed once."""
     words = spread(df.select(key, text)).select(key, F.explode(X.tokens(F.coalesce(text, F.lit("")))).alias("w")).select(key, F.sha2("w", 256).alias("h"))
-    place = F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
+    # Never null, or a join on i would hash all words once more to see that it isn't
+    place = F.coalesce(F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int"), F.lit(0))
     sign = F.when(F.conv(F.substring("h", 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
     sums = words.groupBy(key, place.alias("i")).agg(F.sum(sign).alias("v")).where("v <> 0")
-    norms = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return sums.join(norms, key).select(key, "i", (F.col("v") / F.col("norm")).alias("v"))
+    length = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key)))
+    return sums.withColumn("__norm", length).where(F.col(key).isNotNull()).select(key, "i", (F.col("v") / F.col("__norm")).alias("v"))
 
 
 def dot(a: Column, b: Column) -> Column:
