@@ -42,3 +42,25 @@ def test_caps_hold_over_restarts(spark, tmp_path):
         keyed.run(keyed.capped(stream, "k", 12), str(tmp_path / "c"), str(tmp_path / "out"))
         counts = {r["k"]: r["count"] for r in spark.read.parquet(str(tmp_path / "out")).groupBy("k").count().collect()}
         assert counts == {"x": min(12, 10 * batch + 10), "y": min(12, 10 * batch + 10), "z": batch + 1}
+
+
+def test_state_grows_by_buckets_not_by_files(spark, tmp_path):
+    changes = scan(spark, tmp_path, [(f"f{i}", str(i), 0) for i in range(6000)])
+    held = spark.read.format("statestore").option("stateVarName", "held").load(str(tmp_path / "c"))
+    assert held.count() <= 4096 and held.selectExpr("sum(size(value.files))").first()[0] == 6000
+    assert changes.count() == changes.where("change = 'indexed' and sha256 = substr(path, 2)").count() == 6000
+
+
+def test_files_of_one_bucket_end_each_at_its_time(spark, tmp_path):
+    zero, out = int(START.timestamp() * 1000), str(tmp_path / "out")
+    for rows in ([("a", "1", 0), ("b", "1", 0.5), ("c", "1", 2)], [("c", "1", 2.5), (None, "1", 2.5), ("d", "1", 3)], [("d", "2", 4)]):
+        df = spark.createDataFrame([(p, s, START + datetime.timedelta(minutes=m)) for p, s, m in rows], "path string, sha256 string, seen timestamp")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        keyed.run(keyed.tracked(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), 60_000, buckets=1), str(tmp_path / "c"), out)
+        got = {(r["path"], r["at"] - zero) for r in spark.read.parquet(out).where("change = 'removed'").collect()}
+        # after the first scan the watermark stands at minute 2, after the second at 3, after the third at 4: what ends just then is still there
+        assert got == {2: {("a", 60_000), ("b", 90_000)}, 3: {("a", 60_000), ("b", 90_000)}, 4: {("a", 60_000), ("b", 90_000), ("c", 210_000), (None, 210_000)}}[int(rows[-1][2])]
+    told = [(r["path"], r["sha256"]) for r in spark.read.parquet(out).where("change = 'indexed'").orderBy("at", "path").collect()]
+    assert told == [("a", "1"), ("b", "1"), ("c", "1"), (None, "1"), ("d", "1"), ("d", "2")]
+    held = spark.read.format("statestore").option("stateVarName", "held").load(str(tmp_path / "c"))
+    assert [r["value"]["files"] for r in held.collect()] == [["d"]]
